@@ -102,3 +102,10 @@ class WordCache(dict):
             self.clear()
         found = self[word] = self.value(word)
         return found
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine; its package is installed on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

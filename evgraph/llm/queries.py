@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from .common import table
-from .quality_classifier import quality_classifier
-from .quality_rules import ORACLE_SQL as RULES_SQL
-from .quality_rules import quality_rules
-from .toxicity import toxicity
+from . import html_extraction as html
+from . import pieces, quality_classifier, quality_rules, token_codes, toxicity, warc
+from .common import table, tokenizer_path
 
 
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _with_labels(operator):
+    return lambda s, d: operator(_docs(s, d), table(s, d, "labels"))
+
+
 QUERIES = {
-    "op3_quality_rules": lambda s, d: quality_rules(_docs(s, d)),
-    "op5_quality_classifier": lambda s, d: quality_classifier(_docs(s, d), table(s, d, "labels")),
-    "op8_toxicity": lambda s, d: toxicity(_docs(s, d), table(s, d, "labels")),
+    "op1_html_extraction": lambda s, d: html.html_extraction(table(s, d, "pages")),
+    "op2_token_codes": lambda s, d: token_codes.token_codes(_docs(s, d), tokenizer_path("word_bpe_49k.json")),
+    "op3_quality_rules": lambda s, d: quality_rules.quality_rules(_docs(s, d)),
+    "op5_quality_classifier": _with_labels(quality_classifier.quality_classifier),
+    "op6_sentencepiece": lambda s, d: pieces.encode_pieces(_docs(s, d), tokenizer_path("piece_bpe_32k.model")),
+    "op8_toxicity": _with_labels(toxicity.toxicity),
+    "op9_warc": lambda s, d: warc.warc(table(s, d, "pages")),
 }
 
-ORACLE_SQL = {"op3_quality_rules": RULES_SQL}
+ORACLE_SQL = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
