@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontamination
 from . import html_extraction as html
 from . import pieces, quality_classifier, quality_rules, token_codes, toxicity, warc
 from .common import table, tokenizer_path
@@ -19,10 +20,11 @@ QUERIES = {
     "op1_html_extraction": lambda s, d: html.html_extraction(table(s, d, "pages")),
     "op2_token_codes": lambda s, d: token_codes.token_codes(_docs(s, d), tokenizer_path("word_bpe_49k.json")),
     "op3_quality_rules": lambda s, d: quality_rules.quality_rules(_docs(s, d)),
+    "op4_decontamination": lambda s, d: decontamination.decontamination(_docs(s, d), table(s, d, "benchmark")),
     "op5_quality_classifier": _with_labels(quality_classifier.quality_classifier),
     "op6_sentencepiece": lambda s, d: pieces.encode_pieces(_docs(s, d), tokenizer_path("piece_bpe_32k.model")),
     "op8_toxicity": _with_labels(toxicity.toxicity),
     "op9_warc": lambda s, d: warc.warc(table(s, d, "pages")),
 }
 
-ORACLE_SQL = {"op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op4_decontamination": decontamination.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
