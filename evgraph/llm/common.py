@@ -91,17 +91,29 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class WordCache(dict):
-    """word -> value by a function, emptied when it holds too many words; one for each Python worker."""
+    """word -> value by a function; one for each Python worker.
 
-    def __init__(self, value, most: int = 400_000):
+    Two generations of at most `most` words: when the young one is full it becomes the old
+    one, so words in use stay and memory is bounded. Words longer than `longest` aren't kept.
+    """
+
+    def __init__(self, value, most: int = 400_000, longest: int = 64):
         super().__init__()
-        self.value, self.most = value, most
+        self.value, self.most, self.longest, self.old = value, most, longest, {}
 
     def __missing__(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.value(word)
+        if len(word) <= self.longest:
+            self.age()
+            self[word] = found
+        return found
+
+    def age(self) -> None:
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = self.value(word)
-        return found
 
 
 def tokenizer_path(name: str) -> str:

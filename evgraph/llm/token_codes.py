@@ -20,6 +20,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, filesystem, put_file, scratch, small_batches
+from .common import WordCache, batch, filesystem, put_file, scratch, small_batches
 
 MAGIC = b"DACODES1"
 CHUNK = 8
@@ -37,7 +38,7 @@ END_ID = 1
 #: Ids in a file at most, so writing and reading a file take bounded memory; a longer document has a file of its own.
 FILE_IDS = 4_000_000
 NO_ID = np.iinfo(np.int64).min
-CACHED_WORDS = 400_000
+CACHED_WORDS = 450_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _PLAIN_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
@@ -122,7 +123,7 @@ class WordEncoder:
     """Encodes whole texts with a vocabulary that never joins what white space parts.
 
     Each word between spaces is encoded once by the library and kept; a text's ids are the
-    kept ids of its words. The cache is emptied when full.
+    kept ids of its words.
     """
 
     def __init__(self, path: str):
@@ -130,7 +131,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept = WordCache(lambda word: array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes(), CACHED_WORDS)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -139,14 +140,14 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
-        if len(self.kept) > CACHED_WORDS:
-            self.kept.clear()
         kept = self.kept
-        new = list({w for words in split for w in words if w not in kept})
+        kept.age()
+        old = kept.old
+        new = list({w for words in split for w in words if w not in kept and w not in old and len(w) <= kept.longest})
         for k in range(0, len(new), 10_000):
             part = new[k : k + 10_000]
             for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                kept[word] = np.array(found.ids, "<u4").tobytes()
+                kept[word] = array("I", found.ids).tobytes()
         for words in split:
             yield b"".join(map(kept.__getitem__, words))
 
