@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, small_batches
+from .common import WordCache, batch, small_batches
 
 SPACE = "▁"
 UNIGRAM, MERGES = 1, 2
-CACHED_CUTS = 250_000
+CACHED_CUTS = 450_000
 CACHED_PAIRS = 500_000
 
 
@@ -96,7 +97,7 @@ class Pieces:
             self.cuts = re.compile(r"[^\n]+|\n" if not breaks else r"(?s:.+)")
         else:
             self.cuts = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.kept: dict[str, bytes] = {}
+        self.kept = WordCache(lambda cut: array("I", self._cut(cut)).tobytes(), CACHED_CUTS)
         self.fits: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
 
@@ -174,18 +175,8 @@ class Pieces:
         return [self.bytes[b] for b in symbol.encode()] if self.bytes else [self.unknown]
 
     def encode(self, text: str | None) -> np.ndarray:
-        out = []
-        kept = self.kept
-        for cut in self.cuts.findall(self.normalize(text or "")):
-            found = kept.get(cut)
-            if found is None:
-                found = np.array(self._cut(cut), "<u4").tobytes()
-                if len(cut) <= 64:
-                    if len(kept) > CACHED_CUTS:
-                        kept.clear()
-                    kept[cut] = found
-            out.append(found)
-        ids = np.frombuffer(b"".join(out), "<u4")
+        cuts = self.cuts.findall(self.normalize(text or ""))
+        ids = np.frombuffer(b"".join(map(self.kept.__getitem__, cuts)), "<u4")
         if not self.bytes and len(ids) > 1:  # neighbours that are unknown count as one
             ids = ids[~((ids == self.unknown) & np.concatenate(([False], ids[:-1] == self.unknown)))]
         return ids
