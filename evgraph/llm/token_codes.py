@@ -16,6 +16,7 @@ doc_id stand next to each other, ordered by text; null doc_ids come first.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,8 +41,6 @@ END_ID = 1
 FILE_IDS = 4_000_000
 NO_ID = np.iinfo(np.int64).min
 CACHED_WORDS = 450_000
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_PLAIN_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
 def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
@@ -119,11 +119,33 @@ class TokenFile:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1] - self.starts[k]))
 
 
+#: The steps and the pattern of vocabularies with word ends; their words are parted here as the library parts them.
+NORMAL_STEPS = ["NFC", "Replace", "Lowercase"]
+PART_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters are in NFC, have one lower case, and no apostrophe.
+_LATIN = re.compile("[!-&(-~À-ÖØ-öø-įĳ-ňŊ-ɏ]+")
+_PARTS = re.compile("[a-zA-ZÀ-ÖØ-öø-ɏ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+
+
+def _steps(form: dict | None) -> list[str]:
+    """The kinds of a normalizer's or pre-tokenizer's steps."""
+    if not form:
+        return []
+    return [x for part in form.get("normalizers") or form.get("pretokenizers") for x in _steps(part)] if form["type"] == "Sequence" else [form["type"]]
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes for themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
 class WordEncoder:
     """Encodes whole texts with a vocabulary that never joins what white space parts.
 
-    Each word between spaces is encoded once by the library and kept; a text's ids are the
-    kept ids of its words.
+    The distinct words of a batch are looked up among kept words, or encoded by the library; a text's ids
+    are gathered from its words' ids by Arrow and NumPy, without a Python step for each word.
     """
 
     def __init__(self, path: str):
@@ -131,25 +153,62 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept = WordCache(lambda word: array("I", self.library.encode(word, add_special_tokens=False).ids).tobytes(), CACHED_WORDS)
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return [w for w in _PLAIN_SPACE.split(text) if w] if _ODD_SPACE.search(text) else text.split()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        kept = self.kept
+        self.kept = WordCache(None, CACHED_WORDS)
+        self.parts = WordCache(self._part, CACHED_WORDS // 4)
+        self.alphabet = None
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        if _steps(form.get("normalizer")) == NORMAL_STEPS and _steps(form.get("pre_tokenizer")) == ["Split", "ByteLevel"] and form["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == PART_PATTERN:
+            self.alphabet = _byte_letters()
+            self.model = self.library.model
+            self.added = any(_LATIN.fullmatch(t["content"]) and not t["content"].startswith("<|") for t in form.get("added_tokens", ()))
+
+    def _part(self, part: str) -> bytes:
+        """Ids of a run of letters or of symbols, or a digit, that the library's model is given as it stands."""
+        return array("I", [t.id for t in self.model.tokenize("".join(map(self.alphabet.__getitem__, part.encode())))]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word in Latin letters, digits and symbols, parted as the vocabulary's pattern does; None for other words."""
+        if self.alphabet is None or self.added or "<|" in word or not _LATIN.fullmatch(word):
+            return None
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        kept, old = self.kept, self.kept.old.get
+        found = list(map(kept.get, words))
+        fresh = []
+        for k, x in enumerate(found):
+            if x is None:
+                x = found[k] = old(words[k])
+                if x is None:
+                    x = found[k] = self._word(words[k])
+                if x is None:
+                    fresh.append(k)
+                elif len(words[k]) <= kept.longest:
+                    kept[words[k]] = x
+        for begin in range(0, len(fresh), 10_000):
+            part = fresh[begin : begin + 10_000]
+            for k, x in zip(part, self.library.encode_batch_fast([words[k] for k in part], add_special_tokens=False), strict=True):
+                found[k] = ids = array("I", x.ids).tobytes()
+                if len(words[k]) <= kept.longest:
+                    kept[words[k]] = ids
         kept.age()
-        old = kept.old
-        new = list({w for words in split for w in words if w not in kept and w not in old and len(w) <= kept.longest})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                kept[word] = array("I", found.ids).tobytes()
-        for words in split:
-            yield b"".join(map(kept.__getitem__, words))
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and the offset at which each text's begin (and the last ends)."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.values.dictionary_encode()
+        of_word = self._ids_of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        ids = np.frombuffer(b"".join(of_word), "<u4")
+        index = coded.indices.to_numpy()
+        counts = sizes[index]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        flat = ids[np.repeat(starts[index] - ends[:-1], counts) + np.arange(ends[-1])]
+        # The words that Arrow splits off before, between and after white space include empty ones, without ids.
+        return flat, ends[split.offsets.to_numpy()]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -163,7 +222,7 @@ def encoder(path: str) -> WordEncoder:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[tuple[str, int, int]]:
     """Encode docs into files in ascending doc_id order; (path, documents, ids) of each file, in order."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4)
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     tail = np.array([end_id], "<u4").tobytes()
@@ -173,13 +232,13 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         own, root = filesystem(folder)
         part, made = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
-        texts: list[bytes] = []
+        texts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal made, held
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            starts = np.concatenate(([0], np.cumsum([len(t) // 4 for t in texts]))).astype(np.int64)
+            ids = np.concatenate(texts)
+            starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])[1::2])).astype(np.int64)
             name = f"{root}/part-{part:06d}-{made:05d}.dac"
             put_file(own, name, pack(np.array(doc_ids, np.int64), starts, ids))
             row = batch(schema, [part], [made], [name.removeprefix(root)], [len(doc_ids)], [len(ids)])
@@ -189,13 +248,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             return row
 
         for b in batches:
-            names = [NO_ID if i is None else i for i in b.column("doc_id").to_pylist()]
-            for name, found in zip(names, encoder(tokenizer).encode([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                if held and held + len(found) // 4 >= FILE_IDS:
+            flat, at = encoder(tokenizer).encode(b.column("text"))
+            for k, name in enumerate(b.column("doc_id").fill_null(NO_ID).to_pylist()):
+                found = flat[at[k] : at[k + 1]]
+                if held and held + len(found) >= FILE_IDS:
                     yield flush()
                 doc_ids.append(name)
-                texts.append(found + tail)
-                held += len(found) // 4 + 1
+                texts += (found, tail)
+                held += len(found) + 1
         if doc_ids:
             yield flush()
 
