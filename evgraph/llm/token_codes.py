@@ -225,7 +225,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     small_batches(docs.sparkSession, 4)
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = np.array([end_id], "<u4")
     schema = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
