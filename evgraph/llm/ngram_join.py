@@ -100,7 +100,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray | None) -> tuple[np.ndar
 
 
 def _pairs(hot: np.ndarray, rest: int, level: int) -> np.ndarray:
-    salt = np.uint64(level + 1) * _K
+    salt = np.uint64((level + 1) * int(_K) & 0xFFFFFFFFFFFFFFFF)
     groups = (1 << level) // 8
     if not groups:
         return _mix(hot[:rest] + salt) | _ONE
@@ -215,8 +215,8 @@ def _gather(dealt: DataFrame) -> DataFrame:
 
 def _bitmap(spark: SparkSession, hot: DataFrame, base: np.ndarray | None) -> np.ndarray:
     """Set the tokens' bits: summed on the executors into at most 2^FREQUENT_BITS / 64 words."""
-    bit = F.shiftrightunsigned("token", 1).bitwiseAND((1 << FREQUENT_BITS) - 1)
-    words = hot.select(F.shiftright(bit, 5).cast("int").alias("w"), F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(31).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    bits = hot.select(F.shiftrightunsigned("token", 1).bitwiseAND((1 << FREQUENT_BITS) - 1).alias("bit"))
+    words = bits.selectExpr("CAST(shiftright(bit, 5) AS INT) AS w", "shiftleft(1L, CAST(bit & 31 AS INT)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << (FREQUENT_BITS - 5), "<u4") if base is None else base.view("<u4").copy()
     at = words["w"].to_numpy()
     out[at] |= words["m"].to_numpy().astype(np.uint32)
@@ -317,7 +317,6 @@ def _open(members: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose similarity is at least 0.75, by their whole sets. classes: class, n, doc (a row that has it)."""
-    spark = docs.sparkSession
     a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("doc").alias(f"d{x}")) for x in "ab")
     sized = cut(pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)"), "ngram-pairs")
     ids = sized.select(F.col("da").alias("doc_id")).union(sized.select("db")).distinct()
@@ -336,7 +335,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     left = sized.select("a", "b", "na", "nb").join(whole.withColumnsRenamed({"class": "a", "tokens": "ta"}), "a")
     both = left.join(whole.withColumnsRenamed({"class": "b", "tokens": "tb"}), "b")
     shared = F.size(F.array_intersect("ta", "tb"))
-    del spark
     return both.where(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 

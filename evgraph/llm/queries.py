@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import decontamination
 from . import html_extraction as html
-from . import pieces, quality_classifier, quality_rules, token_codes, toxicity, warc
+from . import ngram_join, pieces, quality_classifier, quality_rules, token_codes, toxicity, warc
 from .common import table, tokenizer_path
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op4_decontamination": lambda s, d: decontamination.decontamination(_docs(s, d), table(s, d, "benchmark")),
     "op5_quality_classifier": _with_labels(quality_classifier.quality_classifier),
     "op6_sentencepiece": lambda s, d: pieces.encode_pieces(_docs(s, d), tokenizer_path("piece_bpe_32k.model")),
+    "op7_ngram_join": lambda s, d: ngram_join.ngram_join(_docs(s, d)),
     "op8_toxicity": _with_labels(toxicity.toxicity),
     "op9_warc": lambda s, d: warc.warc(table(s, d, "pages")),
 }
