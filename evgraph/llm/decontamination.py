@@ -94,7 +94,8 @@ def prefixes(shingles: DataFrame, counts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("n > 0").drop("n") if parts else None
 
 
-def decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
     docs = docs.select("doc_id", "text")
     shingles = cut(benchmark_shingles(items).withColumn("sid", F.xxhash64("q", "shingle")), "benchmark-shingles")
     found = cut(occurrences(docs, shingles), "shingle-occurrences")
@@ -108,6 +109,7 @@ def decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return base.join(hits, same, "left").select(
         base["doc_id"],
+        base["text_hash"],
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -116,6 +118,19 @@ def decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    return contamination(docs, items).drop("text_hash")
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs without contaminated rows. The columns stay as they are."""
+    found = cut(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    few = found.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    on = keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
+    return keyed.join(F.broadcast(found) if few else found, on, "left_anti").select(*docs.columns)
+
+
 def _hits(found: DataFrame, prefix: DataFrame, shingles: DataFrame) -> DataFrame:
     """Per document with a hit: n_hit, n_items, items (ids joined by commas)."""
     diagonal = (F.col("at") - F.col("offset")).alias("diagonal")

@@ -125,15 +125,15 @@ def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and class of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+    """doc_id, key (hash of the text), n_shingles and class of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t) for t in b.column("text").to_pylist()]
-            yield batch(schema, b.column("doc_id"), [len(t) for t in found], [class_of(t) if len(t) else None for t in found])
+            yield batch(schema, b.column("doc_id"), b.column("key"), [len(t) for t in found], [class_of(t) if len(t) else None for t in found])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(made, "doc_id long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(made, "doc_id long, key long, n_shingles long, class long")
 
 
 def _deal(docs: DataFrame, buckets: int, before, now) -> DataFrame:
@@ -366,7 +366,7 @@ def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def with_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of every row."""
+    """doc_id, key, n_shingles, class and component_id of every row."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(sets(docs), "ngram-docs")
@@ -375,8 +375,25 @@ def with_components(docs: DataFrame) -> DataFrame:
     names = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     # Reread, so that the join below deals both sides anew and can split a class with many rows.
     named = cut(of_class.join(names, "root").select("class", "component_id"), "ngram-named")
-    return found.join(named, "class", "left").select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.join(named, "class", "left").select("doc_id", "key", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
     return with_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component: its smallest doc_id's, and of several texts with that doc_id the one whose hash is least.
+
+    Texts without words are linked with nothing and stay. The columns stay as they are.
+    """
+    named = with_components(docs)
+    own = cut(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "key", F.col("class").isNull().alias("bare")).agg(F.count("*").alias("n")), "ngram-kept")
+    least = own.where("NOT bare").groupBy("doc_id").agg(F.min_by(F.struct("key", "n"), "key").alias("x")).select("doc_id", "x.key", "x.n")
+    kept = least.union(own.where("bare").select("doc_id", "key", F.lit(1).alias("n"))).toDF("_id", "_key", "_n")
+    few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    on = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    met = keyed.join(F.broadcast(kept) if few else kept, on)
+    once, again = met.where("_n = 1"), met.where("_n > 1").dropDuplicates(["_id", "_key"])
+    return once.union(again).select(*docs.columns)

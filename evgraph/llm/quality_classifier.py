@@ -148,3 +148,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], also: tuple[str, ...
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs that the classifier predicts to be of quality. The columns stay as they are."""
+    renamed = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
+    also = tuple(c for c in renamed.columns if c not in ("doc_id", "text"))
+    kept = score(renamed, fit(docs, labels), also).where(F.col("score") >= THRESHOLD)
+    return kept.select(*(F.col("_score" if c == "score" and "_score" in renamed.columns else c).alias(c) for c in docs.columns))

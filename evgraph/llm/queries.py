@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import decontamination
 from . import html_extraction as html
-from . import ngram_join, pieces, quality_classifier, quality_rules, token_codes, toxicity, warc
+from . import ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, token_codes, toxicity, warc
 from .common import table, tokenizer_path
 
 
@@ -26,6 +26,7 @@ QUERIES = {
     "op7_ngram_join": lambda s, d: ngram_join.ngram_join(_docs(s, d)),
     "op8_toxicity": _with_labels(toxicity.toxicity),
     "op9_warc": lambda s, d: warc.warc(table(s, d, "pages")),
+    "op10_substring_dedup": lambda s, d: substring_dedup.substring_dedup(_docs(s, d)),
 }
 
 ORACLE_SQL = {"op4_decontamination": decontamination.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
