@@ -6,8 +6,11 @@ import atexit
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +125,20 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words `[^\\x20\\x09-\\x0D]+` of the texts with A-Z lower-cased, and the offset at which each text's begin.
+
+    Words are split and told apart by Arrow; Python sees each distinct word of the batch once.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    coded = split.values.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    index, at = coded.indices.to_numpy(), split.offsets.to_numpy()
+    if "" in words:
+        full = index != words.index("")
+        at = np.concatenate(([0], np.cumsum(full)))[at]
+        index = index[full]
+    return hashes[index], at

@@ -14,9 +14,8 @@ Candidates. In any order of tokens, linked sets share a token in the first n - c
    pairs of tokens within a group are indexed. Groups depend on the size's power of two; a class
    is indexed for its own and for those of its possible partners.
 
-Verification. Classes that share an indexed token or pair are compared by their whole sets: each with the
-hub (the class with most shared tokens) it shares most with; then, for tokens and pairs whose classes
-are still in different components, the classes of different components. A link that joins what is joined
+Verification. Classes that share as many rare tokens as a link needs at least, or an indexed pair, are compared by
+their whole sets: each with the class it shares most with; then those that are still in different components. A link that joins what is joined
 already changes nothing, so no other pair needs a comparison.
 
 Which tokens are frequent is told by a bitmap of FREQUENT_BITS bits that does not grow with the data: a rare token
@@ -30,6 +29,7 @@ smallest doc_id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordCache, batch, cut, small_batches
+from .common import batch, cut, small_batches, word_codes
 
 SHINGLE = 5
-MOST_RARE = 48
+MOST_RARE = 24
 FREQUENT_BITS = 27
 ROUNDS = 5
 #: Postings that a task holds before it deals them out, and bytes of a bucket at most, about.
@@ -50,7 +50,6 @@ BUCKET_BYTES = 12 << 20
 BROADCAST_IDS = 1_000_000
 
 _K, _MIX = np.uint64(0x9FB21C651E98DF25), np.uint64(0xFF51AFD7ED558CCD)
-_WORDS = WordCache(lambda word: xxhash.xxh64_intdigest(word))
 _S32, _ONE = np.uint64(32), np.uint64(1)
 
 
@@ -60,18 +59,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S32)
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes; bit 0 is clear."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    codes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
-    size = min(size, n)
-    out = np.full(n - size + 1, size, np.uint64)
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct shingle hashes; bit 0 is clear."""
+    codes, at = word_codes(texts)
+    whole = np.full(max(0, len(codes) - size + 1), size, np.uint64)
     for k in range(size):
-        out = out * _K + codes[k : n - size + 1 + k]
-    return np.unique(_mix(out) & ~_ONE)
+        whole = whole * _K + codes[k : k + len(whole)]
+    whole = _mix(whole) & ~_ONE
+    out = []
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if end - begin >= size:
+            out.append(np.unique(whole[begin : end - size + 1]))
+            continue
+        short = np.full(min(1, end - begin), end - begin, np.uint64)
+        for k in range(begin, end):
+            short = short * _K + codes[k]
+        out.append(_mix(short) & ~_ONE)
+    return out
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -130,7 +134,7 @@ def sets(docs: DataFrame) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t) for t in b.column("text").to_pylist()]
+            found = shingle_sets(b.column("text"))
             yield batch(schema, b.column("doc_id"), b.column("key"), [len(t) for t in found], [class_of(t) if len(t) else None for t in found])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(made, "doc_id long, key long, n_shingles long, class long")
@@ -172,8 +176,7 @@ def _deal(docs: DataFrame, buckets: int, before, now) -> DataFrame:
             return batch(schema, [k for k, *_ in out], [t.tobytes() for _, t, _ in out], [c.tobytes() for *_, c in out])
 
         for b in batches:
-            for text in b.column("text").to_pylist():
-                tokens = shingle_set(text)
+            for tokens in shingle_sets(b.column("text")):
                 if not len(tokens):
                     continue
                 if new is not None and not is_frequent(signatures(tokens, old)[0], new).any():
@@ -223,32 +226,27 @@ def _bitmap(spark: SparkSession, hot: DataFrame, base: np.ndarray | None) -> np.
     return out.view(np.uint8)
 
 
-def memberships(docs: DataFrame, n_tokens: int) -> DataFrame:
-    """(token, class) of all rare tokens and token pairs that two classes or more have in their prefixes."""
+def memberships(docs: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Rare tokens (round, token, class) and token pairs (token, class) that two classes or more have in their prefixes."""
     spark = docs.sparkSession
     buckets = max(32, -(-n_tokens // 4 * 16 // BUCKET_BYTES))
-    parts, old, new = [], None, None
+    rare, pairs, old, new = [], [], None, None
     for k in range(ROUNDS):
-        last = k == ROUNDS - 1
         before, now = (spark.sparkContext.broadcast(x) if x is not None else None for x in (old, new))
         dealt = _deal(docs, buckets, before, now)
         if new is not None:
             dealt = cut(dealt, "ngram-dealt")  # pairs and buckets are both read from it; few documents are left
-            parts.append(_unpacked(dealt.where("bucket < 0")))
+            pairs.append(_unpacked(dealt.where("bucket < 0")))
         found = cut(_gather(dealt), "ngram-tokens")
-        parts.append(found.where("class IS NOT NULL"))
+        rare.append(found.where("class IS NOT NULL").select(F.lit(k).alias("round"), "token", "class"))
         hot = found.where("class IS NULL").select("token")
         if not hot.limit(1).count():
             break
-        if last:  # prefixes still held new frequent tokens: all classes that have these are members
-            parts.append(_unpacked(_holders(docs, now, spark.sparkContext.broadcast(_bitmap(spark, hot, None)))))
+        if k == ROUNDS - 1:  # prefixes still held new frequent tokens: all classes that have these are members
+            pairs.append(_unpacked(_holders(docs, now, spark.sparkContext.broadcast(_bitmap(spark, hot, None)))))
         old, new = new, _bitmap(spark, hot, new)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    shared = out.distinct()
-    counts = shared.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return cut(shared.join(counts, "token", "left_semi"), "ngram-members")
+    none = rare[0].select("token", "class").where("false")
+    return reduce(DataFrame.unionByName, rare), cut(reduce(DataFrame.unionByName, pairs, none).distinct(), "ngram-token-pairs")
 
 
 def _unpacked(blobs: DataFrame) -> DataFrame:
@@ -268,8 +266,7 @@ def _holders(docs: DataFrame, bitmap, wanted) -> DataFrame:
 
     def held(batches):
         for b in batches:
-            for text in b.column("text").to_pylist():
-                tokens = shingle_set(text)
+            for tokens in shingle_sets(b.column("text")):
                 if len(tokens):
                     single = signatures(tokens, bitmap.value)[0]
                     single = single[is_frequent(single, wanted.value)]
@@ -325,7 +322,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
 
     def made(batches):
         for x in batches:
-            found = [t for t in map(shingle_set, x.column("text").to_pylist()) if len(t)]
+            found = [t for t in shingle_sets(x.column("text")) if len(t)]
             starts = np.concatenate(([0], np.cumsum([len(t) for t in found]))).astype(np.int32)
             flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
             yield batch(schema, [class_of(t) for t in found], pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
@@ -338,36 +335,72 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     return both.where(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
+def _candidates(rare: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, n) of the classes that share so many of a round's rare tokens as a link needs.
+
+    In a round's order, a link's classes have at most n - o tokens apart (o: the least overlap for
+    their sizes), so of the prefix of one of them all but so many are shared, and all shared ones are rare tokens of
+    that round. Classes whose prefix took in token pairs have fewer rare tokens; for them one shared token is enough.
+    """
+    mixed = pairs.select("class").distinct().withColumn("mixed", F.lit(True))
+    sized = classes.select("class", "n").join(mixed, "class", "left").withColumn("mixed", F.col("mixed").isNotNull())
+    known = rare.join(sized, "class")
+    a = known.select("round", "token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("mixed").alias("ma"))
+    b = known.select("round", "token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("mixed").alias("mb"))
+    met = a.join(b, ["round", "token"]).where("a < b AND 100 * least(na, nb) >= 75 * greatest(na, nb)")
+    shared = met.groupBy("round", "a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.expr("ma OR mb")).alias("mixed"))
+    overlap = F.ceil(75 * (F.col("na") + F.col("nb")) / 175)
+    least = F.least(*(F.col(n) - F.floor((3 * F.col(n) + 3) / 4) + 1 - (F.col(n) - overlap) for n in ("na", "nb")))
+    return shared.where(F.col("mixed") | (F.col("n") >= least)).groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _with(found: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if found is None else found.union(more)
+
+
 def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(class, root) of all linked classes. found: sets(docs), cut."""
     classes = cut(found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc")), "ngram-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    members = memberships(docs, total)
-    degree = members.groupBy("class").agg(F.count("*").alias("degree"))
-    ranked = cut(members.join(degree, "class"), "ngram-ranked")
+    rare, pairs = memberships(docs, total)
+    close = cut(_candidates(rare, pairs, classes), "ngram-candidates")
+    degree = pairs.groupBy("class").agg(F.count("*").alias("degree"))
+    ranked = cut(pairs.join(degree, "class"), "ngram-ranked")
     links, tried, roots = None, None, None
-    for _ in range(2):
+
+    def compare(wanted: DataFrame) -> None:
+        nonlocal links, tried, roots
+        wanted = wanted.select("a", "b").distinct()
+        wanted = cut(wanted if tried is None else wanted.join(tried, ["a", "b"], "left_anti"), "ngram-wanted")
+        tried, links = _with(tried, wanted), _with(links, cut(_verified(docs, wanted, classes), "ngram-links"))
+        roots = cut(components(links), "ngram-roots")
+
+    def apart(wanted: DataFrame) -> DataFrame:
+        """Of (a, b): those not joined yet."""
+        a, b = (roots.select(F.col("class").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        return wanted.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
+
+    for k in range(2):
         now = _open(_with_roots(ranked, roots))
         hubs = now.groupBy("token").agg(F.max_by(F.struct("class", "root"), F.struct("degree", "class")).alias("hub"))
         met = now.join(hubs, "token").where(F.col("root") != F.col("hub.root")).groupBy("class", F.col("hub.class").alias("hub")).agg(F.count("*").alias("n"))
         best = met.groupBy("class").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-        pairs = best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "ngram-hubs")
-        tried = pairs if tried is None else tried.union(pairs)
-        made = cut(_verified(docs, pairs, classes), "ngram-links")
-        links = made if links is None else links.union(made)
-        roots = cut(components(links), "ngram-roots")
+        wanted = best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+        if not k:
+            either = close.select(F.col("a").alias("class"), F.col("b").alias("hub"), "n").union(close.select("b", "a", "n"))
+            nearest = either.groupBy("class").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
+            wanted = wanted.union(nearest.select(F.least("class", "hub"), F.greatest("class", "hub")))
+        compare(wanted)
     rest = _open(_with_roots(ranked, roots)).select("token", "class", "root")
     other = rest.select("token", F.col("class").alias("b"), F.col("root").alias("rb"))
     crossing = rest.select("token", F.col("class").alias("a"), F.col("root").alias("ra")).join(other, "token").where("a < b AND ra <> rb")
-    pairs = cut(crossing.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-rest")
-    links = links.union(cut(_verified(docs, pairs, classes), "ngram-links"))
-    return cut(components(links), "ngram-roots")
+    compare(crossing.select("a", "b").union(apart(close)))
+    return roots
 
 
 def with_components(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, class and component_id of every row."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(sets(docs), "ngram-docs")
     roots = links_and_components(docs, found)
