@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, batch, cut, filesystem, put_file, scratch, small_batches
+from .common import batch, cut, filesystem, put_file, scratch, small_batches, word_codes
 
 MIN_WORDS = 50
 K = 8
@@ -47,15 +46,9 @@ BROADCAST_SPANS = 1_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_WORDS = WordCache(lambda word: xxhash.xxh64_intdigest(word))
 SPANS = "array<struct<begin: int, end: int, source: bigint>>"
 
 
-def codes_of(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-
-
 def seeds_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Winnowed k-mers: hashes and word positions, in order."""
     n = len(codes) - K + 1
@@ -237,8 +230,9 @@ def _write_packs(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             return batch(schema, *map(list, zip(*rows, strict=True)))
 
         for b in batches:
-            for doc_id, key, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                c = codes_of(text)
+            every, starts = word_codes(b.column("text"))
+            for doc_id, key, begin, end in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                c = every[begin:end]
                 ids.append(LAST_ID if doc_id is None else doc_id)
                 keys.append(key)
                 codes.append(c)
@@ -351,7 +345,7 @@ def _passages(told: DataFrame, folder: str) -> DataFrame:
 def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_words and spans (begin, end, source) of every row: its repeated passages, in words."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 4)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(32, int(chars / 5.5 * 2 / (WINNOW + 1) * 24) // BUCKET_BYTES)
     folder = scratch(spark, "seed-packs")
