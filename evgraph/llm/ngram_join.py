@@ -7,8 +7,8 @@ link when their Jaccard similarity is at least 0.75; linked classes form compone
 Candidates. In any order of tokens, linked sets share a token in the first n - ceil(0.75 n) + 1 of either.
 1. Tokens are ordered by hash. Prefixes are dealt to buckets, and each token found in 2 to MOST_RARE classes
    (a rare token) is kept with its classes. A token in more is frequent.
-2. Frequent tokens go last in the order, classes whose prefix held one get a new prefix, and step 1 is
-   repeated for them, until no token turns frequent or every token of a prefix is.
+2. Of the classes whose prefix held a frequent token all tokens are counted. Frequent ones go last in the
+   order, and these classes are indexed again by their new prefixes.
 3. Classes with too few rare tokens fill their prefix with frequent ones: the prefix is extended until tokens
    that share a group (by hash; as many groups as an eighth of the size) make up for one token a group, and all
    pairs of tokens within a group are indexed. Groups depend on the size's power of two; a class
@@ -29,12 +29,11 @@ smallest doc_id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batch, cut, small_batches, word_codes
@@ -42,10 +41,9 @@ from .common import batch, cut, small_batches, word_codes
 SHINGLE = 5
 MOST_RARE = 24
 FREQUENT_BITS = 27
-ROUNDS = 5
 #: Postings that a task holds before it deals them out, and bytes of a bucket at most, about.
 FLUSH = 1_500_000
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 #: Ids up to which a list of documents is broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -140,17 +138,17 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(made, "doc_id long, key long, n_shingles long, class long")
 
 
-def _deal(docs: DataFrame, buckets: int, before, now) -> DataFrame:
-    """Postings (token, class) in blobs by bucket, and pairs as rows of their own (bucket -1).
+def _deal(docs: DataFrame, buckets: int, frequent=None, counting: bool = False) -> DataFrame:
+    """Postings (token, class) in blobs by bucket, and token pairs in blobs of bucket -1.
 
-    before, now: broadcast bitmaps of the frequent tokens of the last round and this one; only classes whose
-    last prefix holds a token that is frequent now take part (all of them in the first round).
+    Without frequent: the prefixes of all classes. With it (a broadcast pair of bitmaps: the tokens that turned out frequent
+    in prefixes, and all frequent ones): only classes whose first prefix held a frequent token; all their tokens
+    when counting, else their indexed tokens and token pairs.
     """
     schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())])
     shift = np.uint64(64 - 20)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = before.value if before else None, now.value if now else None
         held: list[tuple[np.ndarray, int]] = []
         size = 0
 
@@ -160,15 +158,17 @@ def _deal(docs: DataFrame, buckets: int, before, now) -> DataFrame:
             pair = (tokens & _ONE) == 1
             out = [(-1, tokens[pair], classes[pair])] if pair.any() else []
             tokens, classes = tokens[~pair], classes[~pair]
-            order = np.lexsort((classes, tokens))
+            order = np.argsort(tokens)
             tokens, classes = tokens[order], classes[order]
-            keep = np.ones(len(tokens), bool)
-            keep[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-            tokens, classes = tokens[keep], classes[keep]
-            # More than MOST_RARE classes here prove a token frequent: one more than that many are sent.
-            begins = np.flatnonzero(np.concatenate((tokens[:1] == tokens[:1], tokens[1:] != tokens[:-1])))
-            place = np.arange(len(tokens)) - np.repeat(begins, np.diff(np.append(begins, len(tokens))))
-            tokens, classes = tokens[place <= MOST_RARE], classes[place <= MOST_RARE]
+            begins, count = _runs(tokens)
+            if len(count) and count.max() > MOST_RARE:
+                # More than MOST_RARE classes here prove a token frequent: one more than that many are sent.
+                many = np.repeat(count > MOST_RARE, count)
+                t, c = _distinct(tokens[many], classes[many])
+                place = np.arange(len(t)) - np.repeat(*_runs(t))
+                tokens, classes = np.concatenate((tokens[~many], t[place <= MOST_RARE])), np.concatenate((classes[~many], c[place <= MOST_RARE]))
+                order = np.argsort(tokens)
+                tokens, classes = tokens[order], classes[order]
             bucket = (tokens >> shift).astype(np.int64) * buckets >> 20
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
             out += [(k, tokens[cuts[k] : cuts[k + 1]], classes[cuts[k] : cuts[k + 1]]) for k in range(buckets) if cuts[k + 1] > cuts[k]]
@@ -179,11 +179,15 @@ def _deal(docs: DataFrame, buckets: int, before, now) -> DataFrame:
             for tokens in shingle_sets(b.column("text")):
                 if not len(tokens):
                     continue
-                if new is not None and not is_frequent(signatures(tokens, old)[0], new).any():
+                first = signatures(tokens, None)[0]
+                if frequent is None:
+                    sent = first
+                elif not is_frequent(first, frequent.value[0]).any():
                     continue
-                single, pairs = signatures(tokens, new)
-                held.append((np.concatenate((single, pairs)), class_of(tokens)))
-                size += len(single) + len(pairs)
+                else:
+                    sent = tokens if counting else np.concatenate(signatures(tokens, frequent.value[1]))
+                held.append((sent, class_of(tokens)))
+                size += len(sent)
                 if size >= FLUSH:
                     yield flush()
                     size = 0
@@ -193,6 +197,20 @@ def _deal(docs: DataFrame, buckets: int, before, now) -> DataFrame:
     return docs.select("text").mapInArrow(dealt, "bucket int, tokens binary, classes binary")
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the runs of equal values."""
+    begins = np.flatnonzero(np.concatenate((x[:1] == x[:1], x[1:] != x[:-1])))
+    return begins, np.diff(np.append(begins, len(x)))[: len(begins)]
+
+
+def _distinct(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((classes, tokens))
+    tokens, classes = tokens[order], classes[order]
+    keep = np.ones(len(tokens), bool)
+    keep[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
+    return tokens[keep], classes[keep]
+
+
 def _gather(dealt: DataFrame) -> DataFrame:
     """Of each bucket: (token, class) of the tokens in 2 to MOST_RARE classes, and (token, null) of those in more."""
     schema = pa.schema([("token", pa.int64()), ("class", pa.int64())])
@@ -200,13 +218,12 @@ def _gather(dealt: DataFrame) -> DataFrame:
     def gathered(group: pa.Table) -> pa.Table:
         tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64)
         classes = np.frombuffer(b"".join(group["classes"].to_pylist()), np.int64)
-        order = np.lexsort((classes, tokens))
+        order = np.argsort(tokens)
         tokens, classes = tokens[order], classes[order]
-        keep = np.ones(len(tokens), bool)
-        keep[1:] = (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])
-        tokens, classes = tokens[keep], classes[keep]
-        begins = np.flatnonzero(np.concatenate((tokens[:1] == tokens[:1], tokens[1:] != tokens[:-1])))
-        count = np.diff(np.append(begins, len(tokens)))
+        count = _runs(tokens)[1]
+        several = np.repeat(count > 1, count)
+        tokens, classes = _distinct(tokens[several], classes[several])
+        begins, count = _runs(tokens)
         rare = np.repeat((count > 1) & (count <= MOST_RARE), count)
         hot = tokens[begins[count > MOST_RARE]]
         token = np.concatenate((tokens[rare], hot)).view(np.int64)
@@ -230,23 +247,20 @@ def memberships(docs: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Rare tokens (round, token, class) and token pairs (token, class) that two classes or more have in their prefixes."""
     spark = docs.sparkSession
     buckets = max(32, -(-n_tokens // 4 * 16 // BUCKET_BYTES))
-    rare, pairs, old, new = [], [], None, None
-    for k in range(ROUNDS):
-        before, now = (spark.sparkContext.broadcast(x) if x is not None else None for x in (old, new))
-        dealt = _deal(docs, buckets, before, now)
-        if new is not None:
-            dealt = cut(dealt, "ngram-dealt")  # pairs and buckets are both read from it; few documents are left
-            pairs.append(_unpacked(dealt.where("bucket < 0")))
-        found = cut(_gather(dealt), "ngram-tokens")
-        rare.append(found.where("class IS NOT NULL").select(F.lit(k).alias("round"), "token", "class"))
-        hot = found.where("class IS NULL").select("token")
-        if not hot.limit(1).count():
-            break
-        if k == ROUNDS - 1:  # prefixes still held new frequent tokens: all classes that have these are members
-            pairs.append(_unpacked(_holders(docs, now, spark.sparkContext.broadcast(_bitmap(spark, hot, None)))))
-        old, new = new, _bitmap(spark, hot, new)
-    none = rare[0].select("token", "class").where("false")
-    return reduce(DataFrame.unionByName, rare), cut(reduce(DataFrame.unionByName, pairs, none).distinct(), "ngram-token-pairs")
+    found = cut(_gather(_deal(docs, buckets)), "ngram-tokens")
+    rare = found.where("class IS NOT NULL").select(F.lit(0).alias("round"), "token", "class")
+    pairs = rare.select("token", "class").where("false")
+    hot = found.where("class IS NULL").select("token")
+    if hot.limit(1).count():
+        first = _bitmap(spark, hot, None)
+        every = _gather(_deal(docs, buckets, spark.sparkContext.broadcast((first, None)), counting=True)).where("class IS NULL").select("token")
+        sent = spark.sparkContext.broadcast((first, _bitmap(spark, every, first)))
+        dealt = cut(_deal(docs, buckets, sent), "ngram-dealt")
+        last = cut(_gather(dealt), "ngram-tokens")
+        # No token is frequent among these classes any more, as all their tokens were counted.
+        rare = rare.unionByName(last.where("class IS NOT NULL").select(F.lit(1).alias("round"), "token", "class"))
+        pairs = _unpacked(dealt.where("bucket < 0"))
+    return rare, cut(pairs.distinct(), "ngram-token-pairs")
 
 
 def _unpacked(blobs: DataFrame) -> DataFrame:
@@ -260,22 +274,6 @@ def _unpacked(blobs: DataFrame) -> DataFrame:
     return blobs.select("tokens", "classes").mapInArrow(unpacked, "token long, class long")
 
 
-def _holders(docs: DataFrame, bitmap, wanted) -> DataFrame:
-    """Postings of single prefix tokens whose bit is wanted."""
-    schema = pa.schema([("tokens", pa.binary()), ("classes", pa.binary())])
-
-    def held(batches):
-        for b in batches:
-            for tokens in shingle_sets(b.column("text")):
-                if len(tokens):
-                    single = signatures(tokens, bitmap.value)[0]
-                    single = single[is_frequent(single, wanted.value)]
-                    if len(single):
-                        yield batch(schema, [single.tobytes()], [np.full(len(single), class_of(tokens), np.int64).tobytes()])
-
-    return docs.select("text").mapInArrow(held, "tokens binary, classes binary")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(class, root) of the classes with a link; root is the smallest class that links reach.
 
@@ -349,9 +347,17 @@ def _candidates(rare: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFr
     b = known.select("round", "token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("mixed").alias("mb"))
     met = a.join(b, ["round", "token"]).where("a < b AND 100 * least(na, nb) >= 75 * greatest(na, nb)")
     shared = met.groupBy("round", "a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.expr("ma OR mb")).alias("mixed"))
+    return shared.where(F.col("mixed") | (F.col("n") >= _least_shared())).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _least_shared() -> Column:
+    """How many indexed tokens and pairs classes of na and nb shingles share at least if they link.
+
+    They have at most n - o tokens apart, and a prefix holds n - ceil(0.75 n) + 1 of them. In a prefix that was
+    extended for pairs by one token a group, shared frequent tokens of a group make at least one pair less than there are.
+    """
     overlap = F.ceil(75 * (F.col("na") + F.col("nb")) / 175)
-    least = F.least(*(F.col(n) - F.floor((3 * F.col(n) + 3) / 4) + 1 - (F.col(n) - overlap) for n in ("na", "nb")))
-    return shared.where(F.col("mixed") | (F.col("n") >= least)).groupBy("a", "b").agg(F.max("n").alias("n"))
+    return F.least(*(F.col(n) - F.floor((3 * F.col(n) + 3) / 4) + 1 - (F.col(n) - overlap) for n in ("na", "nb")))
 
 
 def _with(found: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -365,7 +371,7 @@ def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     rare, pairs = memberships(docs, total)
     close = cut(_candidates(rare, pairs, classes), "ngram-candidates")
     degree = pairs.groupBy("class").agg(F.count("*").alias("degree"))
-    ranked = cut(pairs.join(degree, "class"), "ngram-ranked")
+    ranked = cut(pairs.join(degree, "class").join(classes.select("class", "n"), "class"), "ngram-ranked")
     links, tried, roots = None, None, None
 
     def compare(wanted: DataFrame) -> None:
@@ -391,9 +397,12 @@ def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
             nearest = either.groupBy("class").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
             wanted = wanted.union(nearest.select(F.least("class", "hub"), F.greatest("class", "hub")))
         compare(wanted)
-    rest = _open(_with_roots(ranked, roots)).select("token", "class", "root")
-    other = rest.select("token", F.col("class").alias("b"), F.col("root").alias("rb"))
-    crossing = rest.select("token", F.col("class").alias("a"), F.col("root").alias("ra")).join(other, "token").where("a < b AND ra <> rb")
+    rest = _open(_with_roots(ranked, roots)).select("token", "class", "root", "n")
+    a, b = (rest.select("token", F.col("class").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    met = a.join(b, (a["token"] == b["token"]) & F.expr("a < b AND ra <> rb AND 100 * least(na, nb) >= 75 * greatest(na, nb)"))
+    # A link's classes share so many rare tokens and token pairs; those that share rare ones as well are in close.
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    crossing = shared.join(close, ["a", "b"], "left").where(F.col("k") + F.coalesce("n", F.lit(0)) >= _least_shared())
     compare(crossing.select("a", "b").union(apart(close)))
     return roots
 
