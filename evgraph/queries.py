@@ -226,9 +226,9 @@ def longest_prefix_match(spark, d):
 
 
 @query("""
-WITH e AS (SELECT event_id, user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS at, event_type FROM events),
-s AS (SELECT user_id, event_id AS span_id, at AS b, at + 86400 AS f FROM e WHERE event_type = 'signup')
-SELECT event_id, arg_max(span_id, (b, span_id)) AS span_id FROM e JOIN s USING (user_id) WHERE at BETWEEN b AND f AND event_type <> 'signup' GROUP BY event_id
+WITH e AS (SELECT event_id, user_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS sec, event_type FROM events),
+s AS (SELECT user_id, event_id AS span_id, sec AS b, sec + 86400 AS f FROM e WHERE event_type = 'signup')
+SELECT event_id, arg_max(span_id, (b, span_id)) AS span_id FROM e JOIN s USING (user_id) WHERE sec BETWEEN b AND f AND event_type <> 'signup' GROUP BY event_id
 """)
 def enclosing_interval(spark, d):
     events = table(spark, d, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), "event_type")
@@ -248,11 +248,11 @@ def _order_spans(spark, d):
     return o.select("k", F.col("o_orderkey").alias("x"), F.col("b").alias("xb"), (F.col("b") + 30).alias("xe")), o.select("k", F.col("o_orderkey").alias("y"), F.col("b").alias("yb"), (F.col("b") + 60).alias("ye"), "o_totalprice")
 
 
-@query(_SPANS + "SELECT x, count(*) AS n, round(sum(o_totalprice), 1) AS price FROM a JOIN c USING (k) WHERE xb <= ye AND xe >= yb GROUP BY x")
+@query(_SPANS + "SELECT x, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM a JOIN c USING (k) WHERE xb <= ye AND xe >= yb GROUP BY x")
 def interval_overlap(spark, d):
     a, c = _order_spans(spark, d)
     met = intervals.overlapping(a, c, ["k"], "xb", "xe", "yb", "ye")
-    return met.groupBy("x").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 1).alias("price"))
+    return met.groupBy("x").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
 @query(_SPANS + "SELECT xb // 365 AS year, count(*) AS n FROM a JOIN c USING (k) WHERE xb <= ye AND xe >= yb GROUP BY year")
@@ -488,15 +488,15 @@ def neighbour_cards(spark, d):
 @query(f"""
 WITH RECURSIVE e AS (SELECT source_id AS u, target_id AS v FROM ({_EDGES}) UNION SELECT target_id, source_id FROM ({_EDGES})),
 w AS (SELECT 0 AS step, 'supplier:3' AS node UNION SELECT step + 1, v FROM w JOIN e ON u = node WHERE step < 6)
-SELECT min(step) AS distance FROM w WHERE node = 'customer:5'
+SELECT min(step) AS distance FROM w WHERE node = 'customer:1'
 """)
 def trace_distance(spark, d):
-    return graph.trace(place_edges(spark, d), "supplier:3", "customer:5").agg(F.max("step").cast("long").alias("distance"))
+    return graph.trace(place_edges(spark, d), "supplier:3", "customer:1").agg(F.max("step").cast("long").alias("distance"))
 
 
 @query()
 def trace_path(spark, d):
-    return graph.trace(place_edges(spark, d), "Supplier:3", "CUSTOMER:5")
+    return graph.trace(place_edges(spark, d), "Supplier:3", "CUSTOMER:1")
 
 
 @query(f"WITH e AS ({_EDGES}), n AS (SELECT source_id AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT target_id, 0, 1 FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM n GROUP BY node")
