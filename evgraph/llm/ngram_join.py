@@ -18,8 +18,8 @@ Verification. Classes that share as many rare tokens as a link needs at least, o
 their whole sets: each with the class it shares most with; then those that are still in different components. A link that joins what is joined
 already changes nothing, so no other pair needs a comparison.
 
-Which tokens are frequent is told by a bitmap of FREQUENT_BITS bits that does not grow with the data: a rare token
-that falls on a set bit is treated as frequent, by every document alike, which costs time but no link.
+Which tokens are frequent is told by a bitmap of 2^FREQUENT_BITS bits that does not grow with the data: a rare token
+that falls on set bits is treated as frequent, by every document alike, which costs time but no link.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and have their own doc_id
 as component_id. Rows with equal doc_id are told apart by their sets. Null doc_ids are kept; a component's id is its
@@ -122,8 +122,12 @@ def _pairs(hot: np.ndarray, rest: int, level: int) -> np.ndarray:
 
 
 def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    at = (tokens >> _ONE) & np.uint64((1 << FREQUENT_BITS) - 1)
-    return (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    """Both bits that a token's 37 leading bits name are set."""
+    lead = tokens >> np.uint64(27)
+    out = np.ones(len(tokens), bool)
+    for at in (lead >> np.uint64(37 - FREQUENT_BITS), lead & np.uint64((1 << FREQUENT_BITS) - 1)):
+        out &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def sets(docs: DataFrame) -> DataFrame:
@@ -139,24 +143,35 @@ def sets(docs: DataFrame) -> DataFrame:
 
 
 def _deal(docs: DataFrame, buckets: int, frequent=None, counting: bool = False) -> DataFrame:
-    """Postings (token, class) in blobs by bucket, and token pairs in blobs of bucket -1.
+    """Postings (token, class) in blobs by bucket (a power of two of them), and token pairs in blobs of buckets below 0.
 
     Without frequent: the prefixes of all classes. With it (a broadcast pair of bitmaps: the tokens that turned out frequent
-    in prefixes, and all frequent ones): only classes whose first prefix held a frequent token; all their tokens
-    when counting, else their indexed tokens and token pairs.
+    in prefixes, and all frequent ones): only classes whose first prefix held a frequent token; their
+    indexed tokens and token pairs, or when counting all their tokens: the 32 bits below the bucket's, and how often.
     """
     schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())])
-    shift = np.uint64(64 - 20)
+    digits = buckets.bit_length() - 1
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int]] = []
         size = 0
 
+        def split(sorted_tokens: np.ndarray) -> np.ndarray:
+            return np.searchsorted(sorted_tokens >> np.uint64(64 - digits), np.arange(buckets + 1, dtype=np.uint64))
+
         def flush() -> pa.RecordBatch:
             tokens = np.concatenate([t for t, _ in held])
+            if counting:
+                tokens.sort()
+                begins, count = _runs(tokens)
+                tokens, count = tokens[begins], np.minimum(count, 255).astype(np.uint8)
+                cuts, low = split(tokens), (tokens >> np.uint64(32 - digits)).astype(np.uint32)
+                held.clear()
+                rows = [(k, low[a:b].tobytes(), count[a:b].tobytes()) for k in range(buckets) if (b := cuts[k + 1]) > (a := cuts[k])]
+                return batch(schema, *map(list, zip(*rows, strict=True)))
             classes = np.repeat(np.array([c for _, c in held], np.int64), [len(t) for t, _ in held])
             pair = (tokens & _ONE) == 1
-            out = [(-1, tokens[pair], classes[pair])] if pair.any() else []
+            out = [(-1 - int(tokens[0] % buckets), tokens[pair], classes[pair])] if pair.any() else []
             tokens, classes = tokens[~pair], classes[~pair]
             order = np.argsort(tokens)
             tokens, classes = tokens[order], classes[order]
@@ -169,8 +184,7 @@ def _deal(docs: DataFrame, buckets: int, frequent=None, counting: bool = False)
                 tokens, classes = np.concatenate((tokens[~many], t[place <= MOST_RARE])), np.concatenate((classes[~many], c[place <= MOST_RARE]))
                 order = np.argsort(tokens)
                 tokens, classes = tokens[order], classes[order]
-            bucket = (tokens >> shift).astype(np.int64) * buckets >> 20
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+            cuts = split(tokens)
             out += [(k, tokens[cuts[k] : cuts[k + 1]], classes[cuts[k] : cuts[k + 1]]) for k in range(buckets) if cuts[k + 1] > cuts[k]]
             held.clear()
             return batch(schema, [k for k, *_ in out], [t.tobytes() for _, t, _ in out], [c.tobytes() for *_, c in out])
@@ -212,12 +226,14 @@ def _distinct(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _gather(dealt: DataFrame) -> DataFrame:
-    """Of each bucket: (token, class) of the tokens in 2 to MOST_RARE classes, and (token, null) of those in more."""
+    """Of each bucket: (token, class) of the tokens in 2 to MOST_RARE classes, (token, null) of those in more, and all pairs as they are."""
     schema = pa.schema([("token", pa.int64()), ("class", pa.int64())])
 
     def gathered(group: pa.Table) -> pa.Table:
         tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64)
         classes = np.frombuffer(b"".join(group["classes"].to_pylist()), np.int64)
+        if group["bucket"][0].as_py() < 0:  # pairs lie in any bucket; they are only unpacked
+            return pa.table([tokens.view(np.int64), classes], schema=schema)
         order = np.argsort(tokens)
         tokens, classes = tokens[order], classes[order]
         count = _runs(tokens)[1]
@@ -230,12 +246,31 @@ def _gather(dealt: DataFrame) -> DataFrame:
         of = pa.array(np.concatenate((classes[rare], np.zeros(len(hot), np.int64))), mask=np.arange(len(token)) >= rare.sum())
         return pa.table([pa.array(token), of], schema=schema)
 
-    return dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(gathered, "token long, class long")
+    return dealt.groupBy("bucket").applyInArrow(gathered, "token long, class long")
+
+
+def _count(dealt: DataFrame, buckets: int) -> DataFrame:
+    """token (its leading bits) of the tokens that more than MOST_RARE rows have."""
+    digits = buckets.bit_length() - 1
+    schema = pa.schema([("token", pa.int64())])
+
+    def counted(group: pa.Table) -> pa.Table:
+        low = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint32)
+        n = np.frombuffer(b"".join(group["classes"].to_pylist()), np.uint8)
+        order = np.argsort(low)
+        low, n = low[order], n[order].astype(np.int64)
+        begins = _runs(low)[0]
+        low = low[begins][np.add.reduceat(n, begins) > MOST_RARE].astype(np.uint64)
+        token = np.uint64(group["bucket"][0].as_py()) << np.uint64(64 - digits) | low << np.uint64(32 - digits)
+        return pa.table([token.view(np.int64)], schema=schema)
+
+    return dealt.groupBy("bucket").applyInArrow(counted, "token long")
 
 
 def _bitmap(spark: SparkSession, hot: DataFrame, base: np.ndarray | None) -> np.ndarray:
-    """Set the tokens' bits: summed on the executors into at most 2^FREQUENT_BITS / 64 words."""
-    bits = hot.select(F.shiftrightunsigned("token", 1).bitwiseAND((1 << FREQUENT_BITS) - 1).alias("bit"))
+    """Set both of the tokens' bits: joined on the executors into at most 2^FREQUENT_BITS / 64 words."""
+    lead = hot.selectExpr("shiftrightunsigned(token, 27) AS x")
+    bits = lead.selectExpr(f"explode(array(shiftright(x, {37 - FREQUENT_BITS}), x & {(1 << FREQUENT_BITS) - 1})) AS bit")
     words = bits.selectExpr("CAST(shiftright(bit, 5) AS INT) AS w", "shiftleft(1L, CAST(bit & 31 AS INT)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << (FREQUENT_BITS - 5), "<u4") if base is None else base.view("<u4").copy()
     at = words["w"].to_numpy()
@@ -246,34 +281,23 @@ def _bitmap(spark: SparkSession, hot: DataFrame, base: np.ndarray | None) -> np.
 def memberships(docs: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Rare tokens (round, token, class) and token pairs (token, class) that two classes or more have in their prefixes."""
     spark = docs.sparkSession
-    buckets = max(32, -(-n_tokens // 4 * 16 // BUCKET_BYTES))
+    buckets = 1 << max(5, (n_tokens // 4 * 16 // BUCKET_BYTES).bit_length())
     found = cut(_gather(_deal(docs, buckets)), "ngram-tokens")
     rare = found.where("class IS NOT NULL").select(F.lit(0).alias("round"), "token", "class")
     pairs = rare.select("token", "class").where("false")
     hot = found.where("class IS NULL").select("token")
     if hot.limit(1).count():
         first = _bitmap(spark, hot, None)
-        every = _gather(_deal(docs, buckets, spark.sparkContext.broadcast((first, None)), counting=True)).where("class IS NULL").select("token")
+        every = cut(_count(_deal(docs, buckets, spark.sparkContext.broadcast((first, None)), counting=True), buckets), "ngram-frequent")
         sent = spark.sparkContext.broadcast((first, _bitmap(spark, every, first)))
-        dealt = cut(_deal(docs, buckets, sent), "ngram-dealt")
-        last = cut(_gather(dealt), "ngram-tokens")
+        last = cut(_gather(_deal(docs, buckets, sent)), "ngram-tokens")
         # No token is frequent among these classes any more, as all their tokens were counted.
-        rare = rare.unionByName(last.where("class IS NOT NULL").select(F.lit(1).alias("round"), "token", "class"))
-        pairs = _unpacked(dealt.where("bucket < 0"))
+        paired = F.col("token").bitwiseAND(1) == 1
+        rare = rare.unionByName(last.where(~paired & F.col("class").isNotNull()).select(F.lit(1).alias("round"), "token", "class"))
+        pairs = last.where(paired)
     return rare, cut(pairs.distinct(), "ngram-token-pairs")
 
 
-def _unpacked(blobs: DataFrame) -> DataFrame:
-    schema = pa.schema([("token", pa.int64()), ("class", pa.int64())])
-
-    def unpacked(batches):
-        for b in batches:
-            for tokens, classes in zip(b.column("tokens").to_pylist(), b.column("classes").to_pylist(), strict=True):
-                yield batch(schema, np.frombuffer(tokens, np.int64), np.frombuffer(classes, np.int64))
-
-    return blobs.select("tokens", "classes").mapInArrow(unpacked, "token long, class long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(class, root) of the classes with a link; root is the smallest class that links reach.
 
