@@ -15,7 +15,9 @@ Candidates. In any order of tokens, linked sets share a token in the first n - c
    is indexed for its own and for those of its possible partners.
 
 Verification. Classes that share as many rare tokens as a link needs at least, or an indexed pair, are compared by
-their whole sets: each with the class it shares most with; then those that are still in different components. A link that joins what is joined
+their whole sets. Of indexed pairs each class is compared with a hub, a class that many share pairs with. Classes of one
+hub can only link if they share enough with it or a token outside it, so groups of near copies need no comparison of
+all pairs. What could still join two components is compared, the likeliest pair of each class first. A link that joins what is joined
 already changes nothing, so no other pair needs a comparison.
 
 Which tokens are frequent is told by a bitmap of 2^FREQUENT_BITS bits that does not grow with the data: a rare token
@@ -322,23 +324,8 @@ def components(links: DataFrame) -> DataFrame:
     return small.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "class")
 
 
-def _with_roots(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("class"))
-    return members.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-
-
-def _open(members: DataFrame) -> DataFrame:
-    """Of (token, class, root): the tokens whose classes are in two components or more."""
-    mixed = members.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    return members.join(mixed, "token", "left_semi")
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose similarity is at least 0.75, by their whole sets. classes: class, n, doc (a row that has it)."""
-    a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("doc").alias(f"d{x}")) for x in "ab")
-    sized = cut(pairs.join(a, "a").join(b, "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)"), "ngram-pairs")
-    ids = sized.select(F.col("da").alias("doc_id")).union(sized.select("db")).distinct()
+def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(class, tokens) of the documents with these doc_ids."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     schema = pa.schema([("class", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
@@ -350,11 +337,27 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
             yield batch(schema, [class_of(t) for t in found], pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
 
     wanted = docs.where("doc_id IS NOT NULL").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    whole = cut(wanted.select("text").mapInArrow(made, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
-    left = sized.select("a", "b", "na", "nb").join(whole.withColumnsRenamed({"class": "a", "tokens": "ta"}), "a")
-    both = left.join(whole.withColumnsRenamed({"class": "b", "tokens": "tb"}), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)).select("a", "b")
+    return cut(wanted.select("text").mapInArrow(made, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
+
+
+def _with_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with na, nb and the whole sets ta and tb. classes: class, n, doc (a row that has it)."""
+    a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("doc").alias(f"d{x}")) for x in "ab")
+    sized = cut(pairs.join(a, "a").join(b, "b"), "ngram-pairs")
+    whole = _whole_sets(docs, sized.select(F.col("da").alias("doc_id")).union(sized.select("db")).distinct())
+    left = sized.drop("da", "db").join(whole.withColumnsRenamed({"class": "a", "tokens": "ta"}), "a")
+    return left.join(whole.withColumnsRenamed({"class": "b", "tokens": "tb"}), "b")
+
+
+def _similar(shared: Column) -> Column:
+    return 100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose similarity is at least 0.75, by their whole sets."""
+    n = classes.select("class", "n")
+    sized = pairs.join(n.toDF("a", "_na"), "a").join(n.toDF("b", "_nb"), "b").where("100 * least(_na, _nb) >= 75 * greatest(_na, _nb)").select("a", "b")
+    return _with_sets(docs, sized, classes).where(_similar(F.size(F.array_intersect("ta", "tb")))).select("a", "b")
 
 
 def _candidates(rare: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -384,10 +387,6 @@ def _least_shared() -> Column:
     return F.least(*(F.col(n) - F.floor((3 * F.col(n) + 3) / 4) + 1 - (F.col(n) - overlap) for n in ("na", "nb")))
 
 
-def _with(found: DataFrame | None, more: DataFrame) -> DataFrame:
-    return more if found is None else found.union(more)
-
-
 def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(class, root) of all linked classes. found: sets(docs), cut."""
     classes = cut(found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc")), "ngram-classes")
@@ -396,41 +395,92 @@ def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     close = cut(_candidates(rare, pairs, classes), "ngram-candidates")
     degree = pairs.groupBy("class").agg(F.count("*").alias("degree"))
     ranked = cut(pairs.join(degree, "class").join(classes.select("class", "n"), "class"), "ngram-ranked")
-    links, tried, roots = None, None, None
+    around = cut(_around_hubs(docs, ranked, classes), "ngram-hubs")
+    links = around.where("similar").select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    tried = around.where("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
+    roots = cut(components(links), "ngram-roots")
 
     def compare(wanted: DataFrame) -> None:
         nonlocal links, tried, roots
-        wanted = wanted.select("a", "b").distinct()
-        wanted = cut(wanted if tried is None else wanted.join(tried, ["a", "b"], "left_anti"), "ngram-wanted")
-        tried, links = _with(tried, wanted), _with(links, cut(_verified(docs, wanted, classes), "ngram-links"))
+        wanted = cut(wanted.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-wanted")
+        tried, links = tried.union(wanted), links.union(cut(_verified(docs, wanted, classes), "ngram-links"))
         roots = cut(components(links), "ngram-roots")
 
     def apart(wanted: DataFrame) -> DataFrame:
-        """Of (a, b): those not joined yet."""
-        a, b = (roots.select(F.col("class").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        return wanted.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
-
-    for k in range(2):
-        now = _open(_with_roots(ranked, roots))
-        hubs = now.groupBy("token").agg(F.max_by(F.struct("class", "root"), F.struct("degree", "class")).alias("hub"))
-        met = now.join(hubs, "token").where(F.col("root") != F.col("hub.root")).groupBy("class", F.col("hub.class").alias("hub")).agg(F.count("*").alias("n"))
-        best = met.groupBy("class").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-        wanted = best.select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b"))
-        if not k:
-            either = close.select(F.col("a").alias("class"), F.col("b").alias("hub"), "n").union(close.select("b", "a", "n"))
-            nearest = either.groupBy("class").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub"))
-            wanted = wanted.union(nearest.select(F.least("class", "hub"), F.greatest("class", "hub")))
-        compare(wanted)
-    rest = _open(_with_roots(ranked, roots)).select("token", "class", "root", "n")
-    a, b = (rest.select("token", F.col("class").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    met = a.join(b, (a["token"] == b["token"]) & F.expr("a < b AND ra <> rb AND 100 * least(na, nb) >= 75 * greatest(na, nb)"))
-    # A link's classes share so many rare tokens and token pairs; those that share rare ones as well are in close.
-    shared = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    crossing = shared.join(close, ["a", "b"], "left").where(F.col("k") + F.coalesce("n", F.lit(0)) >= _least_shared())
-    compare(crossing.select("a", "b").union(apart(close)))
+        """Of (a, b, ...): those not joined yet."""
+        a, b = (roots.select(F.col("class").alias(x), F.col("root").alias(f"_r{x}")) for x in "ab")
+        return wanted.join(a, "a", "left").join(b, "b", "left").where("coalesce(_ra, a) <> coalesce(_rb, b)").drop("_ra", "_rb")
+
+    def nearest(of: DataFrame) -> DataFrame:
+        """Of (a, b, n): each class's pair of greatest n."""
+        either = of.select(F.col("a").alias("class"), F.col("b").alias("other"), "n").union(of.select("b", "a", "n"))
+        best = either.groupBy("class").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
+        return best.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
+
+    compare(nearest(apart(close)))
+    rest = cut(apart(close).unionByName(_beside_hubs(around, roots)).unionByName(_across_hubs(ranked, around, roots, close)).groupBy("a", "b").agg(F.max("n").alias("n")), "ngram-rest")
+    compare(nearest(rest))  # most join here, and need no other comparison
+    compare(apart(rest))
     return roots
 
 
+def _around_hubs(docs: DataFrame, ranked: DataFrame, classes: DataFrame) -> DataFrame:
+    """class, hub, n, x (tokens shared with the hub), outside (tokens that the hub hasn't), similar; a hub is its own.
+
+    A class's hub is that one, of the classes with most token pairs for each of its pairs, which it shares most pairs with.
+    """
+    hubs = ranked.groupBy("token").agg(F.max_by("class", F.struct("degree", "class")).alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
+    met = ranked.join(hubs, "token").groupBy("class", "hub").agg(F.count("*").alias("k"))
+    best = met.groupBy("class").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
+    chosen = best.select("hub").distinct()
+    # A class that is a hub for another is one for itself.
+    others = best.join(chosen.withColumnRenamed("hub", "class"), "class", "left_anti").toDF("a", "b")
+    both = _with_sets(docs, others, classes)
+    shared = F.size(F.array_intersect("ta", "tb"))
+    near = both.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.col("na").alias("n"), shared.alias("x"), F.array_except("ta", "tb").alias("outside"), _similar(shared).alias("similar"))
+    own = chosen.withColumnRenamed("hub", "class").join(classes, "class").select("class", F.col("class").alias("hub"), "n", F.col("n").cast("int").alias("x"), F.array().cast("array<long>").alias("outside"), F.lit(False).alias("similar"))
+    return near.unionByName(own)
+
+
+_OVERLAP = "ceil(75 * (na + nb) / 175)"
+
+
+def _sides(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    a, b = (rows.select(*keys, F.col("class").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("x").alias(f"x{s}")) for s in "ab")
+    return a, b
+
+
+def _beside_hubs(around: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b, n) of the classes of one hub, in different components, that may link.
+
+    They share at most the lesser of what each shares with the hub, and what they share outside it. So either the
+    first is enough for a link, or they share a token outside the hub: the join is on those, which few classes have.
+    """
+    rows = around.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = rows.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
+    rows = rows.join(mixed, "hub", "left_semi")
+    size = "a < b AND ra <> rb AND 100 * least(na, nb) >= 75 * greatest(na, nb)"
+    # Only classes that share three quarters of themselves with the hub can be enough by that alone.
+    a, b = _sides(rows.where("4 * x >= 3 * n"), ["hub"])
+    inside = a.join(b, (a["hub"] == b["hub"]) & F.expr(f"{size} AND least(xa, xb) >= {_OVERLAP}")).select("a", "b", F.least("xa", "xb").cast("long").alias("n"))
+    a, b = _sides(rows.withColumn("token", F.explode("outside")), ["hub", "token"])
+    met = a.join(b, (a["hub"] == b["hub"]) & (a["token"] == b["token"]) & F.expr(f"{size} AND least(xa, xb) + least(na - xa, nb - xb) >= {_OVERLAP}"))
+    counted = met.groupBy("a", "b", "na", "nb", "xa", "xb").agg(F.count("*").alias("k")).where(f"least(xa, xb) + k >= {_OVERLAP}")
+    return inside.unionByName(counted.select("a", "b", (F.least("xa", "xb") + F.col("k")).cast("long").alias("n")))
+
+
+def _across_hubs(ranked: DataFrame, around: DataFrame, roots: DataFrame, close: DataFrame) -> DataFrame:
+    """(a, b, n) of the classes with different hubs, in different components, that share so many tokens and token pairs as a link needs."""
+    placed = ranked.select("token", "class", "n").join(around.select("class", "hub"), "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")).withColumn("hub", F.coalesce("hub", "class"))
+    mixed = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("hub").alias("h1"), F.max("hub").alias("h2")).where("lo <> hi AND h1 <> h2").select("token")
+    rows = placed.join(mixed, "token", "left_semi").withColumnRenamed("hub", "x")
+    a, b = _sides(rows, ["token"])
+    met = a.join(b, (a["token"] == b["token"]) & F.expr("a < b AND ra <> rb AND xa <> xb AND 100 * least(na, nb) >= 75 * greatest(na, nb)"))
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    more = shared.join(close, ["a", "b"], "left").withColumn("n", F.col("k") + F.coalesce("n", F.lit(0)))
+    return more.where(F.col("n") >= _least_shared()).select("a", "b", F.col("n").cast("long").alias("n"))
+
+
 def with_components(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, class and component_id of every row."""
     small_batches(docs.sparkSession, 4)
