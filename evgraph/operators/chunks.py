@@ -101,7 +101,8 @@ def generate(files: DataFrame, symbols: DataFrame, evidences: DataFrame) -> Data
     )
     whole = others.select(*keys, F.lit(None).cast("string").alias("symbol"), F.lit(1).alias("start_line"), F.size(t.lines(F.col("content"))).alias("end_line"), "content", F.lit(1.0).alias("base"))
     spans = sections.unionByName(by_symbol).unionByName(whole)
-    cut = packed(spans, [*keys, "symbol", "base", F.col("start_line").alias("span_start"), F.col("end_line").alias("span_end")], "content", F.col("start_line"))
+    spans = spans.withColumnsRenamed({"start_line": "span_start", "end_line": "span_end"})
+    cut = packed(spans, [*keys, "symbol", "base", "span_start", "span_end"], "content", F.col("span_start"))
     cut = cut.where(F.trim("content") != "").withColumn("content", t.mask_secrets(F.col("content")))
     over = evidences.select("analysis_id", F.lower("file_path").alias("_path"), F.col("id").alias("evidence_id"), F.col("start_line").alias("e_start"), F.col("end_line").alias("e_end"), F.col("confidence").alias("e_confidence"))
     chunk = cut.withColumn("_path", F.lower("path")).withColumn("chunk", F.struct("path", "span_start", "span_end", "symbol", "piece", "start_line"))

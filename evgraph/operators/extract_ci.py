@@ -36,7 +36,7 @@ def workflow_files(files: DataFrame) -> DataFrame:
 
 
 def triggers(text: Column) -> Column:
-    found = F.filter(F.array(*map(F.lit, TRIGGERS)), lambda name: F.exists(lines(text), lambda x: x.rlike(F.concat(F.lit(r"^(\s{2,4}|on:\s*\[?.*\b)"), name, F.lit(r"\b")))))
+    found = F.filter(F.array(*map(F.lit, TRIGGERS)), lambda name: F.exists(lines(text), lambda x: F.rlike(x, F.concat(F.lit(r"^(\s{2,4}|on:\s*\[?.*\b)"), name, F.lit(r"\b")))))
     return F.when(F.size(found) > 0, F.array_join(found, " / ")).otherwise(F.lit("push / pull_request"))
 
 

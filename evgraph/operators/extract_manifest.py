@@ -26,9 +26,12 @@ def npm(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = chosen.withColumn("_whole", F.try_parse_json("content"))
     good = parsed.where(F.col("_whole").isNotNull())
     kept = []
+    def entry(n: int, section: str):
+        return lambda e: F.struct(F.lit(n).alias("rank"), F.lit(section).alias("section"), e["key"].alias("name"), e["value"].alias("version"))
+
     for n, section in enumerate(SECTIONS):
         entries = F.map_entries(F.from_json(F.get_json_object("content", f"$.{section}"), "map<string,string>"))
-        kept.append(F.transform(F.coalesce(entries, F.array().cast("array<struct<key: string, value: string>>")), lambda e, s=section, n=n: F.struct(F.lit(n).alias("rank"), F.lit(s).alias("section"), e["key"].alias("name"), e["value"].alias("version"))))
+        kept.append(F.transform(F.coalesce(entries, F.array().cast("array<struct<key: string, value: string>>")), entry(n, section)))
     low = lines(F.lower("content"))
     spread = good.select("analysis_id", "path", low.alias("_lines"), F.posexplode(F.concat(*kept)).alias("seq", "e"))
     quoted = F.concat(F.lit('"'), F.lower("e.name"), F.lit('"'))
