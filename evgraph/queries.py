@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rules
 from .functions import ids, paths, scores, vectors
 from .functions import text as t
-from .operators import chunks, graph, grounding, histograms, intervals, listing, ordered, retrieval
+from .operators import chunks, classify, diagrams, extract_ci, extract_cs, extract_manifest, extract_ts, graph, grounding, histograms, intervals, listing, ordered, resolve, retrieval, scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -519,5 +520,115 @@ def event_window(spark, d):
     return grouped.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
-def ranked(df: DataFrame, *order) -> DataFrame:
-    return df.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+# Scans, facts and the graph, over source files written from the tables
+
+
+@query("""
+WITH f AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'src/a' || doc_id || '.cs' WHEN 1 THEN 'web/b' || doc_id || '.tsx' WHEN 2 THEN 'docs/c' || doc_id || '.md' WHEN 3 THEN 'node_modules/d' || doc_id || '.js'
+WHEN 4 THEN 'bin/e.cs' WHEN 5 THEN 'src/f' || doc_id || '.g.cs' WHEN 6 THEN 'x/.env.local' ELSE 'y/appsettings.Dev.json' END AS path, strlen(text) AS size, text FROM documents)
+SELECT doc_id, path, CASE doc_id % 8 WHEN 0 THEN 'CSharp' WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'Documentation' ELSE 'Configuration' END AS category,
+CASE doc_id % 8 WHEN 0 THEN 'C#' WHEN 1 THEN 'TypeScript' WHEN 2 THEN 'Markdown' ELSE 'JSON' END AS language, sha256(text) AS hash
+FROM f WHERE doc_id % 8 IN (0, 1, 2, 7) AND size <= 60000
+""")
+def scan_files(spark, d):
+    return scan.sources(_as_files(spark, d), most_files=10**9, most_file=60_000, most_all=10**15)[0].select("doc_id", "path", "category", "language", "hash")
+
+
+def _as_files(spark, d):
+    n = F.col("doc_id").cast("string")
+    k = F.col("doc_id") % 8
+    names = [("src/a", ".cs"), ("web/b", ".tsx"), ("docs/c", ".md"), ("node_modules/d", ".js"), None, ("src/f", ".g.cs")]
+    path = F.when(k == 4, "bin/e.cs").when(k == 6, "x/.env.local").when(k == 7, "y/appsettings.Dev.json")
+    for i, x in enumerate(names):
+        path = path if x is None else F.when(k == i, F.concat(F.lit(x[0]), n, F.lit(x[1]))).otherwise(path)
+    return table(spark, d, "documents").select("doc_id", path.alias("path"), F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"))
+
+
+@query("""
+WITH p AS (SELECT page_id, lower(url) AS u FROM pages), t AS (SELECT page_id, CASE WHEN contains(u, 'controller') OR contains(u, 'handler') OR contains(u, 'route') OR contains(u, 'api') OR contains(u, 'view') THEN 0
+WHEN contains(u, 'service') OR contains(u, 'usecase') OR contains(u, 'manager') OR contains(u, 'core') OR contains(u, 'domain') OR contains(u, 'logic') THEN 1
+WHEN contains(u, 'repo') OR contains(u, 'storage') OR contains(u, 'db') OR contains(u, 'model') OR contains(u, 'entity') THEN 2 END AS tier FROM p) SELECT coalesce(tier, -1) AS tier, count(*) AS n FROM t GROUP BY ALL
+""")
+def tier_by_keyword(spark, d):
+    return table(spark, d, "pages").groupBy(F.coalesce(rules.tier(F.col("url"), "universal"), F.lit(-1)).alias("tier")).agg(F.count("*").alias("n"))
+
+
+def _sources(spark, d):
+    """Source files: a C# class for each supplier, an interface for each nation, a TypeScript module for each customer, a manifest for each part."""
+    job = F.lit("job").alias("analysis_id")
+    line = lambda *parts: F.concat_ws("", *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    s, n, c = F.col("s_suppkey"), F.col("s_nationkey"), F.col("c_custkey")
+    classes = table(spark, d, "supplier").select(
+        job, line("src/S", s, ".cs").alias("path"),
+        line("namespace App;\npublic class S", s, " : INation", n, "\n{\n    private readonly INation", F.pmod(n + 1, F.lit(25)), " _other;\n    [HttpGet(\"x\")] public void Run() { _other.Go(); }\n}\n").alias("content"),
+    )
+    interfaces = table(spark, d, "nation").select(job, line("src/INation", F.col("n_nationkey"), ".cs").alias("path"), line("namespace App;\npublic interface INation", F.col("n_nationkey"), " { void Go(); }\n").alias("content"))
+    modules = table(spark, d, "customer").select(
+        job, line("web/c", c, ".ts").alias("path"), line("import a from 'm", F.col("c_nationkey"), "'\n/* export class Gone {}\n*/\nexport class C", c, " {}\nrouter.get('/c/", c, "', f)\n").alias("content")
+    )
+    packages = table(spark, d, "part").where("p_partkey < 500").select(job, line("p", F.col("p_partkey"), "/package.json").alias("path"), line('{"dependencies": {"', F.col("p_name"), '": "', F.col("p_size"), '"}}').alias("content"))
+    return classes, interfaces, modules, packages
+
+
+@query("""
+SELECT 'web/c' || c_custkey || '.ts' AS path, 1 AS line, 'import' AS fact, 'm' || c_nationkey AS name FROM customer UNION ALL SELECT 'web/c' || c_custkey || '.ts', 4, 'symbol', 'C' || c_custkey FROM customer
+UNION ALL SELECT 'web/c' || c_custkey || '.ts', 5, 'route', '/c/' || c_custkey FROM customer
+""")
+def typescript_facts(spark, d):
+    return extract_ts.facts(_sources(spark, d)[2]).select("path", "line", "fact", "name")
+
+
+@query("SELECT 'p' || p_partkey || '/package.json' AS path, p_name AS name, CAST(p_size AS VARCHAR) AS version, 1 AS line FROM part WHERE p_partkey < 500")
+def npm_packages(spark, d):
+    return extract_manifest.npm(_sources(spark, d)[3])[0].select("path", "name", "version", "line")
+
+
+@query("""
+SELECT 'S' || s_suppkey AS name, 'base' AS fact, 'INation' || s_nationkey AS target FROM supplier UNION ALL SELECT 'S' || s_suppkey, 'dependency', 'INation' || (s_nationkey + 1) % 25 FROM supplier
+UNION ALL SELECT 'S' || s_suppkey || '.Run', 'call', 'Go' FROM supplier
+""")
+def csharp_facts(spark, d):
+    return extract_cs.facts(_sources(spark, d)[0]).where("fact IN ('base', 'dependency', 'call')").select("name", "fact", "target")
+
+
+@query("""
+SELECT 'class:S' || s_suppkey AS source_id, 'Implements' AS type, 'interface:INation' || s_nationkey AS target_id FROM supplier UNION ALL SELECT 'class:S' || s_suppkey, 'DependsOn', 'interface:INation' || (s_nationkey + 1) % 25 FROM supplier
+UNION ALL SELECT 'file:web/c' || c_custkey || '.ts', 'DependsOn', 'module:m' || c_nationkey FROM customer UNION ALL SELECT 'file:web/c' || c_custkey || '.ts', 'Exposes', 'endpoint:get:/c/' || c_custkey FROM customer
+UNION ALL SELECT 'file:web/c' || c_custkey || '.ts', 'Contains', 'class:C' || c_custkey FROM customer
+""")
+def repository_graph(spark, d):
+    """Edges of the files' graph, but for those between members."""
+    classes, interfaces, modules, _ = _sources(spark, d)
+    _, edges = resolve.graph([resolve.csharp(extract_cs.facts(classes.union(interfaces))), resolve.typescript(extract_ts.facts(modules))])
+    outside = F.col("type").isin("Implements", "DependsOn", "Exposes") | (F.col("source_id").startswith("file:web") & (F.col("type") == "Contains"))
+    return edges.where(outside).select("source_id", "type", "target_id")
+
+
+@query("SELECT 'j' || n_nationkey AS job, CASE WHEN n_nationkey % 2 = 1 THEN 'first' ELSE '' END AS needs, 'n' || n_regionkey AS runs_on FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'first', '', 'u' FROM nation WHERE n_nationkey < 3")
+def workflow_jobs(spark, d):
+    n = F.col("n_nationkey")
+    text = F.concat(F.lit("name: W\non: [push]\njobs:\n  first:\n    runs-on: u\n  j"), n, F.when(n % 2 == 1, ":\n    needs: [first]\n    runs-on: n").otherwise(":\n    runs-on: n"), F.col("n_regionkey"), F.lit("\n"))
+    files = table(spark, d, "nation").where("n_nationkey < 3").select(F.lit("job").alias("analysis_id"), F.concat(F.lit(".github/workflows/w"), n, F.lit(".yml")).alias("path"), text.alias("content"))
+    return extract_ci.jobs(files).select("job", F.array_join("needs", ",").alias("needs"), "runs_on")
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey % 7 = 0 THEN 'ui' WHEN c_nationkey % 7 = 1 THEN 'policy' WHEN c_nationkey % 7 = 2 THEN 'data' WHEN c_nationkey % 7 = 3 THEN 'external' ELSE 'runtime' END AS lane FROM customer")
+def node_lanes(spark, d):
+    k = F.col("c_nationkey") % 7
+    name = F.when(k == 0, "OrderController").when(k == 1, "AuthGuard").when(k == 2, "OrderRepository").when(k == 3, "RedisCache").otherwise("AuthGuardService")
+    return table(spark, d, "customer").select("c_custkey", diagrams.lane(name).alias("lane"))
+
+
+@query("""
+WITH f AS (SELECT c_custkey, c_custkey % 2 = 0 AS ep, c_custkey % 3 = 0 AS co, c_custkey % 5 = 0 AS re, c_custkey % 7 = 0 AS py, c_custkey % 11 = 0 AS pr, c_custkey % 13 = 0 AS mono FROM customer)
+SELECT c_custkey, CASE WHEN NOT (ep OR co OR re OR py OR pr OR mono) THEN 'Unsupported' WHEN mono THEN 'Monorepo' WHEN ep AND NOT re OR co THEN 'ApiBackend' WHEN re THEN 'Frontend' WHEN py THEN 'ApiBackend' WHEN pr THEN 'Cli' ELSE 'Unsupported' END AS repository_type FROM f
+""")
+def classify_cascade(spark, d):
+    by = lambda m: F.col("c_custkey") % m == 0
+    no = F.lit(False)
+    languages = F.filter(F.array(F.when(by(7), "Python"), F.when(by(5), "JavaScript"), F.when(by(11) | by(13), "C#")), lambda x: x.isNotNull())
+    flagged = table(spark, d, "customer").select(
+        "c_custkey", languages.alias("languages"), F.when(by(13), 2).when(by(11), 1).otherwise(0).alias("n_csproj"), F.lit(0).alias("n_npm"), F.when(by(13), 2).otherwise(0).alias("n_projects"), F.when(by(2), 3).otherwise(0).alias("n_endpoints"),
+        by(3).alias("controllers"), by(5).alias("react"), by(7).alias("python"), by(11).alias("program"), *(no.alias(c) for c in "next vue angular routes express java go php rust context references relations library".split()),
+    )
+    return classify.decide(flagged).select("c_custkey", "repository_type")
