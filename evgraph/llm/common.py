@@ -146,3 +146,13 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = np.concatenate(([0], np.cumsum(full)))[at]
         index = index[full]
     return hashes[index], at
+
+
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with every column but the used ones under a name that can't clash."""
+    return docs.select(*(F.col(f"`{c}`") if c in used else F.col(f"`{c}`").alias(f"other column {k}") for k, c in enumerate(docs.columns)))
+
+
+def put_back(df: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """df, made from set_aside(docs, *used), with the columns of docs."""
+    return df.select(*(F.col(f"`{c}`") if c in used else F.col(f"`other column {k}`").alias(c) for k, c in enumerate(docs.columns)))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, put_back, set_aside
 
 WINDOW = 13
 SHINGLE = 3
@@ -126,9 +126,9 @@ def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without contaminated rows. The columns stay as they are."""
     found = cut(contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
     few = found.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return keyed.join(F.broadcast(found) if few else found, on, "left_anti").select(*docs.columns)
+    kept = set_aside(docs, "doc_id", "text")
+    on = kept["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(kept["text"]) == found["_hash"])
+    return put_back(kept.join(F.broadcast(found) if few else found, on, "left_anti"), docs, "doc_id", "text")
 
 
 def _hits(found: DataFrame, prefix: DataFrame, shingles: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, cut, small_batches, word_codes
+from .common import batch, cut, put_back, set_aside, small_batches, word_codes
 
 SHINGLE = 5
 MOST_RARE = 24
@@ -508,8 +508,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     least = own.where("NOT bare").groupBy("doc_id").agg(F.min_by(F.struct("key", "n"), "key").alias("x")).select("doc_id", "x.key", "x.n")
     kept = least.union(own.where("bare").select("doc_id", "key", F.lit(1).alias("n"))).toDF("_id", "_key", "_n")
     few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    on = keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
-    met = keyed.join(F.broadcast(kept) if few else kept, on)
+    plain = set_aside(docs, "doc_id", "text")
+    on = plain["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(plain["text"]) == kept["_key"])
+    met = plain.join(F.broadcast(kept) if few else kept, on)
     once, again = met.where("_n = 1"), met.where("_n > 1").dropDuplicates(["_id", "_key"])
-    return once.union(again).select(*docs.columns)
+    return put_back(once.union(again), docs, "doc_id", "text")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WordCache, batch, held_out, small_batches
+from .common import WordCache, batch, held_out, put_back, set_aside, small_batches
 
 #: Bound of the training sample, in rows.
 MAX_TRAINING = 6000
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], also: tuple[str, ...
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
-    source = docs.select("doc_id", "text", *also)
+    source = docs.select("doc_id", "text", *(F.col(f"`{c}`") for c in also))
     schema = StructType([*source.schema.fields, StructField("score", DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +152,6 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier predicts to be of quality. The columns stay as they are."""
-    renamed = docs.withColumnsRenamed({"score": "_score"}) if "score" in docs.columns else docs
-    also = tuple(c for c in renamed.columns if c not in ("doc_id", "text"))
-    kept = score(renamed, fit(docs, labels), also).where(F.col("score") >= THRESHOLD)
-    return kept.select(*(F.col("_score" if c == "score" and "_score" in renamed.columns else c).alias(c) for c in docs.columns))
+    plain = set_aside(docs, "doc_id", "text")
+    kept = score(plain, fit(docs, labels), tuple(c for c in plain.columns if c not in ("doc_id", "text"))).where(F.col("score") >= THRESHOLD)
+    return put_back(kept, docs, "doc_id", "text")

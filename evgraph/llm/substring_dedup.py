@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, filesystem, put_file, scratch, small_batches, word_codes
+from .common import batch, cut, filesystem, put_back, put_file, scratch, set_aside, small_batches, word_codes
 
 MIN_WORDS = 50
 K = 8
@@ -377,9 +377,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     repeats = cut(find_repeats(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans").dropDuplicates(["_id", "_key"]), "repeats")
     small = repeats.agg(F.sum(F.size("spans"))).first()[0] or 0
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    met = keyed.join(F.broadcast(repeats) if small <= BROADCAST_SPANS else repeats, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left").drop("_id", "_key", "_text_key")
-    names = [f.name for f in docs.schema.fields]
+    used = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    plain = set_aside(docs, *used)
+    on = plain["doc_id"].cast("long").eqNullSafe(repeats["_id"]) & (F.xxhash64(plain["text"]) == repeats["_key"])
+    met = plain.join(F.broadcast(repeats) if small <= BROADCAST_SPANS else repeats, on, "left").drop("_id", "_key")
+    names = plain.columns
     small_batches(spark)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,4 +403,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 table = table.filter(pa.array([k not in gone for k in range(len(values))]))
             yield from table.to_batches()
 
-    return met.mapInArrow(shorten, docs.schema)
+    return put_back(met.mapInArrow(shorten, plain.schema), docs, *used)
