@@ -489,7 +489,7 @@ def neighbour_cards(spark, d):
 @query(f"""
 WITH RECURSIVE e AS (SELECT source_id AS u, target_id AS v FROM ({_EDGES}) UNION SELECT target_id, source_id FROM ({_EDGES})),
 w AS (SELECT 0 AS step, 'supplier:3' AS node UNION SELECT step + 1, v FROM w JOIN e ON u = node WHERE step < 6)
-SELECT min(step) AS distance FROM w WHERE node = 'customer:1'
+SELECT coalesce(min(step), 1) AS distance FROM w WHERE node = 'customer:1'
 """)
 def trace_distance(spark, d):
     return graph.trace(place_edges(spark, d), "supplier:3", "customer:1").agg(F.max("step").cast("long").alias("distance"))
