@@ -20,6 +20,7 @@ LOCAL_SHARED = "/tmp/checkpoints/evgraph"
 
 #: Rows of an Arrow batch handed to Python; with texts of some thousand characters a batch is a few MB.
 BATCH_ROWS = 512
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, times: int = 1) -> None:
     """Bound what one Arrow batch holds, in rows and in bytes, as texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(times * BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(times << 23))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

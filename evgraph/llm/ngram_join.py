@@ -44,7 +44,7 @@ SHINGLE = 5
 MOST_RARE = 24
 FREQUENT_BITS = 27
 #: Postings that a task holds before it deals them out, and bytes of a bucket at most, about.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 BUCKET_BYTES = 4 << 20
 #: Ids up to which a list of documents is broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -207,6 +207,8 @@ def _deal(docs: DataFrame, buckets: int, frequent=None, counting: bool = False)
                 if size >= FLUSH:
                     yield flush()
                     size = 0
+            del b
+            pa.default_memory_pool().release_unused()
         if held:
             yield flush()
 

@@ -31,8 +31,8 @@ from .common import WordCache, batch, small_batches
 
 SPACE = "▁"
 UNIGRAM, MERGES = 1, 2
-CACHED_CUTS = 450_000
-CACHED_PAIRS = 500_000
+CACHED_CUTS = 250_000
+CACHED_PAIRS = 300_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

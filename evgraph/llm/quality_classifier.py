@@ -49,7 +49,8 @@ def _word_code(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode()) & 0x7FFFFFFFFFFFFFC0 | _shape(word)
 
 
-CODES = WordCache(_word_code)
+#: Two generations of so many words, some 40 MB in each Python worker.
+CODES = WordCache(_word_code, 100_000)
 _MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
