@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library, which keeps no such heap
+    _libc = None
+
 #: Used where spark.checkpoint.dir is unset: one machine, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/evgraph"
 
@@ -90,6 +97,13 @@ def put_file(fs: pafs.FileSystem, path: str, parts: Iterator[bytes]) -> int:
     return size
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, cut, put_back, set_aside, small_batches, word_codes
+from .common import batch, cut, give_back, put_back, set_aside, small_batches, word_codes
 
 SHINGLE = 5
 MOST_RARE = 24
 FREQUENT_BITS = 27
 #: Postings that a task holds before it deals them out, and bytes of a bucket at most, about.
-FLUSH = 1_000_000
+FLUSH = 500_000
 BUCKET_BYTES = 4 << 20
 #: Ids up to which a list of documents is broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
@@ -140,6 +140,7 @@ def sets(docs: DataFrame) -> DataFrame:
         for b in batches:
             found = shingle_sets(b.column("text"))
             yield batch(schema, b.column("doc_id"), b.column("key"), [len(t) for t in found], [class_of(t) if len(t) else None for t in found])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(made, "doc_id long, key long, n_shingles long, class long")
 
@@ -207,10 +208,10 @@ def _deal(docs: DataFrame, buckets: int, frequent=None, counting: bool = False)
                 if size >= FLUSH:
                     yield flush()
                     size = 0
-            del b
-            pa.default_memory_pool().release_unused()
+                    give_back()
         if held:
             yield flush()
+        give_back()
 
     return docs.select("text").mapInArrow(dealt, "bucket int, tokens binary, classes binary")
 
@@ -485,7 +486,7 @@ def _across_hubs(ranked: DataFrame, around: DataFrame, roots: DataFrame, close:
 
 def with_components(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, class and component_id of every row."""
-    small_batches(docs.sparkSession, 4)
+    small_batches(docs.sparkSession, 2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(sets(docs), "ngram-docs")
     roots = links_and_components(docs, found)

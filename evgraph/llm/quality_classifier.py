@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WordCache, batch, held_out, put_back, set_aside, small_batches
+from .common import WordCache, batch, give_back, held_out, put_back, set_aside, small_batches
 
 #: Bound of the training sample, in rows.
 MAX_TRAINING = 6000
@@ -142,6 +142,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], also: tuple[str, ...
                 at, x = slots(text)
                 got[i] = intercept + float(np.dot(weights[at], x))
             yield b.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(got, -35, 35)))))
+        give_back()
 
     return source.mapInArrow(scored, schema)
 
