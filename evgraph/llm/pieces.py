@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, batch, small_batches
+from .common import WordCache, batch, give_back, small_batches
 
 SPACE = "▁"
 UNIGRAM, MERGES = 1, 2
-CACHED_CUTS = 250_000
-CACHED_PAIRS = 300_000
+CACHED_CUTS = 160_000
+CACHED_PAIRS = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -228,6 +228,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
             same = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             yield batch(schema, b.column("doc_id"), np.diff(starts).astype(np.int64), lists, [zlib.crc32(i.tobytes()) for i in ids], same)
+            give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
 

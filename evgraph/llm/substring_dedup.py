@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, filesystem, put_back, put_file, scratch, set_aside, small_batches, word_codes
+from .common import batch, cut, filesystem, give_back, put_back, put_file, scratch, set_aside, small_batches, word_codes
 
 MIN_WORDS = 50
 K = 8
@@ -37,7 +37,7 @@ WINNOW = 16
 MAX_GAP, MAX_EDIT, MIN_PIECE = 64, 8, 12
 GAP_COST, DROP = 0.05, 8
 #: Words in a pack, about; bytes of a bucket of seeds, about.
-PACK_WORDS = 3_000_000
+PACK_WORDS = 1_500_000
 BUCKET_BYTES = 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 #: Spans up to which the passages are broadcast to be cut out of the texts.
@@ -227,6 +227,7 @@ def _write_packs(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             for x in (ids, keys, codes, seeds):
                 x.clear()
             made, held = made + 1, 0
+            give_back()
             return batch(schema, *map(list, zip(*rows, strict=True)))
 
         for b in batches:
@@ -337,6 +338,7 @@ def _passages(told: DataFrame, folder: str) -> DataFrame:
                     pieces.setdefault(r, []).append((begin, end, source))
         spans = [[{"begin": b, "end": e, "source": s} for b, e, s in unite(pieces.get(k, []))] for k in range(own.n)]
         ids = pa.array(own.ids, mask=own.ids == LAST_ID)
+        give_back()
         return pa.Table.from_batches([batch(schema, ids, own.keys, np.diff(own.starts), spans)])
 
     return told.groupBy("pack").applyInArrow(find, f"doc_id long, key long, n_words long, spans {SPANS}")
@@ -345,7 +347,7 @@ def _passages(told: DataFrame, folder: str) -> DataFrame:
 def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, key (hash of the text), n_words and spans (begin, end, source) of every row: its repeated passages, in words."""
     spark = docs.sparkSession
-    small_batches(spark, 4)
+    small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(32, int(chars / 5.5 * 2 / (WINNOW + 1) * 24) // BUCKET_BYTES)
     folder = scratch(spark, "seed-packs")
