@@ -134,6 +134,20 @@ def endpoint_groups(endpoints: DataFrame, groups: int = 8, each: int = 4) -> Dat
     return named.withColumn("_g", rank).withColumn("_n", within).where((F.col("_g") <= groups) & (F.col("_n") <= each)).select("analysis_id", "controller", "method", "route")
 
 
+def endpoints(stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Controllers and their grouped endpoints."""
+    grouped = endpoint_groups(stored).withColumn("group", F.concat(F.lit("group:"), "controller")).withColumn("id", F.concat_ws(" ", "method", "route"))
+    every = _as_nodes(grouped, F.col("group"), F.col("controller"), "controller", 0, 8).unionByName(_as_nodes(grouped, F.col("id"), F.col("id"), "endpoint", 1, 25))
+    return every, _once([_edges(grouped, "group", "id", "exposes", "confirmed")])
+
+
+def stack_of(languages: list[str], has_mvc: bool = False) -> str | None:
+    """The tier table of a repository's languages; None for C#, which has facts of its own."""
+    known = (("Java", "spring"), ("Kotlin", "spring"), ("Python", "python"), ("Go", "go"), ("PHP", "php"))
+    found = next((stack for language, stack in known if language in languages), None)
+    return found or (None if "C#" in languages or has_mvc else "universal")
+
+
 def controller_summary(endpoints: DataFrame, groups: int = 12) -> DataFrame:
     """Endpoints of each controller: how many, and the first route with its method."""
     first = F.min_by(F.struct("route", "method"), F.struct("route", "method"))
@@ -231,6 +245,8 @@ def dispatch(kind: str, made: dict[str, DataFrame], stack: str | None = None) ->
     nodes, edges = made["nodes"], made["edges"]
     if kind == "architecture":
         return tiers(made["source_files"], stack) if stack else architecture(nodes, edges, made["api_endpoints"])
+    if kind == "endpoints":
+        return endpoints(made["api_endpoints"])
     if kind == "erd":
         return erd(made["database_entities"], made["database_relationships"]) if made["database_entities"].limit(1).count() else None
     if kind in ("route_map", "component_tree", "external_api"):

@@ -82,6 +82,8 @@ def csharp(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = aliases(symbols)
     at = (F.col("path"), F.col("line"), F.col("end_line"))
     nodes = [_node(symbols, F.col("id"), F.col("name"), F.col("kind"), F.col("seq"), *at, Namespace=F.col("namespace"), Container=F.col("container"), Modifiers=F.col("detail"))]
+    sources = facts.select("analysis_id", "path").distinct()
+    nodes.append(_node(sources, F.concat(F.lit("file:"), "path"), paths.file_name(F.col("path")), "File", F.concat(F.lit("19|"), F.upper("path")), F.col("path")))
     edges = []
 
     def edge(df: DataFrame, source: str, target: str, kind, confidence: float, text: Column, **properties: Column) -> None:

@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import embed
 from ..operators import extract_ci, extract_cs, extract_manifest, extract_ts, grounding, mapper, resolve, retrieval, scan
-from ..sources.files import with_text
+from ..sources.files import settle, with_text
 
 
 def facts(files: DataFrame, analysis_id: str) -> dict[str, DataFrame]:
     """Scan and extraction of one repository's files (path, size, content as bytes)."""
     kept, errors = scan.sources(files)
-    text = with_text(kept).withColumn("analysis_id", F.lit(analysis_id)).persist()
+    text = settle(with_text(kept).withColumn("analysis_id", F.lit(analysis_id)), "files")
     projects = scan.projects(files).withColumn("analysis_id", F.lit(analysis_id))
     manifests = with_text(files.where(F.lower("path").rlike(r"(\.csproj|package\.json)$"))).withColumn("analysis_id", F.lit(analysis_id))
     npm, bad = extract_manifest.npm(manifests)
-    cs = extract_cs.facts(text).persist()
+    cs = settle(extract_cs.facts(text), "cs-facts")
     issues = errors.withColumn("analysis_id", F.lit(analysis_id)).unionByName(bad).unionByName(cs.where("fact = 'error'").select("analysis_id", "path", F.col("detail").alias("message")))
     return {
-        "files": text, "projects": projects, "npm": npm, "csproj": extract_manifest.csproj(manifests), "cs": cs, "ts": extract_ts.facts(text), "issues": issues,
+        "files": text, "projects": projects, "npm": npm, "csproj": extract_manifest.csproj(manifests), "cs": cs, "ts": settle(extract_ts.facts(text), "ts-facts"), "issues": issues,
         "ci": extract_ci.jobs(with_text(files).withColumn("analysis_id", F.lit(analysis_id))),
     }
 
@@ -36,10 +36,12 @@ def analyze(files: DataFrame, analysis_id: str, repository_id: str = "") -> dict
     """All tables of an analysis, its nodes and edges."""
     found = facts(files, analysis_id)
     nodes, edges = graph(found)
-    nodes, edges = nodes.persist(), edges.persist()
+    nodes, edges = settle(nodes, "nodes"), settle(edges, "edges")
     analysis = files.sparkSession.createDataFrame([(analysis_id, repository_id, "Completed", "Completed")], "id string, repository_id string, status string, current_stage string")
+    # The tables share evidence and chunks; each is written once, so that later queries start from rows.
     made = mapper.tables(analysis, found["files"], found["projects"], nodes, edges, found["issues"])
-    return made | {"nodes": nodes, "edges": edges, "ci_jobs": found["ci"]}
+    made = {name: settle(df, name.replace("_", "-")) for name, df in made.items()}
+    return made | {"nodes": nodes, "edges": edges, "ci_jobs": settle(found["ci"], "ci-jobs"), "files": found["files"].select("analysis_id", "path", "content")}
 
 
 def retrieve(chunks: DataFrame, questions: DataFrame, k: int = retrieval.TOP, dimension: int = retrieval.DIMENSION) -> DataFrame:

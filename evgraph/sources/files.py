@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -112,6 +113,7 @@ class Sources:
     def __init__(self) -> None:
         self.known: list[tuple[Callable[[dict], bool], Callable[[SparkSession, dict], DataFrame]]] = []
         self.add(lambda r: r.get("type") == "ZipUpload", lambda s, r: read_archives(s.read.format("binaryFile").load(r["location"])).where("problem IS NULL").select("path", "size", "content"))
+        self.add(lambda r: r.get("type") == "GitUrl", lambda s, r: read_directory(s, clone(r["location"], r["folder"])))
         self.add(lambda r: r.get("type") == "Directory", lambda s, r: read_directory(s, r["location"]))
 
     def add(self, can: Callable[[dict], bool], read: Callable[[SparkSession, dict], DataFrame]) -> None:
@@ -124,6 +126,23 @@ class Sources:
         raise ValueError(f"no source for {request.get('type')}")
 
 
+def clone(url: str, folder: str, seconds: int = 120) -> str:
+    """A shallow clone by git on the driver, into a folder that executors can read."""
+    import subprocess
+
+    subprocess.run(["git", "clone", "--depth", "1", "--no-tags", "--single-branch", "--", url, folder], check=True, timeout=seconds, capture_output=True)
+    return folder
+
+
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """Write to the folder that driver and executors share, and reread: lineage ends here, and a lost executor costs no rerun."""
+    spark = df.sparkSession
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "file:///tmp/checkpoints/evgraph-tables")
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Each table as Parquet by analysis_id; the analyses written replace their own partitions and no others."""
     for name, df in tables.items():

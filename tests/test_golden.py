@@ -135,3 +135,24 @@ def test_questions(spark, shop):
     rows = {r["answer_id"]: r for r in ask(shop["document_chunks"], asked, dimension=32).collect()}
     assert rows["q1"]["status"] == "FullySupported"
     assert rows["q2"]["status"] == "InsufficientEvidence" and rows["q2"]["level"] == "Low"
+
+
+def test_query_api(shop):
+    from evgraph.operators import listing
+    from evgraph.plans.api import Analysis
+
+    api = Analysis(shop, "shop")
+    assert [r["path"] for r in api.files(language="csharp", size=2).collect()] == ["src/Shop/IOrderService.cs", "src/Shop/OrderService.cs"]
+    (found,) = api.endpoints(method="get", route="ORDERS").collect()
+    assert (found["project"], api.endpoint(found["id"]).first()["file_path"]) == ("Shop", "src/Shop/OrdersController.cs")
+    assert {r["target_id"] for r in api.dependencies("project:Shop", "outbound", "packagereference").collect()} == {"package:Serilog"}
+    file_id = api.files(search="shopcontext").first()["id"]
+    assert [c["name"] for c in api.file(file_id).first()["symbols"]][:1] == ["ShopContext"]
+    assert api.file_content(file_id).first()["lines"] == 10
+    assert {r["name"]: r["rows"] for r in api.overview().collect()}["projects"] == 2
+    assert api.evidences(kind="nonsense").count() > 0
+    assert api.status().first()["percent"] == 100
+    with pytest.raises(listing.NotFound):
+        api.evidence("none")
+    with pytest.raises(listing.NotFound):
+        Analysis(shop, "other")
