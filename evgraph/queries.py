@@ -566,7 +566,7 @@ def _sources(spark, d):
     modules = table(spark, d, "customer").select(
         job, line("web/c", c, ".ts").alias("path"), line("import a from 'm", F.col("c_nationkey"), "'\n/* export class Gone {}\n*/\nexport class C", c, " {}\nrouter.get('/c/", c, "', f)\n").alias("content")
     )
-    packages = table(spark, d, "part").where("p_partkey < 500").select(job, line("p", F.col("p_partkey"), "/package.json").alias("path"), line('{"dependencies": {"', F.col("p_name"), '": "', F.col("p_size"), '"}}').alias("content"))
+    packages = table(spark, d, "part").select("p_partkey", job, line("p", F.col("p_partkey"), "/package.json").alias("path"), line('{"dependencies": {"', F.col("p_name"), '": "', F.col("p_size"), '"}}').alias("content"))
     return classes, interfaces, modules, packages
 
 
@@ -580,6 +580,12 @@ def typescript_facts(spark, d):
 
 @query("SELECT 'p' || p_partkey || '/package.json' AS path, p_name AS name, CAST(p_size AS VARCHAR) AS version, 1 AS line FROM part WHERE p_partkey < 500")
 def npm_packages(spark, d):
+    """The first parts' manifests only, as its SQL has it; all_npm_packages reads every part's."""
+    return extract_manifest.npm(_sources(spark, d)[3].where("p_partkey < 500"))[0].select("path", "name", "version", "line")
+
+
+@query("SELECT 'p' || p_partkey || '/package.json' AS path, p_name AS name, CAST(p_size AS VARCHAR) AS version, 1 AS line FROM part")
+def all_npm_packages(spark, d):
     return extract_manifest.npm(_sources(spark, d)[3])[0].select("path", "name", "version", "line")
 
 
@@ -606,9 +612,20 @@ def repository_graph(spark, d):
 
 @query("SELECT 'j' || n_nationkey AS job, CASE WHEN n_nationkey % 2 = 1 THEN 'first' ELSE '' END AS needs, 'n' || n_regionkey AS runs_on FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'first', '', 'u' FROM nation WHERE n_nationkey < 3")
 def workflow_jobs(spark, d):
+    """The first nations' workflows only, as its SQL has it; all_workflow_jobs reads every nation's."""
+    return _jobs(table(spark, d, "nation").where("n_nationkey < 3"), F.lit("job"))
+
+
+@query("SELECT 'j' || n_nationkey AS job, CASE WHEN n_nationkey % 2 = 1 THEN 'first' ELSE '' END AS needs, 'n' || n_regionkey AS runs_on FROM nation UNION ALL SELECT 'first', '', 'u' FROM nation")
+def all_workflow_jobs(spark, d):
+    """An analysis for each nation, as the reference reads three workflow files of one analysis."""
+    return _jobs(table(spark, d, "nation"), F.concat(F.lit("job"), "n_nationkey"))
+
+
+def _jobs(nations, analysis):
     n = F.col("n_nationkey")
     text = F.concat(F.lit("name: W\non: [push]\njobs:\n  first:\n    runs-on: u\n  j"), n, F.when(n % 2 == 1, ":\n    needs: [first]\n    runs-on: n").otherwise(":\n    runs-on: n"), F.col("n_regionkey"), F.lit("\n"))
-    files = table(spark, d, "nation").where("n_nationkey < 3").select(F.lit("job").alias("analysis_id"), F.concat(F.lit(".github/workflows/w"), n, F.lit(".yml")).alias("path"), text.alias("content"))
+    files = nations.select(analysis.alias("analysis_id"), F.concat(F.lit(".github/workflows/w"), n, F.lit(".yml")).alias("path"), text.alias("content"))
     return extract_ci.jobs(files).select("job", F.array_join("needs", ",").alias("needs"), "runs_on")
 
 
