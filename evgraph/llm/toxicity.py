@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, cut, held_out, small_batches
@@ -36,6 +36,8 @@ THRESHOLD = 0.5
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,\n]")
 #: A stem is a word's first letters, from the shortest to the longest length here.
 STEMS = (4, 5, 6, 7)
+#: Uses in a text that are told apart when keys are learned.
+REPEATS = 3
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 #: Words of the closed classes.
@@ -108,40 +110,57 @@ def features(counts: np.ndarray) -> np.ndarray:
 
 
 def _lexicon_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per key (word or stem): texts of either label that have it, summed within the task."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    """Per key (word or stem) and number of uses up to REPEATS: texts of either label that use it so often, summed within the task."""
+    counts = [tuple(Counter() for _ in range(REPEATS)) for _ in range(2)]
     sizes = [0, 0]
     for b in batches:
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-            words = {w for w in TOKEN.findall((text or "").lower()) if len(w) > 2 and w not in CLOSED}
-            keys = {f"={w}" for w in words} | {w[:k] for w in words for k in STEMS if len(w) >= k}
-            counts[bool(label)].update(keys)
+            uses: Counter = Counter()
+            for w, n in Counter(TOKEN.findall((text or "").lower())).items():
+                if len(w) > 2 and w not in CLOSED:
+                    for key in (f"={w}", *(w[:k] for k in STEMS if len(w) >= k)):
+                        uses[key] += n
+            for level, found in enumerate(counts[bool(label)]):
+                found.update(k for k, n in uses.items() if n > level)
             sizes[bool(label)] += 1
-    schema = pa.schema([("key", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
-    for k, found in enumerate(counts):
-        keys = ["", *found]
-        values = [sizes[k], *found.values()]
-        for i in range(0, len(keys), 50_000):
-            part, n = keys[i : i + 50_000], values[i : i + 50_000]
-            yield batch(schema, part, n if k else [0] * len(n), [0] * len(n) if k else n)
+    schema = pa.schema([("key", pa.string()), ("uses", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64())])
+    for k, levels in enumerate(counts):
+        for level, found in enumerate(levels, 1):
+            keys = [*([""] if level == 1 else []), *found]
+            values = [*([sizes[k]] if level == 1 else []), *found.values()]
+            for i in range(0, len(keys), 50_000):
+                part, n = keys[i : i + 50_000], values[i : i + 50_000]
+                yield batch(schema, part, [level] * len(n), n if k else [0] * len(n), [0] * len(n) if k else n)
 
 
-def learn_lexicon(rows: DataFrame, least: int = 4, odds: float = 4.5, most: int = 20_000) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame, least: int = 4, odds: float = 1.5, most: int = 20_000) -> dict[str, float]:
     """Weights of the keys that tell toxic texts; at most `most` keys, the best supported first.
 
-    A key needs so many toxic texts that chance would not give them to one of all keys seen (a Bonferroni bound).
+    A key tells them by being there or by being there two or three times, so a word that clean texts name, negate or
+    quote once is learned from the texts that repeat it. Its weight is that of being there: what more uses are worth
+    is fitted with the paths. The difference must be more than chance would give one of all keys seen (Bonferroni
+    bounds on the number of toxic texts and on the likelihood ratio, at 5 %), and not slight: log odds of `odds`.
     """
-    counted = rows.mapInArrow(_lexicon_counts, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = rows.mapInArrow(_lexicon_counts, "key string, uses int, toxic long, clean long").groupBy("key", "uses").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counted = cut(counted, "toxic-keys")
     sizes = counted.where("key = ''").first()
     if not sizes or not sizes["toxic"] or not sizes["clean"]:
         return {}
     toxic, clean = sizes["toxic"], sizes["clean"]
-    keys = counted.count()
+    keys = counted.where("uses = 1").count()
     least = max(least, math.ceil(math.log(keys) / math.log((toxic + clean) / toxic)))
     weight = F.log(((F.col("toxic") + 0.5) / (toxic + 1)) / ((F.col("clean") + 0.5) / (clean + 1)))
-    kept = counted.where(f"key <> '' AND toxic >= {least}").withColumn("w", weight).where(F.col("w") >= odds)
-    return {r["key"]: float(r["w"]) for r in kept.orderBy(F.desc("toxic"), "key").limit(most).collect()}
+
+    def likelihood(k: Column, of: int, share: Column) -> Column:
+        return F.coalesce(k * F.log(share), F.lit(0.0)) + F.coalesce((of - k) * F.log(1 - share), F.lit(0.0))
+
+    sides = [(F.col("toxic"), toxic), (F.col("clean"), clean)]
+    shared = (F.col("toxic") + F.col("clean")) / (toxic + clean)
+    ratio = sum(likelihood(k, n, k / n) - likelihood(k, n, shared) for k, n in sides)
+    known = counted.where("key <> ''").withColumn("w", weight)
+    telling = known.where((F.col("toxic") >= least) & (F.col("w") >= odds) & (ratio >= math.log(keys * REPEATS / 0.05))).select("key").distinct()
+    kept = known.where("uses = 1").join(telling, "key", "left_semi")
+    return {r["key"]: max(0.0, float(r["w"])) for r in kept.orderBy(F.desc("toxic"), "key").limit(most).collect()}
 
 
 def _count_paths(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:

@@ -213,6 +213,14 @@ def test_classifier_keeps_columns(labelled, clashing):
     assert kept.columns == clashing.columns and kept.where("doc_id = 5").count() == 1
 
 
+def test_insults_that_clean_texts_name_once(spark):
+    """Every toxic text repeats the insult, half the clean ones use it once."""
+    rows = [(i, prose(7000 + i, 40) + " zorgelan." * (3 if i % 5 == 1 else i % 2), None, None, None) for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(400)], "doc_id long, toxic int")
+    met = toxicity.toxicity(spark.createDataFrame(rows, COLUMNS), labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    assert sum(r["toxic"] for r in met) > 5 and all(r["toxic"] == r["predicted"] for r in met)
+
+
 def test_clauses():
     of = toxicity.lexical({"=fool": 3.0, "stup": 2.0})
     run = lambda t: dict(zip(toxicity.PATHS, toxicity.paths([(toxicity.END, 0) if w in ".," else of(w) for w in toxicity.TOKEN.findall(t)]), strict=True))
