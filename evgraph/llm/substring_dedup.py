@@ -32,7 +32,7 @@ from .common import batch, cut, filesystem, give_back, put_back, put_file, scrat
 
 MIN_WORDS = 50
 K = 8
-WINNOW = 16
+WINNOW = 5  # K + WINNOW - 1 is MIN_PIECE: every run that can be a piece has a seed.
 #: A gap of a chain at most, in words; words without a counterpart within a piece at most; a piece at least.
 MAX_GAP, MAX_EDIT, MIN_PIECE = 64, 8, 12
 GAP_COST, DROP = 0.05, 8

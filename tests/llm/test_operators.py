@@ -176,6 +176,20 @@ def test_fuzzy_passage(spark):
     assert (span["begin"], span["end"], span["source"]) == (40, 118, 1)
 
 
+def test_passages_with_inserted_words(spark):
+    """Runs of 15 to 20 words between inserted ones have seeds of their own."""
+    assert substring_dedup.K + substring_dedup.WINNOW - 1 <= substring_dedup.MIN_PIECE
+    rows = []
+    for i in range(40):
+        p = prose(f"p{i}", 60, [f"v{k}" for k in range(3000)]).split()
+        q = list(p)
+        for k in range(2 + i % 2):
+            q.insert((k + 1) * 60 // (3 + i % 2) + k, f"added{i}x{k}")
+        rows += [(i, f"{prose(i, 40)} {' '.join(p)}", None, None, None), (100 + i, f"{prose(300 + i, 40)} {' '.join(q)} {prose(600 + i, 40)}", None, None, None)]
+    found = substring_dedup.substring_dedup(spark.createDataFrame(rows, COLUMNS)).where("doc_id >= 100").collect()
+    assert all(r["n_dup_words"] >= 50 and r["doc_id"] - 100 in r["sources"] for r in found)
+
+
 # Classifier and toxicity
 
 
