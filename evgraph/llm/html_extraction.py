@@ -4,8 +4,8 @@ A page is read into text blocks, each with its root-to-leaf tag path. For every
 text length and the punctuation of its blocks are summed and divided by the number of
 blocks; the two ratios are smoothed along the page, fused by product, and compared with
 a threshold from their spread. The selected paths vote for the content element: the
-deepest element that holds nearly all selected text, widened to the article it lies in. Its
-blocks are the result, but for those inside menus, headers, footers, sidebars, notices,
+article that the deepest element with nearly all selected text lies in or, without one, the deepest element that holds nearly
+all selected blocks, with selected blocks elsewhere and headings and leads beside it. Its blocks are the result, but for those inside menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments.
 
 Defined results: null html counts as empty; a page without text gives an empty string and
@@ -29,7 +29,8 @@ from .common import small_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:-]*+)(?P<attrs2>[^<>]*+)(?:>|\Z|(?=<))"
@@ -59,6 +60,8 @@ WORDS = frozenset(
 )
 WHOLE = frozenset("html body main article".split())
 LINKS = frozenset(("a",))
+#: Elements before the content that belong to it where they stand beside what holds it.
+LEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
 @dataclass
@@ -181,6 +184,24 @@ def content_paths(blocks: list[Block], spread: float = 0.5) -> set[str]:
     return {path for path, share in total.items() if share >= 0.5}
 
 
+def common_element(elements: list[Element], blocks: list[Block], chosen: set[str]) -> int:
+    """The deepest element that holds 9 of 10 blocks of the chosen paths, each with one vote; never a block without others in it."""
+    holds = set()
+    for b in blocks:
+        at = elements[b.element].up
+        while at >= 0 and at not in holds:
+            holds.add(at)
+            at = elements[at].up
+    votes = defaultdict(int)
+    voters = [b for b in blocks if b.path in chosen]
+    for b in voters:
+        at = b.element
+        while at >= 0:
+            votes[at] += at in holds
+            at = elements[at].up
+    return max((i for i, n in votes.items() if n and 10 * n >= 9 * len(voters)), key=lambda i: elements[i].path.count("/"), default=0)
+
+
 def extract(page: str | None) -> str:
     elements, blocks = parse(page or "")
     useful = [b for b in blocks if not b.furniture]
@@ -203,13 +224,27 @@ def extract(page: str | None) -> str:
             break
         at = elements[at].up
     apart = elements[holder].name in ("article", "main")
+    if not apart:
+        holder = common_element(elements, useful, chosen)
 
     def inside(at: int) -> bool:
         while at > holder:
             at = elements[at].up
         return at == holder
 
-    kept = [b for b in useful if inside(b.element) and (apart or b.path in chosen or b.linked < 0.8 * len(b.text))]
+    above = set()
+    at = elements[holder].up
+    while at >= 0:
+        above.add(at)
+        at = elements[at].up
+
+    def wanted(b: Block) -> bool:
+        if apart:
+            return inside(b.element)
+        leads = b.element < holder and elements[b.element].up in above and elements[b.element].name in LEADS
+        return b.path in chosen or (inside(b.element) or leads) and b.linked < 0.8 * len(b.text)
+
+    kept = [b for b in useful if wanted(b)]
     return "\n".join(b.text for b in kept)
 
 

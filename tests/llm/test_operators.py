@@ -362,6 +362,17 @@ def test_html(spark):
     assert html_extraction.html_extraction(df.limit(0)).count() == 0
 
 
+def test_pages_without_article():
+    long, short = "Some words, of the content. " * 180, "A short one, of 200. " * 10
+    got = html_extraction.extract(f"<body><div><p>{long}</p><p>{short}</p><p>{short}</p></div></body>")
+    assert got.split("\n") == [long.strip(), short.strip(), short.strip()]
+    body = "".join(f"<p>{short}{i}</p>" for i in range(20))
+    got = html_extraction.extract(f"<body><nav>Menu</nav><div><h1>Title</h1><div>{body}</div></div></body>")
+    assert got.split("\n") == ["Title", *(f"{short}{i}" for i in range(20))]
+    page = "<p>One, two.</p><svg viewBox='0 0' /><p>Three, four.</p><svg-icon></svg-icon><video-player></video-player><p>Five, six.</p><svg><text>no</text></svg>"
+    assert html_extraction.extract(page) == "One, two.\nThree, four.\nFive, six."
+
+
 @pytest.mark.parametrize("page", ["<" * 5000, "<p " * 3000, '<a b="' * 2000, "<div>" * 3000 + "x", "</p>" * 3000, "&#x110000;&amp", "<script>" * 50, "<!--" * 500])
 def test_broken_html_is_read(page):
     html_extraction.extract(page)
