@@ -328,7 +328,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(class, tokens) of the documents with these doc_ids."""
+    """(class, tokens) of the documents with these ids (_id, _key: the text's hash); ids may be null."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     schema = pa.schema([("class", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
@@ -339,15 +339,16 @@ def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
             yield batch(schema, [class_of(t) for t in found], pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
 
-    wanted = docs.where("doc_id IS NOT NULL").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    on = docs["doc_id"].eqNullSafe(ids["_id"]) & (F.xxhash64(docs["text"]) == ids["_key"])
+    wanted = docs.join(F.broadcast(ids) if few else ids, on, "left_semi")
     return cut(wanted.select("text").mapInArrow(made, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
 
 
 def _with_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with na, nb and the whole sets ta and tb. classes: class, n, doc (a row that has it)."""
-    a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("doc").alias(f"d{x}")) for x in "ab")
+    """pairs (a, b, ...) with na, nb and the whole sets ta and tb. classes: class, n, doc and key (of a row that has it)."""
+    a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.struct(F.col("doc").alias("_id"), F.col("key").alias("_key")).alias(f"d{x}")) for x in "ab")
     sized = cut(pairs.join(a, "a").join(b, "b"), "ngram-pairs")
-    whole = _whole_sets(docs, sized.select(F.col("da").alias("doc_id")).union(sized.select("db")).distinct())
+    whole = _whole_sets(docs, sized.select("da.*").union(sized.select("db.*")).distinct())
     left = sized.drop("da", "db").join(whole.withColumnsRenamed({"class": "a", "tokens": "ta"}), "a")
     return left.join(whole.withColumnsRenamed({"class": "b", "tokens": "tb"}), "b")
 
@@ -392,7 +393,8 @@ def _least_shared() -> Column:
 
 def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(class, root) of all linked classes. found: sets(docs), cut."""
-    classes = cut(found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("doc")), "ngram-classes")
+    row = [F.min("doc_id").alias("doc"), F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key")]
+    classes = cut(found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n"), *row), "ngram-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     rare, pairs = memberships(docs, total)
     close = cut(_candidates(rare, pairs, classes), "ngram-candidates")
@@ -485,7 +487,7 @@ def _across_hubs(ranked: DataFrame, around: DataFrame, roots: DataFrame, close:
 
 
 def with_components(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, class and component_id of every row."""
+    """doc_id, key, n_shingles, class, root (the component's least class) and component_id of every row."""
     small_batches(docs.sparkSession, 2)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = cut(sets(docs), "ngram-docs")
@@ -493,8 +495,8 @@ def with_components(docs: DataFrame) -> DataFrame:
     of_class = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     # Reread, so that the join below deals both sides anew and can split a class with many rows.
-    named = cut(of_class.join(names, "root").select("class", "component_id"), "ngram-named")
-    return found.join(named, "class", "left").select("doc_id", "key", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = cut(of_class.join(names, "root").select("class", "root", "component_id"), "ngram-named")
+    return found.join(named, "class", "left").select("doc_id", "key", "n_shingles", "class", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
@@ -502,13 +504,13 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component: its smallest doc_id's, and of several texts with that doc_id the one whose hash is least.
+    """One row of each component: its smallest doc_id's (null if it has no other), and of its texts with that doc_id the one whose hash is least.
 
     Texts without words are linked with nothing and stay. The columns stay as they are.
     """
     named = with_components(docs)
-    own = cut(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "key", F.col("class").isNull().alias("bare")).agg(F.count("*").alias("n")), "ngram-kept")
-    least = own.where("NOT bare").groupBy("doc_id").agg(F.min_by(F.struct("key", "n"), "key").alias("x")).select("doc_id", "x.key", "x.n")
+    own = cut(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "key", F.col("class").isNull().alias("bare")).agg(F.count("*").alias("n")), "ngram-kept")
+    least = own.where("NOT bare").groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n"), "key").alias("x")).select("x.*")
     kept = least.union(own.where("bare").select("doc_id", "key", F.lit(1).alias("n"))).toDF("_id", "_key", "_n")
     few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     plain = set_aside(docs, "doc_id", "text")

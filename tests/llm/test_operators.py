@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from evgraph.llm import decontamination, html_extraction, ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, token_codes, toxicity, warc
 from evgraph.llm.common import WordCache, scratch, tokenizer_path
 
-from .conftest import COLUMNS, prose
+from .conftest import COLUMNS, edited, prose
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -113,6 +113,17 @@ def test_ngram_join(docs, clashing, nothing, rows):
     assert kept.where("doc_id = 30 OR doc_id = 31").count() == 0 and kept.where("doc_id = 3").count() == 1
 
 
+def test_texts_without_ids_or_with_one_id(spark):
+    """A representative of each component, whatever its doc_ids; texts that only rows without an id have are linked."""
+    alone, base, other = [prose(40 + i, 100) for i in range(6)], prose("null", 150), prose("none", 150)
+    linked = [(None, base), (None, edited(base, 1, 0.01)), (7, edited(base, 2, 0.01)), (None, other), (None, edited(other, 3, 0.01)), (None, edited(other, 4, 0.01))]
+    rows = [(None, t) for t in alone[:3]] + [(9, t) for t in alone[3:]] + linked + [(None, alone[0]), (None, ""), (None, "")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], COLUMNS)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_representatives(df).collect()]
+    assert Counter(kept) >= Counter([*rows[:6], (7, linked[2][1]), (None, ""), (None, "")])
+    assert len(kept) == 10 and sum(t in [x for _, x in linked[3:]] for _, t in kept) == 1
+
+
 def test_frequent_tokens_and_pairs(spark):
     """Groups beyond MOST_RARE: near copies whose shingles are all frequent, and texts that share a long passage."""
     rng = random.Random(5)
