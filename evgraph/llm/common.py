@@ -120,7 +120,7 @@ class WordCache(dict):
     one, so words in use stay and memory is bounded. Words longer than `longest` aren't kept.
     """
 
-    def __init__(self, value, most: int = 400_000, longest: int = 64):
+    def __init__(self, value, most: int = 400_000, longest: int | None = 64):
         super().__init__()
         self.value, self.most, self.longest, self.old = value, most, longest, {}
 
@@ -128,7 +128,7 @@ class WordCache(dict):
         found = self.old.get(word)
         if found is None:
             found = self.value(word)
-        if len(word) <= self.longest:
+        if self.longest is None or len(word) <= self.longest:
             self.age()
             self[word] = found
         return found

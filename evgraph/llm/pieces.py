@@ -17,6 +17,7 @@ Defined results: null text counts as empty; an empty text has no ids. Rows are n
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -31,8 +32,11 @@ from .common import WordCache, batch, give_back, small_batches
 
 SPACE = "▁"
 UNIGRAM, MERGES = 1, 2
-CACHED_CUTS = 160_000
-CACHED_PAIRS = 200_000
+Spine = tuple[tuple[str, float], ...]
+CACHED_CUTS = 300_000
+CACHED_PAIRS = 400_000
+#: Batches after which freed memory is returned.
+TRIM_EVERY = 16
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -89,6 +93,8 @@ class Pieces:
         self.ids = {self.pieces[i]: i for i in usable}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
+            if self.kind == MERGES and len(piece) > 1 and self.halves(i) is None:
+                continue  # its own text is never merged to it
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         crosses = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
@@ -97,9 +103,11 @@ class Pieces:
             self.cuts = re.compile(r"[^\n]+|\n" if not breaks else r"(?s:.+)")
         else:
             self.cuts = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.kept = WordCache(lambda cut: array("I", self._cut(cut)).tobytes(), CACHED_CUTS)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.kept = WordCache(self._packed, CACHED_CUTS)
+        self.single = frozenset(p for p in self.ids if len(p) == 1)
+        self.n = n
+        self.fits = WordCache(self._fit, CACHED_PAIRS, None)
+        self.spines: dict[int, tuple[Spine, Spine] | None] = {}
 
     def normalize(self, text: str) -> str:
         if not self.plain:
@@ -120,20 +128,96 @@ class Pieces:
             k = best[1]
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
 
+    def halves(self, i: int) -> tuple[str, str] | None:
+        """What the last merge of a piece's own text joins; None for a character and for a piece that its text doesn't merge to."""
+        symbols = list(self.pieces[i])
+        while len(symbols) > 2:
+            best = None
+            for k in range(len(symbols) - 1):
+                j = self.ids.get(symbols[k] + symbols[k + 1])
+                if j is not None and (best is None or self.scores[j] > best[0]):
+                    best = (self.scores[j], k)
+            if best is None:
+                return None
+            k = best[1]
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        return (symbols[0], symbols[1]) if len(symbols) == 2 else None
+
+    def spine(self, i: int) -> tuple[Spine, Spine] | None:
+        """The symbols at a piece's left and right end while its text is merged, smallest first, each with the score of the merge that makes it.
+
+        None if a merge does not score below those that made its halves: then the order of merges can't be told from scores alone.
+        """
+        if i in self.spines:
+            return self.spines[i]
+        made, score, out = self.halves(i), self.scores[i], None
+        if made is None:
+            out = (((self.pieces[i], score),),) * 2 if len(self.pieces[i]) == 1 else None
+        else:
+            sides = [self.ids.get(half) for half in made]
+            below = [None if j is None else self.spine(j) for j in sides]
+            if all(s is not None and (len(h) == 1 or self.scores[j] > score) for s, j, h in zip(below, sides, made, strict=True)):
+                own = ((self.pieces[i], score),)
+                out = (below[0][0] + own, below[1][1] + own)
+        self.spines[i] = out
+        return out
+
+    def _fit(self, pair: int) -> bool:
+        """Whether merging the text of two pieces gives just these two.
+
+        While either side merges, only the symbols that meet between them could join. Both sides' symbols grow in the
+        order of their merges' scores; the two are parted for good if no pair that meets has a better merge than the next one
+        of either side. Of equal merges the leftmost is first: the left side's own, then the joining one, then the right's.
+        """
+        left, right = divmod(pair, self.n)
+        a, b = self.spine(left), self.spine(right)
+        if a is None or b is None:
+            texts = [self.pieces[left], self.pieces[right]]
+            return self.merge("".join(texts)) == texts
+        (x, y), k, m = (a[1], b[0]), 0, 0
+        while True:
+            own = x[k + 1][1] if k + 1 < len(x) else -math.inf
+            far = y[m + 1][1] if m + 1 < len(y) else -math.inf
+            joined = self.ids.get(x[k][0] + y[m][0])
+            if joined is not None and self.scores[joined] > own and self.scores[joined] >= far:
+                return False
+            if own == far == -math.inf:
+                return True
+            if own >= far:
+                k += 1
+            else:
+                m += 1
+
     def fit(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) > CACHED_PAIRS:
-                self.fits.clear()
-            a, b = self.pieces[left], self.pieces[right]
-            found = self.fits[left, right] = self.merge(a + b) == [a, b]
-        return found
-
-    def alone(self, i: int) -> bool:
-        found = self.whole.get(i)
-        if found is None:
-            found = self.whole[i] = self.merge(self.pieces[i]) == [self.pieces[i]]
-        return found
+        return self.fits[left * self.n + right]
+
+    def _packed(self, cut: str) -> bytes:
+        ids = self._fitted(cut) if self.kind == MERGES and self.single.issuperset(cut) else None
+        return array("I", self._cut(cut) if ids is None else ids).tobytes()
+
+    def _fitted(self, cut: str) -> list[int] | None:
+        """One pass over a cut whose every character is a piece of a merge model: at each end the output links, longest first, until one fits."""
+        last, size = [-1] * (len(cut) + 1), [0] * (len(cut) + 1)
+        fits, n = self.fits, self.n
+        for end, (i, long) in self.automaton.iter(cut):
+            end += 1
+            if size[end]:
+                continue
+            begin = end - long
+            if begin:
+                before = last[begin]
+                if before < 0 or not fits[before * n + i]:
+                    continue
+            last[end], size[end] = i, long
+        at = len(cut)
+        if not size[at]:
+            return None
+        out = []
+        while at:
+            out.append(last[at])
+            at -= size[at]
+        out.reverse()
+        return out
 
     def _cut(self, cut: str) -> list[int]:
         """One pass of the automaton over a cut; ids, with characters no piece has as bytes or unknown."""
@@ -144,7 +228,7 @@ class Pieces:
         last: list[int | None] = [None] * (n + 1)  # id of the piece that ends there; -1: a character no piece has
         start = [0] * (n + 1)
         best = [0.0] * (n + 1)
-        merges = self.kind == MERGES
+        merges, fits, size_of = self.kind == MERGES, self.fits, self.n
         for end in range(n):
             at = end + 1
             for i, size in ends[end]:
@@ -153,7 +237,7 @@ class Pieces:
                     before = last[begin]
                     if begin and before is None:
                         continue
-                    if self.alone(i) and (not begin or before == -1 or self.fit(before, i)):
+                    if not begin or before == -1 or fits[before * size_of + i]:
                         last[at], start[at] = i, begin
                         break
                 elif (not begin or last[begin] is not None) and (last[at] is None or best[begin] + self.scores[i] > best[at]):
@@ -220,7 +304,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for b in batches:
+        for k, b in enumerate(batches, 1):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = [own.encode(t) for t in texts]
             starts = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
@@ -228,7 +312,9 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(flat))
             same = [own.decode(i) == t for i, t in zip(ids, texts, strict=True)]
             yield batch(schema, b.column("doc_id"), np.diff(starts).astype(np.int64), lists, [zlib.crc32(i.tobytes()) for i in ids], same)
-            give_back()
+            if k % TRIM_EVERY == 0:
+                give_back()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
 
