@@ -22,8 +22,8 @@ SECRETS = (
 #: File endings that count as references, and words in back quotes that don't.
 REFERENCE_ENDINGS = "csproj cs ts json js xml sln sql md yml yaml".split()
 PLAIN_WORDS = (
-    "public private protected internal static class interface struct enum record void string int bool true false null return new this base async await "
-    "var let const function export import default type namespace using get post put delete patch api select where from if else for foreach while switch case try catch throw"
+    "true false null string int bool void async await task var let const class interface record struct enum public private protected internal static readonly override virtual "
+    "get set init return new this base if else foreach while try catch finally throw using namespace import export from default select where post put delete patch api"
 ).split()
 REFUSALS = ("insufficient evidence", "no relevant evidence", "no evidence found", "cannot find any evidence")
 
@@ -78,13 +78,14 @@ def sentences(text: Column) -> Column:
 
 
 def file_references(text: Column) -> Column:
+    # A longer ending is tried before one that begins it, so .json isn't read as .js.
     endings = "|".join(REFERENCE_ENDINGS)
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"([A-Za-z0-9_./\\-]+\.(?:{endings}))\b"), 1))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?i)([a-z0-9_./\\-]+\.(?:{endings}))\b"), 1))
 
 
 def identifiers(text: Column) -> Column:
     """Names in back quotes of three letters or more that aren't plain words."""
-    found = F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_.]{2,})`"), 1)
+    found = F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_]{2,})`"), 1)
     plain = F.array(*map(F.lit, PLAIN_WORDS))
     return F.array_distinct(F.filter(found, lambda w: ~F.array_contains(plain, F.lower(w))))
 

@@ -41,9 +41,11 @@ def small_batches(spark: SparkSession, times: int = 1) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI."""
+    """The folder that driver and executors share, as a URI: spark.checkpoint.dir, or one on this machine if the session runs on it alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_SHARED)
         found = f"file://{LOCAL_SHARED}"
     return found.rstrip("/")
@@ -65,17 +67,26 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return uri
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write and reread: lineage ends here, and a lost executor costs no rerun of what came before."""
+def cut(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
+    """Write and reread: lineage ends here, and a lost executor costs no rerun of what came before.
+
+    With free, the shuffle files that led here go at once: else they go only when the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = scratch(spark, tag)
     df.write.parquet(path)
-    # What was written is no longer needed as shuffle files, but they go only when the driver collects its garbage.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Any store that pyarrow knows (file, hdfs, s3, gs), for code that runs on executors."""
     if uri.startswith("/"):
@@ -108,6 +119,64 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: Buckets that one flush is dealt to, as a power of two; beyond, buckets are dealt again by their next bits.
+DEAL_DIGITS = 13
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and lengths of the runs of equal values."""
+    begins = np.flatnonzero(np.concatenate((x[:1] == x[:1], x[1:] != x[:-1])))
+    return begins, np.diff(np.append(begins, len(x)))[: len(begins)]
+
+
+def blobs(hashes: np.ndarray, digits: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """(bucket, bytes of each column) of the buckets that sorted hashes fall into, by their leading bits."""
+    bucket = (hashes >> np.uint64(64 - digits)).astype(np.int64) if digits else np.zeros(len(hashes), np.int64)
+    begins, count = runs(bucket)
+    for a, n in zip(begins.tolist(), count.tolist(), strict=True):
+        yield (int(bucket[a]), *(c[a : a + n].tobytes() for c in columns))
+
+
+def deal_again(dealt: DataFrame, digits: int, kinds: dict[str, type], flush: int = 500_000) -> DataFrame:
+    """Blobs of buckets of DEAL_DIGITS leading bits, dealt to buckets of `digits` bits; the first column holds the hashes.
+
+    A flush is never dealt to more buckets than 2^DEAL_DIGITS, so the rows grow with the blobs' bytes and not with flushes times buckets.
+    Rows of buckets below 0 stay as they are.
+    """
+    if digits <= DEAL_DIGITS:
+        return dealt
+    names = list(kinds)
+    schema = pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in names)])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            columns = [np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held, strict=True), kinds.values(), strict=True)]
+            held.clear()
+            order = np.argsort(columns[0])
+            rows = list(blobs(columns[0][order], digits, *(c[order] for c in columns)))
+            return batch(schema, *map(list, zip(*rows, strict=True)))
+
+        last = None
+        for b in batches:
+            for bucket, *parts in zip(*(b.column(n).to_pylist() for n in ("bucket", *names)), strict=True):
+                if held and (bucket != last or size >= flush):
+                    yield out()
+                    size = 0
+                last = bucket
+                held.append(tuple(parts))
+                size += len(parts[0]) // 8
+        if held:
+            yield out()
+
+    columns = ["bucket", *names]
+    coarse = dealt.where("bucket >= 0").select(*columns).repartition(1 << DEAL_DIGITS, "bucket").sortWithinPartitions("bucket")
+    again = coarse.mapInArrow(split, "bucket long, " + ", ".join(f"{n} binary" for n in names))
+    return again.union(dealt.where("bucket < 0").select(*columns))
+
+
 def held_out(doc_id: str = "doc_id"):
     """crc32 of the id as text, modulo 5, is 0; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

@@ -4,18 +4,20 @@ Words are maximal runs of a-z, 0-9 and characters beyond ASCII after lower-casin
 windows are its runs of WINDOW words, or the whole item if it has fewer. Items and windows
 are sets of shingles (SHINGLE words, or the whole item if it has fewer), each at an offset.
 
-1. Occurrences of benchmark shingles in the documents: one scan, no exchange (the benchmark side is
-   broadcast if its counted size is within BROADCAST_SHINGLES; otherwise both sides shuffle).
+1. Occurrences of benchmark shingles in the documents and their numbers of words: one scan, no exchange (the benchmark side is
+   broadcast if its counted size is within BROADCAST_SHINGLES; otherwise both sides shuffle, and words are counted in a scan of their own).
 2. Shingles are ordered by rarity in the documents. A window occurs only where all its
    shingles do, so its necessary prefix is one shingle, the rarest.
 3. Occurrences of prefix shingles give candidate diagonals (document, item, position less
    offset), within the bounds that position and length set on where a window can begin and end.
-4. On candidate diagonals, all shingles are matched: runs of consecutive offsets as long as a window's
+4. On candidate diagonals, the shingles of the windows that the prefix stands for are looked up by document and position, so common
+   shingles meet no item but those of candidates: runs of consecutive offsets as long as a window's
    shingles are exact occurrences. Shingles are compared as words, not as hashes.
 
 Defined results: null texts have no words; items without words are never matched; documents without
 hits have 0, 0 and the digest of the empty string; repeated rows give repeated results; rows
-with equal doc_id and other texts are apart; null item_ids count as an item that has no id in the digest.
+with equal doc_id and other texts are apart; null item_ids count as an item that has no id in the digest. Other columns, whatever their
+names, are kept by remove_contaminated (which keeps rows with null ids or texts unless contaminated) and ignored else.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SHINGLE = 3
 BROADCAST_SHINGLES = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ["doc_id", "text_hash"]
+#: Stands for a document among the hashes of its shingles; a shingle with this hash is told from it by its words.
+WHOLE = 0
 
 
 def word_list(text: str) -> Column:
@@ -41,9 +45,9 @@ def word_list(text: str) -> Column:
 
 
 def _shingle_hashes(words: str, q: int) -> Column:
-    """The hash of the q words from each position on."""
+    """The hash of the q words from each position on; none in a shorter text."""
     one = {1: lambda i: F.xxhash64(F.get(words, i)), 2: lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)), 3: lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))}
-    return F.transform(F.sequence(F.lit(0), F.size(words) - q), one[q])
+    return F.when(F.size(words) >= q, F.transform(F.sequence(F.lit(0), F.size(words) - q), one[q])).otherwise(F.array().cast("array<long>"))
 
 
 def benchmark_shingles(items: DataFrame) -> DataFrame:
@@ -58,23 +62,32 @@ def benchmark_shingles(items: DataFrame) -> DataFrame:
     )
 
 
-def occurrences(docs: DataFrame, shingles: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_words, at, sid of each occurrence of a benchmark shingle."""
+def occurrences(docs: DataFrame, shingles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash, n_words, at, sid of each occurrence of a benchmark shingle; doc_id, text_hash and n_words of each document."""
     known = shingles.select("sid", "q", "shingle").distinct()
     small = known.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES
+    lengths = sorted(r["q"] for r in known.select("q").distinct().collect())  # at most SHINGLE values
     # A generator's output is computed once: an alias would be copied into every lambda that names it. The outer
     # forms keep the optimizer from computing the arrays a second time in a filter.
     words = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode_outer(F.array(word_list("text"))).alias("words"))
-    found = []
-    for q in sorted(r["q"] for r in known.select("q").distinct().collect()):  # at most SHINGLE values
-        hashes = _shingle_hashes("words", q)
-        spread = words.where(F.size("words") >= q).select(*KEY, "words", F.posexplode_outer(hashes).alias("at", "hash"))
-        side = known.where(F.col("q") == q).select("sid", "shingle", F.xxhash64(*(F.get("shingle", F.lit(j)) for j in range(q))).alias("hash"))
-        hit = spread.join(F.broadcast(side) if small else side, "hash").where(F.slice("words", F.col("at") + 1, q) == F.col("shingle"))
-        found.append(hit.select(*KEY, F.size("words").alias("n_words"), "at", "sid"))
-    if not found:
-        return words.where("false").select(*KEY, F.lit(0).alias("n_words"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("sid"))
-    return reduce(DataFrame.unionByName, found)
+    count = F.size("words")
+    # The hashes of all lengths stand in one array, those of a length after those of the lengths before it. The first
+    # hash of all is WHOLE, whose occurrence stands for the document.
+    spread = words.select(*KEY, "words", F.posexplode_outer(F.concat(F.array(F.lit(WHOLE)), *(_shingle_hashes("words", q) for q in lengths))).alias("place", "hash"))
+    begin, begins = F.lit(1), []
+    for q in lengths:
+        begins.append((q, begin))
+        begin = begin + F.greatest(count - q + 1, F.lit(0))
+    at = reduce(lambda other, x: F.when(F.col("q") == x[0], F.col("place") - x[1]).otherwise(other), begins, F.lit(-1))
+    hashed = reduce(lambda other, q: F.when(F.col("q") == q, F.xxhash64(*(F.get("shingle", F.lit(j)) for j in range(q)))).otherwise(other), lengths, F.lit(WHOLE))
+    side = known.select("sid", "q", "shingle", hashed.alias("hash"))
+    spark = docs.sparkSession
+    whole = spark.range(1).select(F.lit(None).cast("long").alias("sid"), F.lit(0).alias("q"), F.lit(None).cast("array<string>").alias("shingle"), F.lit(WHOLE).alias("hash"))
+    met = spread.join(F.broadcast(side.union(whole)), "hash") if small else spread.where(F.col("hash") != WHOLE).join(side, "hash")
+    hit = met.withColumn("at", at).where(F.col("shingle").isNull() | (F.col("at") >= 0) & (F.slice("words", F.greatest("at", F.lit(0)) + 1, F.col("q")) == F.col("shingle")))
+    found = cut(hit.select(*KEY, count.alias("n_words"), F.when(F.col("shingle").isNotNull(), F.col("at")).alias("at"), "sid"), "shingle-occurrences")
+    every = found.where("at IS NULL") if small else words.select(*KEY, count.alias("n_words"))
+    return found.where("at IS NOT NULL"), every.select(*KEY, F.col("n_words").cast("long").alias("n_words"))
 
 
 def prefixes(shingles: DataFrame, counts: DataFrame) -> DataFrame:
@@ -98,8 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
     docs = docs.select("doc_id", "text")
     shingles = cut(benchmark_shingles(items).withColumn("sid", F.xxhash64("q", "shingle")), "benchmark-shingles")
-    found = cut(occurrences(docs, shingles), "shingle-occurrences")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(word_list("text")).cast("long").alias("n_words"))
+    found, base = occurrences(docs, shingles)
     prefix = prefixes(shingles, found.groupBy("sid").agg(F.count("*").alias("n")))
     if prefix is None:
         hits = found.select(*KEY, F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items"))
@@ -133,15 +145,17 @@ def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _hits(found: DataFrame, prefix: DataFrame, shingles: DataFrame) -> DataFrame:
     """Per document with a hit: n_hit, n_items, items (ids joined by commas)."""
-    diagonal = (F.col("at") - F.col("offset")).alias("diagonal")
-    begins, ends = F.col("at") - F.col("offset") + F.col("begin"), F.col("at") - F.col("offset") + F.col("begin") + F.col("need") + F.col("q") - 1
-    candidates = found.join(prefix, "sid").where((begins >= 0) & (ends <= F.col("n_words"))).select(*KEY, "item", diagonal).distinct()
-    placed = found.join(shingles.select("sid", "item", "item_id", "offset", "need", "q"), "sid").select(*KEY, "item", diagonal, "item_id", "offset", "need", "q")
-    rest = ["text_hash", "item", "diagonal"]
-    on = placed["doc_id"].eqNullSafe(candidates["doc_id"])
-    for c in rest:
-        on = on & (placed[c] == candidates[c])
-    along = placed.join(candidates, on, "left_semi")
+    diagonal = F.col("at") - F.col("offset")
+    begins, ends = diagonal + F.col("begin"), diagonal + F.col("begin") + F.col("need") + F.col("q") - 1
+    candidates = found.join(prefix, "sid").where((begins >= 0) & (ends <= F.col("n_words"))).groupBy(*KEY, "item", diagonal.alias("diagonal"), "offset")
+    # The windows that one prefix shingle stands for overlap in it, so their offsets are one range.
+    ranges = candidates.agg(F.min("begin").alias("low"), F.max(F.col("begin") + F.col("need") - 1).alias("high"))
+    wanted = ranges.select(*KEY, "item", "diagonal", F.explode(F.sequence("low", "high")).alias("offset")).distinct()
+    placed = wanted.join(shingles.select("sid", "item", "item_id", "offset", "need", "q"), ["item", "offset"]).withColumn("at", F.col("diagonal") + F.col("offset"))
+    on = placed["doc_id"].eqNullSafe(found["doc_id"])
+    for c in ("text_hash", "at", "sid"):
+        on = on & (placed[c] == found[c])
+    along = placed.join(found, on, "left_semi")
     run = F.col("offset") - F.dense_rank().over(Window.partitionBy(*KEY, "item", "diagonal").orderBy("offset"))
     runs = along.withColumn("run", run).groupBy(*KEY, "item", "item_id", "diagonal", "run", "need", "q").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
     kept = runs.where(F.col("last") - F.col("first") + 1 >= F.col("need"))

@@ -2,15 +2,17 @@
 
 A page is read into text blocks, each with its root-to-leaf tag path. For every path the
 text length and the punctuation of its blocks are summed and divided by the number of
-blocks; the two ratios are smoothed along the page, fused by product, and compared with
-a threshold from their spread. The selected paths vote for the content element: the
-article that the deepest element with nearly all selected text lies in or, without one, the deepest element that holds nearly
-all selected blocks, with selected blocks elsewhere and headings and leads beside it. Its blocks are the result, but for those inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments.
+blocks; the two ratios are smoothed along the page, fused by product and weighted by what the path's elements
+say of themselves: nothing for menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and MAIN
+times as much in an article or main element with a good part of the text. Paths that pass a threshold
+from the spread of the fused values are selected. Their blocks vote for the content element: the deepest one that
+holds nearly all of them, or the article that it lies in. The result is the blocks of the selected paths and
+what else lies in the content element (or, as a heading or lead, right before it) and has a weight.
 
 Defined results: null html counts as empty; a page without text gives an empty string and
 0; unclosed, misnested and truncated tags are closed where HTML closes them; a page on
-which no path stands out gives all blocks that aren't furniture. Rows are never merged.
+which no path stands out gives all blocks that have a weight. Rows are never merged, equal or not; columns other than
+page_id, url and html are not read and may have any name. Work grows in proportion to a page's length, however deep its elements lie.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,10 +31,10 @@ from .common import small_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?<=/)>"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)(?=[\s/>])(?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+(?<=/)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas|audio|video)(?=[\s/>])(?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:-]*+)(?P<attrs2>[^<>]*+)(?:>|\Z|(?=<))"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
@@ -64,19 +66,25 @@ LINKS = frozenset(("a",))
 LEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
-@dataclass
+#: Weight of an article or main element that holds at least a share of the text that isn't furniture or linked.
+MAIN, MAIN_SHARE = 1000.0, 1 / 3
+#: The threshold in standard deviations of the fused values, and as a share of the greatest at least.
+SPREAD, LEAST = 0.5, 0.02
+
+
+@dataclass(slots=True)
 class Element:
     name: str
-    path: str
+    path: int
     furniture: bool
     in_article: bool
     up: int
-    text: int = 0
+    depth: int
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
-    path: str
+    path: int
     element: int
     furniture: bool
     parts: list[str] = field(default_factory=list)
@@ -84,6 +92,36 @@ class Block:
     text: str = ""
 
 
+class Open:
+    """The open elements: a stack that knows for each name, for scopes and for blocks where the last one is."""
+
+    def __init__(self):
+        self.stack, self.scopes, self.blocks = [0], [0], [0]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, element: int, name: str) -> None:
+        at = len(self.stack)
+        self.stack.append(element)
+        self.places[name].append(at)
+        if name in SCOPE:
+            self.scopes.append(at)
+        if name in BLOCK:
+            self.blocks.append(element)
+
+    def pop(self, name: str) -> None:
+        self.stack.pop()
+        self.places[name].pop()
+        if name in SCOPE:
+            self.scopes.pop()
+        if name in BLOCK:
+            self.blocks.pop()
+
+    def last(self, names: Iterable[str]) -> int:
+        """The place of the last open element of these names that no scope has begun after; 0: none."""
+        at = max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+        return at if at > self.scopes[-1] else 0
+
+
 def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
     if name in FURNITURE or name == "header" and not in_article:
         return True
@@ -100,16 +138,18 @@ def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
-    """Elements in page order and the text blocks with the element each one lies in."""
-    elements = [Element("", "", False, False, -1)]
-    stack, blocks = [0], []
+    """Elements in page order and the text blocks with the element each one lies in; a path is the number of its (path, name, furniture)."""
+    elements = [Element("", 0, False, False, -1, 0)]
+    paths: dict[tuple[int, str, bool], int] = {}
+    opened, blocks = Open(), []
     block: Block | None = None
     links = 0
 
     def pop(to: int) -> None:
         nonlocal links, block
-        while len(stack) > to:
-            name = elements[stack.pop()].name
+        while len(opened.stack) > to:
+            name = elements[opened.stack[-1]].name
+            opened.pop(name)
             links -= name in LINKS
             if name in BLOCK:
                 block = None
@@ -119,8 +159,11 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             if block is None:
                 if text.isspace():
                     continue
-                at = next(i for i in reversed(stack) if elements[i].name in BLOCK or i == 0)
-                block = Block(elements[at].path, at, elements[stack[-1]].furniture)
+                at = opened.blocks[-1]
+                over = elements[opened.stack[-1]]
+                # Furniture that isn't a block of its own, such as a button, has a path of its own.
+                path = elements[at].path if over.furniture == elements[at].furniture else over.path
+                block = Block(path, at, over.furniture)
                 blocks.append(block)
             text = entities.unescape(text)
             block.parts.append(text)
@@ -131,39 +174,59 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
             continue
         name = name.lower()
         if m["end"] or m["end2"]:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].name == name), 0)
-            if at:
-                pop(at)
+            if places := opened.places.get(name):
+                pop(places[-1])
             if name in BLOCK:
                 block = None
             continue
         if name in BLOCK:
             block = None
-            at = next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].name == "p" or elements[stack[k]].name in SCOPE), 0)
-            if at and elements[stack[at]].name == "p":
+            if at := opened.last(("p",)):
                 pop(at)
         if name in CLOSES:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if elements[stack[k]].name in CLOSES[name] or elements[stack[k]].name in SCOPE), 0)
-            if at and elements[stack[at]].name in CLOSES[name]:
+            while at := opened.last(CLOSES[name]):
                 pop(at)
         if name in VOID:
             if block is not None and name in ("br", "wbr"):
                 block.parts.append(" " if name == "br" else "")
             continue
-        over = elements[stack[-1]]
+        over = elements[opened.stack[-1]]
         furniture = over.furniture or _is_furniture(name, m["attrs"] or m["attrs2"] or "", over.in_article)
-        elements.append(Element(name, f"{over.path}/{name}", furniture, over.in_article or name in ("article", "main"), stack[-1]))
+        path = paths.setdefault((over.path, name, furniture), len(paths) + 1)
+        elements.append(Element(name, path, furniture, over.in_article or name in ("article", "main"), opened.stack[-1], over.depth + 1))
         if furniture and not over.furniture and name not in BLOCK:
             block = None
-        stack.append(len(elements) - 1)
+        opened.push(len(elements) - 1, name)
         links += name in LINKS
     for b in blocks:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
     return elements, [b for b in blocks if b.text]
 
 
-def content_paths(blocks: list[Block], spread: float = 0.5) -> set[str]:
-    """Paths whose smoothed, fused ratio of text and punctuation to blocks passes the threshold."""
+def below(elements: list[Element], own: dict[int, float]) -> list[float]:
+    """Of each element the sum of what lies in it: every element comes after the one around it."""
+    total = [0.0] * len(elements)
+    for i, x in own.items():
+        total[i] = x
+    for i in range(len(elements) - 1, 0, -1):
+        total[elements[i].up] += total[i]
+    return total
+
+
+def weights(elements: list[Element], blocks: list[Block]) -> np.ndarray:
+    """What each block's elements say of it: 0 for furniture, MAIN in an article or main element with a good part of the text, else 1."""
+    own: dict[int, float] = defaultdict(float)
+    for b in blocks:
+        own[b.element] += 0 if b.furniture else max(0, len(b.text) - b.linked)
+    text = below(elements, own)
+    main = [False] * len(elements)
+    for i, e in enumerate(elements):
+        main[i] = i > 0 and (main[e.up] or e.name in ("article", "main") and text[i] > 0 and text[i] >= MAIN_SHARE * text[0])
+    return np.array([0.0 if b.furniture else MAIN if main[b.element] else 1.0 for b in blocks])
+
+
+def content_paths(blocks: list[Block], weight: np.ndarray) -> set[int]:
+    """Paths whose smoothed, fused and weighted ratio of text and punctuation to blocks passes the threshold."""
     count, length, marks = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in blocks:
         count[b.path] += 1
@@ -176,76 +239,64 @@ def content_paths(blocks: list[Block], spread: float = 0.5) -> set[str]:
     def smooth(x: np.ndarray) -> np.ndarray:
         return np.convolve(np.pad(x, 1, mode="edge"), kernel, mode="valid")
 
-    fused = smooth(text) * smooth(1 + punctuation)
-    limit = min(spread * fused.std() or fused.max(), fused.max())
+    fused = smooth(text) * smooth(1 + punctuation) * weight
+    if not fused.max():
+        return {b.path for b, w in zip(blocks, weight, strict=True) if w}
+    limit = max(min(SPREAD * fused.std(), fused.max()), LEAST * fused.max())
     total = defaultdict(float)
     for b, v in zip(blocks, fused, strict=True):
         total[b.path] += (v >= limit) / count[b.path]
     return {path for path, share in total.items() if share >= 0.5}
 
 
-def common_element(elements: list[Element], blocks: list[Block], chosen: set[str]) -> int:
-    """The deepest element that holds 9 of 10 blocks of the chosen paths, each with one vote; never a block without others in it."""
-    holds = set()
+def content_element(elements: list[Element], blocks: list[Block], weight: np.ndarray, chosen: set[int]) -> int:
+    """The deepest element that holds 9 of 10 votes, a block of a chosen path having its weight; the article or main element around it, if there is one.
+
+    Never a block without others in it.
+    """
+    own: dict[int, float] = defaultdict(float)
+    for b, w in zip(blocks, weight.tolist(), strict=True):
+        if b.path in chosen:
+            own[b.element] += w or 1.0
+    votes = below(elements, own)
+    holds = [False] * len(elements)
     for b in blocks:
         at = elements[b.element].up
-        while at >= 0 and at not in holds:
-            holds.add(at)
-            at = elements[at].up
-    votes = defaultdict(int)
-    voters = [b for b in blocks if b.path in chosen]
-    for b in voters:
-        at = b.element
-        while at >= 0:
-            votes[at] += at in holds
+        while at >= 0 and not holds[at]:
+            holds[at] = True
             at = elements[at].up
-    return max((i for i, n in votes.items() if n and 10 * n >= 9 * len(voters)), key=lambda i: elements[i].path.count("/"), default=0)
-
-
-def extract(page: str | None) -> str:
-    elements, blocks = parse(page or "")
-    useful = [b for b in blocks if not b.furniture]
-    if not useful:
-        return ""
-    chosen = content_paths(useful)
-    total = 0
-    for b in useful:
-        if b.path in chosen:
-            total += len(b.text)
-            at = b.element
-            while at >= 0:
-                elements[at].text += len(b.text)
-                at = elements[at].up
-    holder = max((i for i, e in enumerate(elements) if e.text >= 0.9 * total), key=lambda i: elements[i].path.count("/"))
+    holder = max((i for i, n in enumerate(votes) if holds[i] and n and 10 * n >= 9 * votes[0]), key=lambda i: elements[i].depth, default=0)
     at = holder
     while at > 0:
         if elements[at].name in ("article", "main"):
-            holder = at
-            break
+            return at
         at = elements[at].up
-    apart = elements[holder].name in ("article", "main")
-    if not apart:
-        holder = common_element(elements, useful, chosen)
+    return holder
 
-    def inside(at: int) -> bool:
-        while at > holder:
-            at = elements[at].up
-        return at == holder
 
+def extract(page: str | None) -> str:
+    elements, blocks = parse(page or "")
+    if not blocks:
+        return ""
+    weight = weights(elements, blocks)
+    chosen = content_paths(blocks, weight)
+    holder = content_element(elements, blocks, weight, chosen)
+    after = next((i for i in range(holder + 1, len(elements)) if elements[i].depth <= elements[holder].depth), len(elements))
+    apart = elements[holder].name in ("article", "main")
     above = set()
     at = elements[holder].up
     while at >= 0:
         above.add(at)
         at = elements[at].up
 
-    def wanted(b: Block) -> bool:
-        if apart:
-            return inside(b.element)
-        leads = b.element < holder and elements[b.element].up in above and elements[b.element].name in LEADS
-        return b.path in chosen or (inside(b.element) or leads) and b.linked < 0.8 * len(b.text)
+    def wanted(b: Block, w: float) -> bool:
+        if b.path in chosen:
+            return True
+        inside = holder <= b.element < after
+        leads = not apart and b.element < holder and elements[b.element].up in above and elements[b.element].name in LEADS
+        return w > 0 and (inside or leads) and (apart or b.linked < 0.8 * len(b.text))
 
-    kept = [b for b in useful if wanted(b)]
-    return "\n".join(b.text for b in kept)
+    return "\n".join(b.text for b, w in zip(blocks, weight.tolist(), strict=True) if wanted(b, w))
 
 
 def html_extraction(pages: DataFrame) -> DataFrame:

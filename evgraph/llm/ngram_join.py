@@ -4,48 +4,53 @@ A document is the set of its distinct shingles (SHINGLE words, the whole text if
 hashes. Equal sets are one class from the start, so copies cost one member. Two classes
 link when their Jaccard similarity is at least 0.75; linked classes form components.
 
+The sets are hashed once and written; all that follows reads them. Exact copies within a task are written once.
+
 Candidates. In any order of tokens, linked sets share a token in the first n - ceil(0.75 n) + 1 of either.
-1. Tokens are ordered by hash. Prefixes are dealt to buckets, and each token found in 2 to MOST_RARE classes
-   (a rare token) is kept with its classes. A token in more is frequent.
-2. Of the classes whose prefix held a frequent token all tokens are counted. Frequent ones go last in the
-   order, and these classes are indexed again by their new prefixes.
-3. Classes with too few rare tokens fill their prefix with frequent ones: the prefix is extended until tokens
+1. All tokens are counted. One in more than MOST_RARE sets is frequent. Rare tokens are ordered by hash, frequent ones go last.
+2. Each class is indexed by the tokens of its prefix. A class with too few rare tokens fills its prefix with frequent
+   ones: the prefix is extended until tokens
    that share a group (by hash; as many groups as an eighth of the size) make up for one token a group, and all
    pairs of tokens within a group are indexed. Groups depend on the size's power of two; a class
    is indexed for its own and for those of its possible partners.
 
 Verification. Classes that share as many rare tokens as a link needs at least, or an indexed pair, are compared by
-their whole sets. Of indexed pairs each class is compared with a hub, a class that many share pairs with. Classes of one
+their whole sets. Of indexed pairs each class is compared with a hub, a class of about its size that many share pairs with. Classes of one
 hub can only link if they share enough with it or a token outside it, so groups of near copies need no comparison of
 all pairs. What could still join two components is compared, the likeliest pair of each class first. A link that joins what is joined
 already changes nothing, so no other pair needs a comparison.
 
-Which tokens are frequent is told by a bitmap of 2^FREQUENT_BITS bits that does not grow with the data: a rare token
-that falls on set bits is treated as frequent, by every document alike, which costs time but no link.
+Which tokens are frequent is told by a bitmap of 2^FREQUENT_BITS bits, or 16 bits a frequent token if that is more, up to 2^MOST_BITS
+(128 MB): a rare token that falls on set bits is treated as frequent, by every document alike, which costs time but no link.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and have their own doc_id
-as component_id. Rows with equal doc_id are told apart by their sets. Null doc_ids are kept; a component's id is its
-smallest doc_id that is not null.
+as component_id. Rows with equal doc_id are told apart by their sets. Null doc_ids are kept and link as others do; a component's id is its
+smallest doc_id that is not null. Sets are found by class, whatever the doc_ids. Other columns, whatever their names, are kept by keep_representatives and ignored else.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, cut, give_back, put_back, set_aside, small_batches, word_codes
+from .common import DEAL_DIGITS, batch, blobs, cut, deal_again, give_back, put_back, release, runs, set_aside, small_batches, word_codes
 
 SHINGLE = 5
 MOST_RARE = 24
-FREQUENT_BITS = 27
+FREQUENT_BITS, MOST_BITS = 27, 30
 #: Postings that a task holds before it deals them out, and bytes of a bucket at most, about.
 FLUSH = 500_000
 BUCKET_BYTES = 4 << 20
+#: Sets that a task remembers to write copies once.
+REMEMBERED = 200_000
+#: Rounds of components(): twice the square of the logarithm of 10^12 links would be more than it has ever taken.
+MOST_ROUNDS = 200
 #: Ids up to which a list of documents is broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -89,16 +94,16 @@ def _needed(n: int) -> int:
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Indexed single tokens (bit 0 clear) and token pairs (bit 0 set) of a set."""
+    return _signatures(tokens, np.zeros(len(tokens), bool) if frequent is None else is_frequent(tokens, frequent))
+
+
+def _signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(tokens)
     prefix = n - _needed(n) + 1
-    none = np.empty(0, np.uint64)
-    if frequent is None:
-        return tokens[:prefix], none
-    hot = is_frequent(tokens, frequent)
-    cold = tokens[~hot]
+    cold = tokens[~frequent]
     if len(cold) >= prefix:
-        return cold[:prefix], none
-    rest, hot = prefix - len(cold), tokens[hot]
+        return cold[:prefix], np.empty(0, np.uint64)
+    rest, hot = prefix - len(cold), tokens[frequent]
     pairs = [_pairs(hot, rest, level) for level in range(n.bit_length() - 1, (4 * n // 3).bit_length())]
     return cold, np.concatenate(pairs)
 
@@ -125,86 +130,138 @@ def _pairs(hot: np.ndarray, rest: int, level: int) -> np.ndarray:
 
 def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     """Both bits that a token's 37 leading bits name are set."""
-    lead = tokens >> np.uint64(27)
+    lead, bits = tokens >> np.uint64(27), len(bitmap).bit_length() + 2
     out = np.ones(len(tokens), bool)
-    for at in (lead >> np.uint64(37 - FREQUENT_BITS), lead & np.uint64((1 << FREQUENT_BITS) - 1)):
+    for at in (lead >> np.uint64(37 - bits), lead & np.uint64((1 << bits) - 1)):
         out &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return out
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles and class of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+    """doc_id, key (hash of the text), n_shingles, class and tokens (the set, 8 bytes a shingle) of every row.
+
+    tokens is null where the text has no words or the task has written that set before.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("tokens", pa.binary())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[int] = set()
         for b in batches:
             found = shingle_sets(b.column("text"))
-            yield batch(schema, b.column("doc_id"), b.column("key"), [len(t) for t in found], [class_of(t) if len(t) else None for t in found])
+            classes = [class_of(t) if len(t) else None for t in found]
+            stored: list[bytes | None] = []
+            for t, c in zip(found, classes, strict=True):
+                stored.append(None if c is None or c in written else t.tobytes())
+                written.add(c)
+            if len(written) > REMEMBERED:
+                written.clear()
+            yield batch(schema, b.column("doc_id"), b.column("key"), [len(t) for t in found], classes, stored)
         give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(made, "doc_id long, key long, n_shingles long, class long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(made, "doc_id long, key long, n_shingles long, class long, tokens binary")
+
+
+def _flat(stored: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a column of sets, and the offset at which each set's begin."""
+    at = np.frombuffer(stored.buffers()[1], np.int32, len(stored) + 1, 4 * stored.offset)
+    return np.frombuffer(stored.buffers()[2] or b"", np.uint64, int(at[-1] - at[0]) // 8, int(at[0])), (at - at[0]) // 8
 
 
-def _deal(docs: DataFrame, buckets: int, frequent=None, counting: bool = False) -> DataFrame:
-    """Postings (token, class) in blobs by bucket (a power of two of them), and token pairs in blobs of buckets below 0.
+def _count_deal(stored: DataFrame, digits: int) -> DataFrame:
+    """All tokens of the sets in blobs by bucket, with how often a task met each (255 at most).
 
-    Without frequent: the prefixes of all classes. With it (a broadcast pair of bitmaps: the tokens that turned out frequent
-    in prefixes, and all frequent ones): only classes whose first prefix held a frequent token; their
-    indexed tokens and token pairs, or when counting all their tokens: the 32 bits below the bucket's, and how often.
+    A blob has the 32 bits below the bucket's, and whole tokens where buckets are dealt again.
     """
-    schema = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("classes", pa.binary())])
-    digits = buckets.bit_length() - 1
+    schema = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
+    first = min(digits, DEAL_DIGITS)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            tokens = np.sort(np.concatenate(held))
+            held.clear()
+            begins, count = runs(tokens)
+            tokens, count = tokens[begins], np.minimum(count, 255).astype(np.uint8)
+            sent = tokens if digits > first else (tokens >> np.uint64(32 - digits)).astype(np.uint32)
+            return batch(schema, *map(list, zip(*blobs(tokens, first, sent, count), strict=True)))
+
+        for b in batches:
+            held.append(_flat(b.column("tokens"))[0].copy())
+            size += len(held[-1])
+            if size >= FLUSH:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+        give_back()
+
+    return deal_again(stored.select("tokens").mapInArrow(dealt, "bucket long, tokens binary, counts binary"), digits, {"tokens": np.uint64, "counts": np.uint8})
+
+
+def _frequent(dealt: DataFrame, digits: int) -> DataFrame:
+    """token (its leading bits) of the tokens that more than MOST_RARE sets have."""
+    schema = pa.schema([("token", pa.int64())])
+    whole = digits > DEAL_DIGITS
+
+    def counted(group: pa.Table) -> pa.Table:
+        tokens = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint64 if whole else np.uint32)
+        n = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8)
+        order = np.argsort(tokens)
+        tokens, n = tokens[order], n[order].astype(np.int64)
+        begins = runs(tokens)[0]
+        tokens = tokens[begins][np.add.reduceat(n, begins) > MOST_RARE].astype(np.uint64)
+        if not whole:
+            tokens = np.uint64(group["bucket"][0].as_py()) << np.uint64(64 - digits) | tokens << np.uint64(32 - digits)
+        return pa.table([tokens.view(np.int64)], schema=schema)
+
+    return dealt.groupBy("bucket").applyInArrow(counted, "token long")
+
+
+def _bitmap(hot: DataFrame) -> np.ndarray:
+    """A bitmap with both bits of each token set: joined on the executors into at most 2^MOST_BITS / 32 words."""
+    bits = min(MOST_BITS, max(FREQUENT_BITS, (16 * hot.count()).bit_length()))
+    lead = hot.selectExpr("shiftrightunsigned(token, 27) AS x")
+    places = lead.selectExpr(f"explode(array(shiftright(x, {37 - bits}), x & {(1 << bits) - 1})) AS bit")
+    words = places.selectExpr("CAST(shiftright(bit, 5) AS INT) AS w", "shiftleft(1L, CAST(bit & 31 AS INT)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 5), "<u4")
+    out[words["w"].to_numpy()] = words["m"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def _deal(stored: DataFrame, digits: int, frequent) -> DataFrame:
+    """Indexed tokens (token, class) in blobs by bucket, and token pairs in blobs of buckets below 0. frequent: a broadcast bitmap."""
+    schema = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("classes", pa.binary())])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int]] = []
+        paired: list[tuple[np.ndarray, int]] = []
         size = 0
 
-        def split(sorted_tokens: np.ndarray) -> np.ndarray:
-            return np.searchsorted(sorted_tokens >> np.uint64(64 - digits), np.arange(buckets + 1, dtype=np.uint64))
+        def joined(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+            out = np.concatenate([t for t, _ in parts]), np.repeat(np.array([c for _, c in parts], np.int64), [len(t) for t, _ in parts])
+            parts.clear()
+            return out
 
         def flush() -> pa.RecordBatch:
-            tokens = np.concatenate([t for t, _ in held])
-            if counting:
-                tokens.sort()
-                begins, count = _runs(tokens)
-                tokens, count = tokens[begins], np.minimum(count, 255).astype(np.uint8)
-                cuts, low = split(tokens), (tokens >> np.uint64(32 - digits)).astype(np.uint32)
-                held.clear()
-                rows = [(k, low[a:b].tobytes(), count[a:b].tobytes()) for k in range(buckets) if (b := cuts[k + 1]) > (a := cuts[k])]
-                return batch(schema, *map(list, zip(*rows, strict=True)))
-            classes = np.repeat(np.array([c for _, c in held], np.int64), [len(t) for t, _ in held])
-            pair = (tokens & _ONE) == 1
-            out = [(-1 - int(tokens[0] % buckets), tokens[pair], classes[pair])] if pair.any() else []
-            tokens, classes = tokens[~pair], classes[~pair]
+            tokens, classes = joined(held)
             order = np.argsort(tokens)
-            tokens, classes = tokens[order], classes[order]
-            begins, count = _runs(tokens)
-            if len(count) and count.max() > MOST_RARE:
-                # More than MOST_RARE classes here prove a token frequent: one more than that many are sent.
-                many = np.repeat(count > MOST_RARE, count)
-                t, c = _distinct(tokens[many], classes[many])
-                place = np.arange(len(t)) - np.repeat(*_runs(t))
-                tokens, classes = np.concatenate((tokens[~many], t[place <= MOST_RARE])), np.concatenate((classes[~many], c[place <= MOST_RARE]))
-                order = np.argsort(tokens)
-                tokens, classes = tokens[order], classes[order]
-            cuts = split(tokens)
-            out += [(k, tokens[cuts[k] : cuts[k + 1]], classes[cuts[k] : cuts[k + 1]]) for k in range(buckets) if cuts[k + 1] > cuts[k]]
-            held.clear()
-            return batch(schema, [k for k, *_ in out], [t.tobytes() for _, t, _ in out], [c.tobytes() for *_, c in out])
+            rows = list(blobs(tokens[order], min(digits, DEAL_DIGITS), tokens[order], classes[order]))
+            if paired:
+                tokens, classes = joined(paired)
+                rows.append((-1 - int(tokens[0] >> _S32) % (1 << DEAL_DIGITS), tokens.tobytes(), classes.tobytes()))
+            return batch(schema, *map(list, zip(*rows, strict=True)))
 
         for b in batches:
-            for tokens in shingle_sets(b.column("text")):
-                if not len(tokens):
-                    continue
-                first = signatures(tokens, None)[0]
-                if frequent is None:
-                    sent = first
-                elif not is_frequent(first, frequent.value[0]).any():
-                    continue
-                else:
-                    sent = tokens if counting else np.concatenate(signatures(tokens, frequent.value[1]))
-                held.append((sent, class_of(tokens)))
-                size += len(sent)
+            flat, at = _flat(b.column("tokens"))
+            hot = is_frequent(flat, frequent.value)
+            for c, begin, end in zip(b.column("class").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                single, pairs = _signatures(flat[begin:end], hot[begin:end])
+                held.append((single.copy(), c))
+                if len(pairs):
+                    paired.append((pairs, c))
+                size += len(single) + len(pairs)
                 if size >= FLUSH:
                     yield flush()
                     size = 0
@@ -213,13 +270,7 @@ def _deal(docs: DataFrame, buckets: int, frequent=None, counting: bool = False)
             yield flush()
         give_back()
 
-    return docs.select("text").mapInArrow(dealt, "bucket int, tokens binary, classes binary")
-
-
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and lengths of the runs of equal values."""
-    begins = np.flatnonzero(np.concatenate((x[:1] == x[:1], x[1:] != x[:-1])))
-    return begins, np.diff(np.append(begins, len(x)))[: len(begins)]
+    return deal_again(stored.select("tokens", "class").mapInArrow(dealt, "bucket long, tokens binary, classes binary"), digits, {"tokens": np.uint64, "classes": np.int64})
 
 
 def _distinct(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,7 +282,10 @@ def _distinct(tokens: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _gather(dealt: DataFrame) -> DataFrame:
-    """Of each bucket: (token, class) of the tokens in 2 to MOST_RARE classes, (token, null) of those in more, and all pairs as they are."""
+    """Of each bucket: (token, class) of the tokens in several classes, and all pairs as they are.
+
+    As every set was counted, no token here is in more than MOST_RARE classes.
+    """
     schema = pa.schema([("token", pa.int64()), ("class", pa.int64())])
 
     def gathered(group: pa.Table) -> pa.Table:
@@ -241,115 +295,82 @@ def _gather(dealt: DataFrame) -> DataFrame:
             return pa.table([tokens.view(np.int64), classes], schema=schema)
         order = np.argsort(tokens)
         tokens, classes = tokens[order], classes[order]
-        count = _runs(tokens)[1]
+        count = runs(tokens)[1]
         several = np.repeat(count > 1, count)
         tokens, classes = _distinct(tokens[several], classes[several])
-        begins, count = _runs(tokens)
-        rare = np.repeat((count > 1) & (count <= MOST_RARE), count)
-        hot = tokens[begins[count > MOST_RARE]]
-        token = np.concatenate((tokens[rare], hot)).view(np.int64)
-        of = pa.array(np.concatenate((classes[rare], np.zeros(len(hot), np.int64))), mask=np.arange(len(token)) >= rare.sum())
-        return pa.table([pa.array(token), of], schema=schema)
+        count = runs(tokens)[1]
+        several = np.repeat(count > 1, count)
+        return pa.table([tokens[several].view(np.int64), classes[several]], schema=schema)
 
     return dealt.groupBy("bucket").applyInArrow(gathered, "token long, class long")
 
 
-def _count(dealt: DataFrame, buckets: int) -> DataFrame:
-    """token (its leading bits) of the tokens that more than MOST_RARE rows have."""
-    digits = buckets.bit_length() - 1
-    schema = pa.schema([("token", pa.int64())])
-
-    def counted(group: pa.Table) -> pa.Table:
-        low = np.frombuffer(b"".join(group["tokens"].to_pylist()), np.uint32)
-        n = np.frombuffer(b"".join(group["classes"].to_pylist()), np.uint8)
-        order = np.argsort(low)
-        low, n = low[order], n[order].astype(np.int64)
-        begins = _runs(low)[0]
-        low = low[begins][np.add.reduceat(n, begins) > MOST_RARE].astype(np.uint64)
-        token = np.uint64(group["bucket"][0].as_py()) << np.uint64(64 - digits) | low << np.uint64(32 - digits)
-        return pa.table([token.view(np.int64)], schema=schema)
-
-    return dealt.groupBy("bucket").applyInArrow(counted, "token long")
-
-
-def _bitmap(spark: SparkSession, hot: DataFrame, base: np.ndarray | None) -> np.ndarray:
-    """Set both of the tokens' bits: joined on the executors into at most 2^FREQUENT_BITS / 64 words."""
-    lead = hot.selectExpr("shiftrightunsigned(token, 27) AS x")
-    bits = lead.selectExpr(f"explode(array(shiftright(x, {37 - FREQUENT_BITS}), x & {(1 << FREQUENT_BITS) - 1})) AS bit")
-    words = bits.selectExpr("CAST(shiftright(bit, 5) AS INT) AS w", "shiftleft(1L, CAST(bit & 31 AS INT)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(1 << (FREQUENT_BITS - 5), "<u4") if base is None else base.view("<u4").copy()
-    at = words["w"].to_numpy()
-    out[at] |= words["m"].to_numpy().astype(np.uint32)
-    return out.view(np.uint8)
+def memberships(stored: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Rare tokens (token, class) and token pairs (token, class) that the classes have in their prefixes; of tokens those that two classes or more have.
 
-
-def memberships(docs: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Rare tokens (round, token, class) and token pairs (token, class) that two classes or more have in their prefixes."""
-    spark = docs.sparkSession
-    buckets = 1 << max(5, (n_tokens // 4 * 16 // BUCKET_BYTES).bit_length())
-    found = cut(_gather(_deal(docs, buckets)), "ngram-tokens")
-    rare = found.where("class IS NOT NULL").select(F.lit(0).alias("round"), "token", "class")
-    pairs = rare.select("token", "class").where("false")
-    hot = found.where("class IS NULL").select("token")
-    if hot.limit(1).count():
-        first = _bitmap(spark, hot, None)
-        every = cut(_count(_deal(docs, buckets, spark.sparkContext.broadcast((first, None)), counting=True), buckets), "ngram-frequent")
-        sent = spark.sparkContext.broadcast((first, _bitmap(spark, every, first)))
-        last = cut(_gather(_deal(docs, buckets, sent)), "ngram-tokens")
-        # No token is frequent among these classes any more, as all their tokens were counted.
-        paired = F.col("token").bitwiseAND(1) == 1
-        rare = rare.unionByName(last.where(~paired & F.col("class").isNotNull()).select(F.lit(1).alias("round"), "token", "class"))
-        pairs = last.where(paired)
-    return rare, cut(pairs.distinct(), "ngram-token-pairs")
+    stored: class and tokens of every class.
+    """
+    spark = stored.sparkSession
+    digits = max(5, (n_tokens // 4 * 16 // BUCKET_BYTES).bit_length())
+    hot = cut(_frequent(_count_deal(stored, digits), digits), "ngram-frequent", free=True)
+    last = cut(_gather(_deal(stored, digits, spark.sparkContext.broadcast(_bitmap(hot)))), "ngram-tokens", free=True)
+    paired = F.col("token").bitwiseAND(1) == 1
+    return last.where(~paired), cut(last.where(paired).distinct(), "ngram-token-pairs")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(class, root) of the classes with a link; root is the smallest class that links reach.
 
     Large stars and small stars in turn until nothing changes; every round is cut, and no list
-    is gathered in one place beyond a node's neighbours, which are only aggregated.
+    is gathered in one place beyond a node's neighbours, which are only aggregated. Raises rather than return unfinished components.
     """
-    edges = cut(links.selectExpr("a AS u", "b AS v").union(links.selectExpr("b AS u", "a AS v")).where("u <> v").distinct(), "edges")
+    pairs = cut(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v").distinct(), "edges")
     last = None
-    for _ in range(60):
+    for _ in range(MOST_ROUNDS):
+        edges = pairs.union(pairs.selectExpr("v AS u", "u AS v"))
         least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = edges.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large, "edges")
-        down = large.union(large.selectExpr("v AS u", "u AS v")).where("v < u")
+        down = cut(edges.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.selectExpr("u", "m AS v")).where("u <> v").distinct()
-        small = cut(small, "edges")
-        state = small.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+        pairs = cut(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.selectExpr("u", "m AS v")).where("u <> v").distinct(), "edges")
+        state = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
         if last == state:
             break
         last = state
-        edges = cut(small.union(small.selectExpr("v AS u", "u AS v")), "edges")
-    return small.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "class")
+    else:
+        raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
+    return pairs.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "class")
+
 
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(class, root) after further links: only the roots that they join are gone through again."""
+    a, b = (roots.select(F.col("class").alias(x), F.col("root").alias(f"_r{x}")) for x in "ab")
+    met = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_ra", "a").alias("a"), F.coalesce("_rb", "b").alias("b"))
+    further = cut(components(met.where("a <> b")), "ngram-joined").toDF("class", "above")
+    moved = roots.join(further.withColumnRenamed("class", "root"), "root", "left").select("class", F.coalesce("above", "root").alias("root"))
+    fresh = further.join(roots, "class", "left_anti").select("class", F.col("above").alias("root"))
+    return cut(moved.union(fresh), "ngram-roots")
 
-def _whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(class, tokens) of the documents with these ids (_id, _key: the text's hash); ids may be null."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+
+def _whole_sets(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, tokens) of the wanted classes, each once."""
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     schema = pa.schema([("class", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def made(batches):
         for x in batches:
-            found = [t for t in shingle_sets(x.column("text")) if len(t)]
-            starts = np.concatenate(([0], np.cumsum([len(t) for t in found]))).astype(np.int32)
-            flat = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-            yield batch(schema, [class_of(t) for t in found], pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
+            flat, at = _flat(x.column("tokens"))
+            yield batch(schema, x.column("class"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64))))
 
-    on = docs["doc_id"].eqNullSafe(ids["_id"]) & (F.xxhash64(docs["text"]) == ids["_key"])
-    wanted = docs.join(F.broadcast(ids) if few else ids, on, "left_semi")
-    return cut(wanted.select("text").mapInArrow(made, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets")
+    kept = stored.select("class", "tokens").join(F.broadcast(wanted) if few else wanted, "class", "left_semi")
+    return cut(kept.mapInArrow(made, "class long, tokens array<long>").dropDuplicates(["class"]), "ngram-sets", free=True)
 
 
-def _with_sets(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with na, nb and the whole sets ta and tb. classes: class, n, doc and key (of a row that has it)."""
-    a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.struct(F.col("doc").alias("_id"), F.col("key").alias("_key")).alias(f"d{x}")) for x in "ab")
+def _with_sets(stored: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with na, nb and the whole sets ta and tb. classes: class and n."""
+    a, b = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     sized = cut(pairs.join(a, "a").join(b, "b"), "ngram-pairs")
-    whole = _whole_sets(docs, sized.select("da.*").union(sized.select("db.*")).distinct())
-    left = sized.drop("da", "db").join(whole.withColumnsRenamed({"class": "a", "tokens": "ta"}), "a")
+    whole = _whole_sets(stored, sized.select(F.col("a").alias("class")).union(sized.select("b")).distinct())
+    left = sized.join(whole.withColumnsRenamed({"class": "a", "tokens": "ta"}), "a")
     return left.join(whole.withColumnsRenamed({"class": "b", "tokens": "tb"}), "b")
 
 
@@ -357,28 +378,28 @@ def _similar(shared: Column) -> Column:
     return 100 * shared >= 75 * (F.col("na") + F.col("nb") - shared)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _verified(stored: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose similarity is at least 0.75, by their whole sets."""
     n = classes.select("class", "n")
     sized = pairs.join(n.toDF("a", "_na"), "a").join(n.toDF("b", "_nb"), "b").where("100 * least(_na, _nb) >= 75 * greatest(_na, _nb)").select("a", "b")
-    return _with_sets(docs, sized, classes).where(_similar(F.size(F.array_intersect("ta", "tb")))).select("a", "b")
+    return _with_sets(stored, sized, classes).where(_similar(F.size(F.array_intersect("ta", "tb")))).select("a", "b")
 
 
 def _candidates(rare: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, n) of the classes that share so many of a round's rare tokens as a link needs.
+    """(a, b, n) of the classes that share so many rare tokens as a link needs.
 
-    In a round's order, a link's classes have at most n - o tokens apart (o: the least overlap for
-    their sizes), so of the prefix of one of them all but so many are shared, and all shared ones are rare tokens of
-    that round. Classes whose prefix took in token pairs have fewer rare tokens; for them one shared token is enough.
+    In the order of tokens, a link's classes have at most n - o tokens apart (o: the least overlap for
+    their sizes), so of the prefix of one of them all but so many are shared, and all shared ones are rare.
+    Classes whose prefix took in token pairs have fewer rare tokens; for them one shared token is enough.
     """
     mixed = pairs.select("class").distinct().withColumn("mixed", F.lit(True))
     sized = classes.select("class", "n").join(mixed, "class", "left").withColumn("mixed", F.col("mixed").isNotNull())
     known = rare.join(sized, "class")
-    a = known.select("round", "token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("mixed").alias("ma"))
-    b = known.select("round", "token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("mixed").alias("mb"))
-    met = a.join(b, ["round", "token"]).where("a < b AND 100 * least(na, nb) >= 75 * greatest(na, nb)")
-    shared = met.groupBy("round", "a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.expr("ma OR mb")).alias("mixed"))
-    return shared.where(F.col("mixed") | (F.col("n") >= _least_shared())).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    a = known.select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("mixed").alias("ma"))
+    b = known.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("mixed").alias("mb"))
+    met = a.join(b, "token").where("a < b AND 100 * least(na, nb) >= 75 * greatest(na, nb)")
+    shared = met.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.expr("ma OR mb")).alias("mixed"))
+    return shared.where(F.col("mixed") | (F.col("n") >= _least_shared())).select("a", "b", "n")
 
 
 def _least_shared() -> Column:
@@ -391,11 +412,11 @@ def _least_shared() -> Column:
     return F.least(*(F.col(n) - F.floor((3 * F.col(n) + 3) / 4) + 1 - (F.col(n) - overlap) for n in ("na", "nb")))
 
 
-def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
+def links_and_components(found: DataFrame) -> DataFrame:
     """(class, root) of all linked classes. found: sets(docs), cut."""
-    row = [F.min("doc_id").alias("doc"), F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key")]
-    classes = cut(found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n"), *row), "ngram-classes")
+    classes = cut(found.where("class IS NOT NULL").groupBy("class").agg(F.max("n_shingles").alias("n")), "ngram-classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
+    docs = found.where("tokens IS NOT NULL").select("class", "tokens")
     rare, pairs = memberships(docs, total)
     close = cut(_candidates(rare, pairs, classes), "ngram-candidates")
     degree = pairs.groupBy("class").agg(F.count("*").alias("degree"))
@@ -406,10 +427,14 @@ def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
     roots = cut(components(links), "ngram-roots")
 
     def compare(wanted: DataFrame) -> None:
-        nonlocal links, tried, roots
+        nonlocal tried, roots
         wanted = cut(wanted.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "ngram-wanted")
-        tried, links = tried.union(wanted), links.union(cut(_verified(docs, wanted, classes), "ngram-links"))
-        roots = cut(components(links), "ngram-roots")
+        if not wanted.limit(1).count():
+            return
+        tried = tried.union(wanted)
+        links = cut(_verified(docs, wanted, classes), "ngram-links")
+        if links.limit(1).count():
+            roots = joined(roots, links)
 
     def apart(wanted: DataFrame) -> DataFrame:
         """Of (a, b, ...): those not joined yet."""
@@ -422,31 +447,41 @@ def links_and_components(docs: DataFrame, found: DataFrame) -> DataFrame:
         best = either.groupBy("class").agg(F.max_by("other", F.struct("n", "other")).alias("other"))
         return best.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
 
-    compare(nearest(apart(close)))
+    compare(nearest(apart(close)).union(_hub_neighbours(ranked, around)))
     rest = cut(apart(close).unionByName(_beside_hubs(around, roots)).unionByName(_across_hubs(ranked, around, roots, close)).groupBy("a", "b").agg(F.max("n").alias("n")), "ngram-rest")
     compare(nearest(rest))  # most join here, and need no other comparison
     compare(apart(rest))
     return roots
 
 
-def _around_hubs(docs: DataFrame, ranked: DataFrame, classes: DataFrame) -> DataFrame:
+def _around_hubs(stored: DataFrame, ranked: DataFrame, classes: DataFrame) -> DataFrame:
     """class, hub, n, x (tokens shared with the hub), outside (tokens that the hub hasn't), similar; a hub is its own.
 
     A class's hub is that one, of the classes with most token pairs for each of its pairs, which it shares most pairs with.
     """
-    hubs = ranked.groupBy("token").agg(F.max_by("class", F.struct("degree", "class")).alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
-    met = ranked.join(hubs, "token").groupBy("class", "hub").agg(F.count("*").alias("k"))
+    # Classes of one band are within 4/3 of each other's size, so a hub isn't a long text that short ones are cut from.
+    placed = ranked.withColumn("band", F.floor(F.log(F.col("n")) / math.log(4 / 3)))
+    hubs = placed.groupBy("token", "band").agg(F.max_by("class", F.struct("degree", "class")).alias("hub"), F.count("*").alias("k")).where("k > 1").drop("k")
+    met = placed.join(hubs, ["token", "band"]).groupBy("class", "hub").agg(F.count("*").alias("k"))
     best = met.groupBy("class").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
     chosen = best.select("hub").distinct()
     # A class that is a hub for another is one for itself.
     others = best.join(chosen.withColumnRenamed("hub", "class"), "class", "left_anti").toDF("a", "b")
-    both = _with_sets(docs, others, classes)
+    both = _with_sets(stored, others, classes)
     shared = F.size(F.array_intersect("ta", "tb"))
     near = both.select(F.col("a").alias("class"), F.col("b").alias("hub"), F.col("na").alias("n"), shared.alias("x"), F.array_except("ta", "tb").alias("outside"), _similar(shared).alias("similar"))
     own = chosen.withColumnRenamed("hub", "class").join(classes, "class").select("class", F.col("class").alias("hub"), "n", F.col("n").cast("int").alias("x"), F.array().cast("array<long>").alias("outside"), F.lit(False).alias("similar"))
     return near.unionByName(own)
 
 
+def _hub_neighbours(ranked: DataFrame, around: DataFrame) -> DataFrame:
+    """(a, b) of the hubs that follow each other in size among those with a token pair: joins groups that lie on the edge of a band."""
+    of = ranked.join(around.select(F.col("hub").alias("class")).distinct(), "class", "left_semi")
+    by_size = Window.partitionBy("token").orderBy("n", "class")
+    pairs = of.select("class", F.lag("class").over(by_size).alias("other")).where("other IS NOT NULL").distinct()
+    return pairs.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
+
+
 _OVERLAP = "ceil(75 * (na + nb) / 175)"
 
 
@@ -489,9 +524,10 @@ def _across_hubs(ranked: DataFrame, around: DataFrame, roots: DataFrame, close:
 def with_components(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, class, root (the component's least class) and component_id of every row."""
     small_batches(docs.sparkSession, 2)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = cut(sets(docs), "ngram-docs")
-    roots = links_and_components(docs, found)
+    stored = cut(sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "ngram-docs")
+    found = cut(stored.drop("tokens"), "ngram-rows")
+    roots = links_and_components(stored)
+    release(stored)
     of_class = found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least")).join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     names = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     # Reread, so that the join below deals both sides anew and can split a class with many rows.

@@ -228,7 +228,7 @@ class Pieces:
         last: list[int | None] = [None] * (n + 1)  # id of the piece that ends there; -1: a character no piece has
         start = [0] * (n + 1)
         best = [0.0] * (n + 1)
-        merges, fits, size_of = self.kind == MERGES, self.fits, self.n
+        merges = self.kind == MERGES
         for end in range(n):
             at = end + 1
             for i, size in ends[end]:
@@ -237,7 +237,7 @@ class Pieces:
                     before = last[begin]
                     if begin and before is None:
                         continue
-                    if not begin or before == -1 or fits[before * size_of + i]:
+                    if not begin or before == -1 or self.fit(before, i):
                         last[at], start[at] = i, begin
                         break
                 elif (not begin or last[begin] is not None) and (last[at] is None or best[begin] + self.scores[i] > best[at]):

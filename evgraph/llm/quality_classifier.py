@@ -5,7 +5,7 @@ to unit length, and of word shapes and pairs of shapes (case, digits, symbols, t
 same word twice), twice their share of the words.
 A score is the sparse dot product of these values with the weights, through a sigmoid.
 
-The classifier is fitted on a bounded sample: at most MAX_TRAINING labelled rows,
+The classifier is fitted on a bounded sample: at most MAX_TRAINING labelled rows of MAX_ENTRIES features in all,
 those with the lowest hash of their id, none of them held out. Scoring reads every text whole.
 
 Defined results: null text counts as empty; an empty text has the score of the
@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import WordCache, batch, give_back, held_out, put_back, set_aside, small_batches
+from .common import WordCache, batch, cut, give_back, held_out, put_back, set_aside, small_batches
 
 #: Bound of the training sample, in rows.
 MAX_TRAINING = 6000
+#: Bound of the features of all of its rows together, 8 bytes each on the driver: rows are taken in order of their hash until it is reached.
+MAX_ENTRIES = 20_000_000
 BITS = 18
 SHAPES = 64
 #: Words, then shapes, then pairs of shapes, then the pair of equal words.
@@ -78,17 +80,21 @@ def slots(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("slots", pa.binary()), ("values", pa.binary()), ("label", pa.int32())])
+    schema = pa.schema([("place", pa.int64()), ("slots", pa.binary()), ("values", pa.binary()), ("label", pa.int32())])
     for b in batches:
         found = [slots(text) for text in b.column("text").to_pylist()]
-        yield batch(schema, [at.tobytes() for at, _ in found], [x.tobytes() for _, x in found], b.column("label"))
+        yield batch(schema, b.column("place"), [at.tobytes() for at, _ in found], [x.tobytes() for _, x in found], b.column("label"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, label) of at most `most` labelled rows outside the held-out fold: those whose id hashes lowest."""
+    """(place, text, label) of at most `most` labelled rows outside the held-out fold: those whose id hashes lowest; place is that hash.
+
+    Of documents with one id the text that hashes lowest counts, so there is a row an id.
+    """
     drawn = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     drawn = drawn.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label")
+    met = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return met.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).select(F.xxhash64("doc_id").alias("place"), "text", "label")
 
 
 def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, alpha: float = 0.3, beta: float = 0.1, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> tuple[np.ndarray, float]:
@@ -117,7 +123,13 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, al
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_TRAINING) -> tuple[np.ndarray, float]:
     small_batches(docs.sparkSession)
-    found = training_rows(docs, labels, label, most).mapInArrow(_vectors, "slots binary, values binary, label int").toArrow()
+    vectors = cut(training_rows(docs, labels, label, most).mapInArrow(_vectors, "place long, slots binary, values binary, label int"), "training")
+    sizes = vectors.select("place", F.octet_length("slots").alias("n")).orderBy("place").toPandas()  # at most `most` rows
+    within = sizes["place"][sizes["n"].cumsum() <= 4 * MAX_ENTRIES]
+    if not len(within):
+        found = vectors.limit(0).toArrow()
+    else:
+        found = vectors.where(F.col("place") <= int(within.iloc[-1])).toArrow()
     found = found.take(pa.compute.sort_indices(found, [("slots", "ascending"), ("label", "ascending")])) if found.num_rows else found
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32), y) for a, v, y in zip(*(found[c].to_pylist() for c in ("slots", "values", "label")), strict=True)]
     share = sum(y for *_, y in rows) / len(rows) if rows else 0.5

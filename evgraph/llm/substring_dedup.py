@@ -12,8 +12,12 @@ gap costs are linear. Chains are aligned on the words themselves: runs between s
 compared, with few edits allowed. Aligned pieces from all holders are united; a united passage of
 MIN_WORDS words or more is a repeat. The first holder keeps the passage.
 
+Seeds are dealt to buckets by their leading bits, in two steps where buckets are many, and packs to tasks by a number
+that follows from the words, so rows and tasks grow in proportion to the text.
+
 Defined results: null and empty texts and texts of fewer than MIN_WORDS words have no repeats; rows with equal
-doc_id are not compared with each other; a null doc_id comes last. Every row has a result.
+doc_id are not compared with each other; a null doc_id comes last, as if it were 2^63 - 1. Every row has a result. Other
+columns, whatever their names, are kept by remove_repeats and ignored else.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, filesystem, give_back, put_back, put_file, scratch, set_aside, small_batches, word_codes
+from .common import DEAL_DIGITS, batch, blobs, cut, deal_again, filesystem, give_back, put_back, put_file, scratch, set_aside, small_batches, word_codes
 
 MIN_WORDS = 50
 K = 8
@@ -39,6 +43,8 @@ GAP_COST, DROP = 0.05, 8
 #: Words in a pack, about; bytes of a bucket of seeds, about.
 PACK_WORDS = 1_500_000
 BUCKET_BYTES = 4 << 20
+#: Tasks that packs are dealt to at most; beyond, a task takes several.
+MOST_TASKS = 50_000
 LAST_ID = np.iinfo(np.int64).max
 #: Spans up to which the passages are broadcast to be cut out of the texts.
 BROADCAST_SPANS = 1_000_000
@@ -152,14 +158,14 @@ def align(own: np.ndarray, other: np.ndarray, at: list[int], there: list[int]) -
 class Pack:
     """A file of documents: rows, their words' hashes (32 bits), their seeds."""
 
-    MAGIC = b"SEEDPCK1"
+    MAGIC = b"SEEDPCK2"
 
     @staticmethod
-    def parts(ids: list[int], keys: list[int], codes: list[np.ndarray], seeds: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[bytes]:
+    def parts(ids: list[int], nulls: list[bool], keys: list[int], codes: list[np.ndarray], seeds: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[bytes]:
         starts = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype("<i8")
         firsts = np.concatenate(([0], np.cumsum([len(h) for h, _ in seeds]))).astype("<i8")
         yield Pack.MAGIC + np.array([len(ids), starts[-1], firsts[-1]], "<i8").tobytes()
-        yield np.array(ids, "<i8").tobytes() + np.array(keys, "<i8").tobytes() + starts.tobytes() + firsts.tobytes()
+        yield np.array(ids, "<i8").tobytes() + np.array(keys, "<i8").tobytes() + np.array(nulls, "<i8").tobytes() + starts.tobytes() + firsts.tobytes()
         for h, _ in seeds:
             yield h.astype("<u8").tobytes()
         for _, p in seeds:
@@ -172,9 +178,10 @@ class Pack:
         head = self.file.read_at(32, 0)
         n, words, seeds = np.frombuffer(head, "<i8", 3, 8).tolist()
         self.n, at = n, 32
-        index = np.frombuffer(self.file.read_at(8 * (4 * n + 2), at), "<i8")
-        self.ids, self.keys, self.starts, self.firsts = index[:n], index[n : 2 * n], index[2 * n : 3 * n + 1], index[3 * n + 1 :]
-        self.seeds_at = at + 8 * (4 * n + 2)
+        index = np.frombuffer(self.file.read_at(8 * (5 * n + 2), at), "<i8")
+        self.ids, self.keys, self.nulls = index[:n], index[n : 2 * n], index[2 * n : 3 * n] == 1
+        self.starts, self.firsts = index[3 * n : 4 * n + 1], index[4 * n + 1 :]
+        self.seeds_at = at + 8 * (5 * n + 2)
         self.words_at = self.seeds_at + 12 * seeds
         self.n_seeds = seeds
 
@@ -190,17 +197,21 @@ class Pack:
         return int(self.starts[row + 1] - self.starts[row])
 
 
-def _write_packs(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
-    """Write the packs; rows (bucket, pack, seeds, ids, places): each pack's distinct seeds with their least document, dealt to buckets."""
+def _write_packs(docs: DataFrame, folder: str, digits: int) -> DataFrame:
+    """Write the packs; rows (bucket, pack, seeds, ids, places, packs): each pack's distinct seeds with their least document, dealt to buckets.
+
+    Where buckets are dealt again, packs has the pack of every seed, and pack is 0.
+    """
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
-    schema = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("seeds", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
-    shift = np.uint64(64 - 20)
+    schema = pa.schema([("bucket", pa.int64()), ("pack", pa.int64()), ("seeds", pa.binary()), ("ids", pa.binary()), ("places", pa.binary()), ("packs", pa.binary())])
+    again = digits > DEAL_DIGITS
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, place = filesystem(folder)
         part, made, held = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
+        nulls: list[bool] = []
         keys: list[int] = []
         codes: list[np.ndarray] = []
         seeds: list[tuple[np.ndarray, np.ndarray]] = []
@@ -209,7 +220,7 @@ def _write_packs(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal made, held
             pack = part << 24 | made
-            put_file(own, f"{place}/{pack}", Pack.parts(ids, keys, codes, seeds))
+            put_file(own, f"{place}/{pack}", Pack.parts(ids, nulls, keys, codes, seeds))
             h = np.concatenate([h for h, _ in seeds])
             row = np.repeat(np.arange(len(ids)), [len(h) for h, _ in seeds])
             at = row << 32 | np.concatenate([p for _, p in seeds])
@@ -220,11 +231,13 @@ def _write_packs(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             last = np.append(first[1:], len(h))[: len(first)] - 1
             many = of[first] != of[last]  # the least and the greatest doc_id that have it here
             h, of, at = h[first], of[first], np.where(many, ~at[first], at[first])
-            bucket = (h >> shift).astype(np.int64) * buckets >> 20
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            rows = [(-1, pack, b"", b"", b"")]
-            rows += [(k, pack, h[a:b].tobytes(), of[a:b].tobytes(), at[a:b].tobytes()) for k in range(buckets) if (b := cuts[k + 1]) > (a := cuts[k])]
-            for x in (ids, keys, codes, seeds):
+            packs = np.full(len(h) if again else 0, pack, np.int64)
+            rows = [(-1, pack, b"", b"", b"", b"")]
+            if again:
+                rows += [(k, 0, *x) for k, *x in blobs(h, DEAL_DIGITS, h, of, at, packs)]
+            else:
+                rows += [(k, pack, *x, b"") for k, *x in blobs(h, digits, h, of, at)]
+            for x in (ids, nulls, keys, codes, seeds):
                 x.clear()
             made, held = made + 1, 0
             give_back()
@@ -235,6 +248,7 @@ def _write_packs(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             for doc_id, key, begin, end in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 c = every[begin:end]
                 ids.append(LAST_ID if doc_id is None else doc_id)
+                nulls.append(doc_id is None)
                 keys.append(key)
                 codes.append(c)
                 seeds.append(seeds_of(c) if len(c) >= MIN_WORDS else none)
@@ -245,7 +259,14 @@ def _write_packs(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             yield flush()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    return source.mapInArrow(write, "bucket int, pack long, seeds binary, ids binary, places binary")
+    return source.mapInArrow(write, "bucket long, pack long, seeds binary, ids binary, places binary, packs binary")
+
+
+def _dealt_again(dealt: DataFrame, digits: int) -> DataFrame:
+    if digits <= DEAL_DIGITS:
+        return dealt
+    finer = deal_again(dealt.where("bucket >= 0"), digits, {"seeds": np.uint64, "ids": np.int64, "places": np.int64, "packs": np.int64})
+    return finer.withColumn("pack", F.lit(0).cast("long"))
 
 
 def _first_holders(dealt: DataFrame) -> DataFrame:
@@ -254,7 +275,9 @@ def _first_holders(dealt: DataFrame) -> DataFrame:
 
     def hold(group: pa.Table) -> pa.Table:
         seeds, ids, at = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("seeds", np.uint64), ("ids", np.int64), ("places", np.int64)))
-        pack = np.repeat(group["pack"].to_numpy(), [len(x) // 8 for x in group["seeds"].to_pylist()])
+        pack = np.frombuffer(b"".join(group["packs"].to_pylist()), np.int64)
+        if not len(pack):
+            pack = np.repeat(group["pack"].to_numpy(), [len(x) // 8 for x in group["seeds"].to_pylist()])
         order = np.lexsort((pack, ids, seeds))
         seeds, ids, at, pack = seeds[order], ids[order], at[order], pack[order]
         first = np.flatnonzero(np.concatenate((seeds[:1] == seeds[:1], seeds[1:] != seeds[:-1])))
@@ -287,8 +310,8 @@ def unite(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return [(b, e, s) for b, e, s, _ in out if e - b >= MIN_WORDS]
 
 
-def _passages(told: DataFrame, folder: str) -> DataFrame:
-    """doc_id, key, n_words and spans of every document, a pack at a time."""
+def _passages(told: DataFrame, folder: str, tasks: int) -> DataFrame:
+    """doc_id, key, n_words and spans of every document, a pack at a time, in so many tasks: the seeds' bytes don't tell how much of the packs is read."""
     span = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("source", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(span))])
 
@@ -337,11 +360,11 @@ def _passages(told: DataFrame, folder: str) -> DataFrame:
                 for begin, end in align(words, text, p, [x - low for x in q]):
                     pieces.setdefault(r, []).append((begin, end, source))
         spans = [[{"begin": b, "end": e, "source": s} for b, e, s in unite(pieces.get(k, []))] for k in range(own.n)]
-        ids = pa.array(own.ids, mask=own.ids == LAST_ID)
+        ids = pa.array(own.ids, mask=own.nulls)
         give_back()
         return pa.Table.from_batches([batch(schema, ids, own.keys, np.diff(own.starts), spans)])
 
-    return told.groupBy("pack").applyInArrow(find, f"doc_id long, key long, n_words long, spans {SPANS}")
+    return told.repartition(tasks, "pack").groupBy("pack").applyInArrow(find, f"doc_id long, key long, n_words long, spans {SPANS}")
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
@@ -349,12 +372,14 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(32, int(chars / 5.5 * 2 / (WINNOW + 1) * 24) // BUCKET_BYTES)
+    words = int(chars / 5.5)
+    digits = max(5, (int(words * 2 / (WINNOW + 1)) * 24 // BUCKET_BYTES).bit_length())
     folder = scratch(spark, "seed-packs")
     # Packs are written once: the seeds are reread from the shared folder.
-    dealt = cut(_write_packs(docs, folder, buckets), "seeds")
-    told = _first_holders(dealt).unionByName(dealt.where("bucket < 0").select("pack", "seeds", F.lit(b"").alias("holders")))
-    return _passages(told, folder)
+    dealt = cut(_write_packs(docs, folder, digits), "seeds", free=True)
+    told = _first_holders(_dealt_again(dealt, digits)).unionByName(dealt.where("bucket < 0").select("pack", "seeds", F.lit(b"").alias("holders")))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, min(words // PACK_WORDS, MOST_TASKS))
+    return _passages(told, folder, tasks)
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:

@@ -5,17 +5,20 @@ tells which ids go on, and the chunks of those stand in level 1 in the same orde
 A rank directory counts the bitmap's ones before every 512th bit, so id i is read by one
 step a level, without decoding what stands around it.
 
-A file holds the ids of consecutive documents: magic, counts, the documents' ids and starts,
+A file holds the ids of consecutive documents: magic, counts, the documents' ids, which of them are null, and starts,
 then for each level its chunks, bitmap and rank directory. Files are numbered in
 ascending order of doc_id; each is written under another name and renamed, so retried
-tasks leave whole files only.
+tasks leave whole files only. The list of files is a table: where each file's ids start follows from the sums of the tasks (one
+number a task, sent to all) and of the files before it in its task.
 
 Defined results: null text counts as empty, its only id is the end id; rows with equal
-doc_id stand next to each other, ordered by text; null doc_ids come first.
+doc_id stand next to each other, ordered by the first 64 characters of their texts, then by hash; null doc_ids come first. Other columns are not
+read and may have any name. An empty table has no files.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -28,23 +31,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordCache, batch, filesystem, put_file, scratch, small_batches
+from .common import WordCache, batch, cut, filesystem, put_file, scratch, small_batches
 
-MAGIC = b"DACODES1"
+MAGIC = b"DACODES2"
 CHUNK = 8
 STEP = 512
 END_ID = 1
 #: Ids in a file at most, so writing and reading a file take bounded memory; a longer document has a file of its own.
 FILE_IDS = 4_000_000
-NO_ID = np.iinfo(np.int64).min
+#: Tasks that read files back at most; beyond, a task reads several.
+MOST_TASKS = 50_000
 CACHED_WORDS = 450_000
 
 
-def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
-    """The parts of a file. starts: len(doc_ids) + 1 offsets into ids."""
+def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, nulls: np.ndarray | None = None) -> Iterator[bytes]:
+    """The parts of a file. starts: len(doc_ids) + 1 offsets into ids; nulls: which doc_ids are null."""
     levels, rest = [], ids
     while True:
         more = rest >> CHUNK
@@ -55,6 +59,7 @@ def pack(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> Iterator[b
         rest = more[bits]
     yield MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), len(levels))
     yield doc_ids.astype("<i8").tobytes()
+    yield np.packbits(np.zeros(len(doc_ids), bool) if nulls is None else nulls, bitorder="little").tobytes()
     yield starts.astype("<i8").tobytes()
     for chunks, bits in levels:
         ones = np.add.reduceat(bits, np.arange(0, len(bits), STEP), dtype=np.int64) if len(bits) else np.zeros(0, np.int64)
@@ -76,6 +81,8 @@ class TokenFile:
         at = 32
         self.doc_ids = np.frombuffer(data, "<i8", n_docs, at)
         at += 8 * n_docs
+        self.nulls = np.unpackbits(np.frombuffer(data, np.uint8, (n_docs + 7) // 8, at), bitorder="little")[:n_docs].astype(bool)
+        at += (n_docs + 7) // 8
         self.starts = np.frombuffer(data, "<i8", n_docs + 1, at)
         at += 8 * (n_docs + 1)
         self.levels = []
@@ -220,8 +227,8 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> list[tuple[str, int, int]]:
-    """Encode docs into files in ascending doc_id order; (path, documents, ids) of each file, in order."""
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """Encode docs into files in ascending doc_id order; the files: part, file (in order of both), path, docs and ids (how many)."""
     small_batches(docs.sparkSession, 4)
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
@@ -232,6 +239,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         own, root = filesystem(folder)
         part, made = TaskContext.get().partitionId(), 0
         doc_ids: list[int] = []
+        nulls: list[bool] = []
         texts: list[np.ndarray] = []
         held = 0
 
@@ -240,50 +248,53 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             ids = np.concatenate(texts)
             starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])[1::2])).astype(np.int64)
             name = f"{root}/part-{part:06d}-{made:05d}.dac"
-            put_file(own, name, pack(np.array(doc_ids, np.int64), starts, ids))
+            put_file(own, name, pack(np.array(doc_ids, np.int64), starts, ids, np.array(nulls, bool)))
             row = batch(schema, [part], [made], [name.removeprefix(root)], [len(doc_ids)], [len(ids)])
-            doc_ids.clear()
-            texts.clear()
+            for x in (doc_ids, nulls, texts):
+                x.clear()
             made, held = made + 1, 0
             return row
 
         for b in batches:
             flat, at = encoder(tokenizer).encode(b.column("text"))
-            for k, name in enumerate(b.column("doc_id").fill_null(NO_ID).to_pylist()):
+            for k, doc_id in enumerate(b.column("doc_id").to_pylist()):
                 found = flat[at[k] : at[k + 1]]
                 if held and held + len(found) >= FILE_IDS:
                     yield flush()
-                doc_ids.append(name)
+                doc_ids.append(doc_id or 0)
+                nulls.append(doc_id is None)
                 texts += (found, tail)
                 held += len(found) + 1
         if doc_ids:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    files = ordered.mapInArrow(write, "part long, file long, path string, docs long, ids long").collect()
-    return [(folder + f["path"], f["docs"], f["ids"]) for f in sorted(files, key=lambda f: (f["part"], f["file"]))]
+    order = ["doc_id", F.substring("text", 1, 64), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ordered.mapInArrow(write, "part long, file long, path string, docs long, ids long"), "token-files", free=True)
 
 
-def read_token_files(spark, files: list[tuple[str, int, int]]) -> DataFrame:
+def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """A row for each document in the files: doc_id, start, n_tokens, ids_crc32."""
-    begins = np.concatenate(([0], np.cumsum([n for *_, n in files]))).tolist()
-    rows = [(path, begin) for (path, *_), begin in zip(files, begins, strict=False)]
-    listed = spark.createDataFrame(rows or [], "path string, begin long").repartition(max(1, len(rows)))
+    spark = files.sparkSession
+    sums = files.groupBy("part").agg(F.sum("ids").alias("n"), F.count("*").alias("files")).orderBy("part").collect()  # a row a task
+    begins = spark.createDataFrame([(r["part"], sum_) for r, sum_ in zip(sums, itertools.accumulate((r["n"] for r in sums), initial=0), strict=False)], "part long, first long")
+    before = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = max(1, min(sum(r["files"] for r in sums), MOST_TASKS))
+    listed = files.withColumn("before", before).join(F.broadcast(begins), "part").select("path", (F.col("first") + F.col("before")).alias("begin")).repartition(tasks)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
         for b in batches:
             for path, begin in zip(b.column("path").to_pylist(), b.column("begin").to_pylist(), strict=True):
-                fs, name = filesystem(path)
-                with fs.open_input_file(name) as f:
+                with fs.open_input_file(root + path) as f:
                     held = TokenFile(f.read_buffer())
                 sums = [zlib.crc32(held.document(k).astype("<u4").tobytes()) for k in range(len(held.doc_ids))]
-                none = held.doc_ids == NO_ID
-                yield batch(schema, pa.array(held.doc_ids, mask=none), held.starts[:-1] + begin, np.diff(held.starts), sums)
+                yield batch(schema, pa.array(held.doc_ids, mask=held.nulls), held.starts[:-1] + begin, np.diff(held.starts), sums)
 
     return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_codes(docs: DataFrame, tokenizer: str) -> DataFrame:
-    spark = docs.sparkSession
-    return read_token_files(spark, write_token_files(docs, scratch(spark, "tokens"), tokenizer))
+    folder = scratch(docs.sparkSession, "tokens")
+    return read_token_files(write_token_files(docs, folder, tokenizer), folder)

@@ -1,18 +1,25 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-A lexical transducer maps words to classes (insult, threat, target, negation,
-reported speech); insults and their weights are learned as words and word stems from
-labelled rows. Clause transducers (insult, insult at a target, threat, threat at a
-target, with a negated and a reported form of each) are composed with it: a clause
-is read once and each accepting path adds to one count. The logistic weights of the
-paths are fitted on the same labelled rows, so what a negation or a quotation is worth is learned.
+Letter-to-letter transducers with weighted arcs read a text's words:
+
+- the lexical one maps words to classes (insult, threat, target, negation, reported speech, clause and sentence ends);
+  insults and their weights are learned as words and word stems from labelled rows;
+- scope transducers count the words since a negation, a report or a target in their states, and mark the
+  insults and threats that they reach; the one for targets that follow reads a clause from its end.
+
+The scope transducers are composed into one machine for either direction, of the states that can be reached. Together they are
+a bimachine: a clause is read once forwards and, where it has an insult or threat, once backwards, and each
+insult or threat leaves it as the output of one accepting path: its kind and marks, with the weight of its arcs.
+A clause's paths are counted by output. The logistic weights of the counts are fitted on the same labelled rows,
+so what a negation or a quotation is worth is learned.
 
 The grammar is fitted on a bounded sample: at most MAX_TRAINING labelled rows outside
 the held-out fold, those with the lowest hash of their id. Scoring reads every text whole.
 
 Defined results: null text counts as empty; a text without words has the intercept's
 score; without labels of both kinds only the fixed classes match. Rows are never
-merged; a null doc_id is scored and not held out.
+merged; a null doc_id is scored and not held out; equal doc_ids are scored each, and one text of them is learned from.
+Columns other than doc_id and text are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -20,7 +27,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +47,10 @@ STEMS = (4, 5, 6, 7)
 #: Uses in a text that are told apart when keys are learned.
 REPEATS = 3
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, PAUSE = CLASSES = range(8)
+#: Marks that scopes set on an insult or a threat; a symbol is a class with its marks.
+NEGATED, REPORTED, AIMED = 8, 16, 32
+SYMBOLS = [c | m for c in CLASSES for m in (range(0, 64, 8) if c in (INSULT, THREAT) else (0,))]
 #: Words of the closed classes.
 LEXICON = {
     THREAT: "kill hurt destroy beat punch töten schlagen vernichten tuer frapper détruire matar golpear destruir",
@@ -48,13 +59,15 @@ LEXICON = {
     REPORT: "said says quoted reported claimed sagte sagt berichtete dit disait rapporte dijo dice informó",
 }
 CLOSED = {w: k for k, words in LEXICON.items() for w in words.split()}
+#: What ends a sentence, and what only a clause of it.
+STOPS = {**dict.fromkeys(".!?\n", (END, 0.0)), **dict.fromkeys(";:,", (PAUSE, 0.0))}
 #: Words a target or a negation may stand from what it bears on.
 REACH = 6
 PATHS = ("insult", "insult_at_target", "threat", "threat_at_target", "negated", "reported", "weight", "strongest")
 
 
 def lexical(weights: dict[str, float]):
-    """word -> (class, weight): the lexical transducer; a word's own entry counts before its longest known stem."""
+    """word -> (class, weight): the arcs of the lexical transducer's one state; a word's own entry counts before its longest known stem."""
 
     def of(word: str) -> tuple[int, float]:
         if word in CLOSED:
@@ -67,41 +80,95 @@ def lexical(weights: dict[str, float]):
     return of
 
 
-def paths(classes: list[tuple[int, float]]) -> np.ndarray:
-    """Run the composed clause transducers over the classes of a text's tokens.
+@dataclass(frozen=True)
+class Transducer:
+    """A sequential letter-to-letter transducer: of each state and input symbol the next state, the output symbol and the weight. It starts in state 0; every state accepts."""
+
+    arcs: list[dict[int, tuple[int, int, float]]]
+
+    def run(self, symbols: Iterable[int]) -> tuple[list[int], float]:
+        """The output and the weight of the one path that reads the symbols."""
+        state, out, weight = 0, [], 0.0
+        for x in symbols:
+            state, y, w = self.arcs[state][x]
+            out.append(y)
+            weight += w
+        return out, weight
+
+
+def scope(trigger: int, mark: int, reach: int | None, ends: frozenset[int], weight: float = 0.0) -> Transducer:
+    """Marks each insult and threat within `reach` symbols after a trigger (None: any number) unless a symbol of ends is between. States: symbols since the trigger, 0 for none."""
+    last = reach or 1
+    arcs = []
+    for state in range(last + 1):
+        of = {}
+        for x in SYMBOLS:
+            kind, further = x & 7, 0 if not state else state if reach is None else (state + 1) % (last + 1)
+            if kind == trigger:
+                of[x] = (1, x, 0.0)
+            elif kind in ends:
+                of[x] = (0, x, 0.0)
+            elif kind in (INSULT, THREAT) and state:
+                of[x] = (further, x | mark, weight)
+            else:
+                of[x] = (further, x, 0.0)
+        arcs.append(of)
+    return Transducer(arcs)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that reads what first reads and writes what second writes of first's output; weights add. Only states that can be reached."""
+    number, arcs = {(0, 0): 0}, []
+    for p, q in (states := [(0, 0)]):
+        of = {}
+        for x, (p2, y, w) in first.arcs[p].items():
+            q2, z, v = second.arcs[q][y]
+            if (p2, q2) not in number:
+                number[p2, q2] = len(number)
+                states.append((p2, q2))
+            of[x] = (number[p2, q2], z, w + v)
+        arcs.append(of)
+    return Transducer(arcs)
+
+
+CLAUSE = frozenset((END, PAUSE))
+#: A report bears on what follows it in the sentence, also after a comma or colon.
+FORWARD = compose(compose(scope(NEGATION, NEGATED, REACH, CLAUSE), scope(REPORT, REPORTED, None, frozenset((END,)))), scope(TARGET, AIMED, REACH, CLAUSE))
+BACKWARD = scope(TARGET, AIMED, REACH, CLAUSE)
+
+
+def matches(classes: list[int]) -> list[tuple[int, int]]:
+    """(place, symbol) of the insults and threats of a text's classes, as the bimachine writes them."""
+    arcs, state, out = FORWARD.arcs, 0, []
+    marked: list[int] = []
+    begin, found = 0, False
+    for i, x in enumerate(classes):
+        state, y, _ = arcs[state][x]
+        marked.append(y)
+        if x in (INSULT, THREAT):
+            found = True
+        elif x in CLAUSE:
+            if found:
+                out += _backwards(marked, begin)
+            marked, begin, found = [], i + 1, False
+    return out + (_backwards(marked, begin) if found else [])
+
+
+def _backwards(marked: list[int], begin: int) -> list[tuple[int, int]]:
+    whole, _ = BACKWARD.run(reversed(marked))
+    return [(begin + i, y) for i, y in enumerate(reversed(whole)) if y & 7 in (INSULT, THREAT)]
 
-    The state is how far back the last target, negation and report were and the open
-    clause's pending matches; END accepts the pending matches and returns to the start.
-    """
+
+def paths(classes: list[tuple[int, float]]) -> np.ndarray:
+    """Counts of the accepting paths of a text by kind, aim and mark; the sum of their weights and the greatest."""
     out = np.zeros(len(PATHS))
-    target = negation = report = -(REACH + 1)
-    pending: list[tuple[int, float, int, bool, bool]] = []
-
-    def accept() -> None:
-        for kind, weight, at, negated, reported in pending:
-            aimed = abs(target - at) <= REACH
-            out[(0 if kind == INSULT else 2) + aimed] += 1
-            out[4] += negated
-            out[5] += reported
-            out[6] += weight
-            out[7] = max(out[7], weight)
-        pending.clear()
-
-    for i, (kind, weight) in enumerate(classes):
-        if kind == OTHER:
-            continue
-        if kind == END:
-            accept()
-            target = negation = report = -(REACH + 1)
-        elif kind == TARGET:
-            target = i if abs(i - target) > REACH or not pending else target
-        elif kind == NEGATION:
-            negation = i
-        elif kind == REPORT:
-            report = i
-        else:
-            pending.append((kind, weight, i, i - negation <= REACH and negation >= 0, report >= 0))
-    accept()
+    for at, symbol in matches([c for c, _ in classes]):
+        weight = classes[at][1]
+        out[(0 if symbol & 7 == INSULT else 2) + bool(symbol & AIMED)] += 1
+        out[4] += bool(symbol & NEGATED)
+        out[5] += bool(symbol & REPORTED)
+        out[6] += weight
+        out[7] = max(out[7], weight)
     return out
 
 
@@ -164,8 +231,7 @@ def learn_lexicon(rows: DataFrame, least: int = 4, odds: float = 1.5, most: int
 
 
 def _count_paths(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    of, known = lexical(lexicon), {}
-    known |= {c: (END, 0.0) for c in ".!?;:,\n"}
+    of, known = lexical(lexicon), dict(STOPS)
     for b in batches:
         got = np.zeros((b.num_rows, len(PATHS)))
         for i, text in enumerate(b.column("text").to_pylist()):
@@ -176,7 +242,7 @@ def _count_paths(batches: Iterator[pa.RecordBatch], lexicon: dict[str, float]) -
                 found = known.get(word)
                 if found is None:
                     if len(known) > 400_000:
-                        known = {c: (END, 0.0) for c in ".!?;:,\n"}
+                        known = dict(STOPS)
                     found = known[word] = of(word)
                 classes.append(found)
             if any(c[0] in (INSULT, THREAT) for c in classes):
@@ -197,7 +263,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_TRAINING) -> tuple[dict[str, float], np.ndarray]:
     small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, label, most)
+    rows = cut(training_rows(docs, labels, label, most), "toxic-rows")
     lexicon = learn_lexicon(rows)
 
     def counted(batches):

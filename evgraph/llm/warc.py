@@ -2,16 +2,20 @@
 
 Every page becomes one record, compressed as a gzip member of its own, in archives that
 each task writes without moving the pages. The captures (key, page, archive, offset, length)
-are then sorted by reversed-host URL key and cut into compressed blocks of BLOCK lines;
-the directory has one line a block: its first key, place and length. Looking a capture up is a
-binary search in the directory, one block read, a binary search in the block and one range read of the archive.
+are then sorted by reversed-host URL key and cut into compressed blocks of BLOCK lines. Each index file
+ends in its directory, one line a block: first and last key, place and length. A list of the index files (one row a
+task that wrote one) has the keys that each begins and ends with.
+
+Looking keys up is a binary search for the files and in their directories, which gives blocks; then one read of each
+block, a binary search in it, and range reads of the archives. The query reads all records back in this way,
+by distinct key; a key with many captures has many blocks, which are read by different tasks.
 
 Payloads of at least MIN_PAYLOAD bytes that are equal (by SHA-1 and length) are stored once,
 as the response of the largest page_id; the others are revisit records that refer to it.
 
 Defined results: null html is an empty payload, a null url an empty key; rows with equal
 page_id and payload are all responses; null page_ids are kept and never refer to anything but a
-larger id. Archives and index files are renamed into place, so retried tasks leave whole files.
+larger id. Only page_id, url and html are read: other columns may have any name. Archives and index files are renamed into place, so retried tasks leave whole files.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ import gzip
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -33,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import batch, filesystem, put_file, scratch, small_batches
 
 MIN_PAYLOAD = 1000
-#: Captures in an index block.
-BLOCK = 256
+#: Captures in an index block; bytes of records that a task reads back, about; archives that it holds open.
+BLOCK, READ_BYTES, OPEN = 256, 32 << 20, 16
 #: Bytes after which an archive is closed and the next begun.
 ARCHIVE_BYTES = 64 << 20
 #: Revisits up to which their table is broadcast (24 bytes each); beyond, the join shuffles.
@@ -49,7 +54,7 @@ def url_key(url: str | None) -> str:
         host = parts.hostname or ""
         port = f":{parts.port}" if parts.port and parts.port not in (80, 443) else ""
     except ValueError:
-        return (url or "").strip().lower()
+        return re.sub(r"[\t\n]", "%20", (url or "").strip().lower())
     query = f"?{parts.query}" if parts.query else ""
     return ",".join(reversed(host.split("."))) + port + ")" + re.sub(r"[\t\n]", "%20", (parts.path or "/") + query)
 
@@ -143,33 +148,40 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Sorted captures in compressed blocks; the directory: first_key, last_key, path, at, size, n of each block."""
+    """Sorted captures in compressed blocks; the index files: first_key, last_key, path, at and size (of the file's directory), n (its blocks)."""
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
     schema = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("n", pa.int64())])
 
+    def pack(lines: list[tuple]) -> bytes:
+        return gzip.compress("\n".join("\t".join(map(str, x)) for x in lines).encode(), 6, mtime=0)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, place = filesystem(folder)
         name = f"/index-{TaskContext.get().partitionId():06d}.gz"
         lines: list[tuple] = []
         blocks: list[bytes] = []
         found: list[tuple] = []
+        end = 0
 
         def close(chunk: list[tuple]) -> None:
-            block = gzip.compress("\n".join("\t".join(map(str, x)) for x in chunk).encode(), 6, mtime=0)
-            found.append((chunk[0][0], chunk[-1][0], name, sum(map(len, blocks[-1:])) + (found[-1][3] if found else 0), len(block), len(chunk)))
-            blocks.append(block)
+            nonlocal end
+            blocks.append(pack(chunk))
+            found.append((chunk[0][0], chunk[-1][0], end, len(blocks[-1])))
+            end += len(blocks[-1])
 
         for b in batches:
             lines += zip(*(["" if v is None else v for v in b.column(c).to_pylist()] for c in ("key", "page_id", "path", "at", "size")), strict=True)
-            while len(lines) >= BLOCK:
-                close(lines[:BLOCK])
-                del lines[:BLOCK]
+            full = len(lines) - len(lines) % BLOCK
+            for k in range(0, full, BLOCK):
+                close(lines[k : k + BLOCK])
+            del lines[:full]
         if lines:
             close(lines)
         if blocks:
+            blocks.append(pack(found))
             put_file(own, place + name, iter(blocks))
-            yield batch(schema, *map(list, zip(*found, strict=True)))
+            yield batch(schema, [found[0][0]], [found[-1][1]], [name], [end], [len(blocks[-1])], [len(found)])
 
     ordered = captures.repartitionByRange("key", "page_id", "path", "at").sortWithinPartitions("key", "page_id", "path", "at")
     directory = ordered.mapInArrow(write, "first_key string, last_key string, path string, at long, size long, n long")
@@ -178,97 +190,129 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
     return captures.sparkSession.read.schema(directory.schema).parquet(listed)
 
 
-class Captures:
-    """Look captures up in index blocks; the directory's lines are sorted by first key."""
+def unpack(fs, path: str, at: int, size: int) -> list[list[str]]:
+    with fs.open_input_file(path) as f:
+        return [line.split("\t") for line in gzip.decompress(bytes(f.read_at(size, at))).decode().split("\n")]
+
+
+def holding(firsts: list[str], lasts: list[str], key: str) -> range:
+    """Which of the neighbouring ranges, sorted by their first and last keys, may hold the key: two binary searches."""
+    return range(bisect_left(lasts, key), bisect_right(firsts, key))
 
-    def __init__(self, directory: list[tuple], index: str, archives: str):
-        self.directory = sorted(directory, key=lambda d: (d[0], d[2], d[3]))
-        self.firsts = [d[0] for d in self.directory]
+
+class Directories:
+    """The index files, whose directories are read when a key leads there; one is held at a time, as keys come sorted."""
+
+    def __init__(self, files: list[tuple], index: str):
+        self.files = sorted(files, key=lambda f: f[2])  # they are numbered in key order
+        self.firsts, self.lasts = [f[0] for f in self.files], [f[1] for f in self.files]
         self.fs, self.index = filesystem(index)
-        self.archive_fs, self.archives = filesystem(archives)
-        self.held: tuple[int, list[list[str]]] = (-1, [])
-        self.open_file: tuple[str, object] = ("", None)
-
-    def block(self, k: int) -> list[list[str]]:
-        if self.held[0] != k:
-            _, _, path, at, size, _ = self.directory[k]
-            with self.fs.open_input_file(self.index + path) as f:
-                data = f.read_at(size, at)
-            self.held = (k, [line.split("\t") for line in gzip.decompress(bytes(data)).decode().split("\n")])
-        return self.held[1]
-
-    def find(self, key: str) -> Iterator[list[str]]:
-        """All captures of a key: those of the last block that begins before it, and on while blocks begin with it."""
-        k = max(0, bisect_right(self.firsts, key) - 1)
-        while k > 0 and self.firsts[k] == key:
-            k -= 1
-        while k < len(self.firsts) and self.firsts[k] <= key:
-            lines = self.block(k)
-            at = bisect_right(lines, key, key=lambda x: x[0])
-            low = at
-            while low and lines[low - 1][0] == key:
-                low -= 1
-            yield from lines[low:at]
-            k += 1
-
-    def read(self, capture: list[str]) -> dict:
-        _, _, path, at, size = capture
-        if self.open_file[0] != path:
-            self.open_file = (path, self.archive_fs.open_input_file(self.archives + path))
-        return parse_record(bytes(self.open_file[1].read_at(int(size), int(at))))
-
-
-def read_through_index(directory: DataFrame, index: str, archives: str) -> DataFrame:
-    """Read every record back: each task takes index blocks, looks each distinct key up, and range-reads the archives.
-
-    A block's captures are read by the task that has the block, so a key that spans blocks is read once.
+        self.held: tuple[int, list[str], list[str], list[list[str]]] = (-1, [], [], [])
+
+    def find(self, key: str) -> Iterator[tuple[str, int, int]]:
+        """(path, at, size) of the blocks that may hold captures of the key."""
+        for k in holding(self.firsts, self.lasts, key):
+            _, _, path, at, size, _ = self.files[k]
+            if self.held[0] != k:
+                lines = unpack(self.fs, self.index + path, at, size)
+                self.held = (k, [x[0] for x in lines], [x[1] for x in lines], lines)
+            for j in holding(self.held[1], self.held[2], key):
+                yield path, int(self.held[3][j][2]), int(self.held[3][j][3])
+
+
+def captures_in(lines: list[list[str]], key: str) -> list[list[str]]:
+    """A key's captures (key, page_id, path, at, size) in a block's lines, by binary search."""
+    return lines[bisect_left(lines, key, key=lambda x: x[0]) : bisect_right(lines, key, key=lambda x: x[0])]
+
+
+def locate(directory: DataFrame, keys: DataFrame, index: str) -> DataFrame:
+    """key, path, at, size: the index blocks that may hold captures of each distinct key.
+
+    The list of index files is sent to all tasks: as many rows as tasks wrote the index. Keys are sorted, so a task
+    reads the directories of its range of keys only.
     """
+    sent = directory.sparkSession.sparkContext.broadcast([tuple(r) for r in directory.collect()])
+    schema = pa.schema([("key", pa.string()), ("path", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directories = Directories(sent.value, index)
+        for b in batches:
+            for some in range(0, b.num_rows, BLOCK):
+                found = [(key, *place) for key in b.column("key")[some : some + BLOCK].to_pylist() for place in directories.find(key)]
+                if found:
+                    yield batch(schema, *map(list, zip(*found, strict=True)))
+
+    distinct = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    return distinct.mapInArrow(search, "key string, path string, at long, size long")
+
+
+def _searched(fs, index: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[list[str]]]]:
+    """Of rows of locate(), sorted by block: each key with its captures there. A block is read once."""
+    held, lines = None, []
+    for b in batches:
+        for key, path, at, size in zip(*(b.column(c).to_pylist() for c in ("key", "path", "at", "size")), strict=True):
+            if held != (path, at):
+                held, lines = (path, at), unpack(fs, index + path, at, size)
+            yield key, captures_in(lines, key)
+
+
+def read_through_index(directory: DataFrame, keys: DataFrame, index: str, archives: str, tasks: int) -> DataFrame:
+    """Look each distinct key up and read its records back, a range of an archive each, in so many tasks."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mine = list(zip(*(b.column(c).to_pylist() for c in ("first_key", "last_key", "path", "at", "size", "n")), strict=True))
-            captures = Captures(mine, index, archives)
-            for k in range(len(mine)):
-                out = []
-                for capture in sorted(captures.block(k), key=lambda c: (c[2], int(c[3]))):
-                    r = captures.read(capture)
-                    if r["payload"] is None:
-                        digest = base64.b32decode(r["WARC-Payload-Digest"][5:]).hex()
-                    else:
-                        digest = hashlib.sha1(r["payload"]).hexdigest()
-                    refers = _number(r["WARC-Refers-To"]) if "WARC-Refers-To" in r else None
-                    out.append((_number(r["WARC-Record-ID"]), r["payload_bytes"], digest, r["WARC-Type"], refers))
+        index_fs, root = filesystem(index)
+        archive_fs, place = filesystem(archives)
+        opened: OrderedDict[str, pa.NativeFile] = OrderedDict()
+        out: list[tuple] = []
+        for _, found in _searched(index_fs, root, batches):
+            for _, _, path, at, size in sorted(found, key=lambda c: (c[2], int(c[3]))):
+                if path not in opened:
+                    opened[path] = archive_fs.open_input_file(place + path)
+                    if len(opened) > OPEN:
+                        opened.popitem(last=False)[1].close()
+                opened.move_to_end(path)
+                r = parse_record(bytes(opened[path].read_at(int(size), int(at))))
+                if r["payload"] is None:
+                    digest = base64.b32decode(r["WARC-Payload-Digest"][5:]).hex()
+                else:
+                    digest = hashlib.sha1(r["payload"]).hexdigest()
+                refers = _number(r["WARC-Refers-To"]) if "WARC-Refers-To" in r else None
+                out.append((_number(r["WARC-Record-ID"]), r["payload_bytes"], digest, r["WARC-Type"], refers))
+            if len(out) >= BLOCK:
                 yield batch(schema, *map(list, zip(*out, strict=True)))
+                out = []
+        if out:
+            yield batch(schema, *map(list, zip(*out, strict=True)))
 
-    return directory.repartition("first_key", "path", "at").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    blocks = locate(directory, keys, index).repartition(tasks, "path", "at").sortWithinPartitions("path", "at")
+    return blocks.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
-def look_up(directory: DataFrame, urls: DataFrame, index: str, archives: str) -> DataFrame:
-    """(key, page_id) of the captures of each distinct url.
+def look_up(directory: DataFrame, urls: DataFrame, index: str) -> DataFrame:
+    """(key, page_id) of the captures of the urls' distinct keys."""
+    schema = pa.schema([("key", pa.string())])
 
-    Keys meet only the blocks whose range holds them: both sides are ranges of the sorted directory,
-    so the directory's first keys (one for each BLOCK captures) are searched within tasks.
-    """
-    lines = [tuple(r) for r in directory.collect()]
-    sent = directory.sparkSession.sparkContext.broadcast(lines)
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(schema, [url_key(u) for u in b.column("url").to_pylist()])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        captures = Captures(sent.value, index, archives)
-        schema = pa.schema([("url", pa.string()), ("page_id", pa.int64())])
-        for b in batches:
-            found = [(u, int(c[1]) if c[1] else None) for u in b.column("url").to_pylist() for c in captures.find(url_key(u))]
-            if found:
-                yield batch(schema, *map(list, zip(*found, strict=True)))
+        fs, root = filesystem(index)
+        for key, found in _searched(fs, root, batches):
+            ids = [int(c[1]) if c[1] else None for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(ids), pa.string()), pa.array(ids, pa.int64())], names=["key", "page_id"])
 
-    return urls.select("url").distinct().mapInArrow(search, "url string, page_id long")
+    blocks = locate(directory, urls.select(F.col("url").cast("string")).mapInArrow(keyed, "key string"), index)
+    return blocks.sortWithinPartitions("path", "at").mapInArrow(search, "key string, page_id long")
 
 
 def warc(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     archives, index = scratch(spark, "warc"), scratch(spark, "warc-index")
-    directory = write_index(write_archives(pages, archives), index)
-    return read_through_index(directory, index, archives)
+    captures = write_archives(pages, archives)
+    tasks = max(spark.sparkContext.defaultParallelism, (captures.agg(F.sum("size")).first()[0] or 0) // READ_BYTES)
+    return read_through_index(write_index(captures, index), captures, index, archives, tasks)
 
 
 ORACLE_SQL = """

@@ -19,23 +19,17 @@ def numbered_lines(files: DataFrame, keys: list[str], text: str) -> DataFrame:
 def markdown_sections(files: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, section, heading (null before the first), start_line, end_line, content of each section.
 
-    One fold over a file's lines, so no line is shuffled.
+    A section begins at the first line and at each heading; its lines are a slice of the file's.
     """
-    empty = F.array().cast("array<struct<heading: string, start: int, lines: array<string>>>")
-    none = F.lit(None).cast("string")
-
-    def step(sections: Column, x: Column) -> Column:
-        begins = t.is_heading(x["line"])
-        fresh = F.array(F.struct(F.when(begins, F.trim(x["line"])).otherwise(none).alias("heading"), x["no"].alias("start"), F.array(x["line"]).alias("lines")))
-        last = F.element_at(sections, -1)
-        grown = F.array(F.struct(last["heading"].alias("heading"), last["start"].alias("start"), F.concat(last["lines"], F.array(x["line"])).alias("lines")))
-        return F.when(begins | (F.size(sections) == 0), F.concat(sections, fresh)).otherwise(F.concat(F.slice(sections, 1, F.size(sections) - 1), grown))
-
-    numbered = F.transform(t.lines(F.col(text)), lambda line, i: F.struct((i + 1).cast("int").alias("no"), line.alias("line")))
-    spread = files.select(*keys, F.posexplode(F.aggregate(numbered, empty, step)).alias("section", "s"))
-    return spread.select(
-        *keys, "section", "s.heading", F.col("s.start").alias("start_line"), (F.col("s.start") + F.size("s.lines") - 1).alias("end_line"), F.array_join("s.lines", "\n").alias("content")
-    )
+    split = files.select(*keys, F.explode(F.array(t.lines(F.col(text)))).alias("lines"))
+    every = F.sequence(F.lit(1), F.size("lines"))
+    starts = F.filter(every, lambda no: (no == 1) | t.is_heading(F.get("lines", no - 1)))
+    placed = split.select(*keys, "lines", F.explode(F.array(starts)).alias("starts"))
+    spread = placed.select(*keys, "lines", "starts", F.posexplode("starts").alias("section", "start_line"))
+    end = F.coalesce(F.get("starts", F.col("section") + 1) - 1, F.size("lines"))
+    first = F.get("lines", F.col("start_line") - 1)
+    body = F.array_join(F.slice("lines", F.col("start_line"), end - F.col("start_line") + 1), "\n")
+    return spread.select(*keys, "section", F.when(t.is_heading(first), F.trim(first)).alias("heading"), "start_line", end.alias("end_line"), body.alias("content"))
 
 
 def pack_lines(text: Column, first_line: Column, most: int = CHUNK_CHARS) -> Column:

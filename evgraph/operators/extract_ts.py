@@ -16,11 +16,11 @@ from ..functions.text import lines
 CLIENTS, ROUTERS, VERBS = "axios|apiClient|api|http|client", "app|router", "get|post|put|delete|patch"
 
 IMPORT = r"""^\s*import\b(?:.*?\bfrom\s*)?\s*['"]([^'"]+)['"]"""
-REACT_ROUTE = r"""<Route\b[^>]*\bpath\s*=\s*\{?['"]([^'"]+)['"]"""
-ROUTE_ELEMENT = r"\b(?:element\s*=\s*\{\s*<|component\s*=\s*\{\s*)([A-Za-z_]\w*)"
-EXPRESS = rf"""\b(?:{ROUTERS})\.({VERBS})\s*\(\s*['"`]([^'"`]+)['"`]"""
-CLIENT_CALL = rf"""\b(?:{CLIENTS})\.({VERBS})\s*(?:<[^>]*>)?\s*\(\s*['"`]([^'"`]+)['"`]"""
-FETCH = r"""\bfetch\s*\(\s*['"`]([^'"`]+)['"`]"""
+REACT_ROUTE = r"""(?i)<Route\b[^>]*\bpath\s*=\s*\{?['"]([^'"]+)['"]"""
+ROUTE_ELEMENT = r"(?i)\b(?:element\s*=\s*\{\s*<|component\s*=\s*\{\s*)([A-Za-z_]\w*)"
+EXPRESS = rf"""(?i)\b(?:{ROUTERS})\.({VERBS})\s*\(\s*['"`]([^'"`]+)['"`]"""
+CLIENT_CALL = rf"""(?i)\b(?:{CLIENTS})\.({VERBS})\s*(?:<[^>]*>)?\s*\(\s*['"`]([^'"`]+)['"`]"""
+FETCH = r"""(?i)\bfetch\s*\(\s*['"`]([^'"`]+)['"`]"""
 TYPE = r"^\s*(export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?(interface|class|type|enum)\s+([A-Za-z_$][\w$]*)"
 FUNCTION = r"^\s*(export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*[(<]"
 ARROW = r"^\s*(export\s+)?(?:default\s+)?const\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>"
@@ -28,19 +28,21 @@ FACT = "struct<fact: string, kind: string, name: string, detail: string, exporte
 
 
 def code_lines(text: Column) -> Column:
-    """Array of (no, line) without comment lines. A line that opens a block is skipped, and so is the one that closes it."""
+    """Array of (no, line) without comment lines. A line that opens a block is skipped, and so is the one that closes it.
 
-    def step(state: Column, x: Column) -> Column:
-        trimmed = F.ltrim(x["line"])
-        opens, closes = trimmed.startswith("/*"), x["line"].contains("*/")
+    The fold keeps a letter a line (i: in a block or the one that opens or closes it), not the lines.
+    """
+
+    def step(state: Column, line: Column) -> Column:
+        opens, closes = F.ltrim(line).startswith("/*"), line.contains("*/")
         inside = F.when(state["inside"], ~closes).otherwise(opens & ~closes)
-        kept = ~state["inside"] & ~opens & ~trimmed.startswith("//")
-        out = F.when(kept, F.concat(state["out"], F.array(x))).otherwise(state["out"])
-        return F.struct(inside.alias("inside"), out.alias("out"))
+        return F.struct(inside.alias("inside"), F.concat(state["marks"], F.when(state["inside"] | opens, "i").otherwise("-")).alias("marks"))
 
+    marks = F.split(F.aggregate(lines(text), F.struct(F.lit(False).alias("inside"), F.lit("").alias("marks")), step, lambda s: s["marks"]), "")
     numbered = F.transform(lines(text), lambda line, i: F.struct((i + 1).cast("int").alias("no"), line.alias("line")))
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<no: int, line: string>>").alias("out"))
-    return F.aggregate(numbered, start, step, lambda s: s["out"])
+    marked = F.zip_with(numbered, marks, lambda x, m: F.struct(x["no"].alias("no"), x["line"].alias("line"), m.alias("mark")))
+    kept = F.filter(marked, lambda x: (x["mark"] == "-") & ~F.ltrim(x["line"]).startswith("//"))
+    return F.transform(kept, lambda x: F.struct(x["no"].alias("no"), x["line"].alias("line")))
 
 
 def _fact(fact: str, kind: Column | str, name: Column, detail: Column | None = None, exported: Column | None = None) -> Column:

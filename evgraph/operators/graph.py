@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import settle
+
 
 def neighbours(edges: DataFrame, source: str = "source_id", target: str = "target_id") -> DataFrame:
     """node, upstream and downstream: sorted distinct neighbours of every node with an edge."""
@@ -27,34 +29,37 @@ def incoming(edges: DataFrame, node: str) -> DataFrame:
     return edges.where(F.lower("target_id") == node.lower())
 
 
-def trace(edges: DataFrame, start: str, goal: str, most: int = 32, checkpoint_every: int = 4) -> DataFrame:
+def trace(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """step and node of a shortest undirected path from start to goal, ignoring case; first edge (seq) wins. Both ends alone if there is none.
 
-    Breadth-first: a frontier is joined with the edges it touches, and nodes that were reached before are
-    anti-joined away. The reached nodes stay a DataFrame and are cut every few steps.
+    Breadth-first until the goal is met or no node is new, however far: a frontier is joined with the edges it touches, and nodes that were
+    reached before are anti-joined away. The edges and each step's nodes are written, so lineage stays short and nothing is held in memory;
+    the way back reads one step's nodes at a time.
     """
     spark = edges.sparkSession
     a, b = start.lower(), goal.lower()
     e = edges.select(F.lower("source_id").alias("u"), F.lower("target_id").alias("v"), "seq")
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "seq")).persist()
-    reached = spark.createDataFrame([(a, None, 0)], "node string, parent string, step int")
-    frontier, found = reached, a == b
-    for step in range(1, most + 1):
-        if found:
-            break
-        nxt = frontier.join(both, frontier["node"] == both["u"]).groupBy("v").agg(F.min_by("u", "seq").alias("parent"))
-        nxt = nxt.join(reached.select(F.col("node").alias("v")), "v", "left_anti").select(F.col("v").alias("node"), "parent", F.lit(step).alias("step"))
-        nxt = nxt.checkpoint() if spark.sparkContext.getCheckpointDir() and step % checkpoint_every == 0 else nxt.persist()
+    both = settle(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "seq")), "trace-edges")
+    reached = spark.createDataFrame([(a, None)], "node string, parent string")
+    steps, found = [reached], a == b
+    while not found:
+        nxt = steps[-1].join(both, steps[-1]["node"] == both["u"]).groupBy("v").agg(F.min_by("u", "seq").alias("parent"))
+        nxt = settle(nxt.join(reached.select(F.col("node").alias("v")), "v", "left_anti").select(F.col("v").alias("node"), "parent"), "trace-step")
         met = nxt.agg(F.max((F.col("node") == b).cast("int"))).first()[0]
         if met is None:
-            break
-        found, reached, frontier = bool(met), reached.unionByName(nxt), nxt
-    if not found:
-        both.unpersist()
-        return spark.createDataFrame([(0, start), (1, goal)], "step int, node string")
-    path, at = [], b
-    while at is not None:  # as many lookups as the path is long
-        path.append(at)
-        at = reached.where(F.col("node") == at).select("parent").first()[0]
-    both.unpersist()
+            return spark.createDataFrame([(0, start), (1, goal)], "step int, node string")
+        found, reached = bool(met), reached.unionByName(nxt)
+        steps.append(nxt)
+    path = [b]
+    for nodes in reversed(steps[1:]):
+        path.append(nodes.where(F.col("node") == path[-1]).select("parent").first()[0])
     return spark.createDataFrame(list(enumerate(reversed(path))), "step int, node string")
+
+
+def trace_edges(edges: DataFrame, path: DataFrame) -> DataFrame:
+    """step, source_id, target_id and the other columns of the edges between a path's neighbours, in either direction: of each pair the first (seq)."""
+    low = path.select("step", F.lower("node").alias("node"))
+    hops = low.join(low.select((F.col("step") - 1).alias("step"), F.col("node").alias("next")), "step")
+    ends = F.least(F.lower("source_id"), F.lower("target_id")), F.greatest(F.lower("source_id"), F.lower("target_id"))
+    met = edges.withColumns({"_a": ends[0], "_b": ends[1]}).join(F.broadcast(hops), (F.col("_a") == F.least("node", "next")) & (F.col("_b") == F.greatest("node", "next")))
+    return met.groupBy("step").agg(F.min_by(F.struct(*edges.columns), "seq").alias("e")).select("step", "e.*")

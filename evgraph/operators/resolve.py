@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.files import settle
 from .ordered import first_per_key
 
 EXACT, HIGH, MEDIUM = 1.0, 0.85, 0.65
@@ -64,10 +65,17 @@ def best_alias(table: DataFrame, by: list[str]) -> DataFrame:
     return table.groupBy(*by).agg(F.max_by("id", F.struct("is_type", "seq")).alias("id"))
 
 
-def look_up(df: DataFrame, key: Column, table: DataFrame, alias: str) -> DataFrame:
-    """Adds the id of a key: of the same file first, else of the analysis."""
+def settled_aliases(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The best id of each key in a file and in the analysis, written once for all lookups."""
+    table = aliases(symbols)
     local = best_alias(table, ["analysis_id", "path", "key"]).select(F.col("analysis_id").alias("_a"), F.col("path").alias("_p"), F.col("key").alias("_k"), F.col("id").alias("_local"))
     every = best_alias(table, ["analysis_id", "key"]).select(F.col("analysis_id").alias("_b"), F.col("key").alias("_m"), F.col("id").alias("_every"))
+    return settle(local, "aliases-of-files"), settle(every, "aliases")
+
+
+def look_up(df: DataFrame, key: Column, table: tuple[DataFrame, DataFrame], alias: str) -> DataFrame:
+    """Adds the id of a key: of the same file first, else of the analysis."""
+    local, every = table
     asked = df.withColumn("_key", F.lower(key))
     asked = asked.join(local, (asked["analysis_id"] == F.col("_a")) & (asked["path"] == F.col("_p")) & (F.col("_key") == F.col("_k")), "left")
     asked = asked.join(every, (asked["analysis_id"] == F.col("_b")) & (F.col("_key") == F.col("_m")), "left")
@@ -78,8 +86,8 @@ def csharp(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of C# facts, with names resolved across files."""
     seq = _seq(20, F.col("path"), F.col("line"), F.col("seq"))
     facts = facts.withColumn("order", seq)
-    symbols = facts.where("fact = 'symbol'").withColumn("id", symbol_id(F.col("kind"), F.col("name"))).select("analysis_id", "path", "kind", "name", "container", "namespace", "detail", "line", "end_line", "id", F.col("order").alias("seq"))
-    table = aliases(symbols)
+    symbols = facts.where("fact = 'symbol'").withColumn("id", symbol_id(F.col("kind"), F.col("name"))).select("analysis_id", "path", "kind", "name", "container", "namespace", "target", "detail", "line", "end_line", "id", F.col("order").alias("seq"))
+    table = settled_aliases(symbols)
     at = (F.col("path"), F.col("line"), F.col("end_line"))
     nodes = [_node(symbols, F.col("id"), F.col("name"), F.col("kind"), F.col("seq"), *at, Namespace=F.col("namespace"), Container=F.col("container"), Modifiers=F.col("detail"))]
     sources = facts.select("analysis_id", "path").distinct()
@@ -115,10 +123,10 @@ def csharp(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     edge(tabled, "s", "t", "MapsTo", EXACT, F.concat_ws(" ", "target", "detail"))
     related = pick("relation").withColumn("s", entity(F.col("name")))
     # The dependent is named by a type or by a navigation, whose property tells the type.
-    navigated = symbols.where("kind = 'Property'").select(F.col("analysis_id").alias("_a"), F.lower("container").alias("_c"), F.lower("name").alias("_n"), F.regexp_extract("detail", "x^", 0).alias("_none"))
-    related = related.join(navigated.drop("_none").distinct(), (related["analysis_id"] == F.col("_a")) & (F.lower(related["name"]) == F.col("_c")) & (F.lower(related["target"]) == F.col("_n")), "left")
-    singular = F.regexp_replace(F.col("target"), "s$", "")
-    edge(related.withColumn("t", entity(F.when(F.col("_n").isNotNull(), singular).otherwise(F.col("target")))), "s", "t", "DependsOn", EXACT, F.concat_ws(" -> ", "name", "target"), Multiplicity=F.col("kind"), ForeignKey=F.col("detail"))
+    element = F.regexp_extract("target", r"(\w+)[\s>\[\]?]*$", 1)
+    navigated = symbols.where("kind = 'Property'").groupBy(F.col("analysis_id").alias("_a"), F.lower("container").alias("_c"), F.lower("name").alias("_n")).agg(F.min_by(element, "seq").alias("_type"))
+    related = related.join(navigated, (related["analysis_id"] == F.col("_a")) & (F.lower(related["name"]) == F.col("_c")) & (F.lower(related["target"]) == F.col("_n")), "left")
+    edge(related.withColumn("t", entity(F.coalesce("_type", "target"))), "s", "t", "DependsOn", EXACT, F.concat_ws(" -> ", "name", "target"), Multiplicity=F.col("kind"), ForeignKey=F.col("detail"))
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 

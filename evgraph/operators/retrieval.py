@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -34,20 +35,22 @@ def top_k(vectors: DataFrame, query: list[float], k: int = TOP, vector: str = "e
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, scope: list[str] | None = None, vector: str = "embedding", order: str = "id") -> DataFrame:
     """query_id, order, distance and rank of the k rows nearest to each query, within its scope.
 
-    Queries are a stated, counted set: they go to every task, where each keeps its own k nearest for each
-    query (as a bounded heap would), and only those are ranked together.
+    Queries go to every task in blocks of BROADCAST_QUERIES, so each block is a stated set against all rows. The rank within a query is
+    limited in each task before the exchange (Spark's partial group limit), as a bounded heap would.
     """
     sides = queries.select(F.col("query_id"), F.col("query"), *(F.col(c).alias(f"_{c}") for c in scope or []))
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        sides = F.broadcast(sides)
-    on = F.lit(True)
-    for c in scope or []:
-        on = on & (F.col(c) == F.col(f"_{c}"))
-    met = vectors.where(F.col(vector).isNotNull()).join(sides, on)
-    near = met.select("query_id", order, cosine_distance(F.col(vector), F.col("query")).alias("distance")).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("query_id", "_part").orderBy("distance", order)
-    kept = near.withColumn("_r", F.row_number().over(within)).where(F.col("_r") <= k).drop("_r", "_part")
-    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", order))).where(F.col("rank") <= k)
+    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
+    nearest = Window.partitionBy("query_id").orderBy("distance", order)
+    found = []
+    for n in range(blocks):
+        block = sides if blocks == 1 else sides.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        on = F.lit(True)
+        for c in scope or []:
+            on = on & (F.col(c) == F.col(f"_{c}"))
+        met = vectors.where(F.col(vector).isNotNull()).join(F.broadcast(block), on)
+        near = met.select("query_id", order, cosine_distance(F.col(vector), F.col("query")).alias("distance"))
+        found.append(near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
 
 
 def evidence(rows: DataFrame, path: str | None, symbol: str | None, text: str | None, least: float) -> DataFrame:

@@ -318,7 +318,7 @@ def split_sentences(spark, d):
 
 
 @query(r"""
-SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS n_links, len(list_distinct(regexp_extract_all(html, '([A-Za-z0-9_./\\-]+\.(?:csproj|cs|ts|json|js|xml|sln|sql|md|yml|yaml))\b', 1))) AS n_files FROM pages
+SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS n_links, len(list_distinct(regexp_extract_all(html, '(?i)([a-z0-9_./\\-]+\.(?:csproj|cs|ts|json|js|xml|sln|sql|md|yml|yaml))\b', 1))) AS n_files FROM pages
 """)
 def extract_refs(spark, d):
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))
@@ -363,11 +363,6 @@ def markdown_sections(spark, d):
     return cut.select("doc_id", "section", "start_line", "end_line", F.sha2("content", 256).alias("sha"))
 
 
-@query()
-def line_pack(spark, d):
-    return chunks.packed(table(spark, d, "documents"), ["doc_id"], "text").select("doc_id", "piece", "start_line", "end_line", F.length("content").alias("chars"))
-
-
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderpriority = '1-URGENT' THEN 5 WHEN o_orderpriority = '2-HIGH' THEN 65 WHEN o_orderpriority = '3-MEDIUM' THEN 100 ELSE 10 END AS percent FROM orders")
 def stage_progress(spark, d):
     p = F.col("o_orderpriority")
@@ -439,27 +434,6 @@ def evidence_retrieve(spark, d):
     return retrieval.evidence_band(retrieval.evidence(_evidence(spark, d), "src1", "en", None, 0.5))
 
 
-def _answers(spark, d):
-    """Assistants' turns as answers that cite what the user's turn before them and a benchmark item say."""
-    turns = table(spark, d, "conversations")
-    said = turns.where("role = 'assistant'").select(
-        F.concat_ws("-", "conv_id", "turn").alias("answer_id"), F.concat(F.col("text"), F.lit(" See `"), F.regexp_extract("text", r"([A-Za-z]{3,})", 1), F.lit("` in notes.md. Also `Absent"), F.col("turn").cast("string"), F.lit("` matters.")).alias("answer")
-    )
-    chunk = turns.select(F.concat_ws("-", "conv_id", F.col("turn") + F.when(F.col("role") == "user", 1).otherwise(0)).alias("answer_id"), F.lit("docs/notes.md").alias("file_path"), F.col("role").alias("symbol"), F.col("text").alias("content"))
-    return said, chunk.withColumn("confidence", F.lit(0.85)).withColumn("similarity", F.lit(0.7))
-
-
-@query()
-def validate_claims(spark, d):
-    return grounding.validate(*_answers(spark, d))
-
-
-@query()
-def uncertain_answers(spark, d):
-    answers, chunk = _answers(spark, d)
-    return grounding.apply_policy(grounding.check_claims(answers, chunk))
-
-
 @query("""
 WITH e AS (SELECT event_id, value / 1000 AS s, (event_id % 5) / 4.0 AS m, event_id % 4 AS n, CASE event_id % 4 WHEN 0 THEN 'FullySupported' WHEN 1 THEN 'PartiallySupported' WHEN 2 THEN 'Unsupported' ELSE 'InsufficientEvidence' END AS st, event_id % 3 = 0 AS rej FROM events),
 q AS (SELECT *, 0.4 * least(greatest(s, 0), 1) + 0.4 * least(greatest(m, 0), 1) + 0.2 * CASE WHEN n >= 3 THEN 1.0 WHEN n = 2 THEN 0.9 ELSE 0.8 END AS ql,
@@ -495,11 +469,6 @@ def trace_distance(spark, d):
     return graph.trace(place_edges(spark, d), "supplier:3", "customer:1").agg(F.max("step").cast("long").alias("distance"))
 
 
-@query()
-def trace_path(spark, d):
-    return graph.trace(place_edges(spark, d), "Supplier:3", "CUSTOMER:1")
-
-
 @query(f"WITH e AS ({_EDGES}), n AS (SELECT source_id AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT target_id, 0, 1 FROM e) SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM n GROUP BY node")
 def node_degrees(spark, d):
     return graph.degrees(place_edges(spark, d))
@@ -578,14 +547,8 @@ def typescript_facts(spark, d):
     return extract_ts.facts(_sources(spark, d)[2]).select("path", "line", "fact", "name")
 
 
-@query("SELECT 'p' || p_partkey || '/package.json' AS path, p_name AS name, CAST(p_size AS VARCHAR) AS version, 1 AS line FROM part WHERE p_partkey < 500")
-def npm_packages(spark, d):
-    """The first parts' manifests only, as its SQL has it; all_npm_packages reads every part's."""
-    return extract_manifest.npm(_sources(spark, d)[3].where("p_partkey < 500"))[0].select("path", "name", "version", "line")
-
-
 @query("SELECT 'p' || p_partkey || '/package.json' AS path, p_name AS name, CAST(p_size AS VARCHAR) AS version, 1 AS line FROM part")
-def all_npm_packages(spark, d):
+def npm_packages(spark, d):
     return extract_manifest.npm(_sources(spark, d)[3])[0].select("path", "name", "version", "line")
 
 
@@ -610,14 +573,8 @@ def repository_graph(spark, d):
     return edges.where(outside).select("source_id", "type", "target_id")
 
 
-@query("SELECT 'j' || n_nationkey AS job, CASE WHEN n_nationkey % 2 = 1 THEN 'first' ELSE '' END AS needs, 'n' || n_regionkey AS runs_on FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'first', '', 'u' FROM nation WHERE n_nationkey < 3")
-def workflow_jobs(spark, d):
-    """The first nations' workflows only, as its SQL has it; all_workflow_jobs reads every nation's."""
-    return _jobs(table(spark, d, "nation").where("n_nationkey < 3"), F.lit("job"))
-
-
 @query("SELECT 'j' || n_nationkey AS job, CASE WHEN n_nationkey % 2 = 1 THEN 'first' ELSE '' END AS needs, 'n' || n_regionkey AS runs_on FROM nation UNION ALL SELECT 'first', '', 'u' FROM nation")
-def all_workflow_jobs(spark, d):
+def workflow_jobs(spark, d):
     """An analysis for each nation, as the reference reads three workflow files of one analysis."""
     return _jobs(table(spark, d, "nation"), F.concat(F.lit("job"), "n_nationkey"))
 

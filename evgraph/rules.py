@@ -13,10 +13,10 @@ from .functions import paths
 IGNORED_ANALYSIS = ".git .vs .vscode .idea bin obj node_modules dist build coverage out target .next .nuxt .output tmp temp artifacts secrets .secrets".split()
 IGNORED_INGEST = ".git .svn .hg .vs .vscode .idea bin obj node_modules dist build out coverage packages __pycache__ .pytest_cache .next .nuxt target vendor .terraform".split()
 IGNORED_CLASSIFIER = "node_modules bin obj dist build packages vendor __pycache__".split()
-#: Endings the ingest scan leaves out (binaries, archives, images, media, office files, maps).
+#: Endings the ingest scan leaves out (programs, archives, media, documents, compiled and minified files).
 IGNORED_ENDINGS = (
-    "dll exe pdb so dylib bin obj o a lib class jar war zip tar gz tgz rar 7z bz2 xz png jpg jpeg gif bmp ico webp svg tif tiff mp3 mp4 wav avi mov mkv flac ogg webm "
-    "pdf doc docx xls xlsx ppt pptx odt woff woff2 ttf eot otf map lock cache db sqlite nupkg snupkg min.js min.css"
+    "exe dll so dylib pdb class jar war wasm zip tar gz tgz bz2 7z rar png jpg jpeg gif ico svg bmp webp mp3 mp4 wav avi mov mkv "
+    "pdf doc docx xls xlsx ppt pptx min.js min.css map pyc pyo"
 ).split()
 GENERATED_ENDINGS = ".g.cs .g.i.cs .assemblyinfo.cs .assemblyattributes.cs .designer.cs".split()
 #: Category by ending, in order; the first that has it wins.

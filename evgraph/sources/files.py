@@ -16,9 +16,11 @@ from ..functions import paths
 from ..rules import any_of, when_chain
 
 #: Limits of an archive.
-MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_ARCHIVE_BYTES, LEAST_ARCHIVE_BYTES = 10_000, 50 << 20, 200 << 20, 22
+MOST_ENTRIES, MOST_ENTRY_BYTES, MOST_ARCHIVE_BYTES, LEAST_ARCHIVE_BYTES = 10_000, 50 << 20, 200 << 20, 4
 SIGNATURES = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
-SHELL = ";|&`$<>(){}\\\n\r'\" "
+SHELL = " \n\r;&|`$"
+#: Where written tables lie if the session names no shared folder: one machine, as in tests.
+LOCAL_SHARED = "file:///tmp/checkpoints/evgraph-tables"
 
 
 def read_directory(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -44,9 +46,9 @@ def url_problem(url: Column) -> Column:
     return when_chain(
         [
             (F.coalesce(u, F.lit("")) == "", "The address is empty."),
-            (shell, "The address has characters that aren't allowed."),
-            (~u.rlike("^https?://"), "The address is not http or https."),
-            (~u.rlike(r"^https?://[A-Za-z0-9.-]+(:\d+)?/[A-Za-z0-9_.~/-]+$"), "The address is not a repository's."),
+            (shell | u.startswith("-"), "The address has characters that aren't allowed."),
+            (~u.rlike("(?i)^https?://"), "The address is not http or https."),
+            (~u.rlike(r"(?i)^https?://[a-z0-9_.-]+(:[0-9]+)?/[a-z0-9_.%/-]+?(\.git)?/?$"), "The address is not a repository's."),
         ]
     )
 
@@ -107,13 +109,45 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(read, "archive string, path string, size long, content binary, problem string")
 
 
+class Refused(ValueError):
+    """A request whose address or archive breaks a rule; its text says which."""
+
+
+def checked(spark: SparkSession, problem: Column) -> None:
+    found = spark.range(1).select(problem.alias("problem")).first()["problem"]
+    if found:
+        raise Refused(found)
+
+
+def _repository(spark: SparkSession, request: dict) -> DataFrame:
+    """The files of an address, once it is found to be allowed; cloned to the request's folder or a new one that executors share."""
+    checked(spark, url_problem(F.lit(request["location"])))
+    folder = request.get("folder") or f"{shared_root(spark)}/clone-{uuid.uuid4().hex}"
+    if folder.startswith("file:"):
+        folder = "/" + folder[5:].lstrip("/")
+    return read_directory(spark, clone(request["location"].strip(), folder))
+
+
+def _archive(spark: SparkSession, request: dict) -> DataFrame:
+    """The files of an uploaded archive; raises with the problem of the archive or of an entry."""
+    archives = spark.read.format("binaryFile").load(request["location"])
+    first = archives.select(archive_problem(F.col("content"), F.col("length")).alias("problem")).where("problem IS NOT NULL").first()
+    if first:
+        raise Refused(first["problem"])
+    entries = settle(read_archives(archives), "archive")
+    bad = entries.where("problem IS NOT NULL").select("problem").first()
+    if bad:
+        raise Refused(bad["problem"])
+    return entries.select("path", "size", "content")
+
+
 class Sources:
     """Repository sources by name: the first that can handle a request reads it."""
 
     def __init__(self) -> None:
         self.known: list[tuple[Callable[[dict], bool], Callable[[SparkSession, dict], DataFrame]]] = []
-        self.add(lambda r: r.get("type") == "ZipUpload", lambda s, r: read_archives(s.read.format("binaryFile").load(r["location"])).where("problem IS NULL").select("path", "size", "content"))
-        self.add(lambda r: r.get("type") == "GitUrl", lambda s, r: read_directory(s, clone(r["location"], r["folder"])))
+        self.add(lambda r: r.get("type") == "ZipUpload", _archive)
+        self.add(lambda r: r.get("type") == "GitUrl", _repository)
         self.add(lambda r: r.get("type") == "Directory", lambda s, r: read_directory(s, r["location"]))
 
     def add(self, can: Callable[[dict], bool], read: Callable[[SparkSession, dict], DataFrame]) -> None:
@@ -134,11 +168,18 @@ def clone(url: str, folder: str, seconds: int = 120) -> str:
     return folder
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; without it one on this machine, if the session runs on it alone."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or LOCAL_SHARED).rstrip("/")
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write to the folder that driver and executors share, and reread: lineage ends here, and a lost executor costs no rerun."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "file:///tmp/checkpoints/evgraph-tables")
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

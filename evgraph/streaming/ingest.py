@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..plans.analyze import analyze
 from ..sources.files import Sources, write_tables
 
-WORK = "analysis_id string, repository_id string, type string, location string"
+WORK = "analysis_id string, repository_id string, type string, location string, folder string"
 
 
 def queue(spark: SparkSession, folder: str, at_once: int = 1) -> DataFrame:

@@ -1,7 +1,9 @@
 """Every operator against a plain form of itself on small inputs."""
 
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -255,9 +257,103 @@ def test_clauses():
     assert run("stupidly")["strongest"] == 2.0
 
 
+def marks_by_definition(classes):
+    """(place, kind, aimed, negated, reported) of each insult and threat, from the words around it."""
+    out = []
+    for i, c in enumerate(classes):
+        if c in (toxicity.INSULT, toxicity.THREAT):
+            begin = max((k + 1 for k in range(i) if classes[k] in (toxicity.END, toxicity.PAUSE)), default=0)
+            end = min((k for k in range(i, len(classes)) if classes[k] in (toxicity.END, toxicity.PAUSE)), default=len(classes))
+            sentence = max((k + 1 for k in range(i) if classes[k] == toxicity.END), default=0)
+            near = range(max(begin, i - toxicity.REACH), i)
+            aimed = any(classes[k] == toxicity.TARGET for k in range(max(begin, i - toxicity.REACH), min(end, i + toxicity.REACH + 1)))
+            out.append((i, c, aimed, any(classes[k] == toxicity.NEGATION for k in near), toxicity.REPORT in classes[sentence:i]))
+    return out
+
+
+def test_all_short_clauses():
+    """The bimachine writes what the definition gives: all texts of up to 5 symbols, and long random ones."""
+    rng = random.Random(11)
+    texts = [list(t) for n in range(6) for t in itertools.product(toxicity.CLASSES, repeat=n)] + [rng.choices(toxicity.CLASSES, [9, 2, 1, 1, 1, 1, 1, 1], k=rng.randint(6, 60)) for _ in range(3000)]
+    for t in texts:
+        got = [(i, y & 7, bool(y & toxicity.AIMED), bool(y & toxicity.NEGATED), bool(y & toxicity.REPORTED)) for i, y in toxicity.matches(t)]
+        assert got == marks_by_definition(t), t
+
+
+def test_composition():
+    a = toxicity.scope(toxicity.NEGATION, toxicity.NEGATED, 2, toxicity.CLAUSE, 0.5)
+    b = toxicity.scope(toxicity.TARGET, toxicity.AIMED, None, toxicity.CLAUSE, 2.0)
+    both = toxicity.compose(a, b)
+    assert len(both.arcs) <= len(a.arcs) * len(b.arcs)
+    for n in range(5):
+        for t in itertools.product((toxicity.OTHER, toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.END), repeat=n):
+            between, w = a.run(t)
+            out, v = b.run(between)
+            assert both.run(t) == (out, w + v)
+
+
+def test_follow_the_leader_densely():
+    """The sparse updates against the textbook ones over all coordinates, and scores against a dense dot product."""
+    rng = np.random.default_rng(4)
+    width, rows = 30, []
+    for _ in range(60):
+        at = np.sort(rng.choice(width, 6, replace=False)).astype(np.int32)
+        rows.append((at, rng.random(6).astype(np.float32), int(rng.random() < 0.4 + 0.5 * (at[0] < 3))))
+    alpha, beta, l1, l2 = 0.3, 0.1, 0.02, 0.02
+    z, n = np.zeros(width + 1), np.zeros(width + 1)
+    solve = lambda: np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for i in order.permutation(len(rows)):
+            x = np.zeros(width + 1)
+            x[rows[i][0]], x[width] = rows[i][1], 1.0
+            w = solve()
+            g = (1 / (1 + np.exp(-w @ x)) - rows[i][2]) * x
+            sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
+            z += g - sigma * w
+            n += g * g
+    weights, intercept = quality_classifier.follow_leader(rows, width)
+    assert np.allclose([*weights, intercept], solve(), atol=1e-5)
+
+
+def test_slots_by_definition():
+    text = "One two two #x THREE!! 4u two two"
+    words = text.split()
+    counts = Counter()
+    codes = [quality_classifier._word_code(w) for w in words]
+    top = lambda x: ((x * 0x9E3779B97F4A7C15) % 2**64) >> (64 - quality_classifier.BITS)
+    for a in codes:
+        counts[top(a)] += 1
+    for a, b in itertools.pairwise(codes):
+        counts[top((a * 0xC2B2AE3D27D4EB4F + b) % 2**64)] += 1
+    norm = sum(v * v for v in counts.values()) ** 0.5
+    at, x = quality_classifier.slots(text)
+    got = {int(a): float(v) for a, v in zip(at, x, strict=True) if a < 1 << quality_classifier.BITS}
+    assert got.keys() == counts.keys() and all(abs(got[k] - v / norm) < 1e-6 for k, v in counts.items())
+    assert abs(float(x[at == quality_classifier.WIDTH - 1][0]) - 2 * 2 / len(words)) < 1e-6
+
+
+def test_training_rows_are_bounded(spark):
+    """Repeated ids give one row each, and rows are taken only up to the bound of features."""
+    docs = spark.createDataFrame([(i % 20, f"text {i} of words", None, None, None) for i in range(200)], COLUMNS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    found = quality_classifier.training_rows(docs, labels, "quality", 8)
+    assert found.count() == found.select("place").distinct().count() == 8
+
+
 # SentencePiece and token codes
 
 
+def test_fits_by_merging():
+    """What both ends tell of a pair of pieces is what merging their text gives."""
+    own, rng = pieces.model(tokenizer_path("piece_bpe_32k.model")), random.Random(6)
+    usable = [i for i in own.ids.values() if own.spine(i) is not None]
+    for trial in range(4000):
+        a, b = rng.choices(usable[: 2000 if trial % 2 else len(usable)], k=2)
+        texts = [own.pieces[a], own.pieces[b]]
+        assert own.fit(a, b) == (own.merge("".join(texts)) == texts), texts
+
+
 def test_pieces_are_the_library_s(docs, clashing, nothing, rows):
     path = tokenizer_path("piece_bpe_32k.model")
     got = {(r["doc_id"], r["ids_crc32"]): r for r in pieces.encode_pieces(clashing, path).collect()}
@@ -343,13 +439,13 @@ def test_warc(pages):
 def test_captures_are_found(spark, pages):
     archives, index = scratch(spark, "t"), scratch(spark, "t")
     directory = warc.write_index(warc.write_archives(pages, archives), index)
-    found = warc.look_up(directory, pages, index, archives)
+    found = warc.look_up(directory, pages, index)
     by_key = defaultdict(set)
     for r in pages.collect():
         by_key[warc.url_key(r["url"])].add(r["page_id"])
     got = defaultdict(set)
     for r in found.collect():
-        got[warc.url_key(r["url"])].add(r["page_id"])
+        got[r["key"]].add(r["page_id"])
     assert got == by_key
     assert warc.url_key("HTTP://WWW.A.example.com:80/p?q") == "com,example,a,www)/p?q"
 
@@ -373,6 +469,43 @@ def test_html(spark):
     assert html_extraction.html_extraction(df.limit(0)).count() == 0
 
 
+PLAIN = "<html><body><nav><ul><li><a href=x>Menu, one.</a></li></ul></nav><article><h1>Title</h1><p>First, of some words.</p><ul><li>One</li></ul></article><footer>Foot, of the page.</footer></body></html>"
+
+
+def test_the_threshold_selects(monkeypatch):
+    """The result comes from the selected paths: with all of them, or another, it is another one."""
+    expected = "Title\nFirst, of some words.\nOne"
+    assert html_extraction.extract(PLAIN) == expected
+    monkeypatch.setattr(html_extraction, "content_paths", lambda blocks, weight: {b.path for b in blocks})
+    assert html_extraction.extract(PLAIN) == "Menu, one.\nTitle\nFirst, of some words.\nOne\nFoot, of the page."
+    monkeypatch.setattr(html_extraction, "content_paths", lambda blocks, weight: {blocks[0].path})
+    assert html_extraction.extract(PLAIN) == "Menu, one."
+
+
+def test_path_ratios_by_definition():
+    """Selected paths against a plain computation over the blocks of a page without named elements."""
+    rng = random.Random(3)
+    for trial in range(30):
+        page = "".join(f"<{t}>{prose(trial * 100 + k, rng.choice((2, 5, 40)))}{rng.choice(('', ', and.', '.'))}</{t}>" for k, t in enumerate(rng.choices(["p", "h2", "pre", "li"], k=12)))
+        _, blocks = html_extraction.parse(f"<div>{page}</div>")
+        paths = [b.path for b in blocks]
+        text = [sum(len(b.text) for b in blocks if b.path == p) / paths.count(p) for p in paths]
+        marks = [1 + sum(len(re.findall(r"[.,;:!?]", b.text)) for b in blocks if b.path == p) / paths.count(p) for p in paths]
+        smooth = lambda x: [(x[max(0, k - 1)] + 2 * x[k] + x[min(len(x) - 1, k + 1)]) / 4 for k in range(len(x))]
+        fused = [a * b for a, b in zip(smooth(text), smooth(marks), strict=True)]
+        mean = sum(fused) / len(fused)
+        limit = max(0.5 * (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5, 0.02 * max(fused))
+        chosen = {p for p in paths if 2 * sum(f >= limit for f, q in zip(fused, paths, strict=True) if p == q) >= paths.count(p)}
+        assert html_extraction.content_paths(blocks, np.ones(len(blocks))) == chosen
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<b>" * 100_000 + "</i>" * 100_000 + "x", "<h1>x" * 50_000, "<tr><td>x" * 50_000, "<span>" * 50_000 + "<p>x" * 50_000, "<p '>x" * 20_001])
+def test_deep_pages_take_linear_time(page):
+    began = time.process_time()
+    html_extraction.extract(page)
+    assert time.process_time() - began < 10
+
+
 def test_pages_without_article():
     long, short = "Some words, of the content. " * 180, "A short one, of 200. " * 10
     got = html_extraction.extract(f"<body><div><p>{long}</p><p>{short}</p><p>{short}</p></div></body>")

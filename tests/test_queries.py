@@ -50,8 +50,8 @@ def test_oracle(spark, con, name):
 
 def test_every_row_becomes_a_file(spark, con):
     parts, nations = (con.sql(f"SELECT * FROM {t}").fetchall() for t in ("part", "nation"))
-    assert queries.QUERIES["all_npm_packages"](spark, SMALL).count() == len(parts) and len(nations) > 3
-    assert queries.QUERIES["all_workflow_jobs"](spark, SMALL).where("job <> 'first'").count() == len(nations)
+    assert queries.QUERIES["npm_packages"](spark, SMALL).count() == len(parts) and len(nations) > 3
+    assert queries.QUERIES["workflow_jobs"](spark, SMALL).where("job <> 'first'").count() == len(nations)
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
