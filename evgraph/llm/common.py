@@ -215,18 +215,50 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+#: Bytes of a word up to which it is hashed with its batch; longer ones are hashed each.
+LONG_WORD = 256
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+_BYTES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """64-bit hashes of words: a polynomial of a value for each byte, for all words at once; xxHash for words of more than LONG_WORD bytes."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    long = size > LONG_WORD
+    if long.any():
+        out = np.empty(len(words), np.uint64)
+        out[~long] = word_hashes(words.filter(pa.array(~long)))
+        out[long] = [xxhash.xxh64_intdigest(w) for w in words.filter(pa.array(long)).to_pylist()]
+        return out
+    at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8, int(at[-1] - at[0]), int(at[0]))
+    at = at - at[0]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _powers(_BASE, len(data)), dtype=np.uint64)))
+    h = (total[at[1:]] - total[at[:-1]]) * _powers(_BACK, len(data) + 1)[at[:-1]] + size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(32))
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words `[^\\x20\\x09-\\x0D]+` of the texts with A-Z lower-cased, and the offset at which each text's begin.
 
-    Words are split and told apart by Arrow; Python sees each distinct word of the batch once.
+    Words are split and told apart by Arrow; distinct words of the batch are hashed once, together.
     """
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
     coded = split.values.dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    hashes = word_hashes(coded.dictionary)
     index, at = coded.indices.to_numpy(), split.offsets.to_numpy()
-    if "" in words:
-        full = index != words.index("")
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        full = index != empty
         at = np.concatenate(([0], np.cumsum(full)))[at]
         index = index[full]
     return hashes[index], at

@@ -51,6 +51,8 @@ BUCKET_BYTES = 4 << 20
 REMEMBERED = 200_000
 #: Rounds of components(): twice the square of the logarithm of 10^12 links would be more than it has ever taken.
 MOST_ROUNDS = 200
+#: Links that a task contracts at a time.
+LOCAL_LINKS = 200_000
 #: Ids up to which a list of documents is broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 
@@ -318,24 +320,60 @@ def memberships(stored: DataFrame, n_tokens: int) -> tuple[DataFrame, DataFrame]
     return last.where(~paired), cut(last.where(paired).distinct(), "ngram-token-pairs")
 
 
+def _local_stars(links: DataFrame) -> DataFrame:
+    """(u, v) with the same components as links (a, b): of every LOCAL_LINKS links that a task reads, each class with the least that they reach."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def contract(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+        above = list(range(len(nodes)))
+
+        def top(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        for x, y in zip(index[: len(a)].tolist(), index[len(a) :].tolist(), strict=True):
+            x, y = top(x), top(y)
+            above[max(x, y)] = min(x, y)
+        roots = np.fromiter(map(top, range(len(nodes))), np.int64, len(nodes))
+        under = np.flatnonzero(roots != np.arange(len(nodes)))
+        return batch(schema, nodes[under], nodes[roots[under]])
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for x in batches:
+            held.append((x.column("a").to_numpy(), x.column("b").to_numpy()))
+            size += x.num_rows
+            if size >= LOCAL_LINKS:
+                yield contract(held)
+                size = 0
+        if held:
+            yield contract(held)
+
+    return links.select("a", "b").mapInArrow(stars, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(class, root) of the classes with a link; root is the smallest class that links reach.
+    """(class, root) of the classes with a link (a, b); root is the smallest class that links reach.
 
-    Large stars and small stars in turn until nothing changes; every round is cut, and no list
-    is gathered in one place beyond a node's neighbours, which are only aggregated. Raises rather than return unfinished components.
+    Links are contracted where they lie, then large stars and small stars are made in turn until every class has one root and every
+    root only itself. Every round is cut, and no list is gathered in one place beyond a node's neighbours, which are
+    only aggregated. Raises rather than return unfinished components.
     """
-    pairs = cut(links.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").where("u <> v").distinct(), "edges")
-    last = None
+    pairs = cut(_local_stars(links), "edges")
     for _ in range(MOST_ROUNDS):
+        ends = pairs.union(pairs.select("v", "v")).groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        if not ends.where("lo <> hi").limit(1).count():
+            break
         edges = pairs.union(pairs.selectExpr("v AS u", "u AS v"))
         least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         down = cut(edges.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         pairs = cut(down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.selectExpr("u", "m AS v")).where("u <> v").distinct(), "edges")
-        state = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-        if last == state:
-            break
-        last = state
     else:
         raise RuntimeError(f"components still change after {MOST_ROUNDS} rounds")
     return pairs.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "class")
