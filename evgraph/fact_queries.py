@@ -410,7 +410,7 @@ def layer1_flags(spark, d):
     even = n % 2 == 0
     made = F.array(
         F.struct(F.when(even, "package.json").otherwise("go.mod").alias("path"), F.when(n % 5 == 0, '{"dependencies": {"react": "1"}}').otherwise('{"dependencies": {"express": "1"}}').alias("content")),
-        F.struct(F.when(n % 3 == 0, "App/App.csproj").otherwise("notes.txt").alias("path"), F.lit("<Project />").alias("content")),
+        F.struct(F.when(n % 3 == 0, "Core/Core.csproj").otherwise("notes.txt").alias("path"), F.lit("<Project />").alias("content")),
         F.struct(F.lit("a/b/pom.xml").alias("path"), F.lit("").alias("content")), F.struct(F.lit("vendor/Cargo.toml").alias("path"), F.lit("").alias("content")),
         F.struct(F.when(n % 7 == 0, "web/pages/x.tsx").otherwise("web/x.tsx").alias("path"), F.lit("").alias("content")),
     )
