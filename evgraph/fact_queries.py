@@ -224,7 +224,7 @@ WITH RECURSIVE x AS (SELECT source_id AS u, target_id AS v, seq FROM (SELECT 'su
 UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, n_nationkey * 3 + 1 FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, c_custkey * 3 + 2 FROM customer)),
 e AS (SELECT u, v, seq FROM x UNION ALL SELECT v, u, seq FROM x),
 w AS (SELECT 0 AS step, '{start}' AS node, CAST(NULL AS VARCHAR) AS parent UNION ALL SELECT any_value(w.step) + 1, e.v, arg_min(e.u, e.seq) FROM w JOIN e ON e.u = w.node WHERE w.step < 6 GROUP BY e.v),
-f AS (SELECT node, min(step) AS step, arg_min(parent, step) AS parent FROM w GROUP BY node),
+f AS (SELECT node, min(step) AS step, CASE WHEN min(step) > 0 THEN arg_min(parent, step) END AS parent FROM w GROUP BY node),
 p AS (SELECT step, node, parent FROM f WHERE node = '{goal}' UNION ALL SELECT f.step, f.node, f.parent FROM p JOIN f ON f.node = p.parent)"""
 
 
