@@ -358,7 +358,7 @@ def _local_stars(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(class, root) of the classes with a link (a, b); root is the smallest class that links reach.
+    """(class, root) of the classes with a link (a, b); root is the smallest class that links reach, and has no row of its own.
 
     Links are contracted where they lie, then large stars and small stars are made in turn until every class has one root and every
     root only itself. Every round is cut, and no list is gathered in one place beyond a node's neighbours, which are

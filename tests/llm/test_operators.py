@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evgraph.llm import decontamination, html_extraction, ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, token_codes, toxicity, warc
-from evgraph.llm.common import WordCache, scratch, tokenizer_path
+from evgraph.llm.common import WordCache, scratch, tokenizer_path, word_hashes
 
 from .conftest import COLUMNS, edited, prose
 
@@ -138,6 +138,29 @@ def test_frequent_tokens_and_pairs(spark):
     assert table(ngram_join.ngram_join(df)) == brute_components(rows)
 
 
+def test_components_of_chains(spark):
+    """Chains, stars and rings over many files, contracted in parts, against a search from each least class."""
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + rng.randrange(1, 200)) for _ in range(100)] + [(2000 + i, 2000 + (i + 1) % 50) for i in range(50)] + [(-5, 7000), (9, 9)]
+    links += [(3000 + rng.randrange(400), 3000 + rng.randrange(400)) for _ in range(150)]
+    rng.shuffle(links)
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    expected = {}
+    for start in sorted(near):
+        open_ = [] if start in expected else [start]
+        while open_:
+            x = open_.pop()
+            if expected.setdefault(x, start) == start:
+                open_ += [y for y in near[x] if y not in expected]
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    got = {r["class"]: r["root"] for r in ngram_join.components(df).collect()}
+    assert got == {x: r for x, r in expected.items() if x != r}
+    assert ngram_join.components(df.limit(0)).count() == 0
+
+
 def test_signatures_meet():
     """Sets that link share an indexed token or pair, however frequent their tokens are."""
     rng = np.random.default_rng(3)
@@ -409,6 +432,16 @@ def test_direct_access():
         f.token(3500)
 
 
+def test_word_hashes():
+    """A word's hash doesn't depend on the words beside it; unequal words differ."""
+    words = ["", "a", "b", "ab", "ba", "é", "a\0", "\0", "x" * 300, "y" * 256, "aa", *(f"{i}w{i % 7}" for i in range(50_000))]
+    every = pa.array(words, pa.large_string())
+    hashes = word_hashes(every)
+    assert len(np.unique(hashes)) == len(words)
+    for k in range(12):
+        assert (word_hashes(every.slice(k, 40)) == hashes[k : k + 40]).all()
+
+
 def test_word_cache():
     calls = []
     cache = WordCache(lambda w: calls.append(w) or len(w), most=3, longest=4)
