@@ -319,6 +319,44 @@ def trimmed_answers(spark, d):
     return grounding.apply_policy(grounding.check_claims(*_answers(spark, d)), "RemoveClaim")
 
 
+@query("""
+WITH s AS (SELECT 'a' || s_suppkey AS answer_id, s_suppkey AS k, s_nationkey AS n FROM supplier)
+SELECT answer_id, 'src/S' || k || '.cs' AS file, 'S' || k AS symbol, 1 AS start_line, CAST(n + 1 AS INT) AS end_line, 'Grounded from chunk 0 (similarity: 80%, confidence: 0.95)' AS reason FROM s
+UNION ALL SELECT answer_id, 'lib/Util.cs', 'Util', 5, 9, 'Grounded from chunk 1 (similarity: 35%, confidence: 0.50)' FROM s UNION ALL SELECT answer_id, 'app/util.cs', NULL, 5, 10, 'second' FROM s WHERE k % 2 = 1
+UNION ALL SELECT answer_id, 'x\\UTIL.CS', 'Go', 5, 10, 'third' FROM s WHERE k % 2 = 0 AND k % 3 = 0 UNION ALL SELECT answer_id, 'Util.cs', 'util', NULL, NULL, 'fifth' FROM s
+""")
+def answer_evidence(spark, d):
+    """Two chunks of each supplier's answer, and citations that repeat one, repeat each other, name what isn't there or are new."""
+    k, own = F.col("s_suppkey"), text_of("a", F.col("s_suppkey")).alias("answer_id")
+    rows = table(spark, d, "supplier")
+    last = (F.col("s_nationkey") + 1).cast("int")
+    given = F.array(
+        F.struct(F.lit(0).alias("chunk_index"), text_of("src/S", k, ".cs").alias("file_path"), text_of("S", k).alias("symbol"), F.lit("class").alias("content"), F.lit(1).alias("start_line"), last.alias("end_line"), F.lit(0.8).alias("similarity"), F.lit(0.95).alias("confidence")),
+        F.struct(F.lit(1).alias("chunk_index"), F.lit("lib/Util.cs").alias("file_path"), F.lit("Util").alias("symbol"), F.when(k % 3 == 0, "void Go()").otherwise("void go()").alias("content"), F.lit(5).alias("start_line"), F.lit(9).alias("end_line"), F.lit(0.35).alias("similarity"), F.lit(0.5).alias("confidence")),
+    )
+
+    def cited(seq: int, file: Column, symbol: str | None, begin: int | None, end: Column, reason: str) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), file.alias("file_path"), F.lit(symbol).cast("string").alias("symbol"), F.lit(begin).cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.lit(reason).alias("reason"))
+
+    said = F.array(
+        cited(1, text_of("S", k, ".cs"), "", 1, last, "first"), cited(2, F.lit("app/util.cs"), None, 5, 9 + k % 2, "second"), cited(3, F.lit("x\\UTIL.CS"), "Go", 5, F.lit(10), "third"),
+        cited(4, F.lit("gone.cs"), None, 1, F.lit(2), "fourth"), cited(5, F.lit("Util.cs"), "util", None, F.lit(None), "fifth"),
+    )
+    chunk, citation = (rows.select(own, F.explode(x).alias("x")).select("answer_id", "x.*") for x in (given, said))
+    return grounding.evidence(chunk, citation)
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id % 7 = 0 OR event_id % 5 = 0 AS blank, event_id % 4 AS n, 0.4 * 0.9 + 0.4 * 0.6 + 0.2 * CASE WHEN event_id % 4 >= 3 THEN 1.0 WHEN event_id % 4 = 2 THEN 0.9 ELSE 0.8 END AS sc FROM events)
+SELECT event_id, CASE WHEN blank THEN 0 WHEN n = 0 THEN 0.1 ELSE round(sc, 6) END AS score, CASE WHEN blank THEN 'Unknown' WHEN n = 0 THEN 'Low' WHEN sc >= 0.75 THEN 'High' ELSE 'Medium' END AS level FROM e
+""")
+def unknown_confidence(spark, d):
+    """No confidence is stated where there is no question or no answer, whatever the evidence."""
+    e, n = F.col("event_id"), F.col("event_id") % 4
+    score, level = grounding.confidence(F.lit(0.9), F.lit(0.6), n, F.when(n == 0, "InsufficientEvidence").otherwise("FullySupported"), F.lit(1.0), F.lit(False), (e % 7 == 0) | (e % 5 == 0))
+    return table(spark, d, "events").select("event_id", F.round(score, 6).alias("score"), level.alias("level"))
+
+
 # Intake
 
 
@@ -421,6 +459,25 @@ def layer1_flags(spark, d):
     return flags.select("analysis_id", F.array_join("languages", ",").alias("languages"), F.col("n_csproj").cast("int").alias("n_csproj"), F.col("n_npm").cast("int").alias("n_npm"), "react", "express", "java", "go", "routes")
 
 
+@query("""
+SELECT 'a' || c_custkey AS analysis_id, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS n_razor, c_custkey % 5 = 0 AS areas, c_custkey % 7 = 0 AS wwwroot, CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS n_view_components,
+c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0 OR c_custkey % 11 = 0 AS mvc FROM customer
+""")
+def layer2_flags(spark, d):
+    """Views, areas, view components and static folders at any depth; names that only hold such words don't count."""
+    n = F.col("c_custkey")
+    chosen = lambda m, yes, no: F.when(n % m == 0, yes).otherwise(no)
+    made = F.array(
+        chosen(2, "src/Web/Views/Home/Index.CSHTML", "src/cshtml.txt"), chosen(3, "Pages.razor", "razor"), chosen(5, "src/Web/areas/Admin/a.cs", "src/MyAreas/a.cs"), chosen(7, "wwwroot/site.css", "src/wwwroot"),
+    )
+    files = table(spark, d, "customer").select(text_of("a", n).alias("analysis_id"), F.explode(made).alias("path"), F.lit("").alias("content"))
+    nodes = table(spark, d, "customer").select(text_of("a", n).alias("analysis_id"), chosen(13, "Method", "Class").alias("type"), chosen(11, "CartViewComponent", "ViewComponentBase").alias("name"))
+    nodes = nodes.withColumn("type", F.when(F.col("name") == "CartViewComponent", "Class").otherwise(F.col("type")))
+    edges = spark.createDataFrame([], "analysis_id string, type string, source_id string, target_id string")
+    flags = classify.flags(files, spark.createDataFrame([], "analysis_id string"), nodes, edges)
+    return flags.select("analysis_id", F.col("n_razor").cast("int").alias("n_razor"), "areas", "wwwroot", F.col("n_view_components").cast("int").alias("n_view_components"), "mvc")
+
+
 _TIER_FILES = """SELECT p_brand AS analysis_id, CASE p_partkey % 5 WHEN 0 THEN 'h/handler' || p_partkey || '.go' WHEN 1 THEN 's/service' || p_partkey || '.go' WHEN 2 THEN 'x/usecase' || p_partkey || '.go' WHEN 3 THEN 'd/storage' || p_partkey || '.go' ELSE 'z/misc.go' END AS path FROM part"""
 
 

@@ -18,7 +18,7 @@ FRAMEWORKS = ("next", "react", "express", "vue", "angular")
 
 
 def flags(files: DataFrame, projects: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row an analysis: what its files (root and one level below), facts and relations show. files: analysis_id, path, content (text)."""
+    """One row an analysis: what its files (root and one level below; folders and views at any depth), facts and relations show. files: analysis_id, path, content (text)."""
     shallow = files.where((F.size(paths.segments(F.col("path"))) <= 2) & ~rules.in_ignored_directory(F.col("path"), rules.IGNORED_CLASSIFIER))
     name, ending = F.lower(paths.file_name(F.col("path"))), paths.extension(F.col("path"))
     manifest = name == "package.json"
@@ -29,10 +29,14 @@ def flags(files: DataFrame, projects: DataFrame, nodes: DataFrame, edges: DataFr
         F.bool_or(language == "Python").alias("python"), F.bool_or(language == "Go").alias("go"), F.bool_or(language == "PHP").alias("php"), F.bool_or(language == "Rust").alias("rust"),
         F.bool_or(ending.isin("csproj", "sln")).alias("dotnet"), *said,
     )
-    deep = files.groupBy("analysis_id").agg(F.bool_or(F.lower("path").rlike(r"(^|/)(app|pages)/")).alias("routes"))
+    low = F.lower("path")
+    deep = files.groupBy("analysis_id").agg(
+        F.bool_or(low.rlike(r"(^|/)(app|pages)/")).alias("routes"), F.count_if(low.endswith(".cshtml") | low.endswith(".razor")).alias("n_razor"),
+        F.bool_or(low.rlike("(^|/)areas/")).alias("areas"), F.bool_or(low.rlike("(^|/)wwwroot/")).alias("wwwroot"),
+    )
     what = nodes.groupBy("analysis_id").agg(
         F.count_if(F.col("type") == "Endpoint").alias("n_endpoints"), F.bool_or((F.col("type") == "Class") & F.col("name").endswith("Controller")).alias("controllers"), F.bool_or(F.col("name").endswith("DbContext") | F.col("name").endswith("Context")).alias("context"),
-        F.count_if(F.col("type") == "DatabaseEntity").alias("n_entities"), F.bool_or((F.col("type") == "Class") & (F.col("name") == "Program")).alias("program"), F.bool_or(F.lower("name").contains("library")).alias("library"),
+        F.count_if(F.col("type").isin("Class", "Interface") & F.lower("name").endswith("viewcomponent")).alias("n_view_components"), F.count_if(F.col("type") == "DatabaseEntity").alias("n_entities"), F.bool_or((F.col("type") == "Class") & (F.col("name") == "Program")).alias("program"), F.bool_or(F.lower("name").contains("library")).alias("library"),
     )
     how = edges.groupBy("analysis_id").agg(
         F.bool_or((F.col("type") == "DependsOn") & F.col("source_id").startswith("project:") & F.col("target_id").startswith("project:")).alias("references"), F.bool_or(F.col("type").isin("Implements", "Inherits", "Calls")).alias("relations")
@@ -41,9 +45,10 @@ def flags(files: DataFrame, projects: DataFrame, nodes: DataFrame, edges: DataFr
     out = by_file
     for part in (deep, what, how, counted):
         out = out.join(part, "analysis_id", "full")
-    numbers = ["n_csproj", "n_npm", "n_endpoints", "n_entities", "n_projects"]
+    numbers = ["n_csproj", "n_npm", "n_endpoints", "n_entities", "n_projects", "n_razor", "n_view_components"]
     booleans = [c for c, t in out.dtypes if t == "boolean"]
-    return out.fillna(0, numbers).fillna(False, booleans).withColumn("languages", F.coalesce("languages", F.array().cast("array<string>")))
+    out = out.fillna(0, numbers).fillna(False, booleans).withColumn("mvc", (F.col("n_razor") > 0) | F.col("areas") | (F.col("n_view_components") > 0))
+    return out.withColumn("languages", F.coalesce("languages", F.array().cast("array<string>")))
 
 
 def decide(flagged: DataFrame) -> DataFrame:

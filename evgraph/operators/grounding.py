@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import text as t
-from ..functions.scores import clamp
+from ..functions.scores import clamp, percent_text
+from ..rules import any_of
 
 #: The answer that stands for a refusal, and the mark of an unsupported claim.
 REFUSAL = "Insufficient evidence in the analyzed repository."
@@ -54,6 +56,23 @@ def check_citations(citations: DataFrame, chunks: DataFrame) -> DataFrame:
     return good.unionByName(citations.join(known, on, "left_anti").withColumn("verified", F.lit(False)))
 
 
+def evidence(chunks: DataFrame, citations: DataFrame) -> DataFrame:
+    """answer_id, file, symbol, start_line, end_line, reason: every chunk, and the verified citations that none of them or no earlier citation stands for.
+
+    chunks also hold chunk_index, start_line, end_line, confidence and similarity, citations seq, start_line, end_line and reason.
+    Files that match have one name, whatever their folders, so what stands for a citation is found by equal keys; null lines are equal.
+    """
+    key = ["answer_id", "_name", "start_line", "end_line"]
+    name = F.lower(paths.file_name(paths.normal(F.col("file_path"))))
+    score = F.concat(F.lit("Grounded from chunk "), F.col("chunk_index").cast("string"), F.lit(" (similarity: "), percent_text(F.col("similarity")), F.lit(", confidence: "), F.format_string("%.2f", "confidence"), F.lit(")"))
+    given = chunks.select("answer_id", "file_path", "symbol", "start_line", "end_line", score.alias("reason"))
+    good = check_citations(citations, chunks).where("verified").withColumn("_name", name)
+    first = good.groupBy(*key).agg(F.min_by(F.struct("file_path", "symbol", "reason"), "seq").alias("x")).select(*key, "x.*")
+    known = given.select(name.alias("_name"), "answer_id", "start_line", "end_line").distinct().toDF("_n", "_a", "_b", "_e")
+    same = (F.col("answer_id") == F.col("_a")) & (F.col("_name") == F.col("_n")) & F.col("start_line").eqNullSafe(F.col("_b")) & F.col("end_line").eqNullSafe(F.col("_e"))
+    return given.unionByName(first.join(known, same, "left_anti").drop("_name")).withColumnRenamed("file_path", "file")
+
+
 def status(answer: Column, n_chunks: Column, n_claims: Column, n_failed: Column, n_rejected: Column) -> Column:
     blank = F.coalesce(F.trim(answer), F.lit("")) == ""
     return (
@@ -84,13 +103,15 @@ def grounded(state: Column, ratio: Column, rejected: Column) -> Column:
     return F.when(state == "Unsupported", 0.0).when(state == "PartiallySupported", partly).when(state == "FullySupported", F.when(rejected, 0.85).otherwise(1.0)).otherwise(0.2)
 
 
-def confidence(static: Column, similarity: Column, n_chunks: Column, state: Column, ratio: Column, rejected: Column) -> tuple[Column, Column]:
-    """(score, level) of an answer."""
+def confidence(static: Column, similarity: Column, n_chunks: Column, state: Column, ratio: Column, rejected: Column, blank: Column | None = None) -> tuple[Column, Column]:
+    """(score, level) of an answer; 0 and Unknown where blank holds: there is no question or no answer."""
+    blank = F.lit(False) if blank is None else blank
     raw = clamp(quality(static, similarity, n_chunks) * grounded(state, ratio, rejected))
     limited = (state == "PartiallySupported") | rejected
-    score = F.when(n_chunks == 0, F.lit(0.1)).when(limited, F.least(raw, F.lit(0.7))).otherwise(raw)
+    score = F.when(blank, F.lit(0.0)).when(n_chunks == 0, F.lit(0.1)).when(limited, F.least(raw, F.lit(0.7))).otherwise(raw)
     level = (
-        F.when((n_chunks == 0) | (state == "Unsupported"), "Low")
+        F.when(blank, "Unknown")
+        .when((n_chunks == 0) | (state == "Unsupported"), "Low")
         .when(limited, F.when(score >= 0.45, "Medium").otherwise("Low"))
         .when(score >= 0.75, "High")
         .when(score >= 0.45, "Medium")
@@ -100,7 +121,10 @@ def confidence(static: Column, similarity: Column, n_chunks: Column, state: Colu
 
 
 def validate(answers: DataFrame, chunks: DataFrame, citations: DataFrame | None = None) -> DataFrame:
-    """One row an answer: status, claims, failures, rejected citations, score and level. chunks also hold confidence and similarity."""
+    """One row an answer: status, claims, failures, rejected citations, score and level. chunks also hold confidence and similarity.
+
+    answers may hold question; where it or the answer is blank, the level is Unknown.
+    """
     checked = check_claims(answers, chunks)
     by_claim = checked.groupBy("answer_id").agg(F.count("*").alias("n_claims"), F.count_if(~F.col("supported")).alias("n_failed"))
     by_chunk = chunks.groupBy("answer_id").agg(F.count("*").alias("n_chunks"), F.avg(F.coalesce("confidence", F.lit(1.0))).alias("static"), F.avg("similarity").alias("similarity"))
@@ -114,7 +138,8 @@ def validate(answers: DataFrame, chunks: DataFrame, citations: DataFrame | None
     n = {c: F.col(c) for c in ("n_claims", "n_failed", "n_chunks", "n_rejected")}
     state = status(F.col("answer"), n["n_chunks"], n["n_claims"], n["n_failed"], n["n_rejected"])
     ratio = F.when(n["n_claims"] > 0, (n["n_claims"] - n["n_failed"]) / n["n_claims"])
-    score, level = confidence(F.col("static"), F.col("similarity"), n["n_chunks"], F.col("status"), ratio, n["n_rejected"] > 0)
+    blank = any_of([F.coalesce(F.trim(c), F.lit("")) == "" for c in ("question", "answer") if c in answers.columns])
+    score, level = confidence(F.col("static"), F.col("similarity"), n["n_chunks"], F.col("status"), ratio, n["n_rejected"] > 0, blank)
     held = joined.withColumn("status", state).withColumn("score", score).withColumn("level", level)
     refused = (F.col("status").isin("InsufficientEvidence", "Unsupported")) & ~((n["n_chunks"] == 0) & t.is_refusal(F.col("answer")))
     return held.withColumn("final_answer", F.when(refused, F.lit(REFUSAL)).otherwise(F.col("answer"))).select(

@@ -186,3 +186,6 @@ def test_answers(spark):
     assert got["a"]["level"] == "High" and got["b"]["final_answer"] == grounding.REFUSAL and got["d"]["final_answer"].startswith("There is")
     cited = spark.createDataFrame([("a", "x.cs", "Foo"), ("a", "z.cs", None)], "answer_id string, file_path string, symbol string")
     assert {r["file_path"]: r["verified"] for r in grounding.check_citations(cited, known).collect()} == {"x.cs": True, "z.cs": False}
+    asked = answers.withColumn("question", F.when(F.col("answer_id") == "d", " ").otherwise("What?"))
+    levels = {r["answer_id"]: (r["level"], r["score"]) for r in grounding.validate(asked, known).collect()}
+    assert levels["a"][0] == "High" and levels["c"] == levels["d"] == ("Unknown", 0.0) and got["c"]["level"] == "Unknown"
