@@ -1,7 +1,7 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document is the set of its distinct shingles (SHINGLE words, the whole text if it has fewer), as 63-bit
-hashes. Equal sets are one class from the start, so copies cost one member. Two classes
+A document is the set of its distinct shingles (SHINGLE words, the whole text if it has fewer), as 56-bit
+hashes, the leading bytes of 64. Equal sets are one class from the start, so copies cost one member. Two classes
 link when their Jaccard similarity is at least 0.75; linked classes form components.
 
 The sets are hashed once and written; all that follows reads them. Exact copies within a task are written once.
@@ -58,6 +58,9 @@ BROADCAST_IDS = 1_000_000
 
 _K, _MIX = np.uint64(0x9FB21C651E98DF25), np.uint64(0xFF51AFD7ED558CCD)
 _S32, _ONE = np.uint64(32), np.uint64(1)
+#: Bytes of a stored token; the bits below are clear.
+STORED = 7
+_LEADING = np.uint64((1 << 64) - (1 << 8 * (8 - STORED)))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,12 +70,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
-    """Of each text the sorted distinct shingle hashes; bit 0 is clear."""
+    """Of each text the sorted distinct shingle hashes; the bits that aren't stored are clear."""
     codes, at = word_codes(texts)
     whole = np.full(max(0, len(codes) - size + 1), size, np.uint64)
     for k in range(size):
         whole = whole * _K + codes[k : k + len(whole)]
-    whole = _mix(whole) & ~_ONE
+    whole = _mix(whole) & _LEADING
     out = []
     for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if end - begin >= size:
@@ -81,7 +84,7 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
         short = np.full(min(1, end - begin), end - begin, np.uint64)
         for k in range(begin, end):
             short = short * _K + codes[k]
-        out.append(_mix(short) & ~_ONE)
+        out.append(_mix(short) & _LEADING)
     return out
 
 
@@ -140,7 +143,7 @@ def is_frequent(tokens: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """doc_id, key (hash of the text), n_shingles, class and tokens (the set, 8 bytes a shingle) of every row.
+    """doc_id, key (hash of the text), n_shingles, class and tokens (the set, STORED bytes a shingle) of every row.
 
     tokens is null where the text has no words or the task has written that set before.
     """
@@ -153,7 +156,7 @@ def sets(docs: DataFrame) -> DataFrame:
             classes = [class_of(t) if len(t) else None for t in found]
             stored: list[bytes | None] = []
             for t, c in zip(found, classes, strict=True):
-                stored.append(None if c is None or c in written else t.tobytes())
+                stored.append(None if c is None or c in written else _packed(t))
                 written.add(c)
             if len(written) > REMEMBERED:
                 written.clear()
@@ -163,10 +166,17 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), "text").mapInArrow(made, "doc_id long, key long, n_shingles long, class long, tokens binary")
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - STORED :].tobytes()
+
+
 def _flat(stored: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a column of sets, and the offset at which each set's begin."""
     at = np.frombuffer(stored.buffers()[1], np.int32, len(stored) + 1, 4 * stored.offset)
-    return np.frombuffer(stored.buffers()[2] or b"", np.uint64, int(at[-1] - at[0]) // 8, int(at[0])), (at - at[0]) // 8
+    data = np.frombuffer(stored.buffers()[2] or b"", np.uint8, int(at[-1] - at[0]), int(at[0]))
+    tokens = np.zeros((len(data) // STORED, 8), np.uint8)
+    tokens[:, 8 - STORED :] = data.reshape(-1, STORED)
+    return tokens.reshape(-1).view("<u8"), (at - at[0]) // STORED
 
 
 def _count_deal(stored: DataFrame, digits: int) -> DataFrame:
@@ -190,7 +200,7 @@ def _count_deal(stored: DataFrame, digits: int) -> DataFrame:
             return batch(schema, *map(list, zip(*blobs(tokens, first, sent, count), strict=True)))
 
         for b in batches:
-            held.append(_flat(b.column("tokens"))[0].copy())
+            held.append(_flat(b.column("tokens"))[0])
             size += len(held[-1])
             if size >= FLUSH:
                 yield flush()

@@ -553,3 +553,13 @@ def test_pages_without_article():
 @pytest.mark.parametrize("page", ["<" * 5000, "<p " * 3000, '<a b="' * 2000, "<div>" * 3000 + "x", "</p>" * 3000, "&#x110000;&amp", "<script>" * 50, "<!--" * 500])
 def test_broken_html_is_read(page):
     html_extraction.extract(page)
+
+
+def test_stored_sets_come_back():
+    texts = pa.array(["", None, "a b", "a b c d e f g", " ".join(map(str, range(3000)))], pa.string())
+    found = ngram_join.shingle_sets(texts)
+    assert [len(t) for t in found] == [0, 0, 1, 3, 2996]
+    stored = pa.array([ngram_join._packed(t) for t in found], pa.binary())
+    for part, own in ((stored, found), (stored[2:], found[2:])):
+        flat, at = ngram_join._flat(part)
+        assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [t.tolist() for t in own]
