@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import decontamination
 from . import html_extraction as html
-from . import ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, token_codes, toxicity, warc
+from . import importance_resampling, mixing, ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, token_codes, toxicity, warc
 from .common import table, tokenizer_path
 
 
@@ -27,6 +27,14 @@ QUERIES = {
     "op8_toxicity": _with_labels(toxicity.toxicity),
     "op9_warc": lambda s, d: warc.warc(table(s, d, "pages")),
     "op10_substring_dedup": lambda s, d: substring_dedup.substring_dedup(_docs(s, d)),
+    "op11_importance_resampling": lambda s, d: importance_resampling.importance_resampling(_docs(s, d), table(s, d, "benchmark")),
+    "op12_mixing": lambda s, d: mixing.mixture(_docs(s, d)),
 }
 
-ORACLE_SQL = {"op4_decontamination": decontamination.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {
+    "op3_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
+    "op9_warc": warc.ORACLE_SQL,
+    "op11_importance_resampling": importance_resampling.ORACLE_SQL,
+    "op12_mixing": mixing.ORACLE_SQL,
+}
