@@ -138,7 +138,7 @@ def endpoint_groups(spark, d):
 @query("""
 WITH e AS (SELECT 'f' || l_suppkey || '.cs' AS file_path, l_orderkey * 10 + l_linenumber AS k, greatest(l_linenumber - 1, 1) AS b, greatest(greatest(l_linenumber - 1, 1), CAST(l_quantity AS INT) % 9) AS f,
 CASE l_returnflag WHEN 'A' THEN 'Route' WHEN 'N' THEN 'Database' ELSE CASE l_linestatus WHEN 'O' THEN 'Invocation' ELSE 'Dependency' END END AS t FROM lineitem)
-SELECT file_path, CAST(b AS INT) AS start_line, CAST(f AS INT) AS end_line, arg_min(t, k) AS evidence_type, 'n' || min(k) AS symbol FROM e GROUP BY file_path, b, f
+SELECT file_path, CAST(b AS INT) AS start_line, CAST(f AS INT) AS end_line, arg_min(t, (k, t)) AS evidence_type, 'n' || min(k) AS symbol FROM e GROUP BY file_path, b, f
 """)
 def evidence_rows(spark, d):
     """One evidence for each file and span of edges that line items stand for: the first edge's."""

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.ids import evidence_key
+from ..sources.files import settle
+from .ordered import running_totals
 
 CHUNK_CHARS = 2000
 PIECE = "struct<content: string, start_line: int, end_line: int>"
@@ -104,10 +106,15 @@ def generate(files: DataFrame, symbols: DataFrame, evidences: DataFrame) -> Data
     grouped = met.groupBy(chunk["analysis_id"], "chunk", "path", "symbol", "base", "content", "start_line", "end_line").agg(
         F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"), F.avg("e_confidence").alias("mean")
     )
-    order = Window.partitionBy("analysis_id").orderBy(F.upper("path"), "chunk")
-    return grouped.select(
+    grouped = settle(grouped, "chunks")  # packed and masked once, for the count and for the rows
+    # Chunks are numbered within their file, files by how many chunks the files before them have.
+    counted = running_totals(grouped.groupBy(*keys).agg(F.count("*").alias("n")), [F.upper("path"), F.col("path")], {"_to": F.col("n")}, ("analysis_id",))
+    before = counted.select(F.col("analysis_id").alias("_a"), F.col("path").alias("_p"), (F.col("_to") - F.col("n")).alias("_before"))
+    placed = grouped.join(before, (grouped["analysis_id"] == before["_a"]) & (grouped["path"] == before["_p"]))
+    order = Window.partitionBy("analysis_id", "path").orderBy("chunk")
+    return placed.select(
         "analysis_id",
-        (F.row_number().over(order) - 1).alias("chunk_index"),
+        (F.col("_before") + F.row_number().over(order) - 1).cast("int").alias("chunk_index"),
         F.col("path").alias("file_path"),
         "symbol",
         "content",

@@ -67,7 +67,7 @@ def evidence(chunks: DataFrame, citations: DataFrame) -> DataFrame:
     score = F.concat(F.lit("Grounded from chunk "), F.col("chunk_index").cast("string"), F.lit(" (similarity: "), percent_text(F.col("similarity")), F.lit(", confidence: "), F.format_string("%.2f", "confidence"), F.lit(")"))
     given = chunks.select("answer_id", "file_path", "symbol", "start_line", "end_line", score.alias("reason"))
     good = check_citations(citations, chunks).where("verified").withColumn("_name", name)
-    first = good.groupBy(*key).agg(F.min_by(F.struct("file_path", "symbol", "reason"), "seq").alias("x")).select(*key, "x.*")
+    first = good.groupBy(*key).agg(F.min_by(F.struct("file_path", "symbol", "reason"), F.struct("seq", "file_path", "symbol", "reason")).alias("x")).select(*key, "x.*")
     known = given.select(name.alias("_name"), "answer_id", "start_line", "end_line").distinct().toDF("_n", "_a", "_b", "_e")
     same = (F.col("answer_id") == F.col("_a")) & (F.col("_name") == F.col("_n")) & F.col("start_line").eqNullSafe(F.col("_b")) & F.col("end_line").eqNullSafe(F.col("_e"))
     return given.unionByName(first.join(known, same, "left_anti").drop("_name")).withColumnRenamed("file_path", "file")

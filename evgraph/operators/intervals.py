@@ -12,14 +12,15 @@ def longest_prefix(files: DataFrame, path: str, owners: DataFrame, root: str, ke
     """Each file with the owner whose root is its longest ancestor directory; '' owns all. Left join."""
     spread = files.select("*", F.explode_outer(paths.ancestors(F.col(path))).alias("_up"))
     met = spread.join(owners.select(F.col(root).alias("_root"), *keep), F.lower("_up") == F.lower("_root"), "left")
-    best = F.max_by(F.struct(F.col("_root").alias("root"), *keep), F.when(F.col("_root").isNotNull(), F.length("_up")))
+    best = F.max_by(F.struct(F.col("_root").alias("root"), *keep), F.when(F.col("_root").isNotNull(), F.struct(F.length("_up"), "_root", *keep)))
     return met.groupBy(*files.columns).agg(best.alias("_best")).select(*files.columns, "_best.*")
 
 
 def enclosing(points: DataFrame, spans: DataFrame, on: list[str], at: str, begin: str, end: str, rank: Column) -> DataFrame:
     """Each point with the span of its group that holds it; of several the one of highest rank. Inner join."""
     met = points.join(spans, on).where((F.col(at) >= F.col(begin)) & (F.col(at) <= F.col(end)))
-    best = F.max_by(F.struct(*(c for c in spans.columns if c not in on)), rank)
+    own = F.struct(*(c for c in spans.columns if c not in on))
+    best = F.max_by(own, F.struct(rank, own))
     return met.groupBy(*points.columns).agg(best.alias("_best")).select(*points.columns, "_best.*")
 
 

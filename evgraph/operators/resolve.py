@@ -61,8 +61,8 @@ def aliases(symbols: DataFrame) -> DataFrame:
 
 
 def best_alias(table: DataFrame, by: list[str]) -> DataFrame:
-    """One id a key: types before others, then the last."""
-    return table.groupBy(*by).agg(F.max_by("id", F.struct("is_type", "seq")).alias("id"))
+    """One id a key: types before others, then the last; of those that tie the greatest id."""
+    return table.groupBy(*by).agg(F.max(F.struct("is_type", "seq", "id")).alias("_best")).select(*by, "_best.id")
 
 
 def settled_aliases(symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,7 +124,7 @@ def csharp(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     related = pick("relation").withColumn("s", entity(F.col("name")))
     # The dependent is named by a type or by a navigation, whose property tells the type.
     element = F.regexp_extract("target", r"(\w+)[\s>\[\]?]*$", 1)
-    navigated = symbols.where("kind = 'Property'").groupBy(F.col("analysis_id").alias("_a"), F.lower("container").alias("_c"), F.lower("name").alias("_n")).agg(F.min_by(element, "seq").alias("_type"))
+    navigated = symbols.where("kind = 'Property'").groupBy(F.col("analysis_id").alias("_a"), F.lower("container").alias("_c"), F.lower("name").alias("_n")).agg(F.min_by(element, F.struct("seq", "target")).alias("_type"))
     related = related.join(navigated, (related["analysis_id"] == F.col("_a")) & (F.lower(related["name"]) == F.col("_c")) & (F.lower(related["target"]) == F.col("_n")), "left")
     edge(related.withColumn("t", entity(F.coalesce("_type", "target"))), "s", "t", "DependsOn", EXACT, F.concat_ws(" -> ", "name", "target"), Multiplicity=F.col("kind"), ForeignKey=F.col("detail"))
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)

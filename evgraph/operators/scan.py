@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import paths
-from .ordered import cap
+from .ordered import cap, running_totals
 
 ERROR = "path string, message string"
 
@@ -22,10 +22,9 @@ def sources(files: DataFrame, most_files: int = rules.MOST_FILES, most_file: int
     allowed = ~paths.unsafe(F.col("path")) & ~rules.in_ignored_directory(F.col("path"), rules.IGNORED_ANALYSIS) & ~rules.is_secret_file(F.col("path")) & ~rules.is_generated(F.col("path"))
     known = bare.where(allowed).withColumn("category", rules.category(F.col("path"))).where(F.col("category").isNotNull() | rules.project_type(F.col("path")).isNotNull())
     large = known.where(F.col("size") > most_file).select("path", F.lit("The file is too large.").alias("message"))
-    order = Window.orderBy(F.upper("path"), "path")
-    # Names and sizes are ordered in one place, as a limit over all files needs; contents stay where they are.
+    # Names and sizes are ordered over all ranges of paths; contents stay where they are.
     sized = known.where((F.col("size") <= most_file) & F.col("category").isNotNull()).select("path", "size")
-    ranked = sized.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranked = running_totals(sized, [F.upper("path"), F.col("path"), F.col("size")], {"_n": F.lit(1), "_sum": F.col("size")})
     over = F.when(F.col("_n") > most_files, "The number of files is at its limit.").when(F.col("_sum") > most_all, "The size of the files is at its limit.")
     judged = ranked.withColumn("message", over)
     ended = judged.where("message IS NOT NULL").groupBy("message").agg(F.min_by("path", "_n").alias("path")).select("path", "message")

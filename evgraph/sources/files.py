@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import re
 import uuid
@@ -176,14 +177,33 @@ def shared_root(spark: SparkSession) -> str:
     return (found or LOCAL_SHARED).rstrip("/")
 
 
+def _delete(spark: SparkSession, uri: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has gone; the shared folder's owner clears it
+        pass
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the folder that driver and executors share, and reread: lineage ends here, and a lost executor costs no rerun."""
+    """Write to the folder that driver and executors share, and reread: lineage ends here, and a lost executor costs no rerun.
+
+    The table lasts until release() or the driver's end.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that settle() wrote, once nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
 def write_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Each table as Parquet by analysis_id; the analyses written replace their own partitions and no others."""
     for name, df in tables.items():
