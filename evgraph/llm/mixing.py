@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running_totals
 from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,7 +34,7 @@ WEIGHTS = (5, 2, 1)
 PERCENT, MOST = 100, 3
 SEED = 2024
 BLOCK, FINE = 1024, 512
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 #: Divisors tried in one round.
 TRIED = 32
 ROUNDS = 12
@@ -58,9 +59,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: flo
     The level is the target of a weight of 1. Each round adds up the sources whose cap the level passes and raises
     the level for the others; it ends when the level stays.
     """
-    # One row a source: its place in the order of names comes from the rows alone, not from the documents.
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = cut(sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long")), "mix-sources")
+    placed = running_totals(sources, [F.col("source").asc_nulls_last()], {"_place": F.lit(1)})
+    weighed = cut(placed.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("_place") - 1) % len(weights) + 1).cast("int")).cast("long")).drop("_place"), "mix-sources")
     limit = most * F.col("source_size")
     total = (weighed.agg(F.sum("source_size")).first()[0] or 0) * percent / 100
     level = -1.0

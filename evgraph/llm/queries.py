@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import decontamination
 from . import html_extraction as html
-from . import importance_resampling, mixing, ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, token_codes, toxicity, warc
+from . import importance_resampling, mixing, ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, token_codes, tokenizer_alignment, toxicity, warc
 from .common import table, tokenizer_path
 
 
@@ -29,6 +29,7 @@ QUERIES = {
     "op10_substring_dedup": lambda s, d: substring_dedup.substring_dedup(_docs(s, d)),
     "op11_importance_resampling": lambda s, d: importance_resampling.importance_resampling(_docs(s, d), table(s, d, "benchmark")),
     "op12_mixing": lambda s, d: mixing.mixture(_docs(s, d)),
+    "op13_tokenizer_alignment": lambda s, d: tokenizer_alignment.tokenizer_alignment(_docs(s, d), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")),
 }
 
 ORACLE_SQL = {
