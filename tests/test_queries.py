@@ -12,7 +12,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from evgraph import queries
+from evgraph import diagram_queries, queries  # noqa: F401  the entry registers the rest
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
