@@ -1,17 +1,16 @@
 """HTML extraction by tag-path ratios.
 
-A page is read into text blocks, each with its root-to-leaf tag path. For every path the
-text length and the punctuation of its blocks are summed and divided by the number of
-blocks; the two ratios are smoothed along the page, fused by product and weighted by what the path's elements
-say of themselves: nothing for menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and MAIN
-times as much in an article or main element with a good part of the text. Paths that pass a threshold
-from the spread of the fused values are selected. Their blocks vote for the content element: the deepest one that
-holds nearly all of them, or the article that it lies in. The result is the blocks of the selected paths and
-what else lies in the content element (or, as a heading or lead, right before it) and has a weight.
+A page is read into text blocks, each with its root-to-leaf tag path. For every path the text length and the punctuation of
+its blocks are summed and divided by the number of blocks. The two ratios are smoothed along the page, fused by product and
+multiplied by a bounded prior: less for what elements, roles and words of class or id mark as furniture, more in an article or main element
+with a good part of the text. Paths that pass a threshold from the spread of the fused values are selected, marked or not; where none is,
+nothing is content. Their blocks vote for the content element: the deepest one that holds nearly all of the votes, or the
+article that it lies in. The result is the blocks of the selected paths and what else lies in the
+content element (or, as a heading or lead, right before it) and isn't marked as furniture.
 
 Defined results: null html counts as empty; a page without text gives an empty string and
 0; unclosed, misnested and truncated tags are closed where HTML closes them; a page on
-which no path stands out gives all blocks that have a weight. Rows are never merged, equal or not; columns other than
+which no path stands out gives all blocks that aren't furniture. Rows are never merged, equal or not; columns other than
 page_id, url and html are not read and may have any name. Work grows in proportion to a page's length, however deep its elements lie.
 """
 
@@ -39,7 +38,9 @@ TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after another, each with its value: a name inside a value or inside a longer name is no attribute.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TELLING = frozenset("class id role hidden aria-hidden".split())
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -60,14 +61,17 @@ WORDS = frozenset(
     "respond disqus discussion nav navbar navigation menu breadcrumb breadcrumbs footer foot masthead topbar subscribe subscription newsletter signup signin login "
     "copyright toolbar pagination pager paywall disclaimer".split()
 )
+#: Of these words those that content is called by as well: they count as a weaker sign.
+AMBIGUOUS = frozenset("social promotion notification widget widgets reply replies discussion foot".split())
 WHOLE = frozenset("html body main article".split())
 LINKS = frozenset(("a",))
 #: Elements before the content that belong to it where they stand beside what holds it.
 LEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
-#: Weight of an article or main element that holds at least a share of the text that isn't furniture or linked.
-MAIN, MAIN_SHARE = 1000.0, 1 / 3
+#: Bounded priors of a ratio: by the sign of furniture (none, weak, strong), and of an article or main element that holds at least a share of the text that isn't furniture or linked.
+FURNISHED, MAIN, MAIN_SHARE = (1.0, 1 / 4, 1 / 64), 16.0, 1 / 3
+NONE, WEAK, STRONG = 0, 1, 2
 #: The threshold in standard deviations of the fused values, and as a share of the greatest at least.
 SPREAD, LEAST = 0.5, 0.02
 
@@ -76,7 +80,7 @@ SPREAD, LEAST = 0.5, 0.02
 class Element:
     name: str
     path: int
-    furniture: bool
+    furniture: int
     in_article: bool
     up: int
     depth: int
@@ -86,7 +90,7 @@ class Element:
 class Block:
     path: int
     element: int
-    furniture: bool
+    furniture: int
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -122,25 +126,30 @@ class Open:
         return at if at > self.scopes[-1] else 0
 
 
-def _is_furniture(name: str, attrs: str, in_article: bool) -> bool:
+def _furniture(name: str, attrs: str, in_article: bool) -> int:
+    """The sign of page furniture that an element gives of itself."""
     if name in FURNITURE or name == "header" and not in_article:
-        return True
+        return STRONG
+    sign = NONE
     if not attrs or name in WHOLE:
-        return False
+        return sign
     for key, *values in ATTRIBUTE.findall(attrs):
-        key, value = key.lower(), "".join(values).lower()
+        key = key.lower()
+        if key not in TELLING:
+            continue
+        value = "".join(values).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in ROLES:
-            return True
-        words = re.split(r"[^a-z]+", value)
-        if key in ("class", "id") and (not WORDS.isdisjoint(words) or "header" in words and not in_article):
-            return True
-    return False
+            return STRONG
+        if key in ("class", "id"):
+            told = WORDS.intersection(re.split(r"[^a-z]+", value)) | ({"header"} if "header" in re.split(r"[^a-z]+", value) and not in_article else set())
+            sign = max(sign, STRONG if told - AMBIGUOUS else WEAK if told else NONE)
+    return sign
 
 
 def parse(page: str) -> tuple[list[Element], list[Block]]:
     """Elements in page order and the text blocks with the element each one lies in; a path is the number of its (path, name, furniture)."""
-    elements = [Element("", 0, False, False, -1, 0)]
-    paths: dict[tuple[int, str, bool], int] = {}
+    elements = [Element("", 0, NONE, False, -1, 0)]
+    paths: dict[tuple[int, str, int], int] = {}
     opened, blocks = Open(), []
     block: Block | None = None
     links = 0
@@ -191,10 +200,10 @@ def parse(page: str) -> tuple[list[Element], list[Block]]:
                 block.parts.append(" " if name == "br" else "")
             continue
         over = elements[opened.stack[-1]]
-        furniture = over.furniture or _is_furniture(name, m["attrs"] or m["attrs2"] or "", over.in_article)
+        furniture = over.furniture if over.furniture == STRONG else max(over.furniture, _furniture(name, m["attrs"] or m["attrs2"] or "", over.in_article))
         path = paths.setdefault((over.path, name, furniture), len(paths) + 1)
         elements.append(Element(name, path, furniture, over.in_article or name in ("article", "main"), opened.stack[-1], over.depth + 1))
-        if furniture and not over.furniture and name not in BLOCK:
+        if furniture != over.furniture and name not in BLOCK:
             block = None
         opened.push(len(elements) - 1, name)
         links += name in LINKS
@@ -214,7 +223,7 @@ def below(elements: list[Element], own: dict[int, float]) -> list[float]:
 
 
 def weights(elements: list[Element], blocks: list[Block]) -> np.ndarray:
-    """What each block's elements say of it: 0 for furniture, MAIN in an article or main element with a good part of the text, else 1."""
+    """What each block's elements say of it, as a factor: FURNISHED by their sign of furniture, MAIN in an article or main element with a good part of the text, else 1."""
     own: dict[int, float] = defaultdict(float)
     for b in blocks:
         own[b.element] += 0 if b.furniture else max(0, len(b.text) - b.linked)
@@ -222,7 +231,7 @@ def weights(elements: list[Element], blocks: list[Block]) -> np.ndarray:
     main = [False] * len(elements)
     for i, e in enumerate(elements):
         main[i] = i > 0 and (main[e.up] or e.name in ("article", "main") and text[i] > 0 and text[i] >= MAIN_SHARE * text[0])
-    return np.array([0.0 if b.furniture else MAIN if main[b.element] else 1.0 for b in blocks])
+    return np.array([FURNISHED[b.furniture] * (MAIN if main[b.element] else 1.0) for b in blocks])
 
 
 def content_paths(blocks: list[Block], weight: np.ndarray) -> set[int]:
@@ -236,12 +245,18 @@ def content_paths(blocks: list[Block], weight: np.ndarray) -> set[int]:
     punctuation = np.array([marks[b.path] / count[b.path] for b in blocks])
     kernel = np.array([0.25, 0.5, 0.25])
 
+    sign = np.array([b.furniture for b in blocks])
+
     def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(np.pad(x, 1, mode="edge"), kernel, mode="valid")
+        out = np.empty(len(x))
+        for level in set(sign.tolist()):  # furniture stands among furniture: it neither lends to the rest nor borrows from it
+            own = sign == level
+            out[own] = np.convolve(np.pad(x[own], 1, mode="edge"), kernel, mode="valid")
+        return out
 
     fused = smooth(text) * smooth(1 + punctuation) * weight
     if not fused.max():
-        return {b.path for b, w in zip(blocks, weight, strict=True) if w}
+        return {b.path for b in blocks if not b.furniture} or {b.path for b in blocks}
     limit = max(min(SPREAD * fused.std(), fused.max()), LEAST * fused.max())
     total = defaultdict(float)
     for b, v in zip(blocks, fused, strict=True):
@@ -257,7 +272,7 @@ def content_element(elements: list[Element], blocks: list[Block], weight: np.nda
     own: dict[int, float] = defaultdict(float)
     for b, w in zip(blocks, weight.tolist(), strict=True):
         if b.path in chosen:
-            own[b.element] += w or 1.0
+            own[b.element] += w
     votes = below(elements, own)
     holds = [False] * len(elements)
     for b in blocks:
@@ -280,6 +295,8 @@ def extract(page: str | None) -> str:
         return ""
     weight = weights(elements, blocks)
     chosen = content_paths(blocks, weight)
+    if not chosen:
+        return ""
     holder = content_element(elements, blocks, weight, chosen)
     after = next((i for i in range(holder + 1, len(elements)) if elements[i].depth <= elements[holder].depth), len(elements))
     apart = elements[holder].name in ("article", "main")
@@ -289,14 +306,14 @@ def extract(page: str | None) -> str:
         above.add(at)
         at = elements[at].up
 
-    def wanted(b: Block, w: float) -> bool:
+    def wanted(b: Block) -> bool:
         if b.path in chosen:
             return True
         inside = holder <= b.element < after
         leads = not apart and b.element < holder and elements[b.element].up in above and elements[b.element].name in LEADS
-        return w > 0 and (inside or leads) and (apart or b.linked < 0.8 * len(b.text))
+        return not b.furniture and (inside or leads) and (apart or b.linked < 0.8 * len(b.text))
 
-    return "\n".join(b.text for b, w in zip(blocks, weight.tolist(), strict=True) if wanted(b, w))
+    return "\n".join(b.text for b in blocks if wanted(b))
 
 
 def html_extraction(pages: DataFrame) -> DataFrame:

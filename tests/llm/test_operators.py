@@ -563,3 +563,30 @@ def test_stored_sets_come_back():
     for part, own in ((stored, found), (stored[2:], found[2:])):
         flat, at = ngram_join._flat(part)
         assert [flat[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [t.tolist() for t in own]
+
+
+def _article(attributes=""):
+    long = "".join(f"<p>{'Some words, of the content. ' * 9}{k}</p>" for k in range(2))
+    return f"<body><nav>Menu, of links.</nav><article><h1>Title of it</h1><div {attributes}>{long}</div><p>The end, really.</p><div class='comments'><p>I agree, friend.</p></div></article><footer>Foot, c.</footer></body>"
+
+
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'title="hidden treasures"', 'data-id="ad"', 'data-role="form"', 'aria-hidden="false"', 'class="social-history"', 'data-x=\'class="ad"\' id=main', "class=widget"])
+def test_attribute_values_do_not_hide_content(attributes):
+    assert html_extraction.extract(_article(attributes)) == html_extraction.extract(_article())
+
+
+def test_ratios_decide(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    found = [html_extraction.extract(p) for p in pages]
+    assert all(found) and "I agree" not in html_extraction.extract(_article()) and "Menu" not in html_extraction.extract(_article())
+    monkeypatch.setattr(html_extraction, "content_paths", lambda *_: set())
+    assert sum(html_extraction.extract(p) != x for p, x in zip(pages, found, strict=True)) > 0.9 * len(pages)
+
+
+def test_words_in_class_are_a_prior_and_no_veto():
+    """A dense body is content whatever its class is called; a sparse one of the same class isn't."""
+    body = "".join(f"<p>{'Sentences, with marks; and more. ' * 8}{k}</p>" for k in range(5))
+    page = "<body><div><h1>Title</h1><p>Lead, of it.</p><div class='related'>{}</div></div></body>"
+    assert "Sentences" in html_extraction.extract(page.format(body))
+    page = "<body><div><h1>Title</h1>" + body + "<div class='related'><p>See also</p></div></div></body>"
+    assert "See also" not in html_extraction.extract(page)
