@@ -83,9 +83,16 @@ def occurrences(docs: DataFrame, shingles: DataFrame) -> tuple[DataFrame, DataFr
     side = known.select("sid", "q", "shingle", hashed.alias("hash"))
     spark = docs.sparkSession
     whole = spark.range(1).select(F.lit(None).cast("long").alias("sid"), F.lit(0).alias("q"), F.lit(None).cast("array<string>").alias("shingle"), F.lit(WHOLE).alias("hash"))
-    met = spread.join(F.broadcast(side.union(whole)), "hash") if small else spread.where(F.col("hash") != WHOLE).join(side, "hash")
-    hit = met.withColumn("at", at).where(F.col("shingle").isNull() | (F.col("at") >= 0) & (F.slice("words", F.greatest("at", F.lit(0)) + 1, F.col("q")) == F.col("shingle")))
-    found = cut(hit.select(*KEY, count.alias("n_words"), F.when(F.col("shingle").isNotNull(), F.col("at")).alias("at"), "sid"), "shingle-occurrences")
+    if small:
+        met = spread.join(F.broadcast(side.union(whole)), "hash").withColumn("at", at)
+        hit = met.where(F.col("shingle").isNull() | (F.col("at") >= 0) & (F.slice("words", F.greatest("at", F.lit(0)) + 1, F.col("q")) == F.col("shingle")))
+        hit = hit.select(*KEY, count.alias("n_words"), F.when(F.col("shingle").isNotNull(), F.col("at")).alias("at"), "sid")
+    else:
+        # What is shuffled of a position is its own shingle, so the bytes grow with the words and not with their square.
+        first, length = reduce(lambda other, x: (F.when(F.col("place") >= x[1], x[1]).otherwise(other[0]), F.when(F.col("place") >= x[1], F.lit(x[0])).otherwise(other[1])), begins, (F.lit(0), F.lit(0)))
+        placed = spread.where(F.col("hash") != WHOLE).select(*KEY, count.alias("n_words"), (F.col("place") - first).alias("at"), F.slice("words", F.greatest(F.col("place") - first, F.lit(0)) + 1, length).alias("own"), "hash")
+        hit = placed.join(side, "hash").where(F.col("own") == F.col("shingle")).select(*KEY, "n_words", "at", "sid")
+    found = cut(hit, "shingle-occurrences")
     every = found.where("at IS NULL") if small else words.select(*KEY, count.alias("n_words"))
     return found.where("at IS NOT NULL"), every.select(*KEY, F.col("n_words").cast("long").alias("n_words"))
 

@@ -1,8 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained with follow-the-regularised-leader updates.
 
-Features of a text (whitespace words): counts of hashed words and word pairs, scaled
-to unit length, and of word shapes and pairs of shapes (case, digits, symbols, the
-same word twice), twice their share of the words.
+Features of a text (whitespace words): the counts of its word n-grams (n = 1, 2), hashed to 2^BITS slots and scaled to unit length together.
+An n-gram is counted as it is and, so that words never seen before tell something too, with each word replaced by its shape
+(case, digits, symbols); a pair of equal words counts as that, too. All n-grams stand in one stream, at equal weight.
 A score is the sparse dot product of these values with the weights, through a sigmoid.
 
 The classifier is fitted on a bounded sample: at most MAX_TRAINING labelled rows of MAX_ENTRIES features in all,
@@ -34,8 +34,7 @@ MAX_TRAINING = 6000
 MAX_ENTRIES = 20_000_000
 BITS = 18
 SHAPES = 64
-#: Words, then shapes, then pairs of shapes, then the pair of equal words.
-WIDTH = (1 << BITS) + SHAPES + SHAPES * SHAPES + 1
+WIDTH = 1 << BITS
 THRESHOLD = 0.3
 SYMBOLS = frozenset("#*$%&|<>{}[]=~^_@\\")
 
@@ -53,7 +52,9 @@ def _word_code(word: str) -> int:
 
 #: Two generations of so many words, some 40 MB in each Python worker.
 CODES = WordCache(_word_code, 100_000)
-_MIX, _PAIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_MIX, _PAIR, _SHAPE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA24BAED4963EE407)
+#: Stands for a pair of equal words.
+_SAME = np.uint64(SHAPES + 1)
 
 
 def _tally(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,13 +71,11 @@ def slots(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     codes = np.fromiter(map(CODES.__getitem__, words), np.uint64, n)
-    shape = (codes & np.uint64(SHAPES - 1)).astype(np.int32)
-    shift = np.uint64(64 - BITS)
-    base = 1 << BITS
-    words_at, words_n = _tally(np.concatenate((((codes * _MIX) >> shift).astype(np.int32), (((codes[:-1] * _PAIR + codes[1:]) * _MIX) >> shift).astype(np.int32))))
-    same = np.full(np.count_nonzero(codes[:-1] == codes[1:]), WIDTH - 1, np.int32)
-    shapes_at, shapes_n = _tally(np.concatenate((base + shape, base + SHAPES + shape[:-1] * SHAPES + shape[1:], same)))
-    return np.concatenate((words_at, shapes_at)), np.concatenate((words_n / np.sqrt(np.dot(words_n, words_n)), 2 * shapes_n / np.float32(n)))
+    shapes = (codes & np.uint64(SHAPES - 1)) + np.uint64(1)
+    repeats = np.full(np.count_nonzero(codes[:-1] == codes[1:]), _SAME)
+    grams = (codes, codes[:-1] * _PAIR + codes[1:], shapes * _SHAPE, (shapes[:-1] * _PAIR + shapes[1:]) * _SHAPE, repeats)
+    at, count = _tally(((np.concatenate(grams) * _MIX) >> np.uint64(64 - BITS)).astype(np.int32))
+    return at, count / np.sqrt(np.dot(count, count))
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +96,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return met.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).select(F.xxhash64("doc_id").alias("place"), "text", "label")
 
 
-def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, alpha: float = 0.3, beta: float = 0.1, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> tuple[np.ndarray, float]:
+def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], width: int, alpha: float = 0.5, beta: float = 0.1, l1: float = 0.005, l2: float = 0.005, epochs: int = 5) -> tuple[np.ndarray, float]:
     """Weights and intercept by per-coordinate proximal follow-the-regularised-leader updates, a row at a time."""
     z, squares = np.zeros(width + 1), np.zeros(width + 1)
 

@@ -335,7 +335,7 @@ def test_follow_the_leader_densely():
             sigma = (np.sqrt(n + g * g) - np.sqrt(n)) / alpha
             z += g - sigma * w
             n += g * g
-    weights, intercept = quality_classifier.follow_leader(rows, width)
+    weights, intercept = quality_classifier.follow_leader(rows, width, alpha, beta, l1, l2, 3)
     assert np.allclose([*weights, intercept], solve(), atol=1e-5)
 
 
@@ -345,15 +345,20 @@ def test_slots_by_definition():
     counts = Counter()
     codes = [quality_classifier._word_code(w) for w in words]
     top = lambda x: ((x * 0x9E3779B97F4A7C15) % 2**64) >> (64 - quality_classifier.BITS)
+    shapes = [(c & 63) + 1 for c in codes]
     for a in codes:
         counts[top(a)] += 1
     for a, b in itertools.pairwise(codes):
         counts[top((a * 0xC2B2AE3D27D4EB4F + b) % 2**64)] += 1
+    for a in shapes:
+        counts[top(a * 0xA24BAED4963EE407 % 2**64)] += 1
+    for a, b in itertools.pairwise(shapes):
+        counts[top((a * 0xC2B2AE3D27D4EB4F + b) * 0xA24BAED4963EE407 % 2**64)] += 1
+    counts[top(65)] += 2
     norm = sum(v * v for v in counts.values()) ** 0.5
     at, x = quality_classifier.slots(text)
-    got = {int(a): float(v) for a, v in zip(at, x, strict=True) if a < 1 << quality_classifier.BITS}
+    got = {int(a): float(v) for a, v in zip(at, x, strict=True)}
     assert got.keys() == counts.keys() and all(abs(got[k] - v / norm) < 1e-6 for k, v in counts.items())
-    assert abs(float(x[at == quality_classifier.WIDTH - 1][0]) - 2 * 2 / len(words)) < 1e-6
 
 
 def test_training_rows_are_bounded(spark):
@@ -590,3 +595,11 @@ def test_words_in_class_are_a_prior_and_no_veto():
     assert "Sentences" in html_extraction.extract(page.format(body))
     page = "<body><div><h1>Title</h1>" + body + "<div class='related'><p>See also</p></div></div></body>"
     assert "See also" not in html_extraction.extract(page)
+
+
+def test_contamination_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    """Shuffled in place of broadcast: equal rows, also for a long text, of which a position carries its own shingle only."""
+    items = spark.createDataFrame([(k, prose("passage", 90) if k == 0 else prose(300 + k, 20)) for k in range(5)] + [(7, "one two"), (8, prose("long", 40_000)[:300])], "item_id long, text string")
+    expected = table(decontamination.decontamination(docs, items))
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", -1)
+    assert table(decontamination.decontamination(docs, items)) == expected == oracle(decontamination.ORACLE_SQL, documents=docs, benchmark=items)
