@@ -1,13 +1,21 @@
-"""Queries of mentions, limits, traces and layered diagrams over files and symbols made from the test tables, with independent SQL."""
+"""Queries of mentions, limits, traces, layered diagrams, CI files, cascades, totals and job states over files and symbols made from the test tables, with independent SQL."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fact_queries import text_of
-from .operators import api_diagram, graph, mentions, scan
+from .operators import api_diagram, cascade, classify, extract_ci, graph, mentions, scan, totals
 from .queries import _EDGES, place_edges, query, table
+from .rules import when_chain
+from .sources import archive_source, files
+from .streaming import states
 
 # Mentions anywhere in a text
 
@@ -160,3 +168,194 @@ UNION ALL SELECT s.a, s.id, o.id, 'Delegates', 'confirmed' FROM s JOIN s o ON s.
 def api_edges(spark, d):
     t = _api_tables(spark, d)
     return api_diagram.api_architecture(**t, with_database=api_diagram.has_database(t["symbols"], t["symbols"].limit(0)))[1]
+
+
+# CI files of GitLab and Azure: one of each for a region, with jobs for its nations
+
+
+@query("""
+WITH k AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i FROM nation)
+SELECT a AS analysis_id, 'make' || n AS job, 'big' AS runs_on, '' AS needs, CAST(2 AS INT) AS n_steps FROM k
+UNION ALL SELECT k.a, 'try' || k.n, 'img', CASE WHEN k.n % 2 = 0 THEN 'make' || k.n ELSE (SELECT string_agg('make' || x.n, ',' ORDER BY x.n) FROM k x WHERE x.a = k.a) END, 1 FROM k
+UNION ALL SELECT a, 'ship', 'img', string_agg('try' || n, ',' ORDER BY n), 1 FROM k GROUP BY a
+""")
+def gitlab_jobs(spark, d):
+    """Templates, anchors, named needs, and the order of stages where a job names none."""
+    n = F.col("n_nationkey")
+    make, attempt = text_of("make", n, ":\n  <<: *made\n  extends: .tagged\n"), text_of("try", n, ":\n  script: go   # once\n", F.when(n % 2 == 0, text_of("  needs:\n  - job: make", n, "\n    artifacts: true\n")).otherwise(""))
+    jobs = table(spark, d, "nation").groupBy("n_regionkey").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), x.alias("x")))), lambda s: s["x"]), "").alias(name) for name, x in (("makes", make), ("tries", attempt))))
+    text = F.concat(F.lit("stages: [make, 'try', ship]\nimage: {name: img}\n.tagged:\n  tags: [big]\n.made: &made\n  stage: make\n  script:\n    - one\n    - |\n      two: lines\n      ship: no\n"), "makes", F.regexp_replace("tries", "script: go", "stage: try\n  script: go"), F.lit("ship: {stage: ship, script: [go]}\n"))
+    files = jobs.select(text_of("r", F.col("n_regionkey")).alias("analysis_id"), F.lit(".gitlab-ci.yml").alias("path"), text.alias("content"))
+    return extract_ci.jobs(files).select("analysis_id", "job", "runs_on", F.array_join("needs", ",").alias("needs"), "n_steps")
+
+
+@query("""
+WITH k AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n FROM nation)
+SELECT a AS analysis_id, 'make' || n AS job, 'vm' AS runs_on, '' AS needs, CAST(2 AS INT) AS n_steps FROM k
+UNION ALL SELECT a, 'pack', 'own', string_agg('make' || n, ',' ORDER BY n), 1 FROM k GROUP BY a
+UNION ALL SELECT a, 'checks.yml', 'vm', string_agg('make' || n, ',' ORDER BY n) || ',pack', 0 FROM k GROUP BY a
+UNION ALL SELECT a, 'prod', 'vm', string_agg('make' || n, ',' ORDER BY n) || ',pack,checks.yml', 2 FROM k GROUP BY a
+UNION ALL SELECT DISTINCT a, 'alone', 'vm', '', 1 FROM k
+""")
+def azure_jobs(spark, d):
+    """Stages that follow each other, wait for named ones or for none; templates and deployments."""
+    n = F.col("n_nationkey")
+    ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), x.alias("x")))), lambda s: s["x"])
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(ordered(text_of("  - job: make", n, "\n    steps:\n    - script: a\n    - task: B@1\n      inputs:\n        jobs: none\n")).alias("makes"), ordered(text_of("make", n)).alias("names"))
+    text = F.concat(
+        F.lit("trigger: [main]\npool:\n  vmImage: vm\nstages:\n- stage: Make\n  jobs:\n"), F.array_join("makes", ""), F.lit("  - job: pack\n    dependsOn: ["), F.array_join("names", ", "), F.lit("]\n    pool: {name: own}\n    steps: [{script: x}]\n"),
+        F.lit("- stage: Check\n  jobs:\n  - template: checks.yml\n- stage: Ship\n  dependsOn:\n  - Make\n  - Check\n  jobs:\n  - deployment: prod\n    strategy:\n      runOnce:\n        deploy:\n          steps:\n          - script: a\n          - script: b\n- stage: Alone\n  dependsOn: []\n  jobs:\n  - job: alone\n    steps:\n    - script: x\n"),
+    )
+    files = rows.select(text_of("r", F.col("n_regionkey")).alias("analysis_id"), F.lit("azure-pipelines.yml").alias("path"), text.alias("content"))
+    return extract_ci.jobs(files).select("analysis_id", "job", "runs_on", F.array_join("needs", ",").alias("needs"), "n_steps")
+
+
+# Cascades
+
+
+@query("""
+WITH p AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n FROM nation),
+f AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n, c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'p' || n_nationkey WHEN c_custkey % 7 = 0 THEN 'p999' END AS ref FROM customer JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT *, CASE k % 4 WHEN 0 THEN 'SRC/n' || n || '/N.csproj' WHEN 1 THEN 'src/N' || n || '/sub/f' || k || '.cs' WHEN 2 THEN 'src/f' || k || '.cs' ELSE 'other/f' || k || '.cs' END AS path FROM f)
+SELECT a AS analysis_id, k, path, CASE WHEN ref <> 'p999' THEN ref WHEN k % 4 IN (0, 1) THEN 'p' || n ELSE 'p' || (SELECT min(n) FROM p WHERE p.a = g.a) END AS project_id FROM g
+""")
+def project_cascade(spark, d):
+    """Files that name a project, are its manifest, lie below its folder, or have only their analysis in common with it."""
+    nation = table(spark, d, "nation")
+    n, k, region = F.col("n_nationkey"), F.col("c_custkey"), text_of("r", F.col("n_regionkey"))
+    projects = nation.select(region.alias("analysis_id"), text_of("p", n).alias("project_id"), text_of("src/n", n, "/N.csproj").alias("path"), n.alias("seq"))
+    path = F.when(k % 4 == 0, text_of("SRC/n", n, "/N.csproj")).when(k % 4 == 1, text_of("src/N", n, "/sub/f", k, ".cs")).when(k % 4 == 2, text_of("src/f", k, ".cs")).otherwise(text_of("other/f", k, ".cs"))
+    files = table(spark, d, "customer").join(nation, F.col("c_nationkey") == n).select(region.alias("analysis_id"), k.alias("k"), path.alias("path"), F.when(k % 5 == 0, text_of("p", n)).when(k % 7 == 0, F.lit("p999")).alias("project_ref"))
+    return cascade.project_of_files(files, projects).select("analysis_id", "k", "path", "project_id")
+
+
+@query("""
+WITH p AS (SELECT 'r' || n_regionkey AS a, n_name AS name, n_nationkey AS n FROM nation), s AS (SELECT 'r' || n_regionkey AS a, 'src/' || n_name || s_suppkey || '/x.csproj' AS path, s_suppkey AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s.a AS analysis_id, k, path, coalesce(arg_min(name, n), '') AS project FROM s LEFT JOIN p ON s.a = p.a AND contains(path, name) GROUP BY ALL
+""")
+def project_ref_source(spark, d):
+    nation, region = table(spark, d, "nation"), text_of("r", F.col("n_regionkey"))
+    projects = nation.select(region.alias("analysis_id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("seq"))
+    asked = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(region.alias("analysis_id"), F.col("s_suppkey").alias("k"), text_of("src/", F.col("n_name"), F.col("s_suppkey"), "/x.csproj").alias("path"))
+    return cascade.project_of_references(asked, projects).select("analysis_id", "k", "path", F.coalesce("project", F.lit("")).alias("project"))
+
+
+@query(f"""
+WITH e AS (SELECT source_id, target_id, CASE split_part(source_id, ':', 1) WHEN 'supplier' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END + 3 * CAST(split_part(source_id, ':', 2) AS BIGINT) AS seq FROM ({_EDGES})),
+b AS (SELECT source_id AS id, * FROM e UNION ALL SELECT target_id, * FROM e)
+SELECT 'nation:' || n_nationkey AS id, coalesce(arg_min(source_id, seq), '') AS edge_source, coalesce(arg_min(target_id, seq), '') AS edge_target FROM nation LEFT JOIN b ON b.id = 'nation:' || n_nationkey GROUP BY n_nationkey
+""")
+def endpoint_first_edge(spark, d):
+    nodes = table(spark, d, "nation").select(text_of("NATION:", F.col("n_nationkey")).alias("id"))
+    met = cascade.first_edge_of(nodes, place_edges(spark, d))
+    return met.select(F.lower("id").alias("id"), F.coalesce("edge_source", F.lit("")).alias("edge_source"), F.coalesce("edge_target", F.lit("")).alias("edge_target"))
+
+
+@query("""
+SELECT 'a' || c_custkey AS analysis_id, c_custkey % 2 = 0 AS "references", c_custkey % 3 = 0 AS relations, 'Cli' AS repository_type,
+CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 OR c_custkey % 5 = 0 THEN 'High' ELSE 'Medium' END AS confidence FROM customer
+""")
+def layer3_flags(spark, d):
+    """References between projects, relations between symbols and the number of projects make a program's kind surer."""
+    customer, k = table(spark, d, "customer"), F.col("c_custkey")
+    own = text_of("a", k).alias("analysis_id")
+    files = customer.select(own, F.lit("src/Tool.csproj").alias("path"), F.lit("").alias("content"))
+    projects = customer.select(own, F.explode(F.when(k % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n")).drop("n")
+    nodes = customer.select(own, F.lit("Class").alias("type"), F.lit("Program").alias("name"))
+    none = F.struct(F.lit("Contains").alias("type"), F.lit("file:a").alias("source_id"), F.lit("class:a").alias("target_id"))
+    between = F.struct(F.lit("DependsOn").alias("type"), F.when(k % 2 == 0, "project:a").otherwise("class:a").alias("source_id"), F.lit("project:b").alias("target_id"))
+    related = F.struct(F.when(k % 3 == 0, F.element_at(F.array(F.lit("Calls"), F.lit("Inherits"), F.lit("Implements")), (k % 9 / 3 + 1).cast("int"))).otherwise("MapsTo").alias("type"), F.lit("class:a").alias("source_id"), F.lit("class:b").alias("target_id"))
+    edges = customer.select(own, F.explode(F.array(none, between, related)).alias("e")).select("analysis_id", "e.*")
+    return classify.decide(classify.flags(files, projects, nodes, edges)).select("analysis_id", "references", "relations", "repository_type", "confidence")
+
+
+# Levels of totals, and values as of a time
+
+
+@query("""
+SELECT coalesce(l_returnflag, '-') AS l_returnflag, coalesce(l_linestatus, '-') AS l_linestatus, coalesce(y, 0) AS y, CAST(grouping(l_returnflag) * 4 + grouping(l_linestatus) * 2 + grouping(y) AS INT) AS level, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
+FROM (SELECT *, CAST(year(l_shipdate) AS INT) AS y FROM lineitem) GROUP BY CUBE (l_returnflag, l_linestatus, y)
+""")
+def totals_cube(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("y", F.year("l_shipdate"))
+    found = totals.cube(lines, ["l_returnflag", "l_linestatus", "y"], n=F.count("*"), quantity=F.sum(F.col("l_quantity").cast("long")))
+    return found.withColumns({"l_returnflag": F.coalesce("l_returnflag", F.lit("-")), "l_linestatus": F.coalesce("l_linestatus", F.lit("-")), "y": F.coalesce("y", F.lit(0))})
+
+
+@query("""
+SELECT coalesce(r_name, '-') AS r_name, coalesce(n_name, '-') AS n_name, CAST(grouping(r_name) * 2 + grouping(n_name) AS INT) AS level, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)
+""")
+def totals_rollup(spark, d):
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return totals.rollup(rows, ["r_name", "n_name"], n=F.count("*")).withColumns({c: F.coalesce(c, F.lit("-")) for c in ("r_name", "n_name")})
+
+
+@query("""
+WITH o AS (SELECT o_custkey, CAST(o_orderdate AS TIMESTAMP) AS t, max(o_orderkey) AS k FROM orders GROUP BY ALL), e AS (SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS ts FROM events)
+SELECT event_id, k AS o_orderkey FROM e ASOF LEFT JOIN o ON e.user_id = o.o_custkey AND e.ts >= o.t
+""")
+def events_asof_orders(spark, d):
+    """The last order of an event's user before it."""
+    events = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("since"), "o_orderkey")
+    return totals.as_of(events, orders, "user_id", "ts", "since", ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+# States of jobs over a stream of their events
+
+_KINDS = {"signup": "Queued", "view": "StaticAnalysis", "click": "Embedding", "purchase": "Completed", "error": "Failed"}
+
+
+@query("""
+WITH e AS (SELECT user_id || '-' || event_id % 3 AS job, CAST(ts AS TIMESTAMP) AS ts, event_type FROM events),
+s AS (SELECT job, min(ts) AS first_ts, max(ts) AS last_ts, min(ts) FILTER (event_type = 'purchase') AS c, min(ts) FILTER (event_type = 'error') AS f, bool_or(event_type = 'click') AS emb, bool_or(event_type = 'view') AS ana FROM e GROUP BY job),
+m AS (SELECT max(ts) AS t FROM e)
+SELECT job, CASE WHEN f IS NOT NULL AND (c IS NULL OR f <= c) THEN 'Failed' WHEN c IS NOT NULL THEN 'Completed' WHEN last_ts + INTERVAL 7 DAY <= t - INTERVAL 1 HOUR THEN 'TimedOut' WHEN emb THEN 'Embedding' WHEN ana THEN 'StaticAnalysis' ELSE 'Queued' END AS status,
+CASE WHEN emb THEN 'Embedding' WHEN ana THEN 'StaticAnalysis' ELSE 'Queued' END AS stage FROM s, m
+""")
+def job_states(spark, d):
+    """The events, replayed as a stream in a few batches: the state each job ends in."""
+    root = files.scratch(spark, "job-states")
+    events = table(spark, d, "events")
+    kind = when_chain([(F.col("event_type") == k, v) for k, v in _KINDS.items()])
+    source = events.select(F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 3).cast("string")).alias("job"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    source.repartition(3).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 10).parquet(f"{root}/in")
+    states.keep(states.transitions(stream), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return states.current(spark, f"{root}/out").select("job", "status", "stage")
+
+
+# One archive, many tasks
+
+
+@query("""
+SELECT 'r' || n_regionkey || '.zip' AS archive, 'src/n' || n_nationkey || '/c' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '.cs' ELSE '.txt' END AS path, CAST(strlen(c_name) AS BIGINT) AS size, CASE WHEN c_custkey % 3 = 0 THEN sha256(c_name) ELSE '' END AS hash
+FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'z.zip', '', 0, ''
+""")
+def archive_ranges(spark, d):
+    """An archive a region with a file a customer, and one that is none: read by ranges of some kilobytes, contents of one kind of file only."""
+    folder = files.scratch(spark, "archives")
+    nation = table(spark, d, "nation")
+    path = text_of("src/n", F.col("n_nationkey"), "/c", F.col("c_custkey"), F.when(F.col("c_custkey") % 3 == 0, ".cs").otherwise(".txt"))
+    rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(text_of("r", F.col("n_regionkey"), ".zip").alias("archive"), path.alias("path"), "c_name")
+    packed = rows.groupBy("archive").agg(F.collect_list(F.struct("path", "c_name")).alias("entries")).unionByName(spark.range(1).select(F.lit("z.zip").alias("archive"), F.array().cast("array<struct<path: string, c_name: string>>").alias("entries")))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = archive_source.filesystem(folder)
+        fs.create_dir(at)
+        for b in batches:
+            for row in b.to_pylist():
+                data = io.BytesIO(b"" if row["entries"] else b"no archive")
+                if row["entries"]:
+                    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+                        for e in row["entries"]:
+                            z.writestr(e["path"], e["c_name"])
+                with fs.open_output_stream(f"{at}/{row['archive']}") as out:
+                    out.write(data.getvalue())
+            yield b.select(["archive"])
+
+    packed.mapInArrow(write, "archive string").count()
+    listed = archive_source.read_large_archives(spark, folder, 4096, content=False).select("archive", "path", "size", F.lit("").alias("hash"))
+    read = archive_source.read_large_archives(spark, folder, 4096).where(F.col("path").endswith(".cs")).select("archive", "path", "size", F.sha2("content", 256).alias("hash"))
+    names = listed.where(F.coalesce(~F.col("path").endswith(".cs"), F.lit(True)))
+    return names.select("archive", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), "hash").unionByName(read)

@@ -1,13 +1,17 @@
-"""Jobs of CI workflows: GitHub-style YAML by lines, Jenkins stages, and what stands for files without jobs."""
+"""Jobs of CI workflows: GitHub, GitLab and Azure YAML, Jenkins stages, and what stands for files without jobs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import lines
 from ..rules import any_of, when_chain
+from .ci_yaml import Job, jobs_of
 
 #: Known triggers, and the words of each job role, in order.
 TRIGGERS = "push pull_request workflow_dispatch schedule release merge_group".split()
@@ -43,48 +47,25 @@ def triggers(text: Column) -> Column:
 def jobs(files: DataFrame) -> DataFrame:
     """analysis_id, path, workflow, trigger, job, seq, line, runs_on, needs (array), n_steps, role of each job.
 
-    A fold over a file's lines: jobs stand at an indent of two below 'jobs:'; needs is a name, an inline list or a dashed list.
+    GitHub jobs need what they name; GitLab and Azure jobs that name nothing need the jobs of the stage before. A file without jobs has one, build.
     """
     yaml = workflow_files(files).where(F.lower("path").rlike(r"\.ya?ml$"))
-    empty = "struct<name: string, line: int, runs_on: string, needs: array<string>, steps: int, listing: boolean>"
-    kind = f"struct<inside: boolean, done: array<{empty}>>"
-
-    def with_last(state: Column, **changes: Column) -> Column:
-        last = F.element_at(state["done"], -1)
-        fields = [changes.get(n, last[n]).alias(n) for n in ("name", "line", "runs_on", "needs", "steps", "listing")]
-        return F.struct(state["inside"].alias("inside"), F.concat(F.slice(state["done"], 1, F.size(state["done"]) - 1), F.array(F.struct(*fields))).alias("done"))
-
-    def names(x: Column) -> Column:
-        return F.filter(F.transform(F.split(F.regexp_replace(x, r"[\[\]'\"]", ""), ","), F.trim), lambda n: n != "")
-
-    def step(state: Column, x: Column) -> Column:
-        line = x["line"]
-        job = F.regexp_extract(line, r"^  ([A-Za-z0-9_-]+):\s*(#.*)?$", 1)
-        fresh = F.struct(job.alias("name"), x["no"].alias("line"), F.lit("").alias("runs_on"), F.array().cast("array<string>").alias("needs"), F.lit(0).alias("steps"), F.lit(False).alias("listing"))
-        any_job, last = F.size(state["done"]) > 0, F.try_element_at(state["done"], F.lit(-1))
-        needs, dash = F.regexp_extract(line, r"^    needs:\s*(.*)$", 1), F.regexp_extract(line, r"^\s{4,}-\s*['\"]?([A-Za-z0-9_-]+)['\"]?\s*$", 1)
-        is_needs = line.rlike(r"^    needs:")
-        state_type = lambda s: s.cast(kind)
-        return (
-            F.when(line.rlike(r"^jobs:"), state_type(F.struct(F.lit(True).alias("inside"), state["done"].alias("done"))))
-            .when(line.rlike(r"^[A-Za-z]") | ~state["inside"], state_type(F.struct((state["inside"] & ~line.rlike(r"^[A-Za-z]")).alias("inside"), state["done"].alias("done"))))
-            .when(job != "", state_type(F.struct(state["inside"].alias("inside"), F.concat(state["done"], F.array(fresh)).alias("done"))))
-            .when(any_job & line.rlike(r"^    runs-on:"), state_type(with_last(state, runs_on=F.trim(F.regexp_extract(line, r"runs-on:\s*(.*)$", 1)), listing=F.lit(False))))
-            .when(any_job & is_needs, state_type(with_last(state, needs=names(needs), listing=F.trim(needs) == "")))
-            .when(any_job & last["listing"] & (dash != ""), state_type(with_last(state, needs=F.concat(last["needs"], F.array(dash)))))
-            .when(any_job & line.rlike(r"^\s+(- )?(name|uses|run):"), state_type(with_last(state, steps=last["steps"] + line.rlike(r"^\s+- (name|uses|run):").cast("int"), listing=F.lit(False))))
-            .otherwise(state_type(F.struct(state["inside"].alias("inside"), state["done"].alias("done"))))
-        )
-
-    numbered = F.transform(lines(F.col("content")), lambda x, i: F.struct((i + 1).cast("int").alias("no"), x.alias("line")))
-    folded = F.aggregate(numbered, F.struct(F.lit(False).alias("inside"), F.array().cast(f"array<{empty}>").alias("done")).cast(kind), step, lambda s: s["done"])
+    schema = pa.schema([("analysis_id", pa.string()), ("path", pa.string()), ("job", pa.string()), ("seq", pa.int32()), ("line", pa.int32()), ("runs_on", pa.string()), ("needs", pa.list_(pa.string())), ("n_steps", pa.int32())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for analysis, path, text in zip(*(b.column(c).to_pylist() for c in ("analysis_id", "path", "content")), strict=True):
+                found = jobs_of(path, text or "") or [Job("build", 1)]
+                rows += [(analysis, path, x.name, k, x.line, x.runs_on, x.needs, min(x.n_steps, MOST_STEPS)) for k, x in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
+
+    types = "analysis_id string, path string, job string, seq int, line int, runs_on string, needs array<string>, n_steps int"
+    found = yaml.select("analysis_id", "path", "content").mapInArrow(read, types)
     named = F.coalesce(F.nullif(F.regexp_extract("content", r"(?m)^name:\s*['\"]?([^'\"\n]+)", 1), F.lit("")), paths.stem(F.col("path")))
-    fallback = F.array(F.struct(F.lit("build").alias("name"), F.lit(1).alias("line"), F.lit("").alias("runs_on"), F.array().cast("array<string>").alias("needs"), F.lit(0).alias("steps"), F.lit(False).alias("listing")).cast(empty))
-    found = yaml.select("analysis_id", "path", named.alias("workflow"), triggers(F.col("content")).alias("trigger"), folded.alias("jobs"))
-    spread = found.select("analysis_id", "path", "workflow", "trigger", F.posexplode(F.when(F.size("jobs") > 0, F.col("jobs")).otherwise(fallback)).alias("seq", "j"))
-    return spread.select(
-        "analysis_id", "path", "workflow", "trigger", F.col("j.name").alias("job"), "seq", F.col("j.line").alias("line"), "j.runs_on", "j.needs", F.least("j.steps", F.lit(MOST_STEPS)).alias("n_steps"), role(F.col("j.name")).alias("role")
-    ).unionByName(jenkins(files))
+    said = yaml.select(F.col("analysis_id").alias("_a"), F.col("path").alias("_p"), named.alias("workflow"), triggers(F.col("content")).alias("trigger"))
+    met = found.join(said, (found["analysis_id"] == F.col("_a")) & (found["path"] == F.col("_p")))
+    return met.select("analysis_id", "path", "workflow", "trigger", "job", "seq", "line", "runs_on", "needs", "n_steps", role(F.col("job")).alias("role")).unionByName(jenkins(files))
 
 
 def jenkins(files: DataFrame) -> DataFrame:

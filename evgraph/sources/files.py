@@ -72,6 +72,12 @@ def archive_problem(content: Column, size: Column) -> Column:
     )
 
 
+def entry_problem(name: str) -> str | None:
+    """What is wrong with an entry's name: an entry may not leave the archive's folder."""
+    name = name.replace("\\", "/")
+    return "an entry leaves the archive's folder" if name.startswith("/") or ":" in name[:3] or ".." in name.split("/") else None
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
     """archive, path, size, content, problem of each file in the archives (path, content); limits hold while entries are read.
 
@@ -87,8 +93,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 raise ValueError("too many entries")
             for i in listed:
                 name = i.filename.replace("\\", "/")
-                if name.startswith("/") or ":" in name[:3] or ".." in name.split("/"):
-                    raise ValueError("an entry leaves the archive's folder")
+                if problem := entry_problem(name):
+                    raise ValueError(problem)
                 with z.open(i) as f:
                     content = f.read(MOST_ENTRY_BYTES + 1)
                 total += len(content)
@@ -135,7 +141,9 @@ def _archive(spark: SparkSession, request: dict) -> DataFrame:
     first = archives.select(archive_problem(F.col("content"), F.col("length")).alias("problem")).where("problem IS NOT NULL").first()
     if first:
         raise Refused(first["problem"])
-    entries = settle(read_archives(archives), "archive")
+    from .archive_source import read_large_archives
+
+    entries = settle(read_large_archives(spark, request["location"]), "archive")
     bad = entries.where("problem IS NOT NULL").select("problem").first()
     if bad:
         raise Refused(bad["problem"])
@@ -191,12 +199,18 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     The table lasts until release() or the driver's end.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    path = scratch(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's URI below the shared folder, deleted when the driver ends."""
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables that settle() wrote, once nothing reads them any more."""
     for df in tables:
