@@ -5,13 +5,14 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fact_queries import text_of
-from .operators import api_diagram, cascade, classify, extract_ci, graph, mentions, scan, totals
+from .operators import api_diagram, cascade, classify, diagrams, extract_ci, graph, mentions, package_diagram, page_diagram, scan, totals
 from .queries import _EDGES, place_edges, query, table
 from .rules import when_chain
 from .sources import archive_source, files
@@ -359,3 +360,153 @@ def archive_ranges(spark, d):
     read = archive_source.read_large_archives(spark, folder, 4096).where(F.col("path").endswith(".cs")).select("archive", "path", "size", F.sha2("content", 256).alias("hash"))
     names = listed.where(F.coalesce(~F.col("path").endswith(".cs"), F.lit(True)))
     return names.select("archive", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("size", F.lit(0)).cast("long").alias("size"), "hash").unionByName(read)
+
+
+# The map of a frontend: a region's nations have a page, two components and every other one a hook; some customers have bare pages
+
+
+_PAGES = r"""
+WITH n AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n FROM nation),
+f AS (SELECT a, 'app/n' || n || '/Page' || n || '.tsx' AS path, CASE n % 3 WHEN 0 THEN '<Card' || n || '/>' WHEN 1 THEN 'import components/w/Box' || n || '.tsx' ELSE 'none' END AS t FROM n
+  UNION ALL SELECT a, 'src/components/Card' || n || '.tsx', CASE WHEN n % 4 = 0 THEN 'useCart' || n || '() axios' ELSE 'x' END FROM n UNION ALL SELECT a, 'components/w/Box' || n || '.tsx', CASE WHEN n % 5 = 0 THEN 'Card' || n ELSE 'y' END FROM n
+  UNION ALL SELECT a, 'hooks/useCart' || n || '.ts', CASE WHEN n % 6 = 0 THEN 'fetch(' ELSE 'z' END FROM n WHERE n % 2 = 0 UNION ALL SELECT 'r' || n_regionkey, 'pages/c' || c_custkey || '.tsx', '' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0),
+s AS (SELECT *, regexp_extract(path, '([^/]+)[.][^.]*$', 1) AS name, row_number() OVER (PARTITION BY a, split_part(replace(path, 'src/', ''), '/', 1) IN ('app', 'pages'), split_part(replace(path, 'src/', ''), '/', 1) = 'hooks' ORDER BY upper(path), path) AS rank FROM f),
+p AS (SELECT *, 'page-' || name AS id FROM s WHERE (path LIKE 'app/%' OR path LIKE 'pages/%') AND rank <= 15), c AS (SELECT *, 'comp-' || name AS id FROM s WHERE path LIKE '%components/%' AND rank <= 16), h AS (SELECT *, 'hook-' || name AS id FROM s WHERE path LIKE 'hooks/%' AND rank <= 10),
+pc AS (SELECT p.a, p.id AS x, c.id AS y FROM p JOIN c ON p.a = c.a AND (contains(p.t, c.name) OR contains(p.t, c.path))), cc AS (SELECT c.a, c.id AS x, o.id AS y FROM c JOIN c o ON c.a = o.a AND c.path <> o.path AND (contains(c.t, o.name) OR contains(c.t, o.path))),
+ch AS (SELECT c.a, c.id AS x, h.id AS y FROM c JOIN h ON c.a = h.a AND (contains(c.t, h.name) OR contains(c.t, h.path))), api AS (SELECT a, id FROM c WHERE contains(t, 'axios') UNION ALL SELECT a, id FROM h WHERE contains(t, 'fetch('))
+"""
+
+
+def _page_files(spark, d) -> DataFrame:
+    nation = table(spark, d, "nation")
+    n, a = F.col("n_nationkey"), text_of("r", F.col("n_regionkey")).alias("analysis_id")
+    page = F.when(n % 3 == 0, text_of("<Card", n, "/>")).when(n % 3 == 1, text_of("import components/w/Box", n, ".tsx")).otherwise("none")
+    own = [
+        (nation, text_of("app/n", n, "/Page", n, ".tsx"), page), (nation, text_of("src/components/Card", n, ".tsx"), F.when(n % 4 == 0, text_of("useCart", n, "() axios")).otherwise("x")), (nation, text_of("components/w/Box", n, ".tsx"), F.when(n % 5 == 0, text_of("Card", n)).otherwise("y")),
+        (nation.where(n % 2 == 0), text_of("hooks/useCart", n, ".ts"), F.when(n % 6 == 0, "fetch(").otherwise("z")),
+        (table(spark, d, "customer").where("c_custkey % 20 = 0").join(nation, F.col("c_nationkey") == n), text_of("pages/c", F.col("c_custkey"), ".tsx"), F.lit("")),
+    ]
+    parts = [df.select(a, path.alias("path"), text.alias("content")) for df, path, text in own]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_PAGES + """SELECT a AS analysis_id, id, path AS name, 'route' AS category, CAST(rank AS INT) AS rank FROM p UNION ALL SELECT a, id, name, 'component', CAST(rank AS INT) FROM c UNION ALL SELECT a, id, name, 'hook', CAST(rank AS INT) FROM h UNION ALL SELECT DISTINCT a, 'node-external-api', 'Backend / External API', 'external_api', 1 FROM n""")
+def frontend_nodes(spark, d):
+    return page_diagram.frontend_map(_page_files(spark, d))[0].drop("tier")
+
+
+@query(_PAGES + """SELECT a AS analysis_id, x AS source_id, y AS target_id, 'Renders' AS label, 'confirmed' AS state FROM pc UNION ALL SELECT a, x, y, 'Sub-Component', 'confirmed' FROM cc UNION ALL SELECT a, x, y, 'Uses Hook', 'confirmed' FROM ch UNION ALL SELECT a, id, 'node-external-api', 'HTTP / REST', 'confirmed' FROM api
+UNION ALL SELECT a, (SELECT arg_min(id, rank) FROM p WHERE p.a = c.a), id, 'Page Component', 'inferred' FROM c WHERE NOT EXISTS (SELECT 1 FROM pc WHERE pc.a = c.a AND y = id) AND NOT EXISTS (SELECT 1 FROM cc WHERE cc.a = c.a AND y = id)
+UNION ALL SELECT a, (SELECT arg_min(id, rank) FROM c WHERE c.a = h.a), id, 'Uses Hook', 'inferred' FROM h WHERE NOT EXISTS (SELECT 1 FROM ch WHERE ch.a = h.a AND y = id)
+UNION ALL SELECT a, arg_min(id, rank), 'node-external-api', 'HTTP / REST', 'inferred' FROM h WHERE NOT EXISTS (SELECT 1 FROM api WHERE api.a = h.a) GROUP BY a""")
+def frontend_edges(spark, d):
+    return page_diagram.frontend_map(_page_files(spark, d))[1]
+
+
+# Who imports which package: a region's nations are projects and modules, its suppliers packages
+
+
+@query(r"""
+WITH n AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n FROM nation), s AS (SELECT 'r' || n_regionkey AS a, s_suppkey AS k, n_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+m0 AS (SELECT a, 'proj-p' || n AS id, 'P' || n AS name, 'project' AS kind, 0 AS o, '' AS t FROM n UNION ALL SELECT a, 'mod-shop' || n || 'controller', 'Shop' || n || 'Controller', 'controller', 1, '' FROM n WHERE n % 2 = 0
+  UNION ALL SELECT a, 'mod-shop' || n || 'service', 'Shop' || n || 'Service', 'service', 2, 'using Core' || n || ';' FROM n WHERE n % 3 = 0 UNION ALL SELECT a, 'mod-book' || n || 'model', 'Book' || n || 'Model', 'repository', 3, '' FROM n WHERE n % 3 = 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY o, upper(name), name) AS rank FROM m0),
+k0 AS (SELECT a, CASE k % 5 WHEN 0 THEN 'Acme.Core' || n WHEN 1 THEN 'express-' || k WHEN 2 THEN '@x/mongo' || k WHEN 3 THEN 'jwt' || k ELSE 'misc' || k END AS name, k FROM s),
+k1 AS (SELECT a, name, min(k) AS k FROM k0 GROUP BY ALL), k2 AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY k, name) AS rank FROM k1), k AS (SELECT a, name, 'pkg-' || replace(replace(lower(name), '/', '-'), '@', '') AS id FROM k2 WHERE rank <= 10),
+rec AS (SELECT a, 'mod-shop' || n || 'controller' AS x, 'mod-book' || n || 'model' AS y, 'DependsOn' AS label FROM n WHERE n % 2 = 0 AND n % 3 = 1),
+imp AS (SELECT k.a, coalesce((SELECT arg_min(m.id, m.rank) FROM m WHERE m.a = k.a AND (contains(m.t, k.name) OR contains(m.t, regexp_extract(k.name, '[^.]*$')))),
+  CASE WHEN contains(lower(name), 'express') THEN coalesce((SELECT arg_min(id, rank) FROM m WHERE m.a = k.a AND kind = 'controller'), (SELECT arg_min(id, rank) FROM m WHERE m.a = k.a))
+       WHEN contains(lower(name), 'mongo') THEN coalesce((SELECT arg_min(id, rank) FROM m WHERE m.a = k.a AND (kind = 'repository' OR contains(lower(m.name), 'model'))), (SELECT arg_max(id, rank) FROM m WHERE m.a = k.a))
+       ELSE coalesce((SELECT arg_min(id, rank) FROM m WHERE m.a = k.a AND kind = 'service'), (SELECT arg_min(id, rank) FROM m WHERE m.a = k.a)) END) AS x, id AS y, 'imports' AS label FROM k),
+t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY rank) AS place, count(*) OVER (PARTITION BY a) AS n FROM m WHERE kind IN ('service', 'repository')),
+mod AS (SELECT c.a, c.id AS x, coalesce((SELECT arg_min(t.id, t.place) FROM t WHERE t.a = c.a AND contains(replace(replace(lower(t.name), 'model', ''), 'service', ''), replace(lower(c.name), 'controller', ''))),
+  (SELECT t.id FROM t WHERE t.a = c.a AND t.place = CAST('0x' || substr(sha256(c.id), 1, 8) AS BIGINT) % t.n + 1)) AS y, 'references' AS label FROM m c WHERE kind = 'controller')
+SELECT a AS analysis_id, x AS source_id, y AS target_id, label FROM rec UNION ALL SELECT * FROM imp UNION ALL SELECT * FROM mod WHERE y IS NOT NULL AND NOT EXISTS (SELECT 1 FROM rec WHERE rec.a = mod.a AND rec.x = mod.x AND rec.y = mod.y)
+""")
+def package_map(spark, d):
+    nation = table(spark, d, "nation")
+    n, a = F.col("n_nationkey"), text_of("r", F.col("n_regionkey")).alias("analysis_id")
+    projects = nation.select(a, text_of("p", n).alias("id"), text_of("P", n).alias("name"))
+    made = [(0, 2, "Shop", "Controller"), (0, 3, "Shop", "Service"), (1, 3, "Book", "Model")]
+    parts = [nation.where(n % by == left).select(a, text_of(head, n, tail).alias("name"), F.lit("Class").alias("type"), text_of("src/", F.lit(head), n, tail, ".cs").alias("file_path"), n.alias("n")) for left, by, head, tail in made]
+    symbols = reduce(DataFrame.unionByName, parts)
+    texts = symbols.select("analysis_id", F.col("file_path").alias("path"), F.when(F.col("name").endswith("Service"), text_of("using Core", F.col("n"), ";")).otherwise("").alias("content"))
+    k = F.col("s_suppkey")
+    name = F.when(k % 5 == 0, text_of("Acme.Core", n)).when(k % 5 == 1, text_of("express-", k)).when(k % 5 == 2, text_of("@x/mongo", k)).when(k % 5 == 3, text_of("jwt", k)).otherwise(text_of("misc", k))
+    packages = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == n).select(a, name.alias("name"), k.alias("seq"))
+    used = nation.where((n % 2 == 0) & (n % 3 == 1)).select(a, text_of("shop", n, "controller").alias("source_id"), text_of("mod-book", n, "model").alias("target_id"), F.lit("DependsOn").alias("type"))
+    return package_diagram.package_map(projects, symbols.drop("n"), texts, packages, used)[1].drop("state")
+
+
+# The smaller diagrams
+
+
+@query("""
+WITH e AS (SELECT 'a' || s_nationkey AS a, 'C' || s_suppkey % 30 AS c, 'GET /s/' || s_suppkey AS id, '/s/' || s_suppkey AS route FROM supplier), g AS (SELECT *, dense_rank() OVER (PARTITION BY a ORDER BY upper(c)) AS g, row_number() OVER (PARTITION BY a, c ORDER BY route) AS k FROM e)
+SELECT a AS analysis_id, 'group:' || c AS source_id, id AS target_id FROM g WHERE g <= 8 AND k <= 4
+""")
+def endpoints_diagram(spark, d):
+    k = F.col("s_suppkey")
+    stored = table(spark, d, "supplier").select(text_of("a", F.col("s_nationkey")).alias("analysis_id"), text_of("C", k % 30).alias("controller"), F.lit("GET").alias("method"), text_of("/s/", k).alias("route"))
+    return diagrams.endpoints(stored)[1].select("analysis_id", "source_id", "target_id")
+
+
+@query("""
+WITH e AS (SELECT 'a' || c_nationkey AS a, 'e' || c_custkey AS id, 'E' || c_custkey AS name FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY name, id) AS rank FROM e)
+SELECT a AS analysis_id, x.id AS source_id, y.id AS target_id, 'OneToMany' AS label, CASE WHEN CAST(substr(x.id, 2) AS BIGINT) % 2 = 0 THEN 'confirmed' ELSE 'inferred' END AS state
+FROM k x JOIN k y USING (a) WHERE x.rank <= 20 AND y.rank <= 20 AND CAST(substr(y.id, 2) AS BIGINT) % 7 = CAST(substr(x.id, 2) AS BIGINT) % 7 AND x.name < y.name
+""")
+def erd_diagram(spark, d):
+    """Relations between the first twenty entities of each analysis; proven ones are confirmed."""
+    k, a = F.col("c_custkey"), text_of("a", F.col("c_nationkey")).alias("analysis_id")
+    rows = table(spark, d, "customer").select(a, text_of("e", k).alias("id"), text_of("E", k).alias("name"), k.alias("k"))
+    x, y = (rows.select("analysis_id", F.col("id").alias(f"{m}_entity_id"), F.col("name").alias(f"{m}_name"), F.col("k").alias(f"{m}_k")) for m in ("source", "target"))
+    pairs = x.join(y, (x["analysis_id"] == y["analysis_id"]) & (F.col("source_k") % 7 == F.col("target_k") % 7) & (F.col("source_name") < F.col("target_name")))
+    relations = pairs.select(x["analysis_id"], "source_entity_id", "target_entity_id", F.lit("OneToMany").alias("relationship_type"), F.when(F.col("source_k") % 2 == 0, "proof").alias("evidence_id"))
+    return diagrams.erd(rows.drop("k"), relations)[1].select("analysis_id", "source_id", "target_id", "label", "state")
+
+
+@query("""
+WITH p AS (SELECT 'r' || n_regionkey AS a, 'project:' || n_name AS id, n_name AS name, n_nationkey AS n, n_regionkey AS r FROM nation), e AS (SELECT x.a, x.id AS s, y.id AS t FROM p x JOIN p y ON x.a = y.a AND y.n = x.n + 5 WHERE x.r % 2 = 0)
+SELECT a AS analysis_id, s AS source_id, t AS target_id, 'references' AS label, 'confirmed' AS state FROM e
+UNION ALL SELECT a, arg_min(id, (upper(name), id)), arg_max(id, (upper(name), id)), 'related', 'inferred' FROM p WHERE a NOT IN (SELECT a FROM e) GROUP BY a
+""")
+def monorepo_diagram(spark, d):
+    """References between projects; where there are none the first project is related to the last."""
+    n, a = F.col("n_nationkey"), text_of("r", F.col("n_regionkey")).alias("analysis_id")
+    nation = table(spark, d, "nation")
+    nodes = nation.select(a, text_of("project:", F.col("n_name")).alias("id"), F.col("n_name").alias("name"), F.lit("Project").alias("type"))
+    other = nation.select(F.col("n_name").alias("t"), F.col("n_nationkey").alias("m"), F.col("n_regionkey").alias("q"))
+    edges = nation.where("n_regionkey % 2 = 0").join(other, (F.col("m") == n + 5) & (F.col("q") == F.col("n_regionkey"))).select(a, text_of("project:", F.col("n_name")).alias("source_id"), text_of("project:", F.col("t")).alias("target_id"), F.lit("DependsOn").alias("type"))
+    return diagrams.monorepo(nodes, edges)[1]
+
+
+@query("""
+WITH t AS (SELECT 'r' || n_regionkey AS a, 'class:' || c_name AS id, c_name AS name, c_custkey AS k, n_regionkey AS r FROM customer JOIN nation ON c_nationkey = n_nationkey), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY upper(name), id) AS rank FROM t),
+s AS (SELECT * FROM k WHERE rank <= 12), e AS (SELECT x.a, x.id AS s, y.id AS t FROM s x JOIN s y ON x.a = y.a AND y.rank = x.rank + 2 WHERE x.r <> 3)
+SELECT a AS analysis_id, s AS source_id, t AS target_id, 'inherits' AS label, 'confirmed' AS state FROM e
+UNION ALL SELECT x.a, x.id, y.id, 'related', 'inferred' FROM s x JOIN s y ON x.a = y.a AND y.rank = x.rank + 1 WHERE x.a NOT IN (SELECT a FROM e)
+""")
+def hierarchy_diagram(spark, d):
+    """Inheritance between the twelve types that are shown; a chain of them where there is none."""
+    a = text_of("r", F.col("n_regionkey")).alias("analysis_id")
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    nodes = rows.select(a, text_of("class:", F.col("c_name")).alias("id"), F.col("c_name").alias("name"), F.lit("Class").alias("type"), "n_regionkey")
+    ranked = nodes.withColumn("rank", F.row_number().over(Window.partitionBy("analysis_id").orderBy(F.upper("name"), "id"))).where("n_regionkey <> 3")
+    x, y = (ranked.select("analysis_id", F.col("id").alias(c), (F.col("rank") + by).alias("at")) for c, by in (("source_id", 2), ("target_id", 0)))
+    edges = x.join(y, ["analysis_id", "at"]).select("analysis_id", "source_id", "target_id", F.lit("Inherits").alias("type"))
+    return diagrams.hierarchy(nodes.drop("n_regionkey"), edges)[1]
+
+
+@query("""
+WITH k AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n, lag(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS before FROM nation)
+SELECT a AS analysis_id, CASE WHEN before IS NULL THEN 'trigger:.gitlab-ci.yml' ELSE '.gitlab-ci.yml/j' || before END AS source_id, '.gitlab-ci.yml/j' || n AS target_id, CASE WHEN before IS NULL THEN 'starts' ELSE 'needs' END AS label FROM k
+""")
+def workflow_diagram(spark, d):
+    """A stage for each nation of a region, so that each job waits for the one before."""
+    n = F.col("n_nationkey")
+    listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), x.alias("x")))), lambda s: s["x"])
+    rows = table(spark, d, "nation").groupBy("n_regionkey").agg(listed(text_of("s", n)).alias("stages"), listed(text_of("j", n, ":\n  stage: s", n, "\n  script: x\n")).alias("jobs"))
+    text = F.concat(F.lit("stages: ["), F.array_join("stages", ", "), F.lit("]\n"), F.array_join("jobs", ""))
+    ci = rows.select(text_of("r", F.col("n_regionkey")).alias("analysis_id"), F.lit(".gitlab-ci.yml").alias("path"), text.alias("content"))
+    return diagrams.workflow(extract_ci.jobs(ci))[1].select("analysis_id", "source_id", "target_id", "label")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..rules import any_of
 from ..sources.files import settle
+from .layers import edge, first, first_like, side, stem
 from .mentions import containing
 from .ordered import first_per_key
 
@@ -39,30 +40,6 @@ def _layer(found: DataFrame, layer: tuple) -> tuple[DataFrame, DataFrame]:
     return shown, once.groupBy("analysis_id").agg((F.count("*") - most).alias("more")).where("more > 0")
 
 
-def _side(nodes: DataFrame, mark: str) -> DataFrame:
-    return nodes.select("analysis_id", *(F.col(c).alias(f"{mark}_{c}") for c in ("id", "name", "file_path", "rank")))
-
-
-def _stem(name: str, *endings: str) -> Column:
-    return F.lower(reduce(lambda c, e: F.replace(c, F.lit(e), F.lit("")), endings, F.col(name)))
-
-
-def _edge(df: DataFrame, source: str | Column, target: str | Column, label: str, confirmed: bool) -> DataFrame:
-    ends = (F.col(x) if isinstance(x, str) else x for x in (source, target))
-    return df.select("analysis_id", next(ends).alias("source_id"), next(ends).alias("target_id"), F.lit(label).alias("label"), F.lit("confirmed" if confirmed else "inferred").alias("state"))
-
-
-def _first_like(left: DataFrame, right: DataFrame, alike: Column) -> DataFrame:
-    """Each left node with the first right node of its analysis that is alike; null if none is. Both sides are at most a layer's cap an analysis."""
-    met = left.join(right, "analysis_id").where(alike)
-    best = met.groupBy("analysis_id", "l_id").agg(F.min_by("r_id", "r_rank").alias("like_id"))
-    return left.join(best, ["analysis_id", "l_id"], "left")
-
-
-def _first(nodes: DataFrame, name: str) -> DataFrame:
-    return nodes.groupBy("analysis_id").agg(F.min_by("id", "rank").alias(name))
-
-
 def has_database(symbols: DataFrame, entities: DataFrame) -> DataFrame:
     """analysis_id of the analyses with a data context or an entity."""
     return symbols.where(F.col("name").endswith("DbContext")).select("analysis_id").unionByName(entities.select("analysis_id")).distinct()
@@ -89,39 +66,38 @@ def api_architecture(symbols: DataFrame, files: DataFrame, endpoints: DataFrame,
     uses = read.select("analysis_id", F.col("path").alias("l_file_path"), any_of([F.col("content").contains(w) for w in CONTEXT_WORDS]).alias("context"), any_of([F.col("content").contains(w) for w in FIELD_WORDS]).alias("field"))
 
     def direct(left: DataFrame, right: DataFrame, by_record: bool = True) -> DataFrame:
-        a, b = _side(left, "l"), _side(right, "r")
+        a, b = side(left, "l"), side(right, "r")
         text = a.join(by_text.select("analysis_id", F.col("path").alias("l_file_path"), F.col("name").alias("r_name")), ["analysis_id", "l_file_path"]).join(b, ["analysis_id", "r_name"])
         found = text.select("analysis_id", "l_id", "r_id")
         if by_record:
             found = found.unionByName(recorded.join(a, ["analysis_id", "l_name"]).join(b, ["analysis_id", "r_name"]).select("analysis_id", "l_id", "r_id"))
         return found.distinct()
 
-    base = {"l": _side, "r": _side}
-    c, s, r = ({m: f(nodes, m) for m, f in base.items()} for nodes in (controllers, services, repositories))
+    c, s, r = ({m: side(nodes, m) for m in "lr"} for nodes in (controllers, services, repositories))
     database = with_database.select("analysis_id").distinct()
     roots = symbols.select("analysis_id").unionByName(endpoints.select("analysis_id")).distinct()
 
     calls = settle(direct(controllers, services), "api-calls")
     unserved = c["l"].join(calls, ["analysis_id", "l_id"], "left_anti")
-    alike = F.lower("l_name").contains(_stem("r_name", "Service")) | F.lower("r_name").contains(_stem("l_name", "Controller"))
-    guessed = settle(_first_like(unserved, s["r"], alike).where("like_id IS NOT NULL").select("analysis_id", "l_id", F.col("like_id").alias("r_id")), "api-guessed")
+    alike = F.lower("l_name").contains(stem("r_name", "Service")) | F.lower("r_name").contains(stem("l_name", "Controller"))
+    guessed = settle(first_like(unserved, s["r"], alike).where("like_id IS NOT NULL").select("analysis_id", "l_id", F.col("like_id").alias("r_id")), "api-guessed")
     reached = calls.unionByName(guessed).select("analysis_id", F.col("r_id").alias("l_id")).distinct()
     idle = s["l"].join(reached, ["analysis_id", "l_id"], "left_anti")
-    idle = _first_like(idle, c["r"], F.col("r_id").contains(_stem("l_name", "Service"))).join(_first(controllers, "first_id"), "analysis_id", "left")
+    idle = first_like(idle, c["r"], F.col("r_id").contains(stem("l_name", "Service"))).join(first(controllers, "first_id"), "analysis_id", "left")
 
     queries = settle(direct(services, repositories), "api-queries")
     asked = queries.select("analysis_id", F.col("r_id").alias("l_id")).distinct()
     unasked = r["l"].join(asked, ["analysis_id", "l_id"], "left_anti")
-    unasked = _first_like(unasked, s["r"], F.col("r_id").contains(_stem("l_name", "Repository", "Store"))).join(_first(services, "first_id"), "analysis_id", "left")
+    unasked = first_like(unasked, s["r"], F.col("r_id").contains(stem("l_name", "Repository", "Store"))).join(first(services, "first_id"), "analysis_id", "left")
     delegates = direct(services, services, by_record=False).where("l_id <> r_id")
-    opened = lambda nodes, also: _side(nodes, "l").join(uses, ["analysis_id", "l_file_path"]).join(database, "analysis_id", "left_semi").where(F.col("context") | (F.col("field") & F.lit(also)))
+    opened = lambda nodes, also: side(nodes, "l").join(uses, ["analysis_id", "l_file_path"]).join(database, "analysis_id", "left_semi").where(F.col("context") | (F.col("field") & F.lit(also)))
     nearest = F.coalesce("like_id", "first_id", F.lit(CLIENT))
     group = F.lit("group-controllers")
     edges = [
-        _edge(controllers, F.lit(CLIENT), "id", "HTTP Route", False), _edge(more_controllers, F.lit(CLIENT), group, "", False), _edge(calls, "l_id", "r_id", "Injects / Calls", True),
-        _edge(opened(controllers, False), "l_id", F.lit(DATABASE), "Direct EF Core", True), _edge(guessed, "l_id", "r_id", "Estimated Injects", False), _edge(idle, nearest, "l_id", "Service Call", False),
-        _edge(queries, "l_id", "r_id", "Accesses / Queries", True), _edge(opened(services, True), "l_id", F.lit(DATABASE), "EF Core / DbContext", True), _edge(delegates, "l_id", "r_id", "Delegates", True),
-        _edge(unasked, nearest, "l_id", "Accesses", False), _edge(repositories.join(database, "analysis_id", "left_semi"), "id", F.lit(DATABASE), "SQL / EF Core", True),
+        edge(controllers, F.lit(CLIENT), "id", "HTTP Route", False), edge(more_controllers, F.lit(CLIENT), group, "", False), edge(calls, "l_id", "r_id", "Injects / Calls", True),
+        edge(opened(controllers, False), "l_id", F.lit(DATABASE), "Direct EF Core", True), edge(guessed, "l_id", "r_id", "Estimated Injects", False), edge(idle, nearest, "l_id", "Service Call", False),
+        edge(queries, "l_id", "r_id", "Accesses / Queries", True), edge(opened(services, True), "l_id", F.lit(DATABASE), "EF Core / DbContext", True), edge(delegates, "l_id", "r_id", "Delegates", True),
+        edge(unasked, nearest, "l_id", "Accesses", False), edge(repositories.join(database, "analysis_id", "left_semi"), "id", F.lit(DATABASE), "SQL / EF Core", True),
     ]
 
     def fixed(df: DataFrame, node_id: str, name: Column, category: str, tier: int) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions.text import slug
 from ..rules import any_of, when_chain
 from .graph import neighbours
 from .ordered import first_per_key_ci, overflow
+from .page_diagram import frontend_map
 
 #: Endings of symbol names that make architecture nodes, and words of front and back projects.
 SUFFIXES = "Service Repository Handler Manager Client Controller Model VM Guard Strategy Policy".split()
@@ -161,24 +162,6 @@ def erd(entities: DataFrame, relations: DataFrame, n: int = 20) -> tuple[DataFra
     return shown, kept.select("analysis_id", F.col("source_entity_id").alias("source_id"), F.col("target_entity_id").alias("target_id"), F.col("relationship_type").alias("label"), F.when(F.col("evidence_id").isNotNull(), "confirmed").otherwise("inferred").alias("state"))
 
 
-def frontend(files: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """15 routes (page files), 16 components, 10 hooks and one API; edges where a file's text names a component or hook, and one for each orphan."""
-    page = F.lower("path").rlike(r"(^|/)(app|pages)/.*\.(tsx|jsx|ts|js)$")
-    file_id = F.concat(F.lit("file:"), "path")
-    routes = _as_nodes(files.where(page), file_id, F.col("path"), "route", 0, 15)
-    components = _as_nodes(nodes.where("type = 'Component' AND file_path IS NOT NULL AND id LIKE 'component:%'"), F.col("id"), F.col("name"), "component", 1, 16)
-    hooks = _as_nodes(nodes.where(F.col("name").rlike("^use[A-Z]")), F.col("id"), F.col("name"), "hook", 2, 10)
-    api = nodes.where("type = 'Endpoint'").select("analysis_id").distinct().select("analysis_id", F.lit("api").alias("id"), F.lit("API").alias("name"), F.lit("api").alias("category"), F.lit(3).alias("tier"), F.lit(1).alias("rank"))
-    named = components.unionByName(hooks).select("analysis_id", F.col("id").alias("target_id"), "name")
-    words = files.where(page).select("analysis_id", file_id.alias("source_id"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([A-Za-z_]\w*)"), 1))).alias("name"))
-    mentioned = words.join(named, ["analysis_id", "name"]).join(routes.select("analysis_id", F.col("id").alias("source_id")), ["analysis_id", "source_id"], "left_semi")
-    entry = routes.groupBy("analysis_id").agg(F.min_by("id", "rank").alias("source_id"))
-    orphans = named.join(mentioned.select("analysis_id", "target_id").distinct(), ["analysis_id", "target_id"], "left_anti").join(entry, "analysis_id")
-    fetching = hooks.join(api.select("analysis_id", F.col("id").alias("a")), "analysis_id")
-    every = reduce(DataFrame.unionByName, (routes, components, hooks, api))
-    return every, _once([_edges(mentioned, "source_id", "target_id", "renders", "confirmed"), _edges(orphans, "source_id", "target_id", "renders"), _edges(fetching, "id", "a", "fetches")])
-
-
 def monorepo(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     projects = _as_nodes(nodes.where("type = 'Project'"), F.col("id"), F.col("name"), "project", 0, 1000)
     references = edges.where(F.col("source_id").startswith("project:") & F.col("target_id").startswith("project:"))
@@ -250,7 +233,7 @@ def dispatch(kind: str, made: dict[str, DataFrame], stack: str | None = None) ->
     if kind == "erd":
         return erd(made["database_entities"], made["database_relationships"]) if made["database_entities"].limit(1).count() else None
     if kind in ("route_map", "component_tree", "external_api"):
-        return frontend(made["files"], nodes)
+        return frontend_map(made["files"])
     if kind == "workflow":
         return workflow(made["ci_jobs"]) if made["ci_jobs"].limit(1).count() else None
     known = {"system_overview": lambda: monorepo(nodes, edges), "namespace_class": lambda: hierarchy(nodes, edges), "hierarchy": lambda: hierarchy(nodes, edges), "call_flow": lambda: call_flow(nodes), "dependencies": lambda: dependencies(nodes, edges)}
