@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fact_queries import text_of
-from .operators import api_diagram, cascade, classify, diagrams, extract_ci, graph, mentions, package_diagram, page_diagram, scan, totals
+from .operators import api_diagram, cascade, classify, details, diagrams, extract_ci, graph, mentions, package_diagram, page_diagram, retrieval, scan, totals
 from .queries import _EDGES, place_edges, query, table
 from .rules import when_chain
 from .sources import archive_source, files
@@ -510,3 +510,87 @@ def workflow_diagram(spark, d):
     text = F.concat(F.lit("stages: ["), F.array_join("stages", ", "), F.lit("]\n"), F.array_join("jobs", ""))
     ci = rows.select(text_of("r", F.col("n_regionkey")).alias("analysis_id"), F.lit(".gitlab-ci.yml").alias("path"), text.alias("content"))
     return diagrams.workflow(extract_ci.jobs(ci))[1].select("analysis_id", "source_id", "target_id", "label")
+
+
+# Details of whole tables
+
+
+def _evidences(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    path, symbol = text_of("src/f", F.col("p_size"), ".cs"), text_of("entity:", F.col("p_brand"))
+    return table(spark, d, "part").select(F.lit("job").alias("analysis_id"), text_of("e", k).alias("id"), path.alias("file_path"), F.col("p_size").cast("int").alias("start_line"), (F.col("p_size") + 3).cast("int").alias("end_line"), F.when(k % 3 == 0, "").otherwise(F.col("p_name")).alias("description"), symbol.alias("symbol"), (k % 7 / 10).alias("confidence"))
+
+
+@query("""
+SELECT 'd' || c_custkey AS id, CASE WHEN p_partkey IS NULL THEN 0 ELSE 1 END AS n, coalesce('src/f' || p_size || '.cs:' || CAST(p_size AS INT), '') AS place FROM customer LEFT JOIN part ON p_partkey = c_custkey * 3 AND c_custkey % 4 <> 0
+""")
+def dependency_details(spark, d):
+    """Dependencies with the list of their evidence."""
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").select(text_of("d", k).alias("id"), F.when(k % 4 != 0, text_of("e", k * 3)).alias("evidence_id"))
+    met = details.dependencies_with_evidence(rows, _evidences(spark, d))
+    place = F.concat_ws(",", F.transform("evidence", lambda x: F.concat_ws(":", x["file_path"], x["start_line"].cast("string"))))
+    return met.select("id", F.size("evidence").alias("n"), place.alias("place"))
+
+
+@query("""
+WITH b AS (SELECT p_brand AS name, min(p_size) AS k FROM part GROUP BY p_brand), e AS (SELECT p_partkey AS k, p_brand AS brand, p_size AS size, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS said FROM part)
+SELECT 'n' || name AS entity_id, 'e' || e.k AS id, 'src/f' || size || '.cs' AS file_path, CASE WHEN trim(said) = '' THEN 'Defines the ' || name || ' entity.' ELSE said END AS description FROM b JOIN e ON brand = name OR size = b.k
+""")
+def entity_details(spark, d):
+    """The evidence of every entity: what names it, and what lies in the file of its source symbol."""
+    brands = table(spark, d, "part").groupBy("p_brand").agg(F.min("p_size").alias("k"))
+    entities = brands.select(F.lit("job").alias("analysis_id"), text_of("n", F.col("p_brand")).alias("id"), F.col("p_brand").alias("name"), text_of("s", F.col("p_brand")).alias("source_symbol_id"))
+    symbols = brands.select(text_of("s", F.col("p_brand")).alias("id"), text_of("f", F.col("k")).alias("source_file_id"))
+    stored = brands.select(text_of("f", F.col("k")).alias("id"), text_of("src/f", F.col("k"), ".cs").alias("path")).distinct()
+    return details.entity_evidence(entities, _evidences(spark, d), symbols, stored).select("entity_id", "id", "file_path", "description")
+
+
+@query("""
+SELECT 'c' || c_custkey AS chunk_id, 'job' AS analysis_id, 'f' || c_nationkey AS source_file_id, coalesce(n_name, 'src/f' || p_size || '.cs', '') AS file_path, c_mktsegment AS symbol, coalesce(CAST(p_size AS INT), 1) AS start_line, coalesce(CAST(p_size AS INT) + 3, 1) AS end_line, c_name AS content,
+greatest(1, length(c_name) // 4) AS token_count, c_custkey AS chunk_index, CASE WHEN c_custkey % 2 = 0 THEN 'e' || c_custkey END AS evidence_id, coalesce(c_custkey % 7 / 10.0 + CASE WHEN p_partkey IS NULL THEN NULL ELSE 0 END, 1.0) AS confidence, c_custkey % 10 / 10.0 AS distance, 1 - c_custkey % 10 / 10.0 AS similarity
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 = 0) ON c_nationkey = n_nationkey LEFT JOIN part ON p_partkey = c_custkey AND c_custkey % 2 = 0
+""")
+def search_rows(spark, d):
+    """The fourteen columns of a search row, with what file and evidence of a chunk tell."""
+    k = F.col("c_custkey")
+    found = table(spark, d, "customer").select(
+        text_of("c", k).alias("id"), F.lit("job").alias("analysis_id"), text_of("f", F.col("c_nationkey")).alias("source_file_id"), F.col("c_mktsegment").alias("symbol"), F.col("c_name").alias("content"), F.greatest(F.lit(1), F.floor(F.length("c_name") / 4)).cast("int").alias("token_count"),
+        k.alias("chunk_index"), F.when(k % 2 == 0, text_of("e", k)).alias("evidence_id"), (k % 10 / 10).alias("distance"),
+    )
+    stored = table(spark, d, "nation").where("n_nationkey % 3 = 0").select(text_of("f", F.col("n_nationkey")).alias("id"), F.col("n_name").alias("path"))
+    return retrieval.results(retrieval.with_provenance(found, stored, _evidences(spark, d)))
+
+
+# Services outside an architecture, guards and models
+
+
+_OUTSIDE = """
+WITH k AS (SELECT 'a' || n_nationkey AS a, n_nationkey AS n FROM nation),
+s AS (SELECT a, name, row_number() OVER (PARTITION BY a ORDER BY upper(name), 'class:' || name) AS rank FROM (SELECT a, 'AuthService' AS name FROM k WHERE n % 2 = 0 UNION ALL SELECT a, 'UsersService' FROM k WHERE n % 3 = 0 UNION ALL SELECT a, 'EmailService' FROM k WHERE n % 5 < 2 UNION ALL SELECT a, 'RoleGuard' FROM k UNION ALL SELECT a, 'RetryPolicy' FROM k WHERE n % 4 = 0 UNION ALL SELECT a, 'CartModel' FROM k)),
+c AS (SELECT a, 'Cart' || i || 'Controller' AS name, i AS rank FROM k, range(1, 7) AS r(i))
+"""
+
+
+@query(_OUTSIDE + """SELECT a AS analysis_id, 'class:' || name AS id, 'symbol' AS category FROM s UNION ALL SELECT a, 'class:' || name, 'controller' FROM c
+UNION ALL SELECT DISTINCT a, 'ext-google-oauth', 'external' FROM s WHERE contains(lower(name), 'auth') UNION ALL SELECT DISTINCT a, 'ext-email-provider', 'external' FROM s WHERE contains(lower(name), 'mail')""")
+def architecture_nodes(spark, d):
+    return diagrams.architecture(*_outside(spark, d))[0].select("analysis_id", "id", "category")
+
+
+@query(_OUTSIDE + """, p AS (SELECT a, max(CASE WHEN name = 'AuthService' THEN 'class:AuthService' END) AS auth, max(CASE WHEN name = 'UsersService' THEN 'class:UsersService' END) AS usr, max(CASE WHEN name = 'EmailService' THEN 'class:EmailService' END) AS mail FROM s GROUP BY a)
+SELECT c.a AS analysis_id, 'class:' || c.name AS source_id, 'class:CartModel' AS target_id, 'Uses Model' AS label FROM c UNION ALL SELECT c.a, 'class:' || c.name, 'class:' || s.name, 'Guarded by' FROM c JOIN s USING (a) WHERE c.rank <= 4 AND s.name IN ('RoleGuard', 'RetryPolicy')
+UNION ALL SELECT a, auth, usr, 'Calls' FROM p WHERE auth || usr <> '' UNION ALL SELECT a, auth, mail, 'Dispatches Mail' FROM p WHERE auth || mail <> '' UNION ALL SELECT a, usr, mail, 'Dispatches Mail' FROM p WHERE usr || mail <> ''
+UNION ALL SELECT a, auth, 'ext-google-oauth', 'Verifies Token' FROM p WHERE auth <> '' UNION ALL SELECT a, mail, 'ext-email-provider', 'Sends Mail' FROM p WHERE mail <> ''""")
+def architecture_external(spark, d):
+    return diagrams.architecture(*_outside(spark, d))[1].select("analysis_id", "source_id", "target_id", "label")
+
+
+def _outside(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n = F.col("n_nationkey")
+    nation = table(spark, d, "nation").withColumn("analysis_id", text_of("a", n))
+    made = [("AuthService", n % 2 == 0), ("UsersService", n % 3 == 0), ("EmailService", n % 5 < 2), ("RoleGuard", F.lit(True)), ("RetryPolicy", n % 4 == 0), ("CartModel", F.lit(True))]
+    nodes = reduce(DataFrame.unionByName, [nation.where(keep).select("analysis_id", F.lit(f"class:{name}").alias("id"), F.lit(name).alias("name"), F.lit("Class").alias("type")) for name, keep in made])
+    edges = spark.createDataFrame([], "analysis_id string, source_id string, target_id string, type string, file_path string")
+    listed = nation.select("analysis_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("Cart"), i.cast("string"), F.lit("Controller")))).alias("controller"))
+    return nodes, edges, listed

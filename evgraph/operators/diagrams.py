@@ -27,6 +27,11 @@ LANES = (
     ("ui", "controller endpoint web ui frontend client"), ("policy", "guard strategy policy gate role"), ("data", "db database context repository entity prisma"),
     ("external", "external oauth google resend smtp redis kafka"),
 )
+#: Services outside, by a word of a symbol's name; the endings of symbols that guard, and names that call each other.
+EXTERNAL = (("auth", "ext-google-oauth", "Google OAuth"), ("mail", "ext-email-provider", "Email Service (Resend/SMTP)"))
+GUARDS, MODELS = ("Guard", "Strategy", "Policy"), ("Model", "VM")
+PEERS = {"auth": ("authservice",), "user": ("usersservice", "userservice"), "mail": ("mailservice", "emailservice")}
+PEER_CALLS = (("auth", "user", "Calls"), ("auth", "mail", "Dispatches Mail"), ("user", "mail", "Dispatches Mail"))
 ICONS = {"ui": "window", "policy": "shield", "data": "db", "external": "cloud", "runtime": "code"}
 NODE = ("analysis_id", "id", "name", "category", "tier", "rank")
 
@@ -71,8 +76,13 @@ def architecture(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame) -> tu
     named = any_of([F.col("name").endswith(s) for s in SUFFIXES]) & ~F.col("name").isin(*EXCLUDED) & ~F.col("name").endswith("Controller")
     symbols = _as_nodes(nodes.where(kind.isin("Class", "Interface") & named), F.col("id"), F.col("name"), "symbol", 2, 30)
     entities = _as_nodes(nodes.where(kind == "DatabaseEntity"), F.col("id"), F.col("name"), "entity", 3, 15)
+    keyed = nodes.where(kind.isin("Class", "Interface") & named)
+    external = [
+        keyed.where(F.lower("name").contains(word)).select("analysis_id").distinct().select("analysis_id", F.lit(i).alias("id"), F.lit(n).alias("name"), F.lit("external").alias("category"), F.lit(4).alias("tier"), F.lit(k + 2).alias("rank"))
+        for k, (word, i, n) in enumerate(EXTERNAL)
+    ]
     store = entities.select("analysis_id").distinct().select("analysis_id", F.lit("database").alias("id"), F.lit("Database").alias("name"), F.lit("store").alias("category"), F.lit(4).alias("tier"), F.lit(1).alias("rank"))
-    every = reduce(DataFrame.unionByName, (projects, controllers, symbols, entities, store))
+    every = reduce(DataFrame.unionByName, (projects, controllers, symbols, entities, store, *external))
     every = first_per_key_ci(every, [F.col("analysis_id"), F.col("id")], ["tier", "rank"])
     low = F.lower("name")
     front = projects.where(any_of([low.contains(w) for w in FRONT])).select("analysis_id", F.col("id").alias("f"))
@@ -83,12 +93,19 @@ def architecture(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame) -> tu
     # A controller's stem or a symbol's that holds the other: both are cut to their stems, so the join stays within an analysis's few nodes.
     c = controllers.select("analysis_id", F.col("id").alias("c"), F.lower(F.regexp_replace("name", "Controller$", "")).alias("cs"), F.col("rank").alias("cr"))
     s = symbols.select("analysis_id", F.col("id").alias("s"), F.lower(F.regexp_replace(F.regexp_replace("name", "^I(?=[A-Z])", ""), "(" + "|".join(SUFFIXES) + ")$", "")).alias("ss"), F.col("rank").alias("sr"), F.col("name").alias("sn"))
-    matched = c.join(s, "analysis_id").where((F.length("ss") > 0) & (F.col("cs").contains(F.col("ss")) | F.col("ss").contains(F.col("cs"))))
+    guarding = any_of([F.col("sn").endswith(g) for g in GUARDS])
+    acting = s.where(~guarding)
+    matched = c.join(acting, "analysis_id").where((F.length("ss") > 0) & (F.col("cs").contains(F.col("ss")) | F.col("ss").contains(F.col("cs"))))
     best = matched.groupBy("analysis_id", "c").agg(F.min_by("s", "sr").alias("s"))
-    first = s.where(~F.col("sn").endswith("Guard")).groupBy("analysis_id").agg(F.min_by("s", "sr").alias("s"))
+    first = acting.groupBy("analysis_id").agg(F.min_by("s", "sr").alias("s"))
     fallback = c.join(best, ["analysis_id", "c"], "left_anti").join(first, "analysis_id")
-    guards = s.where(F.col("sn").endswith("Guard")).groupBy("analysis_id").agg(F.min_by("s", "sr").alias("g"))
-    guarded = c.where("cr <= 4").join(guards, "analysis_id")
+    guarded = c.where("cr <= 4").join(s.where(guarding).select("analysis_id", F.col("s").alias("g")), "analysis_id")
+    sent = best.unionByName(fallback.select(*best.columns)).join(s.select("analysis_id", "s", "sn"), ["analysis_id", "s"])
+    modelled = any_of([F.col("sn").endswith(m) for m in MODELS])
+    peers = {name: s.where(F.lower("sn").isin(*names)).groupBy("analysis_id").agg(F.min_by("s", "sr").alias(name)) for name, names in PEERS.items()}
+    between = [_edges(peers[x].join(peers[y], "analysis_id"), x, y, label) for x, y, label in PEER_CALLS]
+    for peer, (_, i, _), label in zip(("auth", "mail"), EXTERNAL, ("Verifies Token", "Sends Mail"), strict=True):
+        between.append(_edges(peers[peer].withColumn("_x", F.lit(i)), peer, "_x", label))
     e = entities.select("analysis_id", F.col("id").alias("e"), F.lower("name").alias("es"), F.col("rank").alias("er"))
     near = s.join(e, "analysis_id").where((F.length("ss") > 0) & (F.col("ss").contains(F.col("es")) | F.col("es").contains(F.col("ss"))))
     total = e.groupBy("analysis_id").agg(F.count("*").alias("n"))
@@ -98,7 +115,7 @@ def architecture(nodes: DataFrame, edges: DataFrame, endpoints: DataFrame) -> tu
     recorded = edges.join(known, (edges["analysis_id"] == known["analysis_id"]) & (F.lower("source_id") == F.col("_id")), "left_semi")
     recorded = recorded.join(known, (recorded["analysis_id"] == known["analysis_id"]) & (F.lower("target_id") == F.col("_id")), "left_semi")
     wired = [
-        _edges(requests, "f", "b", "API Requests"), _edges(hosted, "h", "id", "REST API"), _edges(best, "c", "s", "Dispatches"), _edges(fallback, "c", "s", "Dispatches"), _edges(guarded, "c", "g", "Guarded by"),
+        _edges(requests, "f", "b", "API Requests"), _edges(hosted, "h", "id", "REST API"), _edges(sent.where(~modelled), "c", "s", "Dispatches"), _edges(sent.where(modelled), "c", "s", "Uses Model"), *between, _edges(guarded, "c", "g", "Guarded by"),
         _edges(near, "s", "e", "Persists"), _edges(turned, "s", "e", "Persists"), _edges(entities.withColumn("d", F.lit("database")), "id", "d", "Stored in"),
         recorded.select("analysis_id", "source_id", "target_id", F.col("type").alias("label"), F.when(F.col("file_path").isNotNull(), "confirmed").otherwise("inferred").alias("state")),
     ]

@@ -80,17 +80,28 @@ def results(found: DataFrame) -> DataFrame:
     return found.select(
         F.col("id").alias("chunk_id"),
         "analysis_id",
+        "source_file_id",
         F.coalesce("source_path", "evidence_path", F.lit("")).alias("file_path"),
         "symbol",
-        "content",
         F.coalesce("start_line", F.lit(1)).alias("start_line"),
         F.coalesce("end_line", F.lit(1)).alias("end_line"),
-        (1 - F.col("distance")).alias("similarity"),
-        "distance",
+        "content",
+        "token_count",
+        "chunk_index",
+        "evidence_id",
         F.coalesce("confidence", F.lit(1.0)).alias("confidence"),
+        "distance",
+        (1 - F.col("distance")).alias("similarity"),
     )
 
 
+def with_provenance(found: DataFrame, files: DataFrame, evidences: DataFrame) -> DataFrame:
+    """Chunks (id, source_file_id, evidence_id and more) with source_path of their file and evidence_path, start_line, end_line and confidence of their evidence; null where there is none."""
+    own = files.select(F.col("id").alias("source_file_id"), F.col("path").alias("source_path"))
+    proof = evidences.select(F.col("id").alias("evidence_id"), F.col("file_path").alias("evidence_path"), "start_line", "end_line", "confidence")
+    return found.drop("start_line", "end_line", "confidence").join(own, "source_file_id", "left").join(proof, "evidence_id", "left")
+
+
 def embed_builtin(rows: DataFrame, text: str, dimension: int = DIMENSION) -> DataFrame:
     return rows.withColumn("embedding", embed(F.col(text), dimension))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import histograms, listing
+from ..operators import details, histograms, listing
 
 #: Names a dependency type and an evidence type can have.
 DEPENDENCY_TYPES = tuple("ProjectReference PackageReference Inherits Implements Calls DependsOn Contains Defines Exposes MapsTo Reads Writes".split())
@@ -72,8 +72,8 @@ class Analysis:
         return listing.page_of(named, ["id"], page, size)
 
     def dependency(self, dependency_id: str) -> DataFrame:
-        proof = self.table("evidences").select(F.col("id").alias("evidence_id"), "file_path", "start_line", "end_line", "description")
-        return self.one("dependencies", dependency_id).join(proof, "evidence_id", "left")
+        """A dependency with the list of its evidence."""
+        return details.dependencies_with_evidence(self.one("dependencies", dependency_id), self.table("evidences"))
 
     def evidences(self, path: str | None = None, symbol: str | None = None, kind: str | None = None, page: int = 1, size: int = listing.PAGE) -> DataFrame:
         kept = self.table("evidences").where(listing.has_text("file_path", path) & listing.has_text("symbol", symbol) & listing.of_kind("evidence_type", kind, EVIDENCE_TYPES))
@@ -91,10 +91,10 @@ class Analysis:
         return self.table("database_entities"), self.table("database_relationships").withColumn("state", state)
 
     def entity(self, entity_id: str) -> tuple[DataFrame, DataFrame]:
-        """(relationships of an entity, evidence that names it)."""
+        """(relationships of an entity, evidence that names it or lies in its source file)."""
         found = self.one("database_entities", entity_id)
         relations = listing.touching(self.table("database_relationships"), found.select("id"), "source_entity_id", "target_entity_id", "id")
-        return relations, self.table("evidences").join(found.select(F.concat(F.lit("entity:"), "name").alias("symbol")), "symbol", "left_semi")
+        return relations, details.entity_evidence(found, self.table("evidences"), self.table("code_symbols"), self.table("source_files"))
 
     def overview(self) -> DataFrame:
         names = ("projects", "source_files", "code_symbols", "dependencies", "api_endpoints", "database_entities")

@@ -118,7 +118,7 @@ def test_diagrams(web, shop):
     assert (".github/workflows/ci.yml/build", ".github/workflows/ci.yml/deploy") in {(r["source_id"], r["target_id"]) for r in work.collect()}
     tiers, calls = diagrams.tiers(shop["source_files"], "universal")
     assert calls.count() and tiers.where("category = 'file'").count()
-    for kind in ("erd", "namespace_class", "call_flow", "dependencies", "system_overview"):
+    for kind in ("erd", "endpoints", "architecture", "route_map", "namespace_class", "call_flow", "dependencies", "system_overview"):
         found = diagrams.dispatch(kind, shop)
         assert found is not None and found[0].count()
     cards = {r["id"]: r for r in diagrams.detail_cards(nodes, links).collect()}
@@ -151,6 +151,11 @@ def test_query_api(shop):
     assert api.file_content(file_id).first()["lines"] == 10
     assert {r["name"]: r["rows"] for r in api.overview().collect()}["projects"] == 2
     assert api.evidences(kind="nonsense").count() > 0
+    kept = api.dependencies("project:Shop", "outbound", "packagereference").first()
+    assert [e["file_path"] for e in api.dependency(kept["id"]).first()["evidence"]] == ["src/Shop/Shop.csproj"]
+    entity = shop["database_entities"].first()
+    _, proof = api.entity(entity["id"])
+    assert proof.count() > 0 and all(r["description"] for r in proof.collect())
     assert api.status().first()["percent"] == 100
     with pytest.raises(listing.NotFound):
         api.evidence("none")
