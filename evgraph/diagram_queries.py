@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fact_queries import text_of
-from .operators import api_diagram, cascade, classify, details, diagrams, extract_ci, graph, mentions, package_diagram, page_diagram, retrieval, scan, totals
+from .operators import api_diagram, cascade, classify, details, diagrams, extract_ci, graph, mentions, mvc_diagram, package_diagram, page_diagram, retrieval, scan, totals
 from .queries import _EDGES, place_edges, query, table
 from .rules import when_chain
 from .sources import archive_source, files
@@ -594,3 +594,53 @@ def _outside(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     edges = spark.createDataFrame([], "analysis_id string, source_id string, target_id string, type string, file_path string")
     listed = nation.select("analysis_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.concat(F.lit("Cart"), i.cast("string"), F.lit("Controller")))).alias("controller"))
     return nodes, edges, listed
+
+
+# Which architecture diagram an analysis gets, and that of server-rendered applications
+
+
+@query("""
+SELECT 'a' || c_custkey AS analysis_id, CASE c_custkey % 9 WHEN 0 THEN 'spring' WHEN 1 THEN 'python' WHEN 2 THEN 'go' WHEN 3 THEN 'php' WHEN 4 THEN 'mvc' WHEN 5 THEN 'mvc' WHEN 6 THEN 'mvc' WHEN 7 THEN 'api' ELSE 'universal' END AS kind FROM customer
+""")
+def architecture_dispatch(spark, d):
+    """Languages first, then views, areas or view components, then controllers."""
+    k, a = F.col("c_custkey") % 9, text_of("a", F.col("c_custkey")).alias("analysis_id")
+    rows = table(spark, d, "customer")
+    language = when_chain([(k == 0, "Kotlin"), (k == 1, "Python"), (k == 2, "Go"), (k == 3, "PHP")], "C#")
+    path = when_chain([(k == 4, "src/Views/Home/Index.cshtml"), (k == 5, "Areas/Admin/x.cs")], "src/x.cs")
+    name = when_chain([(k == 6, "MenuViewComponent"), (k == 8, "Thing")], "HomeController")
+    return mvc_diagram.diagram_kind(rows.select(a, language.alias("language")), rows.select(a, path.alias("path")), rows.select(a, name.alias("name")))
+
+
+_MVC = """
+WITH k AS (SELECT 'r' || n_regionkey AS a, n_nationkey AS n, n_regionkey AS r FROM nation), roots AS (SELECT DISTINCT a FROM k),
+c0 AS (SELECT a, 'Shop' || n || 'Controller' AS name, n % 3 = 0 AS admin FROM k UNION ALL SELECT a, 'AdminHomeController', TRUE FROM k WHERE r = 1 UNION ALL SELECT a, 'CartController', FALSE FROM k WHERE r < 3 UNION ALL SELECT DISTINCT a, 'HomeController', FALSE FROM k),
+c AS (SELECT *, 'ctrl-' || lower(name) AS id, row_number() OVER (PARTITION BY a ORDER BY admin DESC, upper(name), name) AS rank FROM (SELECT DISTINCT * FROM c0)), v AS (SELECT a, 'Menu' || n || 'ViewComponent' AS name, 'vc-menu' || n || 'viewcomponent' AS id, row_number() OVER (PARTITION BY a ORDER BY 'MENU' || n) AS rank FROM k WHERE n % 4 = 0)
+"""
+
+
+def _mvc(spark, d) -> tuple[DataFrame, DataFrame]:
+    nation = table(spark, d, "nation")
+    n, r, a = F.col("n_nationkey"), F.col("n_regionkey"), text_of("r", F.col("n_regionkey")).alias("analysis_id")
+    folder = F.when(n % 3 == 0, "src/Areas/Admin/").otherwise("src/Controllers/")
+    made = [
+        (nation, text_of("Shop", n, "Controller"), F.concat(folder, n.cast("string"))), (nation.where(r == 1), F.lit("AdminHomeController"), F.lit("src/a.cs")), (nation.where(r < 3), F.lit("CartController"), F.lit("src/b.cs")), (nation, F.lit("HomeController"), F.lit("src/c.cs")),
+        (nation.where(n % 4 == 0), text_of("Menu", n, "ViewComponent"), F.lit("src/d.cs")), (nation.where(r != 4), F.lit("ShopContext"), F.lit("src/e.cs")),
+    ]
+    symbols = reduce(DataFrame.unionByName, [df.select(a, name.alias("name"), F.lit("Class").alias("type"), path.alias("file_path")) for df, name, path in made])
+    return mvc_diagram.mvc_architecture(symbols, nation.select(a))
+
+
+@query(_MVC + """SELECT a AS analysis_id, id, name FROM c UNION ALL SELECT a, id, name FROM v UNION ALL SELECT a, 'node-dbcontext', CASE a WHEN 'r4' THEN 'DbContext' ELSE 'ShopContext' END || ' (EF Core)' FROM roots
+UNION ALL SELECT a, x.id, x.name FROM roots, (VALUES ('node-client-browser', 'HTTP Client / Browser'), ('node-mvc-routing', 'ASP.NET Core Routing'), ('node-cookie-auth', 'Cookie Auth & Middleware'), ('node-razor-views', 'Razor Views (.cshtml)'), ('node-static-files', 'Static Files (wwwroot)'), ('node-session-store', 'Session Store'), ('node-database-sql', 'SQL Server Database')) AS x(id, name)""")
+def mvc_nodes(spark, d):
+    return _mvc(spark, d)[0].select("analysis_id", "id", "name")
+
+
+@query(_MVC + """SELECT a AS analysis_id, 'node-cookie-auth' AS source_id, id AS target_id, 'Route: /admin [Admin Role]' AS label, 'confirmed' AS state FROM c WHERE admin
+UNION ALL SELECT a, 'node-mvc-routing', id, 'Route: /' || CASE name WHEN 'HomeController' THEN '' ELSE replace(name, 'Controller', '') END, 'confirmed' FROM c WHERE NOT admin UNION ALL SELECT a, id, 'node-razor-views', 'Returns View(Model)', 'confirmed' FROM c WHERE rank <= 4
+UNION ALL SELECT a, id, 'node-dbcontext', 'Direct DbContext', 'confirmed' FROM c WHERE rank <= 5 UNION ALL SELECT a, id, 'node-session-store', 'Get / Set Session', 'confirmed' FROM c WHERE name = 'CartController'
+UNION ALL SELECT a, id, 'node-razor-views', 'Renders in _Layout', 'confirmed' FROM v UNION ALL SELECT a, id, 'node-dbcontext', 'Queries Data', 'confirmed' FROM v
+UNION ALL SELECT a, x.s, x.t, x.l, x.c FROM roots, (VALUES ('node-client-browser', 'node-mvc-routing', 'HTTP Request', 'inferred'), ('node-mvc-routing', 'node-cookie-auth', 'Pipeline Auth', 'inferred'), ('node-razor-views', 'node-client-browser', 'HTML Response', 'confirmed'), ('node-static-files', 'node-client-browser', 'CSS / JS / Images', 'confirmed'), ('node-dbcontext', 'node-database-sql', 'SQL / EF Core', 'confirmed')) AS x(s, t, l, c)""")
+def mvc_edges(spark, d):
+    return _mvc(spark, d)[1]

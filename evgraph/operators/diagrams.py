@@ -14,7 +14,9 @@ from .. import rules
 from ..functions import paths
 from ..functions.text import slug
 from ..rules import any_of, when_chain
+from .api_diagram import api_architecture, has_database
 from .graph import neighbours
+from .mvc_diagram import diagram_kind, mvc_architecture
 from .ordered import first_per_key_ci, overflow
 from .page_diagram import frontend_map
 
@@ -244,7 +246,14 @@ def dispatch(kind: str, made: dict[str, DataFrame], stack: str | None = None) ->
     """The diagram of a kind from an analysis's tables; None where what it shows wasn't detected."""
     nodes, edges = made["nodes"], made["edges"]
     if kind == "architecture":
-        return tiers(made["source_files"], stack) if stack else architecture(nodes, edges, made["api_endpoints"])
+        if stack:
+            return tiers(made["source_files"], stack)
+        kind = diagram_kind(made["source_files"].select("analysis_id", "language"), made["source_files"], nodes).first()
+        if kind is None or kind["kind"] not in ("mvc", "api"):
+            return tiers(made["source_files"], kind["kind"] if kind else "universal")
+        if kind["kind"] == "mvc":
+            return mvc_architecture(nodes, made["source_files"])
+        return api_architecture(nodes, made["files"], made["api_endpoints"], made["dependencies"], has_database(nodes, made["database_entities"]))
     if kind == "endpoints":
         return endpoints(made["api_endpoints"])
     if kind == "erd":
