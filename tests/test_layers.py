@@ -117,3 +117,12 @@ def test_api_layers_take_the_strongest_sign(spark):
     assert {("ctrl-ordercontroller", "node-database-layer", "Direct EF Core"), ("svc-orderservice", "node-database-layer", "EF Core / DbContext"), ("repo-odddao", "node-database-layer", "SQL / EF Core")} <= got
     other = {(r["source_id"], r["target_id"], r["label"]) for r in edges.where("analysis_id <> 'a'").collect()}
     assert other == {("node-client-request", "svc-onlyservice", "Service Call"), ("node-client-request", "repo-alonestore", "Accesses")}
+
+
+def test_recall_of_cells(spark):
+    from evgraph import diagram_queries, queries  # noqa: F401
+    from evgraph.operators import ann
+
+    got = queries.QUERIES["cosine_ivf_topk"](spark, "/root/testdata/sf0.001")
+    exact = queries.QUERIES["cosine_matrix_topk"](spark, "/root/testdata/sf0.001")
+    assert ann.recall(got, exact) >= 0.9
