@@ -57,6 +57,13 @@ _MIX, _PAIR, _SHAPE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4
 _SAME = np.uint64(SHAPES + 1)
 
 
+def forget() -> None:
+    """Give the words' memory back when a task ends: the worker lives on, and other stages run in it."""
+    CODES.clear()
+    CODES.old = {}
+    give_back()
+
+
 def _tally(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots and their counts."""
     at.sort()
@@ -83,6 +90,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found = [slots(text) for text in b.column("text").to_pylist()]
         yield batch(schema, b.column("place"), [at.tobytes() for at, _ in found], [x.tobytes() for _, x in found], b.column("label"))
+    forget()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
@@ -153,7 +161,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], also: tuple[str, ...
                 at, x = slots(text)
                 got[i] = intercept + float(np.dot(weights[at], x))
             yield b.append_column("score", pa.array(1 / (1 + np.exp(-np.clip(got, -35, 35)))))
-        give_back()
+        forget()
 
     return source.mapInArrow(scored, schema)
 
