@@ -9,6 +9,7 @@ from . import rules
 from .functions import ids, paths, scores, vectors
 from .functions import text as t
 from .operators import chunks, classify, diagrams, extract_ci, extract_cs, extract_manifest, extract_ts, graph, grounding, histograms, intervals, listing, ordered, resolve, retrieval, scan
+from .sources.files import settle
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -568,7 +569,7 @@ UNION ALL SELECT 'file:web/c' || c_custkey || '.ts', 'Contains', 'class:C' || c_
 def repository_graph(spark, d):
     """Edges of the files' graph, but for those between members."""
     classes, interfaces, modules, _ = _sources(spark, d)
-    _, edges = resolve.graph([resolve.csharp(extract_cs.facts(classes.union(interfaces))), resolve.typescript(extract_ts.facts(modules))])
+    _, edges = resolve.graph([resolve.csharp(settle(extract_cs.facts(classes.union(interfaces)), "cs-facts")), resolve.typescript(settle(extract_ts.facts(modules), "ts-facts"))])
     outside = F.col("type").isin("Implements", "DependsOn", "Exposes") | (F.col("source_id").startswith("file:web") & (F.col("type") == "Contains"))
     return edges.where(outside).select("source_id", "type", "target_id")
 
