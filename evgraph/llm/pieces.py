@@ -12,7 +12,9 @@ Characters outside the vocabulary become byte pieces or the unknown piece. No pi
 crosses the start of a run of spaces or a line break (checked when the model is read), so a text is
 cut there and each cut's ids are kept in a bounded cache.
 
-Defined results: null text counts as empty; an empty text has no ids. Rows are never merged.
+Defined results: null text counts as empty; an empty text has no ids. Rows are never merged: null and repeated ids give a row each. Pieces of equal score:
+the segmentation found first stays, which ends in the longer piece. A very long text without spaces is one cut, read in one pass and not kept. Columns other than doc_id
+and text are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -191,6 +193,12 @@ class Pieces:
     def fit(self, left: int, right: int) -> bool:
         return self.fits[left * self.n + right]
 
+    def forget(self) -> None:
+        """Give back what the caches hold: the worker outlives its task, and other stages run in it."""
+        for cache in (self.kept, self.fits):
+            cache.clear()
+            cache.old = {}
+
     def _packed(self, cut: str) -> bytes:
         ids = self._fitted(cut) if self.kind == MERGES and self.single.issuperset(cut) else None
         return array("I", self._cut(cut) if ids is None else ids).tobytes()
@@ -314,6 +322,7 @@ def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
             yield batch(schema, b.column("doc_id"), np.diff(starts).astype(np.int64), lists, [zlib.crc32(i.tobytes()) for i in ids], same)
             if k % TRIM_EVERY == 0:
                 give_back()
+        own.forget()
         give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encoded, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean")
