@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import band
 from ..functions.vectors import cosine_distance, embed
+from ..sources.files import settle
+from .ordered import running_totals
 
 DIMENSION, TOP, MOST_TOP, EVIDENCE = 1536, 5, 100, 20
 #: Queries up to which they are broadcast to the chunks (a vector of 1536 floats each).
@@ -42,15 +44,18 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, scope: list[str]
     blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
     nearest = Window.partitionBy("query_id").orderBy("distance", order)
     found = []
+    if blocks > 1:  # by number, so that a block is bounded whatever the ids are
+        sides = settle(running_totals(sides, ["query_id"], {"_n": F.lit(1)}), "numbered-queries")
     for n in range(blocks):
-        block = sides if blocks == 1 else sides.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+        block = sides if blocks == 1 else sides.where(F.floor((F.col("_n") - 1) / BROADCAST_QUERIES) == n)
         on = F.lit(True)
         for c in scope or []:
             on = on & (F.col(c) == F.col(f"_{c}"))
         met = vectors.where(F.col(vector).isNotNull()).join(F.broadcast(block), on)
         near = met.select("query_id", order, cosine_distance(F.col(vector), F.col("query")).alias("distance"))
         found.append(near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    every = reduce(DataFrame.unionByName, found)
+    return every if blocks == 1 else every.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)  # an id may stand in two blocks
 
 
 def evidence(rows: DataFrame, path: str | None, symbol: str | None, text: str | None, least: float) -> DataFrame:

@@ -126,3 +126,14 @@ def test_recall_of_cells(spark):
     got = queries.QUERIES["cosine_ivf_topk"](spark, "/root/testdata/sf0.001")
     exact = queries.QUERIES["cosine_matrix_topk"](spark, "/root/testdata/sf0.001")
     assert ann.recall(got, exact) >= 0.9
+
+
+def test_query_blocks_are_bounded_whatever_the_ids(spark, monkeypatch):
+    from evgraph.operators import retrieval
+
+    rng = random.Random(8)
+    vectors = spark.createDataFrame([(k, [rng.random() for _ in range(4)]) for k in range(40)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(q, [rng.random() for _ in range(4)]) for q in (1, 1, 1, 1, 2, 3, 3)], "query_id long, query array<double>")
+    whole = rows(retrieval.top_k_each(vectors, asked, 3).select("query_id", F.round("distance", 9), "rank"))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
+    assert rows(retrieval.top_k_each(vectors, asked, 3).select("query_id", F.round("distance", 9), "rank")) == whole
