@@ -31,3 +31,17 @@ def test_stages_on_nothing(spark):
 def test_operators():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_stages_on_odd_rows(spark, clashing):
+    """Null and repeated ids, empty, very long and repeated texts, and further columns with names that the stages use."""
+    docs, columns = clashing, clashing.columns
+    given = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SMALL), "test-odd")
+        assert docs.columns == columns, name
+        kept = docs.collect()
+        if name in ("quality_classifier", "ngram_join"):
+            assert {(r["doc_id"], r["text"]) for r in kept} <= given, name
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+    assert found.count() == docs.count() and found.where("NOT round_trip").count() == 0
