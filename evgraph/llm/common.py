@@ -60,13 +60,31 @@ def _delete(spark: SparkSession, uri: str) -> None:
         pass
 
 
+#: The folders made so far, in order.
+_FOLDERS: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new folder's URI under the shared folder, deleted when the driver ends."""
     uri = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, uri)
+    _FOLDERS.append(uri)
     return uri
 
 
+def folders_made() -> int:
+    return len(_FOLDERS)
+
+
+def release_unread(result: DataFrame, since: int) -> DataFrame:
+    """result, once the folders made since then that its plan doesn't read are deleted."""
+    read = {part for f in result.inputFiles() for part in f.split("/")}
+    for uri in _FOLDERS[since:]:
+        if uri.rsplit("/", 1)[1] not in read:
+            _delete(result.sparkSession, uri)
+    return result
+
+
 def cut(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Write and reread: lineage ends here, and a lost executor costs no rerun of what came before.
 

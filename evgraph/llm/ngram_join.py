@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DEAL_DIGITS, batch, blobs, cut, deal_again, give_back, put_back, release, runs, set_aside, small_batches, word_codes
+from .common import DEAL_DIGITS, batch, blobs, cut, deal_again, folders_made, give_back, put_back, release, release_unread, runs, set_aside, small_batches, word_codes
 
 SHINGLE = 5
 MOST_RARE = 24
@@ -592,6 +592,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
 
     Texts without words are linked with nothing and stay. The columns stay as they are.
     """
+    made = folders_made()
     named = with_components(docs)
     own = cut(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "key", F.col("class").isNull().alias("bare")).agg(F.count("*").alias("n")), "ngram-kept")
     least = own.where("NOT bare").groupBy("root").agg(F.min_by(F.struct("doc_id", "key", "n"), "key").alias("x")).select("x.*")
@@ -601,4 +602,4 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     on = plain["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.xxhash64(plain["text"]) == kept["_key"])
     met = plain.join(F.broadcast(kept) if few else kept, on)
     once, again = met.where("_n = 1"), met.where("_n > 1").dropDuplicates(["_id", "_key"])
-    return put_back(once.union(again), docs, "doc_id", "text")
+    return release_unread(put_back(once.union(again), docs, "doc_id", "text"), made)  # what comes after starts with an empty shared folder
