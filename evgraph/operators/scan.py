@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -15,8 +15,8 @@ ERROR = "path string, message string"
 def sources(files: DataFrame, most_files: int = rules.MOST_FILES, most_file: int = rules.MOST_FILE_BYTES, most_all: int = rules.MOST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(files, errors) of an analysis scan of (path, size, content); files gain category, language and hash.
 
-    Limits are global and in path order: a file that is too large is left out with an error, then the number
-    of files and their total size end the scan, with one error each.
+    Limits are global and in path order: a file that is too large is left out with an error, whatever others have its path, then the
+    number of files and their total size end the scan, with one error each.
     """
     bare = files.drop("category").withColumn("path", paths.normal(F.col("path")))
     allowed = ~paths.unsafe(F.col("path")) & ~rules.in_ignored_directory(F.col("path"), rules.IGNORED_ANALYSIS) & ~rules.is_secret_file(F.col("path")) & ~rules.is_generated(F.col("path"))
@@ -28,11 +28,21 @@ def sources(files: DataFrame, most_files: int = rules.MOST_FILES, most_file: int
     over = F.when(F.col("_n") > most_files, "The number of files is at its limit.").when(F.col("_sum") > most_all, "The size of the files is at its limit.")
     judged = ranked.withColumn("message", over)
     ended = judged.where("message IS NOT NULL").groupBy("message").agg(F.min_by("path", "_n").alias("path")).select("path", "message")
-    kept = known.join(judged.where("message IS NULL").select("path"), "path", "left_semi")
+    kept = _within(known.where(F.col("size") <= most_file), judged)
     kept = kept.withColumn("language", rules.language(F.col("path"))).withColumn("hash", F.sha2(F.col("content").cast("binary"), 256))
     return kept, large.union(ended)
 
 
+def _within(files: DataFrame, judged: DataFrame) -> DataFrame:
+    """The files that the limits leave: of those alike in path and size, among which the scan may end, as many as were let in, by their contents' hash."""
+    counts = judged.groupBy("path", "size").agg(F.count_if(F.col("message").isNull()).alias("_in"), F.count("*").alias("_all")).where("_in > 0")
+    met = files.join(counts, ["path", "size"])
+    whole, last = met.where("_in = _all"), met.where("_in < _all")
+    alike = Window.partitionBy("path", "size").orderBy(F.sha2(F.col("content").cast("binary"), 256))
+    last = last.withColumn("_n", F.row_number().over(alike)).where("_n <= _in").drop("_n")
+    return whole.unionByName(last).select(*files.columns)
+
+
 def ingest(files: DataFrame, extra: tuple[str, ...] = (), most: int = rules.MOST_INGEST_BYTES) -> DataFrame:
     """The ingest scan: its own ignored directories (and extra ones), endings and size limit."""
     named = files.withColumn("path", paths.normal(F.col("path")))

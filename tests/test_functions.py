@@ -117,6 +117,18 @@ def test_scan_limits(spark):
     assert kept.count() == 2
 
 
+def test_scan_of_files_with_one_path(spark):
+    rows = [("a.cs", 100, b"x"), ("a.cs", 900, b"y"), ("a.cs", 200, b"z"), ("b.cs", 300, b"p"), ("b.cs", 300, b"q"), ("b.cs", 300, b"r"), ("c.cs", 1, b"x")]
+    df = spark.createDataFrame([(p, s, bytearray(c)) for p, s, c in rows], "path string, size long, content binary")
+    kept, errors = scan.sources(df, most_file=500)
+    assert sorted((r["path"], r["size"]) for r in kept.collect()) == sorted((p, s) for p, s, _ in rows if s <= 500)
+    assert [r["path"] for r in errors.collect()] == ["a.cs"]
+    kept, errors = scan.sources(df, most_files=4, most_file=500)
+    assert sorted((r["path"], r["size"]) for r in kept.collect()) == [("a.cs", 100), ("a.cs", 200), ("b.cs", 300), ("b.cs", 300)]
+    assert len({bytes(r["content"]) for r in kept.collect()}) == 4
+    assert sorted(r["path"] for r in errors.collect()) == ["a.cs", "b.cs"]
+
+
 def test_archives(spark, tmp_path):
     import io
     import zipfile
