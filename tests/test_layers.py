@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,15 @@ def test_mentions_meet_every_slice_and_pack(spark):
     assert rows(mentions.containing(t, "k", "t", p, "p", "g", ignore_case=True)) == low
 
 
+def test_mentions_do_not_copy_the_text_for_each_pattern():
+    names = pa.array([f"n{k}x" for k in range(500)])
+    text = pa.table({"_g": ["g"], "_k": [1], "_t": [" ".join(names.to_pylist()) + " y" * 200_000]})  # copied for each, 200 MB
+    before = pa.default_memory_pool().bytes_allocated()
+    found = mentions.met((), text, pa.table({"_p": names, "_f": names}))
+    assert found.num_rows == 500 and found.column_names == ["_g", "_k", "_p"]
+    assert pa.default_memory_pool().max_memory() - before < 50 << 20
+
+
 def test_forms_of_names(spark):
     t = spark.createDataFrame([("a", 1, "use IOrderService;"), ("a", 2, "<Cart/>"), ("a", 3, "nothing")], "analysis_id string, k long, t string")
     names = spark.createDataFrame([("a", "OrderService"), ("a", "Cart")], "analysis_id string, name string")
