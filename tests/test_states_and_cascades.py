@@ -114,3 +114,24 @@ def test_archives_are_read_by_ranges(spark, tmp_path):
     (tmp_path / "none.zip").write_bytes(b"PK")
     found = {r["archive"]: r["problem"] for r in archive_source.read_large_archives(spark, str(tmp_path)).select("archive", "problem").distinct().collect()}
     assert found["big.zip"] is None and found["bad.zip"] and found["none.zip"]
+
+
+def test_archives_beyond_the_limits_of_uploads(spark, tmp_path):
+    names = [f"d/{k}.txt" for k in range(archive_source.MOST_ENTRIES + 5)]
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.mkdir("d")
+        for n in names:
+            z.writestr(n, n[::-1])
+    assert [r["problem"] for r in archive_source.read_large_archives(spark, str(tmp_path)).collect()] == ["too many entries"]
+    df = archive_source.read_large_archives(spark, str(tmp_path), 1, limited=False)
+    assert 1 < df.rdd.getNumPartitions() <= archive_source.MOST_RANGES
+    assert {r["path"]: bytes(r["content"]).decode() for r in df.collect()} == {n: n[::-1] for n in names}
+
+
+def test_a_directory_of_more_entries_than_two_bytes_count(tmp_path):
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        for k in range(66_000):
+            z.writestr(f"é{k}", "")
+    reader = archive_source.ArchiveReader(str(tmp_path / "x.zip"), 1, True, *[float("inf")] * 3)
+    parts = reader.partitions()
+    assert [p for k in parts for b in reader.read(k) for p in b.column("path").to_pylist()] == [f"é{k}" for k in range(66_000)]
