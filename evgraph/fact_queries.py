@@ -101,7 +101,7 @@ UNION ALL SELECT 'DependsOn', 'entity:Buyer' || n_nationkey, 'entity:Sale' || n_
 """)
 def ef_edges(spark, d):
     """Tables of contexts and relations of entities; a relation's navigation is resolved by its property's element type."""
-    _, edges = resolve.graph([resolve.csharp(extract_cs.facts(contexts(spark, d)))])
+    _, edges = resolve.graph([resolve.csharp(sources.settle(extract_cs.facts(contexts(spark, d)), "cs-facts"))])
     p = F.col("properties")
     kept = edges.where((F.col("type") == "MapsTo") | F.col("source_id").startswith("entity:"))
     return kept.select("type", "source_id", "target_id", F.coalesce(F.concat_ws(" ", p["Multiplicity"], p["ForeignKey"]), F.lit("")).alias("multiplicity"))
@@ -117,7 +117,7 @@ UNION ALL SELECT 'Contains', 'interface:INation' || n_nationkey, 'method:Go' ||
 """)
 def graph_calls(spark, d):
     """All edges of the controllers and interfaces: members, calls, endpoints and dependencies (a field's and a constructor's are one)."""
-    _, edges = resolve.graph([resolve.csharp(extract_cs.facts(controllers(spark, d).union(interfaces(spark, d))))])
+    _, edges = resolve.graph([resolve.csharp(sources.settle(extract_cs.facts(controllers(spark, d).union(interfaces(spark, d))), "cs-facts"))])
     return edges.select("type", "source_id", "target_id")
 
 

@@ -32,4 +32,5 @@ def facts(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(map(list, zip(*rows, strict=True)), schema, strict=True)], schema=schema)
 
     chosen = files.where(F.lower("path").endswith(".cs")).select("analysis_id", "path", "content")
-    return chosen.mapInArrow(read, SCHEMA)
+    # Parsing is the work, whatever the bytes: a table of few bytes may hold, or make, very many files.
+    return chosen.repartition(2 * files.sparkSession.sparkContext.defaultParallelism).mapInArrow(read, SCHEMA)

@@ -147,3 +147,26 @@ def test_query_blocks_are_bounded_whatever_the_ids(spark, monkeypatch):
     whole = rows(retrieval.top_k_each(vectors, asked, 3).select("query_id", F.round("distance", 9), "rank"))
     monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 2)
     assert rows(retrieval.top_k_each(vectors, asked, 3).select("query_id", F.round("distance", 9), "rank")) == whole
+
+
+def test_files_are_parsed_once_for_a_graph_and_by_many_tasks(spark, monkeypatch):
+    from evgraph import fact_queries, queries  # noqa: F401
+    from evgraph.operators import extract_cs
+
+    made = []
+    monkeypatch.setattr(extract_cs, "facts", lambda files, f=extract_cs.facts: made.append(f(files)) or made[-1])
+    for name in ("graph_calls", "ef_edges"):
+        edges = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert "MapInArrow" not in edges._jdf.queryExecution().toString()
+    assert all(df.rdd.getNumPartitions() > 4 for df in made)
+
+
+def test_relations_are_made_of_shown_entities_only(spark, tmp_path):
+    from evgraph import diagram_queries, queries  # noqa: F401
+
+    spark.range(4000).selectExpr("id + 1 AS c_custkey", "CAST(0 AS BIGINT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = queries.QUERIES["erd_diagram"](spark, str(tmp_path))
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString().split("source_k")[-1]
+    first = sorted((f"E{k}" for k in range(1, 4001)))[:20]
+    expected = {(f"e{x[1:]}", f"e{y[1:]}") for x in first for y in first if x < y and int(x[1:]) % 7 == int(y[1:]) % 7}
+    assert {(r["source_id"], r["target_id"]) for r in found.collect()} == expected
