@@ -175,8 +175,13 @@ def controller_summary(endpoints: DataFrame, groups: int = 12) -> DataFrame:
     return _capped(grouped, groups, ["controller"]).select("analysis_id", "controller", "n", "first.route", "first.method")
 
 
+def erd_entities(entities: DataFrame, n: int = 20) -> DataFrame:
+    """The entities that a diagram shows: the first n of each analysis by name."""
+    return _capped(entities, n, ["name", "id"]).select("analysis_id", "id", "name", F.lit("entity").alias("category"), F.lit(0).alias("tier"), "rank")
+
+
 def erd(entities: DataFrame, relations: DataFrame, n: int = 20) -> tuple[DataFrame, DataFrame]:
-    shown = _capped(entities, n, ["name", "id"]).select("analysis_id", "id", "name", F.lit("entity").alias("category"), F.lit(0).alias("tier"), "rank")
+    shown = erd_entities(entities, n)
     kept = relations.join(shown.select(F.col("id").alias("source_entity_id")), "source_entity_id", "left_semi").join(shown.select(F.col("id").alias("target_entity_id")), "target_entity_id", "left_semi")
     return shown, kept.select("analysis_id", F.col("source_entity_id").alias("source_id"), F.col("target_entity_id").alias("target_id"), F.col("relationship_type").alias("label"), F.when(F.col("evidence_id").isNotNull(), "confirmed").otherwise("inferred").alias("state"))
 
