@@ -11,9 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .retrieval import top_k_each
+
 #: Bound of the sample that cells are fitted on, in rows; more cells than the root of this make no better index.
 SAMPLE = 50_000
 SEED = 7
@@ -64,9 +66,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int) -> DataFrame:
     spark = queries.sparkSession
     asked = queries.select("query_id", _unit(F.col("query")).alias("_q")).where("_q IS NOT NULL")
     probing = asked.withColumn("cell", F.explode(_cells(F.col("_q"), index.centres, probes)))
-    met = index.read(spark).join(probing, "cell").select("query_id", "id", (1 - _dot(F.col("vector"), F.col("_q"))).alias("distance"))
-    nearest = Window.partitionBy("query_id").orderBy("distance", "id")
-    return met.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    return top_k_each(index.read(spark), probing.withColumnRenamed("_q", "query"), k, ["cell"], "vector")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

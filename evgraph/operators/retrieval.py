@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +11,13 @@ from pyspark.sql import functions as F
 from ..functions.scores import band
 from ..functions.vectors import cosine_distance, embed
 from ..sources.files import settle
-from .ordered import running_totals
+from .nearest import matrix, nearest
 
 DIMENSION, TOP, MOST_TOP, EVIDENCE = 1536, 5, 100, 20
-#: Queries up to which they are broadcast to the chunks (a vector of 1536 floats each).
-BROADCAST_QUERIES = 2_000
+#: Queries of a block at most; numbers of a block's vectors, about; scopes up to which their numbers of blocks are broadcast.
+BROADCAST_QUERIES = 8_192
+VALUES = 4_000_000
+SCOPES = 10_000
 
 
 def check_query(vector: list[float], k: int, dimension: int = DIMENSION) -> None:
@@ -37,25 +38,28 @@ def top_k(vectors: DataFrame, query: list[float], k: int = TOP, vector: str = "e
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, scope: list[str] | None = None, vector: str = "embedding", order: str = "id") -> DataFrame:
     """query_id, order, distance and rank of the k rows nearest to each query, within its scope.
 
-    Queries go to every task in blocks of BROADCAST_QUERIES, so each block is a stated set against all rows. The rank within a query is
-    limited in each task before the exchange (Spark's partial group limit), as a bounded heap would.
+    Vectors are dealt to blocks of some VALUES numbers, queries to blocks of BROADCAST_QUERIES or fewer, and each block of a scope's vectors
+    meets each of its queries in a task, by matrix products; the k nearest of a block are ranked together then. Nothing is broadcast or sent to the driver.
     """
-    sides = queries.select(F.col("query_id"), F.col("query"), *(F.col(c).alias(f"_{c}") for c in scope or []))
-    blocks = max(1, -(-queries.count() // BROADCAST_QUERIES))
-    nearest = Window.partitionBy("query_id").orderBy("distance", order)
-    found = []
-    if blocks > 1:  # by number, so that a block is bounded whatever the ids are
-        sides = settle(running_totals(sides, ["query_id"], {"_n": F.lit(1)}), "numbered-queries")
-    for n in range(blocks):
-        block = sides if blocks == 1 else sides.where(F.floor((F.col("_n") - 1) / BROADCAST_QUERIES) == n)
-        on = F.lit(True)
-        for c in scope or []:
-            on = on & (F.col(c) == F.col(f"_{c}"))
-        met = vectors.where(F.col(vector).isNotNull()).join(F.broadcast(block), on)
-        near = met.select("query_id", order, cosine_distance(F.col(vector), F.col("query")).alias("distance"))
-        found.append(near.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k))
-    every = reduce(DataFrame.unionByName, found)
-    return every if blocks == 1 else every.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)  # an id may stand in two blocks
+    own = F.array(*(F.col(c).cast("string") for c in scope or [])).cast("array<string>")
+    whole = ~F.exists("_scope", lambda c: c.isNull())
+    right = vectors.where(F.col(vector).isNotNull()).select(own.alias("_scope"), F.col(order).alias("_id"), F.col(vector).cast("array<double>" if dict(vectors.dtypes)[vector] == "array<double>" else "array<float>").alias("_v")).where(whole)
+    left = queries.select(own.alias("_scope"), F.col("query_id").alias("_id"), F.col("query").cast("array<double>").alias("_v")).where(whole)
+    blocks = lambda df, n, most: df.groupBy("_scope").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.greatest(F.size("_v"), F.lit(1))) / VALUES), F.ceil(F.count("*") / most)).cast("int").alias(n))
+    sizes = settle(blocks(right, "_rights", VALUES).join(blocks(left, "_lefts", BROADCAST_QUERIES), "_scope"), "vector-blocks")
+    sizes = F.broadcast(sizes) if sizes.limit(SCOPES + 1).count() <= SCOPES else sizes
+    mine = lambda n: F.pmod(F.xxhash64("_id", "_v"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = left.join(sizes, "_scope").select("_scope", mine("_lefts").alias("_l"), every("_rights").alias("_r"), "_id", "_v")
+    held = right.join(sizes, "_scope").select("_scope", every("_lefts").alias("_l"), mine("_rights").alias("_r"), "_id", "_v")
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        q, x, distance = nearest(matrix(asked["_v"]), matrix(held["_v"]), held["_id"], k)
+        return pa.table({"query_id": asked["_id"].take(q), "_id": held["_id"].take(x), "distance": pa.array(distance)})
+
+    by = ("_scope", "_l", "_r")
+    near = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(meet, f"query_id {dict(left.dtypes)['_id']}, _id {dict(right.dtypes)['_id']}, distance double").withColumnRenamed("_id", order)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", order))).where(F.col("rank") <= k)
 
 
 def evidence(rows: DataFrame, path: str | None, symbol: str | None, text: str | None, least: float) -> DataFrame:

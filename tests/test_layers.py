@@ -170,3 +170,23 @@ def test_relations_are_made_of_shown_entities_only(spark, tmp_path):
     first = sorted((f"E{k}" for k in range(1, 4001)))[:20]
     expected = {(f"e{x[1:]}", f"e{y[1:]}") for x in first for y in first if x < y and int(x[1:]) % 7 == int(y[1:]) % 7}
     assert {(r["source_id"], r["target_id"]) for r in found.collect()} == expected
+
+
+def test_nearest_by_products_equal_the_plain_form(spark, monkeypatch):
+    from evgraph.functions.vectors import cosine_distance
+    from evgraph.operators import nearest, retrieval
+
+    rng = random.Random(5)
+    data = [(k, [rng.choice((-1.0, 0.0, 0.5, 2.0)) for _ in range(3)]) for k in range(300)] + [(900, [0.0] * 3), (901, [float("nan"), 1.0, 1.0]), (902, [1.0, None, 1.0]), (903, [float("inf"), 1.0, 1.0]), (904, None), (None, [1.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(data, "id long, embedding array<float>")
+    asked = spark.createDataFrame([(k, [float(x or 0) for x in v]) for k, v in data[:40] + data[300:302]], "query_id long, query array<float>")
+    plain = asked.crossJoin(vectors.where("embedding IS NOT NULL")).select("query_id", "id", cosine_distance(F.col("embedding"), F.col("query")).alias("d")).collect()
+    of = {q: sorted(((r["d"], r["id"] is not None, r["id"]) for r in plain if r["query_id"] == q), key=lambda x: (x[0], x[1], x[2] or 0))[:4] for q in {r["query_id"] for r in plain}}
+    expected = sorted(((q, i, n) for q, found in of.items() for n, (_, _, i) in enumerate(found, 1) if i not in (902,)), key=repr)
+    for values, queries in ((4_000_000, 8192), (200, 7)):
+        monkeypatch.setattr(retrieval, "VALUES", values)
+        monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", queries)
+        found = retrieval.top_k_each(vectors, asked, 4)
+        assert rows(found.select("query_id", "id", "rank")) == expected
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    assert nearest.HITS > nearest.ROWS
