@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DEAL_DIGITS, batch, blobs, cut, deal_again, filesystem, give_back, put_back, put_file, scratch, set_aside, small_batches, word_codes
+from .common import DEAL_DIGITS, batch, blobs, cut, deal_again, filesystem, give_back, of_planes, planes, put_back, put_file, release, scratch, set_aside, small_batches, word_codes
 
 MIN_WORDS = 50
 K = 8
@@ -43,6 +44,8 @@ GAP_COST, DROP = 0.05, 8
 #: Words in a pack, about; bytes of a bucket of seeds, about.
 PACK_WORDS = 1_500_000
 BUCKET_BYTES = 4 << 20
+#: Parts of the buckets that are shuffled one after the other.
+PARTS = 4
 #: Tasks that packs are dealt to at most; beyond, a task takes several.
 MOST_TASKS = 50_000
 LAST_ID = np.iinfo(np.int64).max
@@ -200,7 +203,7 @@ class Pack:
 def _write_packs(docs: DataFrame, folder: str, digits: int) -> DataFrame:
     """Write the packs; rows (bucket, pack, seeds, ids, places, packs): each pack's distinct seeds with their least document, dealt to buckets.
 
-    Where buckets are dealt again, packs has the pack of every seed, and pack is 0.
+    Where buckets are dealt again, packs has the pack of every seed, and pack is 0. Else numbers stand in byte planes, and places with their sign last.
     """
     fs, root = filesystem(folder)
     fs.create_dir(root, recursive=True)
@@ -236,7 +239,7 @@ def _write_packs(docs: DataFrame, folder: str, digits: int) -> DataFrame:
             if again:
                 rows += [(k, 0, *x) for k, *x in blobs(h, DEAL_DIGITS, h, of, at, packs)]
             else:
-                rows += [(k, pack, *x, b"") for k, *x in blobs(h, digits, h, of, at)]
+                rows += [(k, pack, *(planes(np.frombuffer(c, np.int64)) for c in x), b"") for k, *x in blobs(h, digits, h, of, at << 1 ^ at >> 63)]
             for x in (ids, nulls, keys, codes, seeds):
                 x.clear()
             made, held = made + 1, 0
@@ -270,13 +273,17 @@ def _dealt_again(dealt: DataFrame, digits: int) -> DataFrame:
 
 
 def _first_holders(dealt: DataFrame) -> DataFrame:
-    """Rows (pack, seeds, holders): for each pack its shared seeds with the first holder's id, pack and place."""
+    """Rows (pack, seeds, holders): for each pack its shared seeds with the first holder's id, pack and place, in byte planes."""
     schema = pa.schema([("pack", pa.int64()), ("seeds", pa.binary()), ("holders", pa.binary())])
 
     def hold(group: pa.Table) -> pa.Table:
-        seeds, ids, at = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("seeds", np.uint64), ("ids", np.int64), ("places", np.int64)))
+        columns = (("seeds", np.uint64), ("ids", np.int64), ("places", np.int64))
         pack = np.frombuffer(b"".join(group["packs"].to_pylist()), np.int64)
-        if not len(pack):
+        if len(pack):
+            seeds, ids, at = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in columns)
+        else:
+            seeds, ids, at = (np.concatenate([of_planes(x, t) for x in group[c].to_pylist()]) for c, t in columns)
+            at = at >> 1 ^ -(at & 1)
             pack = np.repeat(group["pack"].to_numpy(), [len(x) // 8 for x in group["seeds"].to_pylist()])
         order = np.lexsort((pack, ids, seeds))
         seeds, ids, at, pack = seeds[order], ids[order], at[order], pack[order]
@@ -291,7 +298,7 @@ def _first_holders(dealt: DataFrame) -> DataFrame:
         seeds, pack, holder = seeds[order], pack[order], holder[order]
         cuts = np.flatnonzero(np.concatenate((pack[:1] == pack[:1], pack[1:] != pack[:-1])))
         ends = np.append(cuts[1:], len(pack))[: len(cuts)]
-        rows = [(int(pack[a]), seeds[a:b].tobytes(), holder[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
+        rows = [(int(pack[a]), planes(seeds[a:b]), planes(holder[a:b].T)) for a, b in zip(cuts, ends, strict=True)]
         return pa.Table.from_batches([batch(schema, *(map(list, zip(*rows, strict=True)) if rows else ([], [], [])))])
 
     return dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(hold, "pack long, seeds binary, holders binary")
@@ -318,8 +325,8 @@ def _passages(told: DataFrame, folder: str, tasks: int) -> DataFrame:
     def find(group: pa.Table) -> pa.Table:
         fs, root = filesystem(folder)
         number = group["pack"][0].as_py()
-        seeds = np.frombuffer(b"".join(group["seeds"].to_pylist()), np.uint64)
-        holders = np.frombuffer(b"".join(group["holders"].to_pylist()), np.int64).reshape(-1, 3)
+        seeds = np.concatenate([of_planes(x, np.uint64) for x in group["seeds"].to_pylist()])
+        holders = np.concatenate([of_planes(x, np.int64).reshape(3, -1).T for x in group["holders"].to_pylist()])
         order = np.argsort(seeds)
         seeds, holders = seeds[order], holders[order]
         packs: OrderedDict[int, Pack] = OrderedDict()
@@ -377,7 +384,11 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     folder = scratch(spark, "seed-packs")
     # Packs are written once: the seeds are reread from the shared folder.
     dealt = cut(_write_packs(docs, folder, digits), "seeds", free=True)
-    told = _first_holders(_dealt_again(dealt, digits)).unionByName(dealt.where("bucket < 0").select("pack", "seeds", F.lit(b"").alias("holders")))
+    # A part of the buckets after the other, so that the disk holds the shuffle of one part only; then the dealt seeds go.
+    parts = [_first_holders(_dealt_again(dealt.where(F.pmod("bucket", F.lit(PARTS)) == n), digits)) for n in range(PARTS)]
+    parts.append(dealt.where("bucket < 0").select("pack", "seeds", F.lit(b"").alias("holders")))
+    told = reduce(DataFrame.unionByName, [cut(p, "told", free=True) for p in parts])
+    release(dealt)
     tasks = max(2 * spark.sparkContext.defaultParallelism, min(words // PACK_WORDS, MOST_TASKS))
     return _passages(told, folder, tasks)
 

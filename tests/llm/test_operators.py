@@ -603,3 +603,15 @@ def test_contamination_beyond_the_broadcast_bound(spark, docs, monkeypatch):
     expected = table(decontamination.decontamination(docs, items))
     monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", -1)
     assert table(decontamination.decontamination(docs, items)) == expected == oracle(decontamination.ORACLE_SQL, documents=docs, benchmark=items)
+
+
+def test_byte_planes_hold_numbers_and_compress():
+    import zlib
+
+    import numpy as np
+
+    from evgraph.llm.common import of_planes, planes
+
+    numbers = np.random.default_rng(1).integers(-(1 << 20), 1 << 20, 5000)
+    assert (of_planes(planes(numbers), np.int64) == numbers).all() and len(of_planes(b"", np.int64)) == 0
+    assert len(zlib.compress(planes(abs(numbers)))) < 8 * len(numbers) // 2
