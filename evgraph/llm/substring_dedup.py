@@ -1,10 +1,11 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
 Seeds are winnowed word k-mers (K words, the least hash of every WINNOW neighbours), so any shared run of
-K + WINNOW - 1 words shares one. Each task writes the words' hashes and seeds of its documents to a
+K + WINNOW - 1 words shares one. Each task writes the words' hashes of its documents and the steps between their seeds to a
 pack in the shared folder and sends every distinct seed once. Where a seed is found in two documents or
-more, the one with the least doc_id is its first holder; packs that have the seed are told of it. So a passage
+more, the one with the least doc_id is its first holder; packs that have the seed are told of it, by a place where they have it. So a passage
 that millions of documents share costs one row a pack, and no group of documents is gathered anywhere.
+A pack's other places of a seed are those with the same words.
 
 A document's seeds with an earlier first holder are matches. Matches with one holder are chained in
 both documents' order: the best chain that ends in a match is found with a Fenwick tree over positions, as
@@ -26,6 +27,8 @@ import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
+from itertools import chain as chain_of
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,8 @@ GAP_COST, DROP = 0.05, 8
 #: Words in a pack, about; bytes of a bucket of seeds, about.
 PACK_WORDS = 1_500_000
 BUCKET_BYTES = 4 << 20
+#: Blobs of seeds that go to Spark at once.
+ROWS_SENT = 256
 #: Parts of the buckets that are shuffled one after the other.
 PARTS = 4
 #: Tasks that packs are dealt to at most; beyond, a task takes several.
@@ -158,10 +163,18 @@ def align(own: np.ndarray, other: np.ndarray, at: list[int], there: list[int]) -
     return [(b, e) for b, e in pieces if e - b >= MIN_PIECE]
 
 
+def hashes_at(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the K words (32 bits each) from each place on."""
+    hashes = np.zeros(len(at), np.uint64)
+    for k in range(K):
+        hashes = hashes * _STEP + words[at + k]
+    return (hashes ^ (hashes >> np.uint64(31))) * _MIX
+
+
 class Pack:
-    """A file of documents: rows, their words' hashes (32 bits), their seeds."""
+    """A file of documents: rows, their words' hashes (32 bits), and a byte a seed: how far it is from the one before, WINNOW words at most."""
 
-    MAGIC = b"SEEDPCK2"
+    MAGIC = b"SEEDPCK3"
 
     @staticmethod
     def parts(ids: list[int], nulls: list[bool], keys: list[int], codes: list[np.ndarray], seeds: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[bytes]:
@@ -169,12 +182,10 @@ class Pack:
         firsts = np.concatenate(([0], np.cumsum([len(h) for h, _ in seeds]))).astype("<i8")
         yield Pack.MAGIC + np.array([len(ids), starts[-1], firsts[-1]], "<i8").tobytes()
         yield np.array(ids, "<i8").tobytes() + np.array(keys, "<i8").tobytes() + np.array(nulls, "<i8").tobytes() + starts.tobytes() + firsts.tobytes()
-        for h, _ in seeds:
-            yield h.astype("<u8").tobytes()
         for _, p in seeds:
-            yield p.astype("<i4").tobytes()
+            yield np.diff(p, prepend=0).astype(np.uint8).tobytes()
         for c in codes:
-            yield (c >> np.uint64(32)).astype("<u4").tobytes()
+            yield c.astype("<u4", copy=False).tobytes()
 
     def __init__(self, fs, path: str):
         self.file = fs.open_input_file(path)
@@ -185,12 +196,18 @@ class Pack:
         self.ids, self.keys, self.nulls = index[:n], index[n : 2 * n], index[2 * n : 3 * n] == 1
         self.starts, self.firsts = index[3 * n : 4 * n + 1], index[4 * n + 1 :]
         self.seeds_at = at + 8 * (5 * n + 2)
-        self.words_at = self.seeds_at + 12 * seeds
-        self.n_seeds = seeds
+        self.words_at = self.seeds_at + seeds
+        self.n_words, self.n_seeds = words, seeds
 
     def seeds(self) -> tuple[np.ndarray, np.ndarray]:
-        data = self.file.read_at(12 * self.n_seeds, self.seeds_at)
-        return np.frombuffer(data, "<u8", self.n_seeds), np.frombuffer(data, "<i4", self.n_seeds, 8 * self.n_seeds)
+        """Of each seed its document's row and its place in it, in order."""
+        steps = np.frombuffer(self.file.read_at(self.n_seeds, self.seeds_at), np.uint8)
+        total = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+        row = np.repeat(np.arange(self.n), np.diff(self.firsts))
+        return row, total[1:] - total[self.firsts[:-1]][row]
+
+    def every_word(self) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(4 * self.n_words, self.words_at), "<u4")
 
     def words(self, row: int, begin: int, end: int) -> np.ndarray:
         at = self.words_at + 4 * (int(self.starts[row]) + begin)
@@ -220,7 +237,7 @@ def _write_packs(docs: DataFrame, folder: str, digits: int) -> DataFrame:
         seeds: list[tuple[np.ndarray, np.ndarray]] = []
         none = (np.empty(0, np.uint64), np.empty(0, np.int64))
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made, held
             pack = part << 24 | made
             put_file(own, f"{place}/{pack}", Pack.parts(ids, nulls, keys, codes, seeds))
@@ -228,38 +245,40 @@ def _write_packs(docs: DataFrame, folder: str, digits: int) -> DataFrame:
             row = np.repeat(np.arange(len(ids)), [len(h) for h, _ in seeds])
             at = row << 32 | np.concatenate([p for _, p in seeds])
             of = np.array(ids, np.int64)[row]
+            for x in (ids, nulls, keys, codes, seeds):
+                x.clear()
             order = np.lexsort((at, of, h))
             h, of, at = h[order], of[order], at[order]
+            del row, order
             first = np.flatnonzero(np.concatenate((h[:1] == h[:1], h[1:] != h[:-1])))
             last = np.append(first[1:], len(h))[: len(first)] - 1
             many = of[first] != of[last]  # the least and the greatest doc_id that have it here
             h, of, at = h[first], of[first], np.where(many, ~at[first], at[first])
             packs = np.full(len(h) if again else 0, pack, np.int64)
-            rows = [(-1, pack, b"", b"", b"", b"")]
             if again:
-                rows += [(k, 0, *x) for k, *x in blobs(h, DEAL_DIGITS, h, of, at, packs)]
+                dealt = ((k, 0, *x) for k, *x in blobs(h, DEAL_DIGITS, h, of, at, packs))
             else:
-                rows += [(k, pack, *(planes(np.frombuffer(c, np.int64)) for c in x), b"") for k, *x in blobs(h, digits, h, of, at << 1 ^ at >> 63)]
-            for x in (ids, nulls, keys, codes, seeds):
-                x.clear()
+                dealt = ((k, pack, *(planes(np.frombuffer(c, np.int64)) for c in x), b"") for k, *x in blobs(h, digits, h, of, at << 1 ^ at >> 63))
+            for rows in batched(chain_of([(-1, pack, b"", b"", b"", b"")], dealt), ROWS_SENT):
+                yield batch(schema, *map(list, zip(*rows, strict=True)))
             made, held = made + 1, 0
             give_back()
-            return batch(schema, *map(list, zip(*rows, strict=True)))
 
         for b in batches:
             every, starts = word_codes(b.column("text"))
             for doc_id, key, begin, end in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 c = every[begin:end]
+                h, p = seeds_of(c) if len(c) >= MIN_WORDS else none
                 ids.append(LAST_ID if doc_id is None else doc_id)
                 nulls.append(doc_id is None)
                 keys.append(key)
-                codes.append(c)
-                seeds.append(seeds_of(c) if len(c) >= MIN_WORDS else none)
+                codes.append((c >> np.uint64(32)).astype(np.uint32))
+                seeds.append((h, p.astype(np.int32)))
                 held += len(c) + 8
                 if held >= PACK_WORDS:
-                    yield flush()
+                    yield from flush()
         if ids:
-            yield flush()
+            yield from flush()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     return source.mapInArrow(write, "bucket long, pack long, seeds binary, ids binary, places binary, packs binary")
@@ -273,8 +292,8 @@ def _dealt_again(dealt: DataFrame, digits: int) -> DataFrame:
 
 
 def _first_holders(dealt: DataFrame) -> DataFrame:
-    """Rows (pack, seeds, holders): for each pack its shared seeds with the first holder's id, pack and place, in byte planes."""
-    schema = pa.schema([("pack", pa.int64()), ("seeds", pa.binary()), ("holders", pa.binary())])
+    """Rows (pack, places, holders): for each pack a place of each of its shared seeds, with the first holder's id, pack and place, in byte planes."""
+    schema = pa.schema([("pack", pa.int64()), ("places", pa.binary()), ("holders", pa.binary())])
 
     def hold(group: pa.Table) -> pa.Table:
         columns = (("seeds", np.uint64), ("ids", np.int64), ("places", np.int64))
@@ -293,15 +312,15 @@ def _first_holders(dealt: DataFrame) -> DataFrame:
         at = np.where(at < 0, ~at, at)
         kept = np.repeat(shared, size)
         holder = np.repeat(np.column_stack((ids[first], pack[first], at[first])), size, axis=0)[kept]
-        seeds, pack = seeds[kept], pack[kept]
-        order = np.argsort(pack, kind="stable")
-        seeds, pack, holder = seeds[order], pack[order], holder[order]
+        at, pack = at[kept], pack[kept]
+        order = np.lexsort((at, pack))
+        at, pack, holder = at[order], pack[order], holder[order]
         cuts = np.flatnonzero(np.concatenate((pack[:1] == pack[:1], pack[1:] != pack[:-1])))
         ends = np.append(cuts[1:], len(pack))[: len(cuts)]
-        rows = [(int(pack[a]), planes(seeds[a:b]), planes(holder[a:b].T)) for a, b in zip(cuts, ends, strict=True)]
+        rows = [(int(pack[a]), planes(at[a:b]), planes(holder[a:b].T)) for a, b in zip(cuts, ends, strict=True)]
         return pa.Table.from_batches([batch(schema, *(map(list, zip(*rows, strict=True)) if rows else ([], [], [])))])
 
-    return dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(hold, "pack long, seeds binary, holders binary")
+    return dealt.where("bucket >= 0").groupBy("bucket").applyInArrow(hold, "pack long, places binary, holders binary")
 
 
 def unite(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -325,10 +344,8 @@ def _passages(told: DataFrame, folder: str, tasks: int) -> DataFrame:
     def find(group: pa.Table) -> pa.Table:
         fs, root = filesystem(folder)
         number = group["pack"][0].as_py()
-        seeds = np.concatenate([of_planes(x, np.uint64) for x in group["seeds"].to_pylist()])
+        told_of = np.concatenate([of_planes(x, np.int64) for x in group["places"].to_pylist()])
         holders = np.concatenate([of_planes(x, np.int64).reshape(3, -1).T for x in group["holders"].to_pylist()])
-        order = np.argsort(seeds)
-        seeds, holders = seeds[order], holders[order]
         packs: OrderedDict[int, Pack] = OrderedDict()
 
         def pack(k: int) -> Pack:
@@ -340,14 +357,18 @@ def _passages(told: DataFrame, folder: str, tasks: int) -> DataFrame:
             return packs[k]
 
         own = pack(number)
-        hashes, places = own.seeds()
-        row = np.repeat(np.arange(own.n), np.diff(own.firsts))
+        row, places = own.seeds()
+        every = own.every_word()
+        hashes = hashes_at(every, own.starts[row] + places)
+        seeds = hashes[np.searchsorted(row << 32 | places, told_of)]
+        order = np.argsort(seeds)
+        seeds, holders = seeds[order], holders[order]
         if len(seeds):
             index = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
             hit = (seeds[index] == hashes) & (holders[index, 0] < own.ids[row])
         else:
             index, hit = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        row, places, held = row[hit], places[hit].astype(np.int64), holders[index[hit]]
+        row, places, held = row[hit], places[hit], holders[index[hit]]
         order = np.lexsort((places, held[:, 2] >> 32, held[:, 1], row))
         row, places, held = row[order], places[order], held[order]
         other = held[:, 2] >> 32
@@ -358,7 +379,7 @@ def _passages(told: DataFrame, folder: str, tasks: int) -> DataFrame:
         for a, b in zip(begins, np.append(begins[1:], len(row))[: len(begins)], strict=True):
             r, source, there_pack, there_row = int(row[a]), int(held[a, 0]), int(held[a, 1]), int(other[a])
             at, there = places[a:b], held[a:b, 2] & 0xFFFFFFFF
-            words = own.words(r, 0, own.size(r))
+            words = every[own.starts[r] : own.starts[r + 1]]
             holder, n = pack(there_pack), pack(there_pack).size(there_row)
             for found in chain(at, there):
                 p, q = at[found].tolist(), there[found].tolist()
@@ -386,7 +407,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     dealt = cut(_write_packs(docs, folder, digits), "seeds", free=True)
     # A part of the buckets after the other, so that the disk holds the shuffle of one part only; then the dealt seeds go.
     parts = [_first_holders(_dealt_again(dealt.where(F.pmod("bucket", F.lit(PARTS)) == n), digits)) for n in range(PARTS)]
-    parts.append(dealt.where("bucket < 0").select("pack", "seeds", F.lit(b"").alias("holders")))
+    parts.append(dealt.where("bucket < 0").select("pack", "places", F.lit(b"").alias("holders")))
     told = reduce(DataFrame.unionByName, [cut(p, "told", free=True) for p in parts])
     release(dealt)
     tasks = max(2 * spark.sparkContext.defaultParallelism, min(words // PACK_WORDS, MOST_TASKS))

@@ -204,6 +204,23 @@ def test_substring_dedup(docs, clashing, nothing, rows):
     assert 30 not in texts and texts[5] == rows[5][1] and len(words_of(texts[36])) == len(words_of(rows[36][1])) - 90
 
 
+def test_packs_are_narrow(tmp_path):
+    """A pack takes 4 bytes a word and one a seed; places and hashes of seeds follow from them."""
+    codes = [np.random.default_rng(k).integers(0, 1 << 64, n, np.uint64) for k, n in enumerate((3000, 20, 50, 700))]
+    codes[3] = codes[0][1000:1700].copy()
+    seeds = [substring_dedup.seeds_of(c) if len(c) >= 50 else (np.empty(0, np.uint64), np.empty(0, np.int64)) for c in codes]
+    short = [(c >> np.uint64(32)).astype(np.uint32) for c in codes]
+    (tmp_path / "pack").write_bytes(b"".join(substring_dedup.Pack.parts([7, 8, 9, 10], [False] * 4, [1] * 4, short, seeds)))
+    n_words, n_seeds = sum(map(len, codes)), sum(len(h) for h, _ in seeds)
+    assert (tmp_path / "pack").stat().st_size <= 32 + 8 * (5 * 4 + 2) + 4 * n_words + n_seeds
+    pack = substring_dedup.Pack(*substring_dedup.filesystem(str(tmp_path / "pack")))
+    row, places = pack.seeds()
+    assert row.tolist() == [r for r, (h, _) in enumerate(seeds) for _ in h] and places.tolist() == np.concatenate([p for _, p in seeds]).tolist()
+    hashes = substring_dedup.hashes_at(pack.every_word(), pack.starts[row] + places)
+    wide = np.concatenate([h for h, _ in seeds])
+    assert ((hashes[:, None] == hashes) == (wide[:, None] == wide)).all() and len(np.unique(hashes)) < n_seeds
+
+
 def test_fuzzy_passage(spark):
     p = prose("fuzzy", 80).split()
     q = [*p[:30], "other", *p[31:50], *p[52:]]
