@@ -221,6 +221,12 @@ def test_packs_are_narrow(tmp_path):
     assert ((hashes[:, None] == hashes) == (wide[:, None] == wide)).all() and len(np.unique(hashes)) < n_seeds
 
 
+def test_batches_read_are_small(spark, docs):
+    """Spark's reader holds a batch of texts or sets in one piece for each column: no more rows of them than go to Python."""
+    substring_dedup.find_repeats(docs)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+
+
 def test_fuzzy_passage(spark):
     p = prose("fuzzy", 80).split()
     q = [*p[:30], "other", *p[31:50], *p[52:]]
