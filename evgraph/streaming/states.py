@@ -20,7 +20,9 @@ from ..operators.ordered import first_per_key
 #: The stages in order, and the ends.
 STAGES = "Queued Acquiring Scanning StaticAnalysis Persisting Chunking Embedding Validation".split()
 COMPLETED, FAILED, TIMED_OUT = "Completed", "Failed", "TimedOut"
+CODES = (*STAGES, COMPLETED, FAILED)
 OUT = "job string, status string, stage string, first_ts timestamp, last_ts timestamp, version long"
+CHANGE = "job string, status string, stage string, first_us long, last_us long, version long"
 STATE = "first_us long, last_us long, stage int, completed_us long, failed_us long, timed_out boolean, version long"
 NEVER = (1 << 63) - 1
 
@@ -32,8 +34,11 @@ def _status(stage: int, completed: int, failed: int, timed_out: bool) -> str:
 
 
 def transitions(events: DataFrame, late: str = "1 hour", limit_seconds: int = 7 * 86_400) -> DataFrame:
-    """A row for each change of a job's state. events: job, kind (a stage, Completed or Failed), ts; streaming."""
-    rank = {s: k for k, s in enumerate(STAGES)}
+    """A row for each change of a job's state. events: job, kind (a stage, Completed or Failed), ts; streaming.
+
+    Kinds come as their places in CODES and times as microseconds, made natively: step runs once a job, on numbers only.
+    """
+    completes, fails = len(STAGES) + 1, len(STAGES) + 2
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         old = state.get if state.exists else (NEVER, -1, -1, NEVER, NEVER, False, 0)
@@ -42,12 +47,11 @@ def transitions(events: DataFrame, late: str = "1 hour", limit_seconds: int = 7
             timed_out = True
         else:
             for rows in batches:
-                us = rows["ts"].astype("datetime64[us]").astype("int64")
+                us, code = rows["us"].to_numpy(), rows["code"].to_numpy()
                 first, last = min(first, int(us.min())), max(last, int(us.max()))
-                known = rows["kind"].map(rank).dropna()
-                stage = max(stage, int(known.max()) if len(known) else -1)
-                completed = min(completed, int(us[rows["kind"] == COMPLETED].min()) if (rows["kind"] == COMPLETED).any() else NEVER)
-                failed = min(failed, int(us[rows["kind"] == FAILED].min()) if (rows["kind"] == FAILED).any() else NEVER)
+                stage = max(stage, int(code[code < completes].max(initial=0)) - 1)
+                completed = min(completed, int(us[code == completes].min(initial=NEVER)))
+                failed = min(failed, int(us[code == fails].min(initial=NEVER)))
             timed_out = False
         new = (first, last, stage, completed, failed, timed_out)
         changed = new != tuple(old[:6])
@@ -60,11 +64,12 @@ def transitions(events: DataFrame, late: str = "1 hour", limit_seconds: int = 7
                 new, version, changed = (*new[:5], True), version + changed, True
                 state.update((*new, version + 1))
         if changed:
-            status, at = _status(*new[2:6]), [pd.Timestamp(x, unit="us") for x in (new[0], new[1])]
-            yield pd.DataFrame({"job": [key[0]], "status": [status], "stage": [STAGES[max(new[2], 0)]], "first_ts": [at[0]], "last_ts": [at[1]], "version": [version + 1]})
+            yield pd.DataFrame({"job": [key[0]], "status": [_status(*new[2:6])], "stage": [STAGES[max(new[2], 0)]], "first_us": [new[0]], "last_us": [new[1]], "version": [version + 1]})
 
-    marked = events.where("job IS NOT NULL AND ts IS NOT NULL").select("job", "kind", "ts").withWatermark("ts", late)
-    return marked.groupBy("job").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, CODES)), F.col("kind")), F.lit(0)).cast("int")  # 0: none of them
+    known = events.where("job IS NOT NULL AND ts IS NOT NULL").select("job", code.alias("code"), F.unix_micros("ts").alias("us"), "ts").withWatermark("ts", late)
+    changes = known.groupBy("job").applyInPandasWithState(step, CHANGE, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("job", "status", "stage", *(F.timestamp_micros(f"{x}_us").alias(f"{x}_ts") for x in ("first", "last")), "version")
 
 
 def keep(changes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -29,6 +29,20 @@ def expected_states(events, now, limit):
     return sorted(out.values())
 
 
+def test_states_in_another_time_zone(spark, tmp_path):
+    """A job is due by the time that passed, wherever the session is, and its times come back as they were."""
+    zone, t0, day = spark.conf.get("spark.sql.session.timeZone"), 1_730_615_400, 86_400  # 01:30 the second time
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        events = spark.createDataFrame([("a", "Scanning", t0), ("b", "Queued", t0 + 7 * day)], "job string, kind string, s long").selectExpr("job", "kind", "timestamp_seconds(s) AS ts")
+        events.coalesce(1).write.parquet(str(tmp_path / "in"))
+        states.keep(states.transitions(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(300)
+        got = states.current(spark, str(tmp_path / "out")).selectExpr("job", "status", "unix_seconds(first_ts)", "unix_seconds(last_ts)").collect()
+        assert sorted(map(tuple, got)) == [("a", "Scanning", t0, t0), ("b", "Queued", t0 + 7 * day, t0 + 7 * day)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_states_survive_disorder_doubles_and_a_restart(spark, tmp_path):
     rng = random.Random(1)
     kinds = [*states.STAGES[:5], "Completed", "Failed", "Unknown"]
